@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Candidate layouts, tried in this order, the first that parses wins.
+# Candidate layouts, tried in this order, the first that parses wins. The
+# shape beside each is what the layout can match; it spares a failed parse per row.
 CANDIDATES = (
-    "yyyy-MM-dd",
-    "MM/dd/yyyy",
-    "dd/MM/yyyy",
-    "yyyyMMdd",
-    "MM-dd-yyyy",
-    "dd-MM-yyyy",
-    "yyyy/MM/dd",
-    "MMddyyyy",
+    ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"),
+    ("MM/dd/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
+    ("dd/MM/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
+    ("yyyyMMdd", r"^\d{8}$"),
+    ("MM-dd-yyyy", r"^\d{2}-\d{2}-\d{4}$"),
+    ("dd-MM-yyyy", r"^\d{2}-\d{2}-\d{4}$"),
+    ("yyyy/MM/dd", r"^\d{4}/\d{2}/\d{2}$"),
+    ("MMddyyyy", r"^\d{8}$"),
 )
 
 
@@ -23,7 +24,14 @@ def parse_any_date(c: Column) -> Column:
 
     Impossible days such as 2024-02-30 do not parse.
     """
-    return F.coalesce(*(F.try_to_date(c, layout) for layout in CANDIDATES))
+    by_shape: dict[str, list[Column]] = {}
+    for layout, shape in CANDIDATES:
+        by_shape.setdefault(shape, []).append(F.try_to_date(c, layout))
+    found = None
+    for shape, tries in by_shape.items():
+        day = F.coalesce(*tries)
+        found = F.when(c.rlike(shape), day) if found is None else found.when(c.rlike(shape), day)
+    return found
 
 
 def coerce_date(c: Column, target: str | None) -> Column:

@@ -8,13 +8,5 @@ from pyspark.sql import functions as F
 MASK = "***"
 
 
-def shown(c: Column, sensitive: bool) -> Column:
-    return F.lit(MASK) if sensitive else c
-
-
-def kept(c: Column, sensitive: bool) -> Column:
-    return F.lit(None).cast("string") if sensitive else c
-
-
 def key_prefix(c: Column) -> Column:
     return F.concat(F.substring(c, 1, 4), F.lit("****"))

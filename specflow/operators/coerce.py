@@ -8,18 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specflow.functions import dates, masking, text
-from specflow.operators.records import issue, value_of
+from specflow.operators.records import ISSUES, found, issue, literal, value_of
 from specflow.spec import FieldSpec, FileSpec
 
 # What counts as true in delimited text (any case) and in fixed-width text (exact).
 TRUE_DELIMITED = ("true", "1", "yes", "y")
 TRUE_FIXED = ("1", "Y", "T", "true")
 
+# Types whose text can fail to convert.
+CHECKED = ("INTEGER", "LONG", "DECIMAL", "AMOUNT")
+
 # Issue wordings users match on.
 MISSING_COLUMN = "Column '{column}' not found in header"
 REQUIRED_DELIMITED = "Required field '{name}' is missing or empty"
 REQUIRED_FIXED = "Required field '{name}' is blank"
 REQUIRED_XML = "Required XML field '{name}' not found at path '{path}'"
+CONVERSION_DELIMITED = ("Cannot convert '{name}' value '", "' to {type}")
+CONVERSION_FIXED = ("Type conversion failed for '{name}': '", "' is not {type}")
 SHORT_LINE = "Line too short to extract field '{name}' at position {position}"
 
 
@@ -45,50 +50,55 @@ def _typed(f: FieldSpec, raw: Column, fixed: bool) -> tuple[Column, Column]:
         shown = amount.cast(f"decimal(38,{scale})").cast("string")
         return n.isNotNull(), shown
     if f.type in ("DECIMAL", "AMOUNT"):
-        return text.is_number(raw), text.decimal_text(raw)
+        return text.is_canonical(raw) | text.is_number(raw), text.decimal_text(raw)
     if f.type == "BOOLEAN":
         hit = raw.isin(*TRUE_FIXED) if fixed else F.lower(raw).isin(*TRUE_DELIMITED)
         return yes, hit.cast("string")
     return yes, raw
 
 
-def _conversion_message(f: FieldSpec, raw: Column, fixed: bool) -> Column:
-    shown = masking.shown(raw, f.sensitive)
-    if fixed:
-        return F.concat(F.lit(f"Type conversion failed for '{f.name}': '"), shown, F.lit(f"' is not {f.type}"))
-    return F.concat(F.lit(f"Cannot convert '{f.name}' value '"), shown, F.lit(f"' to {f.type}"))
+def _conversion_message(f: FieldSpec, raw: str, fixed: bool) -> str:
+    shown = literal(masking.MASK) if f.sensitive else raw
+    head, tail = CONVERSION_FIXED if fixed else CONVERSION_DELIMITED
+    return f"concat({literal(head.format(name=f.name))}, {shown}, {literal(tail.format(type=f.type))})"
 
 
-def coerce(f: FieldSpec, raw: Column, absent: Column | bool, fixed: bool = False) -> Coerced:
-    """``raw`` is trimmed; ``absent`` marks a column or position the record does not have."""
+def coerce(f: FieldSpec, column: str, absent: Column | bool, fixed: bool = False) -> Coerced:
+    """``column`` names the trimmed raw text; ``absent`` marks a column or position the record lacks."""
+    raw = F.col(column)
     none = F.lit(None).cast("string")
     gone = absent if isinstance(absent, Column) else F.lit(absent)
     blank = F.coalesce(raw == "", F.lit(True))
     ok, canonical = _typed(f, raw, fixed)
-    default = F.lit(f.default_value).cast("string")
-    value = F.when(gone, none).when(blank, default).when(ok, canonical).otherwise(raw)
+    value = F.when(gone, none).when(blank, F.lit(f.default_value).cast("string")).when(ok, canonical).otherwise(raw)
     if fixed:
         absent_text = SHORT_LINE.format(name=f.name, position=f.start_position)
         blank_text = REQUIRED_FIXED.format(name=f.name)
     else:
         absent_text = MISSING_COLUMN.format(column=f.column_name or f.name)
         blank_text = REQUIRED_DELIMITED.format(name=f.name)
-    bad = issue(f.name, _conversion_message(f, raw, fixed), "ERROR", masking.kept(raw, f.sensitive))
-    blank_raw = none if fixed else raw
-    error = (
-        F.when(gone, issue(f.name, absent_text, "ERROR") if f.required else None)
-        .when(blank, issue(f.name, blank_text, "ERROR", blank_raw) if f.required and not f.nullable else None)
-        .when(~ok, bad)
-    )
-    return Coerced(value, error)
+    nothing = F.expr(f"cast(array() as {ISSUES})")
+    missing = issue(f.name, literal(absent_text), "ERROR") if f.required else nothing
+    error = F.when(gone, missing)
+    if f.required and not f.nullable:
+        error = error.when(blank, issue(f.name, literal(blank_text), "ERROR", literal(None) if fixed else column))
+    else:
+        error = error.when(blank, nothing)
+    if f.type in CHECKED:
+        kept = literal(None) if f.sensitive else column
+        error = error.when(~ok, issue(f.name, _conversion_message(f, column, fixed), "ERROR", kept))
+    return Coerced(value, error.otherwise(nothing))
 
 
-def coerce_xml(f: FieldSpec, raw: Column) -> Coerced:
+def coerce_xml(f: FieldSpec, column: str) -> Coerced:
     """XML keeps every value as text; only presence is checked."""
-    found = F.when(~text.is_blank(raw), raw)
+    raw = F.col(column)
+    present = F.when(~text.is_blank(raw), raw)
     message = REQUIRED_XML.format(name=f.name, path="null" if f.path is None else f.path)
-    error = F.when(found.isNull(), issue(f.name, message, "ERROR")) if f.required else F.lit(None)
-    return Coerced(F.coalesce(found, F.lit(f.default_value)), error)
+    lacking = present.isNull() if f.required else F.lit(False)
+    return Coerced(
+        F.coalesce(present, F.lit(f.default_value)), found(lacking, issue(f.name, literal(message), "ERROR"))
+    )
 
 
 def spark_type(f: FieldSpec) -> str:

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specflow.functions import dates, text
-from specflow.operators.records import collected, fcol, quoted, value_of
-from specflow.operators.records import CHANGES
+from specflow.operators.records import CHANGES, collected, fcol, literal, pinned, quoted, ticked
 from specflow.spec import CorrectionRule, FieldSpec, FileSpec, SpecError
 
 Correction = Callable[[Column, CorrectionRule, FieldSpec | None], Column]
@@ -95,15 +94,12 @@ def apply_corrections(records: DataFrame, spec: FileSpec) -> DataFrame:
         before, after = latest[rule.field], f"_step{number}"
         built = expression(rule, quoted(before), spec.field_spec(rule.field))
         layers[depth[rule.field]].append(built.alias(after))
+        old, new = ticked(before), ticked(after)
         changes.append(
-            F.when(
-                ~quoted(before).eqNullSafe(quoted(after)),
-                F.struct(
-                    F.lit(rule.field).alias("field"),
-                    quoted(before).alias("original"),
-                    quoted(after).alias("corrected"),
-                    F.lit(rule.correction_type).alias("type"),
-                ),
+            F.expr(
+                f"case when not ({old} <=> {new}) then array(named_struct('field', {literal(rule.field)}, "
+                f"'original', {old}, 'corrected', {new}, 'type', {literal(rule.correction_type)})) "
+                f"else cast(array() as {CHANGES}) end"
             )
         )
         depth[rule.field] += 1
@@ -114,7 +110,7 @@ def apply_corrections(records: DataFrame, spec: FileSpec) -> DataFrame:
     touched = {fcol(name): last for name, last in latest.items() if last != fcol(name)}
     log = F.concat("_corrections", collected(changes, CHANGES))
     records = records.withColumn("_corrections", log)
-    return records.select(
+    done = records.select(
         *[
             quoted(touched[c]).alias(c)
             if c in touched
@@ -124,6 +120,7 @@ def apply_corrections(records: DataFrame, spec: FileSpec) -> DataFrame:
             for c in columns
         ]
     )
+    return pinned(done, [*touched, "_corrections", "_corrected"])
 
 
 def correct_column(value: Column, correction_type: str, arg: str | None = None, pad_char: str | None = None) -> Column:
@@ -131,5 +128,3 @@ def correct_column(value: Column, correction_type: str, arg: str | None = None,
     rule = CorrectionRule("column", "column", correction_type, arg, 0, pad_char)
     return expression(rule, value)
 
-
-__all__ = ["apply_corrections", "correct_column", "expression", "register_correction", "value_of"]

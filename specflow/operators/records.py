@@ -27,20 +27,44 @@ def text(value) -> Column:
     return (value if isinstance(value, Column) else F.lit(value)).cast("string")
 
 
-def issue(field: str, message, severity: str, raw=None, rule_id=None) -> Column:
-    return F.struct(
-        text(field).alias("field"),
-        text(message).alias("message"),
-        text(severity).alias("severity"),
-        text(raw).alias("raw_value"),
-        text(rule_id).alias("rule_id"),
+def literal(value: str | None) -> str:
+    """SQL text of a string literal."""
+    if value is None:
+        return "cast(null as string)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def ticked(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def issue(field: str, message: str, severity: str, raw: str = "cast(null as string)", rule_id: str | None = None) -> Column:
+    """A one-element issue array. ``message`` and ``raw`` are SQL text, so one call builds the lot."""
+    return F.expr(
+        f"array(named_struct('field', {literal(field)}, 'message', {message}, 'severity', {literal(severity)}, "
+        f"'raw_value', {raw}, 'rule_id', {literal(rule_id)}))"
     )
 
 
+def found(condition: Column, hit: Column) -> Column:
+    return F.when(condition, hit).otherwise(F.expr(f"cast(array() as {ISSUES})"))
+
+
 def collected(items: list[Column], kind: str) -> Column:
-    if not items:
-        return F.from_json(F.lit("[]"), kind)
-    return F.array_compact(F.array(*items)).cast(kind)
+    """One array from arrays of zero or one element. Plain concat keeps the work in generated code."""
+    return F.concat(*items) if items else F.array().cast(kind)
+
+
+def pinned(df: DataFrame, names: list[str]) -> DataFrame:
+    """Evaluates the named columns once per row.
+
+    Catalyst pushes filters through projections by copying the expressions they read;
+    with layered rules those copies multiply. A one-row generator is a border it does
+    not cross, so later filters and explodes read finished values. It costs no shuffle.
+    """
+    rest = [quoted(c) for c in df.columns if c not in names]
+    once = df.select(*rest, F.inline(F.array(F.struct(*[quoted(n) for n in names]))))
+    return once.select(*[quoted(c) for c in df.columns])
 
 
 def no_issues() -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specflow.functions import checks, masking, text
-from specflow.operators.records import ISSUES, collected, issue, value_of
+from specflow.operators.records import ISSUES, collected, fcol, found, issue, literal, pinned, ticked, value_of
 from specflow.spec import FieldSpec, FileSpec, SpecError, ValidationRule
 
 Rule = Callable[[Column, ValidationRule], Column]
@@ -126,35 +126,36 @@ def check(value: Column, rule_type: str, arg: str | None = None, second: str | N
 
 
 def _rule_issue(rule: ValidationRule, spec: FileSpec) -> Column:
-    value = value_of(rule.field)
     f = spec.field_spec(rule.field)
     hide = spec.mask_sensitive and f is not None and f.sensitive
-    return F.when(
-        violated(rule, value),
-        issue(rule.field, rule.message, rule.severity, masking.kept(value, hide), rule.rule_id),
+    raw = literal(None) if hide else ticked(fcol(rule.field))
+    return found(
+        violated(rule, value_of(rule.field)), issue(rule.field, literal(rule.message), rule.severity, raw, rule.rule_id)
     )
 
 
 def _constraint_issues(f: FieldSpec) -> list[Column]:
-    value = value_of(f.name)
-    shown = masking.shown(value, f.sensitive)
-    found = []
+    value, name = value_of(f.name), ticked(fcol(f.name))
+    shown = literal(masking.MASK) if f.sensitive else name
+    kept = literal(None) if f.sensitive else name
+    hits = []
+
+    def add(bad: Column, *message: str, raw: str = literal(None)) -> None:
+        hits.append(found(F.coalesce(bad, F.lit(False)), issue(f.name, f"concat({', '.join(message)})", "ERROR", raw)))
+
+    quoted_value = (literal(f"Field '{f.name}' value '"), shown)
+    measured = (literal(f"Field '{f.name}' length "), f"cast(length({name}) as string)")
     if f.validation_regex is not None:
-        message = F.concat(F.lit(f"Field '{f.name}' value '"), shown, F.lit("' does not match required pattern"))
         bad = ~text.full_match(value, f.validation_regex)
-        found.append(F.when(bad, issue(f.name, message, "ERROR", masking.kept(value, f.sensitive))))
-    measured = F.length(value).cast("string")
+        add(bad, *quoted_value, literal("' does not match required pattern"), raw=kept)
     if f.min_length is not None:
-        message = F.concat(F.lit(f"Field '{f.name}' length "), measured, F.lit(f" is below minimum {f.min_length}"))
-        found.append(F.when(F.length(value) < f.min_length, issue(f.name, message, "ERROR")))
+        add(F.length(value) < f.min_length, *measured, literal(f" is below minimum {f.min_length}"))
     if f.max_length is not None:
-        message = F.concat(F.lit(f"Field '{f.name}' length "), measured, F.lit(f" exceeds maximum {f.max_length}"))
-        found.append(F.when(F.length(value) > f.max_length, issue(f.name, message, "ERROR")))
+        add(F.length(value) > f.max_length, *measured, literal(f" exceeds maximum {f.max_length}"))
     if f.allowed_values:
         listed = ", ".join(f.allowed_values)
-        message = F.concat(F.lit(f"Field '{f.name}' value '"), shown, F.lit(f"' not in allowed values: [{listed}]"))
-        found.append(F.when(~value.isin(*f.allowed_values), issue(f.name, message, "ERROR")))
-    return found
+        add(~value.isin(*f.allowed_values), *quoted_value, literal(f"' not in allowed values: [{listed}]"))
+    return hits
 
 
 def apply_validations(records: DataFrame, spec: FileSpec) -> DataFrame:
@@ -169,4 +170,4 @@ def apply_validations(records: DataFrame, spec: FileSpec) -> DataFrame:
         changed["_errors"] = F.concat("_errors", collected(errors, ISSUES))
     if warnings:
         changed["_warnings"] = F.concat("_warnings", collected(warnings, ISSUES))
-    return records.withColumns(changed) if changed else records
+    return pinned(records.withColumns(changed), list(changed)) if changed else records

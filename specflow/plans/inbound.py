@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from specflow.operators import coerce, route
 from specflow.operators.correct import apply_corrections
-from specflow.operators.records import collected, issue, value_of, ISSUES
+from specflow.operators.records import value_of
 from specflow.operators.validate import apply_validations
 from specflow.session import checkpointed
 from specflow.sinks.envelope import envelopes, new_run_id
@@ -28,19 +28,14 @@ def check_patterns(spark: SparkSession, spec: FileSpec) -> None:
 
 def recheck_types(records: DataFrame, spec: FileSpec) -> DataFrame:
     """Drops conversion issues of values that a correction has since repaired (opt-in)."""
-    repaired = F.lit(False)
-    for f in spec.fields:
-        fixed = F.lit(False) if coerce.spark_type(f) == "string" else coerce.typed(f, value_of(f.name)).isNotNull()
-        repaired = repaired | ((F.col("e.field") == f.name) & fixed)
-    kept = records.columns
-    good = F.filter(
-        "_errors",
-        lambda e: ~(
-            (F.startswith(e["message"], F.lit("Cannot convert")) | F.startswith(e["message"], F.lit("Type conversion")))
-            & _fixed(e, spec)
-        ),
-    )
-    return records.withColumn("_errors", good).select(*kept)
+
+    def stale(e: Column) -> Column:
+        conversion = F.startswith(e["message"], F.lit("Cannot convert")) | F.startswith(
+            e["message"], F.lit("Type conversion")
+        )
+        return e["rule_id"].isNull() & conversion & _fixed(e, spec)
+
+    return records.withColumn("_errors", F.filter("_errors", lambda e: ~stale(e)))
 
 
 def _fixed(e: Column, spec: FileSpec) -> Column:
@@ -99,5 +94,3 @@ def dry_run(parsed: DataFrame, spec: FileSpec, skip_invalid: bool = False) -> Da
     done = processed(parsed, spec, skip_invalid)
     return route.with_success_rate(route.with_status(route.summarise(done)))
 
-
-__all__ = ["RunResult", "check_patterns", "collected", "dry_run", "events", "issue", "processed", "run_files", "split_run", "ISSUES"]

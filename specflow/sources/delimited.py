@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from specflow.functions import text
 from specflow.operators.coerce import coerce
-from specflow.operators.records import ISSUES, collected, fcol, quoted, start_columns
+from specflow.operators.records import ISSUES, collected, fcol, pinned, start_columns
 from specflow.spec import FileSpec, require_valid
 
 # Control characters that mark delimiters inside quotes and the place of removed quotes.
@@ -75,31 +75,35 @@ def parse_delimited(
     require_valid(spec)
     parts = split_quoted(F.col("_raw"), spec.delimiter or ",")
     service = ["_file", "_seq", "_raw", *keep]
+    odd = text.has_odd_space(F.col("_raw"))
     if "_header" in lines.columns and header is None:
-        lines = lines.withColumn("_places", column_indexes(F.col("_header"), spec))
-        split = lines.select(*service, "_places", parts.alias("_parts"))
+        split = lines.select(
+            *service, column_indexes(F.col("_header"), spec).alias("_places"), parts.alias("_parts"), odd.alias("_odd")
+        )
         places = [F.get("_places", F.lit(k)) for k in range(len(spec.fields))]
         raws = [F.get("_parts", p) for p in places]
         gone = [p.isNull() for p in places]
     else:
-        split = lines.select(*service, parts.alias("_parts"))
+        split = lines.select(*service, parts.alias("_parts"), odd.alias("_odd"))
         static = static_indexes(spec, header)
         raws = [F.lit(None).cast("string") if i is None else F.get("_parts", F.lit(i)) for i in static]
         gone = [F.lit(i is None) for i in static]
     cells = split.select(
         *service,
-        *[text.trim(r).alias(f"_r{k}") for k, r in enumerate(raws)],
+        *[text.trim_known(r, F.col("_odd")).alias(f"_r{k}") for k, r in enumerate(raws)],
         *[g.alias(f"_g{k}") for k, g in enumerate(gone)],
     )
-    made = [coerce(f, F.col(f"_r{k}"), F.col(f"_g{k}")) for k, f in enumerate(spec.fields)]
+    made = [coerce(f, f"_r{k}", F.col(f"_g{k}")) for k, f in enumerate(spec.fields)]
     return finish(cells, spec, made, keep)
 
 
 def finish(cells: DataFrame, spec: FileSpec, made: list, keep: tuple[str, ...] = ()) -> DataFrame:
     declared = [f.name for f in spec.fields]
     extra = [n for n in spec.record_fields if n not in declared]
-    return cells.select(
-        *["_file", "_seq", "_raw"],
+    records = cells.select(
+        "_file",
+        "_seq",
+        "_raw",
         *[c.value.alias(fcol(n)) for c, n in zip(made, declared)],
         *[F.lit(None).cast("string").alias(fcol(n)) for n in extra],
         collected([c.error for c in made], ISSUES).alias("_errors"),
@@ -107,6 +111,5 @@ def finish(cells: DataFrame, spec: FileSpec, made: list, keep: tuple[str, ...] =
         F.create_map().cast("map<string,string>").alias("_metadata"),
         *keep,
     )
+    return pinned(records, [*[fcol(n) for n in declared], "_errors"])
 
-
-__all__ = ["column_indexes", "finish", "parse_delimited", "quoted", "split_quoted", "static_indexes"]

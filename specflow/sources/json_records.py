@@ -55,5 +55,5 @@ def parse_json_lines(lines: DataFrame, spec: FileSpec, keep: tuple[str, ...] = (
     cells = lines.select("_file", "_seq", "_raw", *keep, parsed.alias("_json")).select(
         "_file", "_seq", "_raw", *keep, *[text.trim(v.cast("string")).alias(f"_r{k}") for k, v in enumerate(values)]
     )
-    made = [coerce(f, F.col(f"_r{k}"), False) for k, f in enumerate(spec.fields)]
+    made = [coerce(f, f"_r{k}", False) for k, f in enumerate(spec.fields)]
     return finish(cells, spec, made, keep)

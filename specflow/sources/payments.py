@@ -73,7 +73,7 @@ def swift_records(messages: DataFrame, spec: FileSpec) -> DataFrame:
             for k, f in enumerate(spec.fields)
         ],
     )
-    return finish(cells, spec, [coerce(f, F.col(f"_r{k}"), False) for k, f in enumerate(spec.fields)])
+    return finish(cells, spec, [coerce(f, f"_r{k}", False) for k, f in enumerate(spec.fields)])
 
 
 def x12_segments(lines: DataFrame, order: tuple[str, ...] = ("_seq",), element_sep: str = "*") -> DataFrame:

@@ -144,7 +144,7 @@ def parse_xml_text(records: DataFrame, spec: FileSpec) -> DataFrame:
         F.lit(None).cast("string").alias("_raw"),
         *[found[f.name].alias(f"_r{k}") for k, f in enumerate(spec.fields)],
     )
-    made = [coerce_xml(f, F.col(f"_r{k}")) for k, f in enumerate(spec.fields)]
+    made = [coerce_xml(f, f"_r{k}") for k, f in enumerate(spec.fields)]
     return finish(cells, spec, made)
 
 
