@@ -1 +1,436 @@
-"""Queries."""
+"""Source queries: lines of a table encoded, written where a file reader is under test, and parsed back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from specflow.catalog.base import DAY, PRICE, columns, register
+from specflow.session import table, work_path
+from specflow.sources import read_records, register_reader
+from specflow.sources.delimited import parse_delimited, split_quoted
+from specflow.sources.fixed_width import parse_fixed_width
+from specflow.sources.json_records import parse_json_lines
+from specflow.sources.lines import number_lines, read_lines
+from specflow.sources.listing import matches, normalise_filter_column
+from specflow.sources.payments import nacha_entries, nacha_lines, swift_records, swift_tags, x12_segments
+from specflow.sources.xml_records import parse_xml_text
+from specflow.spec import FieldSpec, FileSpec, load_spec
+
+def _lines(frame, key, line):
+    return frame.select(F.lit(None).cast("string").alias("_file"), F.col(key).alias("_seq"), line.alias("_raw"))
+
+
+ORDER_CSV = load_spec({
+    "id": "orders-csv", "format": "CSV", "hasHeader": True, "fields": [
+        {"name": "id", "type": "LONG", "columnName": "Order_Id"},
+        {"name": "status", "columnName": "status"},
+        {"name": "price", "type": "DECIMAL", "columnName": "PRICE", "scale": 2},
+        {"name": "note", "columnName": "note", "required": False, "nullable": True}]})
+
+
+# Files hold a fixed span of keys, so their number grows with the data and their size does not.
+FILE_KEYS = 4000
+FILE_OF = f"CAST(floor(o_orderkey / {FILE_KEYS}.0) AS BIGINT)"
+
+
+def write_files(rows, path, keys):
+    """One text file per key combination; columns: keys, k (order), value."""
+    placed = rows.repartition(*keys).sortWithinPartitions(*keys, "k")
+    placed.select(*keys, "value").write.partitionBy(*keys).text(path)
+    return path
+
+
+def _write_orders(spark, sf, label, header=True):
+    """Orders as CSV text, one file per status and span of keys, each with its own header."""
+    rows = columns(spark, sf, "orders", {
+        "s": "o_orderstatus", "b": FILE_OF, "k": "o_orderkey",
+        "value": f"CAST(o_orderkey AS STRING) || ',' || o_orderstatus || ',' || {PRICE} || ',\"' || o_orderpriority || ', as sent\"'"})
+    if header:
+        heads = rows.select("s", "b").distinct().select(
+            "s", "b", F.lit(-1).cast("bigint").alias("k"), F.lit(" order_id ,STATUS,price,Note").alias("value"))
+        rows = rows.unionByName(heads)
+    return write_files(rows, work_path(spark, label), ["s", "b"])
+
+
+@register("src_csv", "SRC-01, SRC-04, EXT-01", f"SELECT o_orderkey AS id, o_orderstatus AS status, {PRICE} AS price, o_orderpriority || ', as sent' AS note, CAST(0 AS INT) AS n_errors FROM orders")
+def src_csv(spark, sf):
+    """Written as files with a header each, read back by the file reader."""
+    records = read_records(spark, _write_orders(spark, sf, "src-csv"), ORDER_CSV)
+    return records.select(
+        F.col("f_id").cast("bigint").alias("id"), F.col("f_status").alias("status"), F.col("f_price").alias("price"),
+        F.col("f_note").alias("note"), F.size("_errors").alias("n_errors"))
+
+
+@register("seq_numbers", "PRJ-01, WIN-01", """SELECT o_orderstatus AS status, o_orderkey AS id,
+ row_number() OVER (PARTITION BY o_orderstatus, floor(o_orderkey / 4000.0) ORDER BY o_orderkey) - 1 AS seq FROM orders""")
+def seq_numbers(spark, sf):
+    """Dense numbers per file, over many splits of each file."""
+    path = _write_orders(spark, sf, "seq")
+    records = read_records(spark, path, ORDER_CSV)
+    return records.select(F.col("f_status").alias("status"), F.col("f_id").cast("bigint").alias("id"), F.col("_seq").alias("seq"))
+
+
+def _delimited(name, ids, delimiter):
+    sql = f"SELECT o_orderkey AS k, o_orderstatus AS status, {PRICE} AS price, o_orderpriority AS priority FROM orders"
+
+    @register(name, ids, sql)
+    def run(spark, sf):
+        spec = FileSpec("d", "d", "DELIMITED", (FieldSpec("status", column_index=0), FieldSpec("price", "DECIMAL", column_index=1),
+                                                FieldSpec("priority", column_index=2)), delimiter=delimiter)
+        rows = columns(spark, sf, "orders", {"k": "o_orderkey", "line": f"concat_ws('{delimiter}', o_orderstatus, {PRICE}, o_orderpriority)"})
+        parsed = parse_delimited(_lines(rows, "k", F.col("line")), spec)
+        return parsed.select(F.col("_seq").alias("k"), F.col("f_status").alias("status"), F.col("f_price").alias("price"), F.col("f_priority").alias("priority"))
+
+
+_delimited("src_delimited_pipe", "SRC-02", "|")
+_delimited("src_delimited_multichar", "SRC-02", "||")
+_delimited("src_delimited_tab", "SRC-02", "\t")
+
+
+@register("src_csv_quoted", "SRC-03", """SELECT doc_id AS k, replace(replace(text, '"', ''), chr(10), ' ') AS text, source, strlen(text) > 0 AS filled FROM documents""")
+def src_csv_quoted(spark, sf):
+    """Whole documents as quoted cells, commas and all."""
+    rows = columns(spark, sf, "documents", {"k": "doc_id", "line": """'"' || replace(replace(text, '"', ''), chr(10), ' ') || '",' || source"""})
+    parts = split_quoted(F.col("line"), ",")
+    cut = rows.select("k", parts.alias("p"))
+    return cut.select("k", F.get("p", F.lit(0)).alias("text"), F.get("p", F.lit(1)).alias("source"), (F.length(F.get("p", F.lit(0))) > 0).alias("filled"))
+
+
+@register("src_csv_header", "SRC-04", "SELECT o_orderkey AS k, o_orderpriority AS last_wins, o_orderstatus AS by_index FROM orders")
+def src_csv_header(spark, sf):
+    """Case and blanks do not matter, the last duplicate wins, an index beats a name."""
+    spec = load_spec({"id": "h", "format": "CSV", "hasHeader": True, "fields": [
+        {"name": "last", "columnName": "NOTE"}, {"name": "status", "columnName": "note", "columnIndex": 1}]})
+    rows = columns(spark, sf, "orders", {"k": "o_orderkey", "line": "o_orderstatus || 'x,' || o_orderstatus || ',' || o_orderpriority"})
+    parsed = parse_delimited(_lines(rows, "k", F.col("line")), spec, header=" Note ,id,nOTE ")
+    return parsed.select(F.col("_seq").alias("k"), F.col("f_last").alias("last_wins"), F.col("f_status").alias("by_index"))
+
+
+@register("src_csv_index", "SRC-05", "SELECT p_partkey AS k, p_name AS name, CAST(NULL AS VARCHAR) AS beyond FROM part")
+def src_csv_index(spark, sf):
+    spec = FileSpec("i", "i", "CSV", (FieldSpec("name", column_index=1), FieldSpec("beyond", column_index=7, required=False, nullable=True)))
+    rows = columns(spark, sf, "part", {"k": "p_partkey", "line": "p_brand || ',' || p_name"})
+    parsed = parse_delimited(_lines(rows, "k", F.col("line")), spec)
+    return parsed.select(F.col("_seq").alias("k"), F.col("f_name").alias("name"), F.col("f_beyond").alias("beyond"))
+
+
+@register("src_skip_lines", "SRC-06", """SELECT line - 3 AS seq, id FROM (SELECT c_custkey AS id,
+ row_number() OVER (PARTITION BY floor(c_custkey / 400.0) ORDER BY c_custkey) - 1 AS line FROM customer) WHERE line >= 3""")
+def src_skip_lines(spark, sf):
+    """Two skipped lines and a header line: each file's first three lines are no records."""
+    rows = columns(spark, sf, "customer", {"b": "CAST(floor(c_custkey / 400.0) AS BIGINT)", "k": "c_custkey", "value": "CAST(c_custkey AS STRING)"})
+    path = write_files(rows, work_path(spark, "skip"), ["b"])
+    data, _ = number_lines(read_lines(spark, path), skip=2, header=True)
+    return data.select(F.col("_seq").alias("seq"), F.col("_raw").cast("bigint").alias("id"))
+
+
+@register("src_blank_skip", "SRC-07", """SELECT id, row_number() OVER (PARTITION BY b ORDER BY id) - 1 AS seq, line FROM (
+ SELECT o_orderkey AS id, floor(o_orderkey / 4000.0) AS b, o_orderstatus,
+ row_number() OVER (PARTITION BY floor(o_orderkey / 4000.0) ORDER BY o_orderkey) - 1 AS line FROM orders) WHERE o_orderstatus <> 'P'""")
+def src_blank_skip(spark, sf):
+    """Orders in state P are sent as blank lines; they count as lines but not as records."""
+    rows = columns(spark, sf, "orders", {
+        "b": FILE_OF, "k": "o_orderkey", "value": "CASE WHEN o_orderstatus = 'P' THEN ' \t ' ELSE CAST(o_orderkey AS STRING) END"})
+    data, _ = number_lines(read_lines(spark, write_files(rows, work_path(spark, "blank"), ["b"])))
+    return data.select(F.col("_raw").cast("bigint").alias("id"), F.col("_seq").alias("seq"), F.col("_line").alias("line"))
+
+
+@register("src_charset", "SRC-08", "SELECT doc_id AS k, regexp_replace(text, '[^\\x{20}-\\x{ff}]', '', 'g') AS text FROM documents")
+def src_charset(spark, sf):
+    """Documents written in Latin-1 and decoded on the way in."""
+    path = work_path(spark, "latin1")
+    rows = table(spark, sf, "documents").select(F.concat_ws("|", "doc_id", F.regexp_replace("text", "[^\\x20-\\xff]", "")).alias("value"))
+    rows.write.option("encoding", "ISO-8859-1").option("sep", "\x01").option("quote", "").option("escape", "").option("quoteAll", "false").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").option("emptyValue", "").csv(path)
+    lines = read_lines(spark, path, encoding="ISO-8859-1")
+    cut = F.instr("_raw", "|")
+    return lines.select(F.substring("_raw", F.lit(1), cut - 1).cast("bigint").alias("k"), F.substr("_raw", cut + 1).alias("text"))
+
+
+@register("src_record_separator", "SRC-09", "SELECT doc_id AS k, replace(replace(text, '~', ''), chr(13), '') AS text FROM documents")
+def src_record_separator(spark, sf):
+    """Records end in '~', so documents keep their line breaks."""
+    path = work_path(spark, "sep")
+    rows = table(spark, sf, "documents").select(F.concat_ws("|", "doc_id", F.replace(F.replace("text", F.lit("~"), F.lit("")), F.lit("\r"), F.lit(""))).alias("value"))
+    rows.write.option("lineSep", "~").text(path)
+    lines = read_lines(spark, path, line_sep="~")
+    cut = F.instr("_raw", "|")
+    return lines.select(F.substring("_raw", F.lit(1), cut - 1).cast("bigint").alias("k"), F.substr("_raw", cut + 1).alias("text"))
+
+
+CUSTOMER_FIXED = FileSpec("customer-fw", "customer-fw", "FIXED_WIDTH", (
+    FieldSpec("id", "LONG", start_position=1, length=12),
+    FieldSpec("segment", start_position=13, length=12),
+    FieldSpec("balance", "AMOUNT", start_position=25, length=14, scale=2),
+    FieldSpec("name", start_position=39, length=30),
+), position_base=1)
+
+
+@register("src_fixed_width", "SRC-10", """SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS segment,
+ CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS balance, c_name AS name FROM customer""")
+def src_fixed_width(spark, sf):
+    rows = columns(spark, sf, "customer", {
+        "k": "c_custkey",
+        "line": "lpad(CAST(c_custkey AS STRING), 12, '0') || rpad(c_mktsegment, 12, ' ') || lpad(CAST(CAST(c_acctbal * 100 AS DECIMAL(18,0)) AS STRING), 14, ' ') || rpad(c_name, 30, ' ')"})
+    parsed = parse_fixed_width(_lines(rows, "k", F.col("line")), CUSTOMER_FIXED)
+    return parsed.select(F.col("_seq").alias("k"), *[F.col(f"f_{n}").alias(n) for n in ("id", "segment", "balance", "name")])
+
+
+SUPPLIER_XML = load_spec({
+    "id": "supplier-xml", "format": "XML", "metadata": {"recordXPath": "/suppliers/supplier"}, "fields": [
+        {"name": "id", "type": "LONG", "xmlAttribute": "key"},
+        {"name": "name", "path": "info/name"},
+        {"name": "balance", "path": "info/balance"},
+        {"name": "currency", "path": "info/balance/@ccy"},
+        {"name": "phone", "path": "info/phone", "required": False, "defaultValue": "none"}]})
+SUPPLIER_ELEMENT = (
+    "'<supplier key=\"' || CAST(s_suppkey AS STRING) || '\"><info><name>' || s_name || ' &amp; Co</name><balance ccy=\"EUR\">' || "
+    "CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS STRING) || '</balance>' || CASE WHEN s_acctbal < 0 THEN '' ELSE '<phone> 1' || CAST(s_nationkey AS STRING) || '</phone><phone>x</phone>' END || '</info></supplier>'"
+)
+SUPPLIER_SQL = """s_suppkey AS k, s_name || ' & Co' AS name, CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS balance, 'EUR' AS currency,
+ CASE WHEN s_acctbal < 0 THEN 'none' ELSE ' 1' || CAST(s_nationkey AS VARCHAR) END AS phone"""
+
+
+def _supplier_columns(records):
+    return records.select(F.col("f_id").cast("bigint").alias("k"), *[F.col(f"f_{n}").alias(n) for n in ("name", "balance", "currency", "phone")], "_seq")
+
+
+@register("src_xml", "SRC-11, SRC-13", f"SELECT {SUPPLIER_SQL}, row_number() OVER (PARTITION BY floor(s_suppkey / 40.0) ORDER BY s_suppkey) - 1 AS seq FROM supplier")
+def src_xml(spark, sf):
+    """Documents written as files, cut into record chunks and parsed once per record."""
+    rows = columns(spark, sf, "supplier", {"b": "CAST(floor(s_suppkey / 40.0) AS BIGINT)", "k": "s_suppkey", "value": SUPPLIER_ELEMENT})
+    path = write_files(_enclosed(rows, '<?xml version="1.0"?><suppliers>', "</suppliers>"), work_path(spark, "xml"), ["b"])
+    return _supplier_columns(read_records(spark, path, SUPPLIER_XML)).withColumnRenamed("_seq", "seq")
+
+
+def _enclosed(rows, first, last):
+    """Adds a first and a last line to every file."""
+    ends = F.array(
+        F.struct(F.lit(-1).cast("bigint").alias("k"), F.lit(first).alias("value")),
+        F.struct(F.lit(2**62).alias("k"), F.lit(last).alias("value")))
+    return rows.unionByName(rows.select("b").distinct().select("b", F.inline(ends)))
+
+
+def _supplier_records(spark, sf):
+    rows = columns(spark, sf, "supplier", {"k": "s_suppkey", "x": SUPPLIER_ELEMENT})
+    return rows.select(F.lit(None).cast("string").alias("_file"), F.col("k").alias("_seq"), F.col("x").alias("_xml"))
+
+
+@register("src_xml_xpath", "SRC-12", f"SELECT {SUPPLIER_SQL}, CAST(length(s_name || ' & Co') AS VARCHAR) AS name_length FROM supplier")
+def src_xml_xpath(spark, sf):
+    """Plain paths share one parse; the XPath function goes through the XPath engine."""
+    raw = {"id": "x", "format": "XML", "metadata": dict(SUPPLIER_XML.metadata), "fields": [
+        {"name": "id", "xmlAttribute": "key"}, {"name": "name", "path": "info/name"}, {"name": "balance", "path": "/suppliers/supplier/info/balance"},
+        {"name": "currency", "path": "info/balance/@ccy"}, {"name": "phone", "path": "info/phone", "required": False, "defaultValue": "none"},
+        {"name": "chars", "path": "info[string-length(name) > 0]/name"}]}
+    done = parse_xml_text(_supplier_records(spark, sf), load_spec(raw))
+    return _supplier_columns(done.withColumn("_seq", F.length("f_chars").cast("string"))).withColumnRenamed("_seq", "name_length")
+
+
+@register("src_xml_attr", "SRC-13", "SELECT s_suppkey AS k, CAST(s_suppkey AS VARCHAR) AS key FROM supplier")
+def src_xml_attr(spark, sf):
+    done = parse_xml_text(_supplier_records(spark, sf), SUPPLIER_XML)
+    return done.select(F.col("_seq").alias("k"), F.col("f_id").alias("key"))
+
+
+@register("xml_required", "PRJ-15", """SELECT s_suppkey AS k, 'Required XML field ''phone'' not found at path ''info/phone''' AS message FROM supplier WHERE s_acctbal < 0""")
+def xml_required(spark, sf):
+    spec = load_spec({"id": "x", "format": "XML", "metadata": dict(SUPPLIER_XML.metadata), "fields": [{"name": "phone", "path": "info/phone", "nullable": True}]})
+    done = parse_xml_text(_supplier_records(spark, sf), spec)
+    return done.select(F.col("_seq").alias("k"), F.explode("_errors").alias("e")).select("k", "e.message")
+
+
+PAIN = load_spec({
+    "id": "pain001", "format": "ISO20022", "metadata": {"recordXPath": "/Document/CstmrCdtTrfInitn/PmtInf/CdtTrfTxInf"}, "fields": [
+        {"name": "messageId", "path": "/Document/CstmrCdtTrfInitn/GrpHdr/MsgId"},
+        {"name": "numberOfTransactions", "type": "INTEGER", "path": "/Document/CstmrCdtTrfInitn/GrpHdr/NbOfTxs"},
+        {"name": "controlSum", "type": "AMOUNT", "path": "/Document/CstmrCdtTrfInitn/GrpHdr/CtrlSum"},
+        {"name": "endToEndId", "path": "/Document/CstmrCdtTrfInitn/PmtInf/CdtTrfTxInf/PmtId/EndToEndId"},
+        {"name": "instructedAmount", "type": "AMOUNT", "path": "/Document/CstmrCdtTrfInitn/PmtInf/CdtTrfTxInf/Amt/InstdAmt"},
+        {"name": "currencyCode", "path": "Amt/InstdAmt/@Ccy"}]})
+
+
+def write_pain(spark, sf):
+    """One document per span of order keys: group header, then one payment per order."""
+    rows = columns(spark, sf, "orders", {
+        "b": FILE_OF, "k": "o_orderkey", "cents": "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(28,2))",
+        "value": f"'<CdtTrfTxInf><PmtId><EndToEndId>E' || CAST(o_orderkey AS STRING) || '</EndToEndId></PmtId><Amt><InstdAmt Ccy=\"EUR\">' || {PRICE} || '</InstdAmt></Amt></CdtTrfTxInf>'"})
+    heads = rows.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("total")).select(
+        "b", F.lit(-1).cast("bigint").alias("k"),
+        F.format_string('<?xml version="1.0"?><Document><CstmrCdtTrfInitn><GrpHdr><MsgId>M-%s</MsgId><NbOfTxs>%d</NbOfTxs><CtrlSum>%s</CtrlSum></GrpHdr><PmtInf>',
+                        F.col("b").cast("string"), "n", F.col("total").cast("string")).alias("value"))
+    tails = heads.select("b", F.lit(2**62).alias("k"), F.lit("</PmtInf></CstmrCdtTrfInitn></Document>").alias("value"))
+    whole = rows.select("b", "k", "value").unionByName(heads).unionByName(tails)
+    return write_files(whole, work_path(spark, "pain"), ["b"])
+
+
+PAIN_SQL = f"""SELECT 'M-' || CAST({FILE_OF} AS VARCHAR) AS message_id, CAST(count(*) OVER (PARTITION BY {FILE_OF}) AS VARCHAR) AS n_transactions,
+ 'E' || CAST(o_orderkey AS VARCHAR) AS end_to_end_id, {PRICE} AS amount, 'EUR' AS currency,
+ row_number() OVER (PARTITION BY {FILE_OF} ORDER BY o_orderkey) - 1 AS seq FROM orders"""
+
+
+@register("src_xml_header_join", "SRC-14, JOI-12", PAIN_SQL)
+def src_xml_header_join(spark, sf):
+    records = read_records(spark, write_pain(spark, sf), PAIN)
+    return records.select(
+        F.col("f_messageId").alias("message_id"), F.col("f_numberOfTransactions").alias("n_transactions"),
+        F.col("f_endToEndId").alias("end_to_end_id"), F.col("f_instructedAmount").alias("amount"),
+        F.col("f_currencyCode").alias("currency"), F.col("_seq").alias("seq"))
+
+
+@register("src_iso20022", "SRC-16", f"SELECT 'M-' || CAST({FILE_OF} AS VARCHAR) AS message_id, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS VARCHAR) AS total FROM orders GROUP BY 1")
+def src_iso20022(spark, sf):
+    records = read_records(spark, write_pain(spark, sf), PAIN)
+    return records.groupBy(F.col("f_messageId").alias("message_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("f_instructedAmount").cast("decimal(18,2)")).cast("string").alias("total"))
+
+
+EVENT_JSON = load_spec({"id": "event-json", "format": "JSON", "fields": [
+    {"name": "id", "type": "LONG", "path": "$.id"}, {"name": "k", "type": "INTEGER", "path": "$.body.props.k"},
+    {"name": "kind", "path": "$.body.kind"}, {"name": "first", "path": "$.tags[0]"}]})
+
+
+@register("src_json", "SRC-17", """SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, event_type AS kind, 't' || CAST(user_id AS VARCHAR) AS first FROM events""")
+def src_json(spark, sf):
+    rows = columns(spark, sf, "events", {"id": "event_id", "line": """'{"id":' || CAST(event_id AS STRING) || ',"body":{"kind":"' || event_type || '","props":' || props || '},"tags":["t' || CAST(user_id AS STRING) || '","z"]}'"""})
+    parsed = parse_json_lines(_lines(rows, "id", F.col("line")), EVENT_JSON)
+    return parsed.select(F.col("_seq").alias("id"), F.col("f_k").alias("k"), F.col("f_kind").alias("kind"), F.col("f_first").alias("first"))
+
+
+def nacha_text(spark, sf):
+    """Orders as bank entries: one batch header per day, entries after it."""
+    rows = columns(spark, sf, "orders", {
+        "day": DAY, "k": "o_orderkey",
+        "line": "'6' || '022' || '021000021' || ' ' || rpad('AC' || CAST(o_custkey AS STRING), 17, ' ') || lpad(replace(" + PRICE + ", '.', ''), 10, '0') || rpad(CAST(o_orderkey AS STRING), 15, ' ') || rpad(o_orderpriority, 22, ' ') || rpad('', 9, ' ') || lpad(CAST(o_orderkey AS STRING), 7, '0')"})
+    heads = rows.select("day").distinct().select("day", F.lit(-1).cast("bigint").alias("k"), F.concat(F.lit("5200"), "day").alias("line"))
+    whole = rows.unionByName(heads)
+    return whole.select(F.lit("nacha.txt").alias("_file"), F.concat_ws("/", "day", F.lpad((F.col("k") + 1).cast("string"), 20, "0")).alias("_seq"), F.col("line").alias("_raw"))
+
+
+@register("src_nacha", "SRC-18", f"""SELECT o_orderkey AS k, 'AC' || CAST(o_custkey AS VARCHAR) AS account, {PRICE} AS amount,
+ dense_rank() OVER (ORDER BY {DAY}) AS batch_no, lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS trace FROM orders""")
+def src_nacha(spark, sf):
+    done = nacha_entries(nacha_text(spark, sf))
+    return done.select(F.col("f_individualId").cast("bigint").alias("k"), F.col("f_accountNumber").alias("account"), F.col("f_amount").alias("amount"),
+                       F.col("_batch").alias("batch_no"), F.col("f_traceNumber").alias("trace"))
+
+
+@register("envelope_id", "WIN-08", f"""SELECT batch_no, record_type, count(*) AS n FROM (
+ SELECT dense_rank() OVER (ORDER BY {DAY}) AS batch_no, 'ENTRY' AS record_type FROM orders
+ UNION ALL SELECT row_number() OVER (ORDER BY d), 'BATCH_HEADER' FROM (SELECT DISTINCT {DAY} AS d FROM orders)) GROUP BY ALL""")
+def envelope_id(spark, sf):
+    lines = nacha_lines(nacha_text(spark, sf))
+    return lines.groupBy(F.col("_batch").alias("batch_no"), "record_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+SWIFT = load_spec({"id": "mt", "format": "SWIFT_MT", "fields": [
+    {"name": "reference", "path": "20"}, {"name": "value", "path": "32A"}, {"name": "details", "path": "70"}, {"name": "charges", "path": "71A", "required": False, "nullable": True}]})
+MT_TEXT = (
+    f"'{{1:F01BANK}}{{4:' || chr(10) || ':20:REF' || CAST(o_orderkey AS STRING) || chr(10) || ':32A:' || replace(substr({DAY}, 3), '-', '') || 'EUR' || replace({PRICE}, '.', ',') "
+    "|| chr(10) || ':70:' || o_orderpriority || chr(10) || 'second line' || CASE WHEN o_orderstatus = 'F' THEN chr(10) || ':71A:SHA' ELSE '' END || chr(10) || '-}'"
+)
+
+
+@register("src_swift_mt", "SRC-19", f"""SELECT o_orderkey AS k, 'REF' || CAST(o_orderkey AS VARCHAR) AS reference,
+ replace(substr({DAY}, 3), '-', '') || 'EUR' || replace({PRICE}, '.', ',') AS value, o_orderpriority || chr(10) || 'second line' AS details,
+ CASE WHEN o_orderstatus = 'F' THEN 'SHA' END AS charges, CASE WHEN o_orderstatus = 'F' THEN 4 ELSE 3 END AS n_tags FROM orders""")
+def src_swift_mt(spark, sf):
+    rows = columns(spark, sf, "orders", {"k": "o_orderkey", "m": MT_TEXT})
+    messages = _lines(rows, "k", F.col("m"))
+    done = swift_records(messages, SWIFT)
+    return done.select(F.col("_seq").alias("k"), *[F.col(f"f_{n}").alias(n) for n in ("reference", "value", "details", "charges")],
+                       F.size(swift_tags(F.col("_raw"))).alias("n_tags"))
+
+
+def x12_text(spark, sf):
+    """Line items as X12 segments, one file per return flag: ISA, then ST and its items per order, SE, IEA."""
+    items = columns(spark, sf, "lineitem", {"f": "l_returnflag", "o": "l_orderkey", "q": "CAST(l_quantity AS BIGINT)", "p": "l_partkey"})
+    rows = items.groupBy("f", "o").agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("q"))
+    body = rows.select("f", "o", F.explode(F.array(
+        F.struct(F.lit(1).alias("part"), F.concat(F.lit("ST*820*"), "o").alias("line")),
+        F.struct(F.lit(2).alias("part"), F.concat_ws("*", F.lit("RMR"), F.col("n").cast("string"), F.col("q").cast("string")).alias("line")),
+        F.struct(F.lit(3).alias("part"), F.concat(F.lit("SE*2*"), "o").alias("line")))).alias("e")).select("f", "o", "e.part", "e.line")
+    heads = rows.select("f").distinct().select("f", F.lit(-1).cast("bigint").alias("o"), F.lit(0).alias("part"), F.lit("ISA*00*SENDER").alias("line"))
+    whole = body.unionByName(heads)
+    seq = F.lpad((F.col("o") + 1).cast("string"), 20, "0")
+    return whole.select(F.col("f").alias("_file"), F.concat(seq, "part").alias("_seq"), F.col("line").alias("_raw"))
+
+
+@register("src_edi_x12", "SRC-20", """SELECT f AS file, dense_rank() OVER (PARTITION BY f ORDER BY o) AS transaction_no, 1 AS interchange_no,
+ CAST(n AS VARCHAR) AS n_items, CAST(q AS VARCHAR) AS quantity FROM (
+ SELECT l_returnflag AS f, l_orderkey AS o, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY ALL)""")
+def src_edi_x12(spark, sf):
+    cut = x12_segments(x12_text(spark, sf)).filter("segment_id = 'RMR'")
+    return cut.select(F.col("_file").alias("file"), "transaction_no", "interchange_no",
+                      F.get("elements", F.lit(0)).alias("n_items"), F.get("elements", F.lit(1)).alias("quantity"))
+
+
+@register("src_parquet", "SRC-21", "SELECT c_mktsegment AS segment, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1")
+def src_parquet(spark, sf):
+    return table(spark, sf, "customer").filter("c_acctbal > 0").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("src_custom", "SRC-22, SRC-23, EXT-01", "SELECT conv_id, turn, role, CAST(length(text) AS VARCHAR) AS chars FROM conversations")
+def src_custom(spark, sf):
+    """A reader registered by the user for the open format."""
+    from specflow.operators.records import from_columns
+
+    def reader(session, paths, spec, glob):
+        frame = session.read.parquet(*paths).withColumn("chars", F.length("text"))
+        return from_columns(frame, spec, seq="conv_id")
+
+    register_reader("CUSTOM", reader)
+    spec = FileSpec("chat", "chat", "CUSTOM", (FieldSpec("turn", "LONG"), FieldSpec("role"), FieldSpec("chars", "INTEGER")))
+    done = read_records(spark, f"{sf}/conversations.parquet", spec)
+    return done.select(F.col("_seq").alias("conv_id"), F.col("f_turn").cast("bigint").alias("turn"), F.col("f_role").alias("role"), F.col("f_chars").alias("chars"))
+
+
+@register("src_multi_dir", "SRC-24", "SELECT o_orderstatus AS status, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1")
+def src_multi_dir(spark, sf):
+    path = _write_orders(spark, sf, "dirs")
+    records = read_records(spark, [f"{path}/s=F", f"{path}/s=O"], ORDER_CSV)
+    return records.groupBy(F.col("f_status").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("src_glob_filter", "SRC-25", """SELECT url_kind, count(*) AS n FROM (SELECT CASE WHEN url LIKE 'https%' THEN 'secure' ELSE 'plain' END AS url_kind, url FROM pages)
+ WHERE url LIKE 'https://m.%' OR url LIKE '%#top' OR url LIKE 'http://th%' GROUP BY 1""")
+def src_glob_filter(spark, sf):
+    """Names chosen by wildcard patterns; a bare name is a prefix."""
+    pages = table(spark, sf, "pages")
+    kept = pages.filter(matches(F.col("url"), ["https://m.*, *#top", " http://th"]))
+    kind = F.when(F.startswith("url", F.lit("https")), "secure").otherwise("plain")
+    return kept.groupBy(kind.alias("url_kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("src_glob_files", "SRC-25, SRC-24", "SELECT o_orderstatus AS status, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'P') GROUP BY 1")
+def src_glob_files(spark, sf):
+    """The same choice made by the file listing, before anything is read."""
+    path = work_path(spark, "glob")
+    rows = table(spark, sf, "orders").selectExpr("o_orderstatus AS s", "o_orderstatus || ',' || CAST(o_orderkey AS STRING) AS value")
+    for status, name in (("F", "daily_f"), ("O", "other_o"), ("P", "partial_p")):
+        rows.filter(F.col("s") == status).select("value").write.option("compression", "none").text(f"{path}/{name}")
+    spec = FileSpec("g", "g", "CSV", (FieldSpec("status", column_index=0),))
+    done = read_records(spark, f"{path}/[dp]a*", spec, filters=["part-*, none"])
+    return done.groupBy(F.col("f_status").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("norm_filters", "SRC-26", """SELECT doc_id AS k, trim(part, ' ') AS word FROM (SELECT doc_id, unnest(string_split(text, ',')) AS part FROM documents) WHERE trim(part, ' ') <> ''""")
+def norm_filters(spark, sf):
+    """Comma lists to trimmed entries, blanks dropped; run over whole documents."""
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("k"), F.explode(normalise_filter_column(F.col("text"))).alias("word"))
+
+
+@register("src_poll_unprocessed", "SRC-31", "SELECT o_orderkey AS id, o_custkey AS owner FROM orders WHERE o_orderstatus <> 'F'")
+def src_poll_unprocessed(spark, sf):
+    """A table polled for rows its processed-mark table lacks."""
+    orders = table(spark, sf, "orders")
+    marks = orders.filter("o_orderstatus = 'F'").select("o_orderkey")
+    return orders.join(marks, "o_orderkey", "left_anti").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner"))
+
+
+@register("file_meta", "PRJ-29", "SELECT o_orderstatus AS status, count(*) AS n, true AS named, true AS sized FROM orders GROUP BY 1")
+def file_meta(spark, sf):
+    path = _write_orders(spark, sf, "meta", header=False)
+    lines = spark.read.text(path).select("s", F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
+    return lines.groupBy(F.col("s").alias("status")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.endswith("path", F.col("name"))).alias("named"), F.min(F.col("size") > 0).alias("sized"))
+

@@ -26,7 +26,8 @@ def read_lines(
 ) -> DataFrame:
     """Columns: _file, _split, _raw, _id."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    options = {}
+    # folder names are not data here, even when they look like partitions
+    options = {"recursiveFileLookup": "true"}
     if line_sep and line_sep != "\n":
         options["lineSep"] = line_sep
     if glob:

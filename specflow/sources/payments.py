@@ -63,13 +63,17 @@ def swift_tags(message: Column) -> Column:
     )
 
 
+def _tagged(tag: str):
+    return lambda block: block["tag"] == tag
+
+
 def swift_records(messages: DataFrame, spec: FileSpec) -> DataFrame:
     """One record per message; a field's path is the tag it takes (first occurrence)."""
     tagged = messages.select("_file", "_seq", "_raw", swift_tags(F.col("_raw")).alias("_tags"))
     cells = tagged.select(
         "_file", "_seq", "_raw",
         *[
-            text.trim(F.get(F.filter("_tags", lambda t, p=f.path: t["tag"] == p), F.lit(0)).getField("value")).alias(f"_r{k}")
+            text.trim(F.get(F.filter("_tags", _tagged(f.path)), F.lit(0)).getField("value")).alias(f"_r{k}")
             for k, f in enumerate(spec.fields)
         ],
     )

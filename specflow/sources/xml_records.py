@@ -63,7 +63,7 @@ def _plain(path: str) -> list[str] | None:
     return names + [s for s in steps if s.startswith("@")]
 
 
-def _schema(paths: list[list[str]]) -> str:
+def _schema(paths: list[list[str]]) -> tuple[str, dict]:
     """Every element is an array, so repeats keep document order; leaves carry text and attributes."""
     tree: dict = {}
     for path in paths:
@@ -73,8 +73,7 @@ def _schema(paths: list[list[str]]) -> str:
 
     def ddl(node: dict) -> str:
         inner = []
-        children = {k: v for k, v in node.items()}
-        for name, child in children.items():
+        for name, child in node.items():
             if name.startswith("@"):
                 inner.append(f"`_{name[1:]}`:string")
             elif not child:
@@ -88,18 +87,22 @@ def _schema(paths: list[list[str]]) -> str:
     return ddl(tree), tree
 
 
+def _getter(name: str):
+    return lambda node: node.getField(name)
+
+
 def _pick(root: Column, path: list[str], tree: dict) -> Column:
     """First node in document order along the path, as text."""
     if path[0].startswith("@"):
         return root.getField(f"_{path[0][1:]}")
     nodes, node = root.getField(path[0]), tree[path[0]]
-    for depth, step in enumerate(path[1:], start=1):
+    for step in path[1:]:
         if step.startswith("@"):
-            return F.get(F.array_compact(F.transform(nodes, lambda n, s=step: n.getField(f"_{s[1:]}"))), F.lit(0))
-        nodes = F.flatten(F.array_compact(F.transform(nodes, lambda n, s=step: n.getField(s))))
+            return F.get(F.array_compact(F.transform(nodes, _getter(f"_{step[1:]}"))), F.lit(0))
+        nodes = F.flatten(F.array_compact(F.transform(nodes, _getter(step))))
         node = node[step]
     if node and all(k.startswith("@") for k in node):
-        nodes = F.transform(nodes, lambda n: n.getField("_VALUE"))
+        nodes = F.transform(nodes, _getter("_VALUE"))
     return F.get(nodes, F.lit(0))
 
 
@@ -122,6 +125,11 @@ def xml_values(fields: list[tuple[FieldSpec, str | None]], body: Column, parsed:
     return ddl, values
 
 
+def _options(tag: str) -> dict[str, str]:
+    """Text keeps its own spaces."""
+    return {"rowTag": tag, "ignoreSurroundingSpaces": "false"}
+
+
 def parse_xml_text(records: DataFrame, spec: FileSpec) -> DataFrame:
     """``records`` has _file, _seq and _xml, one record element per row, plus ``_head_<tag>`` columns."""
     require_valid(spec)
@@ -130,12 +138,12 @@ def parse_xml_text(records: DataFrame, spec: FileSpec) -> DataFrame:
     heads = sorted({header_tag(spec, f) for f in spec.fields if not f.xml_attribute} - {None})
     parsed_columns, found = [], {}
     ddl, values = xml_values(own, F.col("_xml"), F.col("_parsed"), tag)
-    parsed_columns.append(F.from_xml("_xml", ddl, {"rowTag": tag}).alias("_parsed"))
+    parsed_columns.append(F.from_xml("_xml", ddl, _options(tag)).alias("_parsed"))
     found.update({f.name: v for (f, _), v in zip(own, values)})
     for head in heads:
         fields = [(f, relative_path(spec, f)) for f in spec.fields if header_tag(spec, f) == head and not f.xml_attribute]
         ddl, values = xml_values(fields, quoted(f"_head_{head}"), quoted(f"_parsed_{head}"), head)
-        parsed_columns.append(F.from_xml(quoted(f"_head_{head}"), ddl, {"rowTag": head}).alias(f"_parsed_{head}"))
+        parsed_columns.append(F.from_xml(quoted(f"_head_{head}"), ddl, _options(head)).alias(f"_parsed_{head}"))
         found.update({f.name: v for (f, _), v in zip(fields, values)})
     parsed = records.select("*", *parsed_columns)
     cells = parsed.select(
