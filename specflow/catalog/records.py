@@ -402,7 +402,7 @@ def run_status(spark, sf):
 @register("run_success_rate", "AGG-03", TXN_SQL + """SELECT total_records, successful_records,
  round(successful_records / total_records, 9) AS success_rate, duration_ms FROM (
  SELECT count(*) AS total_records, count(*) FILTER (WHERE NOT invalid) AS successful_records,
- (SELECT epoch_ms(max(o_orderdate)) - epoch_ms(min(o_orderdate)) FROM orders) AS duration_ms FROM run)""")
+ (SELECT (epoch_us(max(o_orderdate)) // 1000) - (epoch_us(min(o_orderdate)) // 1000) FROM orders) AS duration_ms FROM run)""")
 def run_success_rate(spark, sf):
     summary = route.with_success_rate(route.summarise(_run(spark, sf)))
     span = table(spark, sf, "orders").agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))

@@ -1 +1,277 @@
-"""Queries."""
+"""Mapping, envelope, generator and writer queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from specflow.catalog.base import DAY, PRICE, TXN_SPEC, TXN_SQL, columns, register, txn_lines
+from specflow.functions import templates
+from specflow.operators.mapping import map_fields
+from specflow.operators.records import from_columns, value_of
+from specflow.plans.inbound import processed
+from specflow.session import table, work_path
+from specflow.sinks import generators, writers
+from specflow.sinks.envelope import envelopes
+from specflow.sources.delimited import parse_delimited
+from specflow.sources.lines import number_lines, read_lines
+from specflow.sources.listing import file_facts
+from specflow.operators.route import passing
+from specflow.spec import FieldMapping, FieldSpec, FileSpec
+
+EVENT_SPEC = FileSpec("pay", "pay", "CUSTOM", tuple(FieldSpec(n, required=False, nullable=True) for n in ("account", "amount", "kind", "day", "note")))
+EVENT_FIELDS = {
+    "k": "o_orderkey", "account": "'ac' || CAST(o_custkey AS STRING)", "amount": f"CASE WHEN o_orderstatus = 'P' THEN '12' ELSE {PRICE} END",
+    "kind": "CASE WHEN o_orderstatus = 'F' THEN '27' END", "day": DAY, "note": "' ' || lower(o_orderpriority) || ' '",
+}
+
+
+def pay_events(spark, sf):
+    return from_columns(columns(spark, sf, "orders", EVENT_FIELDS), EVENT_SPEC, seq="k")
+
+
+def _mapped(name, ids, mapping, sql, order=()):
+    @register(name, ids, f"SELECT o_orderkey AS k, {sql} FROM orders")
+    def run(spark, sf):
+        done = map_fields(pay_events(spark, sf), tuple(mapping), order)
+        names = [c for c in done.columns if c.startswith("f_")]
+        return done.select(F.col("_seq").alias("k"), *[F.col(n).alias(n[2:]) for n in names])
+
+
+_mapped("map_fields", "PRJ-17", [FieldMapping("account", "accountNo"), FieldMapping("day", "entryDate")],
+        f"'ac' || CAST(o_custkey AS VARCHAR) AS \"accountNo\", {DAY} AS \"entryDate\"")
+_mapped("map_default", "PRJ-18", [FieldMapping("kind", "code", default_value="22"), FieldMapping("absent", "fixed", default_value="X")],
+        "CASE WHEN o_orderstatus = 'F' THEN '27' ELSE '22' END AS code, 'X' AS fixed")
+_mapped("map_transforms", "PRJ-19", [
+    FieldMapping("note", "upper", "UPPERCASE"), FieldMapping("note", "trimmed", "TRIM"), FieldMapping("account", "padded", "PAD_LEFT:12"),
+    FieldMapping("day", "short", "FORMAT_DATE"), FieldMapping("amount", "money", "FORMAT_DECIMAL_2DP")],
+    f"""' ' || upper(o_orderpriority) || ' ' AS upper, lower(o_orderpriority) AS trimmed, lpad('ac' || CAST(o_custkey AS VARCHAR), 12, '0') AS padded,
+    replace(substr({DAY}, 3), '-', '') AS short, CASE WHEN o_orderstatus = 'P' THEN '12.00' ELSE {PRICE} END AS money""")
+_mapped("map_expr", "PRJ-20, EXT-06", [FieldMapping("day", "year", transformation="substring(value, 1, 4)"), FieldMapping("account", "tail", transformation="right(value, 2)")],
+        f"substr({DAY}, 1, 4) AS year, right('ac' || CAST(o_custkey AS VARCHAR), 2) AS tail")
+
+
+@register("map_order", "PRJ-21", f"SELECT o_orderkey AS k, 'day,account,amount' AS field_order, {DAY} || ',ac' || CAST(o_custkey AS VARCHAR) AS line FROM orders")
+def map_order(spark, sf):
+    mappings = (FieldMapping("amount", "amount"), FieldMapping("account", "account"), FieldMapping("day", "day"))
+    done = map_fields(pay_events(spark, sf), mappings, ("day", "account"))
+    names = [c[2:] for c in done.columns if c.startswith("f_")]
+    return done.select(F.col("_seq").alias("k"), F.lit(",".join(names)).alias("field_order"), F.concat_ws(",", "f_day", "f_account").alias("line"))
+
+
+RUN = "11111111-2222-3333-4444-555555555555"
+
+
+def _passed(spark, sf):
+    return passing(processed(parse_delimited(txn_lines(spark, sf), TXN_SPEC), TXN_SPEC))
+
+
+@register("event_envelope", "PRJ-24, PRJ-25", TXN_SQL + f"""SELECT k, '{RUN}' AS run, 'bank-transactions' AS spec, 'orders.txt' AS file, corrected,
+ CASE WHEN bad_amount THEN '"' || amount_ok || '"' ELSE CAST(CAST(amount AS DECIMAL(18,2)) AS VARCHAR) END AS amount, upper(kind) AS kind FROM run WHERE NOT fatal""")
+def event_envelope(spark, sf):
+    """The JSON event read back: numbers stay numbers unless a correction made them text."""
+    made = envelopes(_passed(spark, sf), TXN_SPEC, RUN, stamp=F.lit(0))
+    v = F.parse_json("value")
+    amount = F.variant_get(v, "$.fields.amount", "variant")
+    shown = F.when(F.schema_of_variant(amount) == "STRING", F.to_json(amount)).otherwise(F.variant_get(v, "$.fields.amount", "decimal(18,2)").cast("string"))
+    return made.select(
+        F.variant_get(v, "$.sequenceNumber", "bigint").alias("k"), F.variant_get(v, "$.correlationId", "string").alias("run"),
+        F.variant_get(v, "$.specId", "string").alias("spec"), F.variant_get(v, "$.fileName", "string").alias("file"),
+        F.variant_get(v, "$.corrected", "boolean").alias("corrected"), shown.alias("amount"), F.variant_get(v, "$.fields.transactionType", "string").alias("kind"))
+
+
+@register("sink_kafka_frame", "SNK-01", TXN_SQL + f"""SELECT '{RUN}' AS key, '{{"correlationId":"{RUN}","specId":"bank-transactions","sequenceNumber":' || k || ',"fileName":"orders.txt","fields":{{"transactionId":"' || txn_id || '","accountNumber":"' || account
+ || '","routingNumber":"' || routing || '","amount":"' || amount_ok || '","transactionDate":"' || day_ok || '","transactionType":"' || upper(kind) || '","description":"' || descr || '","status":"POSTED"}},"corrected":'
+ || CASE WHEN corrected THEN 'true' ELSE 'false' END || ',"metadata":{{}},"eventTimestamp":0}}' AS value FROM run WHERE NOT fatal""")
+def sink_kafka_frame(spark, sf):
+    """Key and value as they go to the topic, fields as text."""
+    return envelopes(_passed(spark, sf), TXN_SPEC, RUN, text_only=True, stamp=F.lit(0))
+
+
+@register("storage_key", "PRJ-27", f"SELECT o_orderkey AS k, CAST(o_custkey AS VARCHAR) || '/' || {DAY} || '/F' || CAST(o_orderkey AS VARCHAR) || '.csv' AS storage_key FROM orders")
+def storage_key(spark, sf):
+    rows = table(spark, sf, "orders")
+    name = F.concat(F.lit("F"), F.col("o_orderkey").cast("string"), F.lit(".csv"))
+    return rows.select(F.col("o_orderkey").alias("k"), templates.storage_key(F.col("o_custkey"), F.col("o_orderdate"), name).alias("storage_key"))
+
+
+@register("path_template", "PRJ-28", "SELECT o_orderkey AS k, 'archives/' || o_custkey || '/' || strftime(o_orderdate, '%Y/%m') || '/W' || o_orderkey || '.gz' AS path, 'output_pay_' || strftime(o_orderdate, '%Y%m%d%H%M%S') || '.csv' AS file FROM orders")
+def path_template(spark, sf):
+    rows = table(spark, sf, "orders")
+    parts = templates.date_parts(F.col("o_orderdate"))
+    path = templates.render("archives/{profileId}/{year}/{month}/{windowId}.gz", {**parts, "profileId": F.col("o_custkey"), "windowId": F.concat(F.lit("W"), "o_orderkey")})
+    file = templates.render("output_{specId}_{timestamp}.{ext}", {**parts, "specId": "pay", "ext": "csv"})
+    return rows.select(F.col("o_orderkey").alias("k"), path.alias("path"), file.alias("file"))
+
+
+# --- generators -----------------------------------------------------------------------
+
+def _doc_records(spark, sf):
+    spec = FileSpec("doc", "doc", "CUSTOM", (FieldSpec("source"), FieldSpec("text"), FieldSpec("lang")))
+    return from_columns(table(spark, sf, "documents"), spec, seq="doc_id")
+
+
+@register("gen_csv", "SNK-04, EXT-05", """SELECT doc_id AS k, source || ',' || CASE WHEN contains(text, ',') THEN '"' || replace(text, '"', '') || '"' ELSE replace(text, '"', '') END || ',' || lang AS line FROM documents""")
+def gen_csv(spark, sf):
+    return _doc_records(spark, sf).select(F.col("_seq").alias("k"), generators.line_of("CSV", ["source", "text", "lang"]).alias("line"))
+
+
+@register("gen_fixed_width", "SNK-05", f"SELECT o_orderkey AS k, rpad('ac' || CAST(o_custkey AS VARCHAR), 12, ' ') || lpad(CASE WHEN o_orderstatus = 'P' THEN '12' ELSE {PRICE} END, 14, '0') || {DAY} AS line FROM orders")
+def gen_fixed_width(spark, sf):
+    line = generators.line_of("FIXED_WIDTH", ["account", "amount", "day"], widths={"account": 12, "amount": 14, "day": 10}, numeric={"amount"})
+    return pay_events(spark, sf).select(F.col("_seq").alias("k"), line.alias("line"))
+
+
+@register("gen_json", "SNK-08", f"""SELECT o_orderkey AS k, '{{"account":"ac' || o_custkey || '","kind":' || CASE WHEN o_orderstatus = 'F' THEN '"27"' ELSE 'null' END || ',"day":"' || {DAY} || '"}}' AS line FROM orders""")
+def gen_json(spark, sf):
+    return pay_events(spark, sf).select(F.col("_seq").alias("k"), generators.line_of("JSON", ["account", "kind", "day"]).alias("line"))
+
+
+@register("gen_xml", "SNK-08", """SELECT doc_id AS k, '<doc><source>' || source || '</source><text>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</text></doc>' AS line FROM documents""")
+def gen_xml(spark, sf):
+    return _doc_records(spark, sf).select(F.col("_seq").alias("k"), generators.line_of("XML", ["source", "text"], tag="doc").alias("line"))
+
+
+@register("gen_swift", "SNK-07", f"SELECT o_orderkey AS k, '{{4:' || chr(10) || ':20:ac' || o_custkey || chr(10) || ':30:' || {DAY} || chr(10) || '-}}' AS line FROM orders")
+def gen_swift(spark, sf):
+    line = generators.line_of("SWIFT_MT", ["account", "day"], tags={"account": "20", "day": "30"})
+    return pay_events(spark, sf).select(F.col("_seq").alias("k"), line.alias("line"))
+
+
+BATCHES = f"""WITH e AS (SELECT o_orderkey AS k, o_custkey AS c, {DAY} AS day, CASE WHEN o_orderstatus = 'F' THEN '27' ELSE '22' END AS code, lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS routing,
+ CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders),
+ t AS (SELECT day, count(*) AS n, coalesce(sum(cents) FILTER (WHERE code = '27'), 0)::BIGINT AS debit, coalesce(sum(cents) FILTER (WHERE code = '22'), 0)::BIGINT AS credit,
+ (sum(CAST(substr(routing, 1, 8) AS BIGINT)) % 10000000000)::BIGINT AS hash FROM e GROUP BY day) """
+
+
+def entries(spark, sf):
+    return columns(spark, sf, "orders", {
+        "k": "o_orderkey", "day": DAY, "code": "CASE WHEN o_orderstatus = 'F' THEN '27' ELSE '22' END", "routing": "lpad(CAST(o_custkey AS STRING), 9, '0')",
+        "cents": "CAST(round(o_totalprice * 100) AS BIGINT)"})
+
+
+def _totals(spark, sf):
+    return generators.totals(entries(spark, sf), ["day"], F.col("cents"), F.col("code"), F.col("routing"))
+
+
+@register("nacha_control", "AGG-12", BATCHES + """SELECT day, n AS "entryCount", debit AS "totalDebit", credit AS "totalCredit", hash AS "entryHash", 1::BIGINT AS "batchCount", ceil((n + 2) / 10)::BIGINT AS "blockCount" FROM t""")
+def nacha_control(spark, sf):
+    return _totals(spark, sf)
+
+
+FOOTER = "9{batchCount:6}{blockCount:6}{entryCount:8}{totalDebit:12}{totalCredit:12}"
+FOOTER_SQL = "'9' || lpad('1', 6, '0') || lpad(CAST(ceil((n + 2) / 10)::BIGINT AS VARCHAR), 6, '0') || lpad(CAST(n AS VARCHAR), 8, '0') || lpad(CAST(debit AS VARCHAR), 12, '0') || lpad(CAST(credit AS VARCHAR), 12, '0')"
+
+
+@register("gen_footer", "SNK-09", BATCHES + f"SELECT day, {FOOTER_SQL} AS line FROM t")
+def gen_footer(spark, sf):
+    totals = _totals(spark, sf)
+    values = {c: F.col(c) for c in totals.columns}
+    return totals.select("day", templates.render(FOOTER, values, generators.NUMERIC_TOTALS).alias("line"))
+
+
+@register("gen_nacha", "SNK-06", BATCHES + f"""SELECT day, 0::BIGINT AS line_no, '101 ' || day || ' A094101ACME' AS line FROM t UNION ALL SELECT day, n + 1, {FOOTER_SQL} FROM t
+ UNION ALL SELECT day, row_number() OVER (PARTITION BY day ORDER BY k), '6' || code || routing || lpad(CAST(cents AS VARCHAR), 10, '0') FROM e""")
+def gen_nacha(spark, sf):
+    """A file per day: header, entries, control record."""
+    rows = entries(spark, sf)
+    placed = generators.split_files(rows, ("day",), ("k",), 2**40)
+    cells = {"kind": 1, "code": 2, "routing": 9, "cents": 10}
+    line = generators.line_of("NACHA", list(cells), widths=cells, numeric={"cents", "routing"}, value=lambda n: F.lit("6") if n == "kind" else F.col(n).cast("string"))
+    details = placed.select("day", "line_no", line.alias("line"))
+    return generators.framed(details, _totals(spark, sf), ["day"], "101 {day} A094101{companyName}", FOOTER, {"companyName": "ACME"})
+
+
+@register("gen_empty", "SNK-10", """WITH c AS (SELECT DISTINCT c_nationkey AS nation FROM customer), t AS (SELECT s_nationkey AS nation, count(*) AS n FROM supplier WHERE s_acctbal > 8000 GROUP BY 1)
+ SELECT policy, c.nation, coalesce(n, 0) AS "entryCount", coalesce(n, 0) > 0 OR policy = 'GENERATE_EMPTY' AS has_header, coalesce(n, 0) > 0 OR policy = 'GENERATE_TRAILER' AS has_footer
+ FROM c LEFT JOIN t USING (nation), (VALUES ('SKIP'), ('GENERATE_EMPTY'), ('GENERATE_TRAILER')) p(policy) WHERE coalesce(n, 0) > 0 OR policy <> 'SKIP'""")
+def gen_empty(spark, sf):
+    calendar = table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation")).distinct()
+    summary = table(spark, sf, "supplier").filter("s_acctbal > 8000").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("entryCount"))
+    made = None
+    for policy in ("SKIP", "GENERATE_EMPTY", "GENERATE_TRAILER"):
+        one = generators.with_empty_policy(summary, calendar, ["nation"], policy).withColumn("policy", F.lit(policy))
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
+@register("aggregation_key", "AGG-13", f"SELECT {DAY} AS file_key, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY 1")
+def aggregation_key(spark, sf):
+    return entries(spark, sf).groupBy(F.col("day").alias("file_key")).agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first"))
+
+
+# --- writers ----------------------------------------------------------------------------
+
+@register("sink_roundtrip", "SNK-02, SNK-04", "SELECT o_orderkey AS k, 'ac' || CAST(o_custkey AS VARCHAR) AS account, upper(o_orderpriority) || ', x' AS note FROM orders")
+def sink_roundtrip(spark, sf):
+    """Generated, written as files of bounded size, and parsed back."""
+    records = pay_events(spark, sf).withColumn("f_note", F.concat(F.upper(F.btrim("f_note")), F.lit(", x")))
+    placed = generators.split_files(records.withColumn("f_k", F.col("_seq").cast("string")), (), ("_seq",), 4000)
+    lines = placed.select(F.col("file_no").alias("file_name"), "line_no", generators.line_of("CSV", ["k", "account", "note"]).alias("line"))
+    path = work_path(spark, "roundtrip")
+    writers.write_line_files(lines, path)
+    spec = FileSpec("rt", "rt", "CSV", tuple(FieldSpec(n, column_index=i) for i, n in enumerate(("k", "account", "note"))))
+    back = parse_delimited(number_lines(read_lines(spark, path))[0], spec)
+    return back.select(F.col("f_k").cast("bigint").alias("k"), F.col("f_account").alias("account"), F.col("f_note").alias("note"))
+
+
+@register("sink_archive", "SNK-11", "SELECT fmt, CAST(ts AS DATE)::VARCHAR AS day, count(*) AS n FROM events, (VALUES ('JSONL'), ('PARQUET'), ('CSV')) f(fmt) GROUP BY ALL")
+def sink_archive(spark, sf):
+    """Events archived in three formats under a partitioned path, then counted from the archives."""
+    ev = table(spark, sf, "events").withColumn("day", F.to_date("ts").cast("string"))
+    found = None
+    for fmt, codec, kind in (("JSONL", "GZIP", "json"), ("PARQUET", "ZSTD", "parquet"), ("CSV", "NONE", "csv")):
+        path = work_path(spark, f"archive-{kind}")
+        writers.archive(ev.repartitionByRange("day", "event_id"), path, fmt, codec, ["day"])
+        back = spark.read.format(kind).schema("event_id string, day string" if kind != "parquet" else "event_id bigint, day string").load(path)
+        one = back.groupBy("day").agg(F.count("event_id").alias("n")).select(F.lit(fmt).alias("fmt"), "day", "n")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@register("retention_expired", "SNK-12", "SELECT o_orderkey AS k FROM orders WHERE date_diff('day', CAST(o_orderdate AS DATE), (SELECT CAST(max(o_orderdate) AS DATE) FROM orders)) > 90")
+def retention_expired(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("day"))
+    today = rows.agg(F.max("day").alias("today"))
+    return writers.expired(rows.join(F.broadcast(today)), "day", F.col("today"), 90).select("k")
+
+
+@register("ledger_build", "SNK-13", "SELECT lang || '-' || doc_id AS name, md5(text) AS md5, strlen(text) AS size FROM documents WHERE lang <> 'en'")
+def ledger_build(spark, sf):
+    """Files as byte contents with digest and size, keyed by name."""
+    docs = table(spark, sf, "documents").filter("lang <> 'en'")
+    return docs.select(F.concat_ws("-", "lang", "doc_id").alias("name"), F.md5(F.encode("text", "UTF-8")).alias("md5"), F.octet_length("text").alias("size"))
+
+
+@register("ledger_files", "SNK-13, PRJ-29", "SELECT count(*) AS n_rows, true AS digests, true AS sizes FROM orders")
+def ledger_files(spark, sf):
+    """Ledger rows built from stored files; their lines add up to the table."""
+    path = work_path(spark, "ledger")
+    rows = columns(spark, sf, "orders", {"b": "CAST(floor(o_orderkey / 4000.0) AS BIGINT)", "value": "lpad(CAST(o_orderkey AS STRING), 20, '0')"})
+    rows.repartition("b").write.partitionBy("b").text(path)
+    facts = file_facts(spark, f"{path}/*")
+    return facts.agg(
+        F.sum(F.col("file_size_bytes") / 21).cast("bigint").alias("n_rows"), F.min(F.length("md5_checksum") == 32).alias("digests"),
+        F.min(F.col("file_size_bytes") > 0).alias("sizes"))
+
+
+@register("route_predicate", "RTE-05", f"SELECT 'big' AS route, o_orderkey AS k FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT 'urgent', o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'")
+def route_predicate(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), "o_totalprice", "o_orderpriority")
+    routes = {"big": "o_totalprice > 400000", "urgent": "o_orderpriority = '1-URGENT'"}
+    hit = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(n)) for n, c in routes.items()]))
+    return rows.select(F.explode(hit).alias("route"), "k")
+
+
+@register("route_fanout", "RTE-06, SNK-15", """SELECT route, outcome, count(*) AS n FROM (SELECT 'all' AS route, 'SUCCESS' AS outcome, event_type FROM events UNION ALL SELECT 'errors', 'SUCCESS', event_type FROM events WHERE event_type = 'error') GROUP BY ALL""")
+def route_fanout(spark, sf):
+    """One frame written to two places from one evaluation, then read back."""
+    ev = table(spark, sf, "events").select("event_id", "event_type")
+    paths = {"all": work_path(spark, "fan-all"), "errors": work_path(spark, "fan-errors")}
+    conditions = {"all": None, "errors": "event_type = 'error'"}
+    routes = {n: (conditions[n], lambda df, p=p: df.write.parquet(p)) for n, p in paths.items()}
+    outcome = writers.fan_out(ev, routes)
+    found = [spark.read.parquet(paths[n]).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("route"), F.lit(outcome[n]).alias("outcome"), "n") for n in paths]
+    return found[0].unionByName(found[1])
+
+
+__all__ = ["value_of"]

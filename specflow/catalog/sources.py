@@ -355,7 +355,7 @@ def x12_text(spark, sf):
     return whole.select(F.col("f").alias("_file"), F.concat(seq, "part").alias("_seq"), F.col("line").alias("_raw"))
 
 
-@register("src_edi_x12", "SRC-20", """SELECT f AS file, dense_rank() OVER (PARTITION BY f ORDER BY o) AS transaction_no, 1 AS interchange_no,
+@register("src_edi_x12", "SRC-20", """SELECT f AS file, dense_rank() OVER (PARTITION BY f ORDER BY o) AS transaction_no, CAST(1 AS BIGINT) AS interchange_no,
  CAST(n AS VARCHAR) AS n_items, CAST(q AS VARCHAR) AS quantity FROM (
  SELECT l_returnflag AS f, l_orderkey AS o, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY ALL)""")
 def src_edi_x12(spark, sf):
