@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from specflow.catalog.base import DAY, PRICE, TXN_SPEC, TXN_SQL, columns, register, txn_lines
 from specflow.functions import templates
 from specflow.operators.mapping import map_fields
-from specflow.operators.records import from_columns, value_of
+from specflow.operators.records import from_columns
 from specflow.plans.inbound import processed
 from specflow.session import table, work_path
 from specflow.sinks import generators, writers
@@ -239,7 +239,7 @@ def retention_expired(spark, sf):
 def ledger_build(spark, sf):
     """Files as byte contents with digest and size, keyed by name."""
     docs = table(spark, sf, "documents").filter("lang <> 'en'")
-    return docs.select(F.concat_ws("-", "lang", "doc_id").alias("name"), F.md5(F.encode("text", "UTF-8")).alias("md5"), F.octet_length("text").alias("size"))
+    return docs.select(F.concat_ws("-", "lang", "doc_id").alias("name"), F.md5(F.encode("text", "UTF-8")).alias("md5"), F.octet_length("text").cast("bigint").alias("size"))
 
 
 @register("ledger_files", "SNK-13, PRJ-29", "SELECT count(*) AS n_rows, true AS digests, true AS sizes FROM orders")
@@ -273,5 +273,3 @@ def route_fanout(spark, sf):
     found = [spark.read.parquet(paths[n]).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("route"), F.lit(outcome[n]).alias("outcome"), "n") for n in paths]
     return found[0].unionByName(found[1])
 
-
-__all__ = ["value_of"]

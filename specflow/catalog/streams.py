@@ -1 +1,122 @@
-"""Queries."""
+"""Streaming queries, run over everything available and read back as tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from specflow.catalog.base import TXN, TXN_FIELDS, TXN_SPEC, TXN_SQL, columns, register, sql_stamp, stamp
+from specflow.catalog.flows import FILE_OF
+from specflow.catalog.sources import write_files
+from specflow.session import table, work_path
+from specflow.streaming import intake, keyed, runs, sources, windows
+
+
+def event_stream(spark, sf, files=None):
+    path = f"{sf}/events.parquet"
+    return sources.table_stream(spark, path, spark.read.parquet(path).schema, files)
+
+
+def split_stream(spark, sf, parts=4):
+    """The events table as several files, read one per batch."""
+    path = work_path(spark, "events")
+    events = table(spark, sf, "events")
+    events.repartitionByRange(parts, "event_id").write.parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "1").parquet(path)
+
+
+@register("stream_tumbling", "STR-01", f"""SELECT {sql_stamp("time_bucket(INTERVAL 1 HOUR, ts)")} AS window_start, event_type, count(*) AS event_count FROM events GROUP BY time_bucket(INTERVAL 1 HOUR, ts), event_type""")
+def stream_tumbling(spark, sf):
+    """Complete mode: the last batch holds all windows."""
+    counted = windows.windowed_counts(windows.event_time(event_stream(spark, sf), "ts", "1 hour"), "ts", "1 hour", keys=("event_type",))
+    done = runs.run_to_folder(counted, "stream-tumbling", "complete")
+    return done.select(stamp(F.col("window_start")).alias("window_start"), "event_type", "event_count")
+
+
+@register("stream_sliding", "STR-02", f"""WITH w AS (SELECT time_bucket(INTERVAL 2 HOUR, ts) - i * INTERVAL 2 HOUR AS s FROM events, range(3) t(i)) SELECT {sql_stamp("s")} AS window_start, count(*) AS event_count FROM w GROUP BY s""")
+def stream_sliding(spark, sf):
+    counted = windows.windowed_counts(windows.event_time(event_stream(spark, sf), "ts", "1 hour"), "ts", "6 hours", "2 hours")
+    done = runs.run_to_folder(counted, "stream-sliding", "complete")
+    return done.select(stamp(F.col("window_start")).alias("window_start"), "event_count")
+
+
+@register("stream_session", "STR-03", """WITH g AS (SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 2 HOUR THEN 1 ELSE 0 END AS opens
+ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM g)
+ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start, count(*) AS event_count FROM n GROUP BY user_id, no""")
+def stream_session(spark, sf):
+    counted = windows.session_counts(windows.event_time(event_stream(spark, sf), "ts", "1 hour"), "ts", "user_id", "2 hours")
+    done = runs.run_to_folder(counted, "stream-session", "complete")
+    return done.select("user_id", stamp(F.col("session_start")).alias("session_start"), "event_count")
+
+
+@register("stream_late", "STR-07", f"""SELECT {sql_stamp("time_bucket(INTERVAL 1 DAY, ts)")} AS window_start, count(*) AS event_count FROM events GROUP BY time_bucket(INTERVAL 1 DAY, ts)""")
+def stream_late(spark, sf):
+    """Update mode over four batches; the tolerance spans the data, so nothing is late and the newest count per window is whole."""
+    counted = windows.windowed_counts(windows.event_time(split_stream(spark, sf), "ts", "60 days"), "ts", "1 day")
+    done = runs.run_to_folder(counted, "stream-late", "update")
+    newest = done.groupBy("window_start").agg(F.max("event_count").alias("event_count"))
+    return newest.withColumn("window_start", stamp(F.col("window_start")))
+
+
+@register("stream_dedup", "STR-09", "SELECT DISTINCT user_id, event_type, CAST(ts AS DATE)::VARCHAR AS day FROM events")
+def stream_dedup(spark, sf):
+    stream = windows.event_time(split_stream(spark, sf), "ts", "60 days").withColumn("day", F.to_date("ts").cast("string"))
+    done = runs.run_to_folder(windows.deduplicated(stream, ["user_id", "event_type", "day"]), "stream-dedup")
+    return done.select("user_id", "event_type", "day")
+
+
+@register("stream_count_windows", "STR-05", """SELECT user_id, window_no, count(*) AS event_count FROM (SELECT user_id, floor((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) / 10)::BIGINT AS window_no FROM events) GROUP BY ALL""")
+def stream_count_windows(spark, sf):
+    """Windows of ten arrivals per user, carried over four batches."""
+    out, state = work_path(spark, "count-windows"), work_path(spark, "count-state")
+    each = keyed.count_windows(("user_id",), ("ts", "event_id"), 10, state, out)
+    runs.run_each(split_stream(spark, sf), each, work_path(spark, "count-checkpoint"))
+    done = spark.read.option("basePath", out).parquet(f"{out}/batch_no=*")
+    return done.groupBy("user_id", "window_no").agg(F.count(F.lit(1)).alias("event_count"))
+
+
+@register("stream_marker_windows", "STR-06", """SELECT user_id, count(*) AS n_events, count(*) FILTER (WHERE event_type = 'purchase') AS closed_windows FROM events GROUP BY 1""")
+def stream_marker_windows(spark, sf):
+    """Each purchase closes a window: a user has as many closed windows as purchases."""
+    out, state = work_path(spark, "marker-windows"), work_path(spark, "marker-state")
+    each = keyed.marker_windows(("user_id",), ("ts", "event_id"), F.col("event_type") == "purchase", state, out)
+    runs.run_each(split_stream(spark, sf), each, work_path(spark, "marker-checkpoint"))
+    done = spark.read.option("basePath", out).parquet(f"{out}/batch_no=*")
+    closes = F.when(F.col("event_type") == "purchase", F.col("window_no"))
+    return done.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct(closes).alias("closed_windows"))
+
+
+def _order_files(spark, sf, label):
+    rows = columns(spark, sf, "orders", {"b": FILE_OF, **TXN}).select("b", "k", F.concat_ws("|", *TXN_FIELDS).alias("value"))
+    return write_files(rows, work_path(spark, label), ["b"])
+
+
+@register("stream_file_poll", "SRC-28", f"SELECT {FILE_OF} AS b, count(*) AS n FROM orders GROUP BY 1")
+def stream_file_poll(spark, sf):
+    """A folder polled twenty files at a time until nothing new is left."""
+    lines = sources.poll_lines(spark, _order_files(spark, sf, "poll"))
+    done = runs.run_to_folder(lines, "stream-poll")
+    return done.groupBy(F.regexp_extract("_file", "/b=([0-9]+)/", 1).cast("bigint").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("stream_file_to_events", "STR-19", TXN_SQL + "SELECT k, corrected FROM run WHERE NOT fatal")
+def stream_file_to_events(spark, sf):
+    out = work_path(spark, "stream-events")
+    lines = sources.poll_lines(spark, _order_files(spark, sf, "inbox"), files_per_poll=2000)
+    runs.run_each(lines, intake.event_writer(TXN_SPEC, out, "run-1"), work_path(spark, "events-checkpoint"))
+    v = F.parse_json("value")
+    made = spark.read.option("basePath", f"{out}/events").parquet(f"{out}/events/batch_no=*")
+    return made.select(
+        F.substring(F.variant_get(v, "$.fields.transactionId", "string"), 2, 20).cast("bigint").alias("k"),
+        F.variant_get(v, "$.corrected", "boolean").alias("corrected"))
+
+
+@register("stream_ledger", "STR-20", f"SELECT {FILE_OF} AS b, count(*) AS n_lines, 1::BIGINT AS n_rows FROM orders GROUP BY 1")
+def stream_ledger(spark, sf):
+    """The same folder taken in twice by separate streams into one ledger: one row per file."""
+    folder, book = _order_files(spark, sf, "ledger-inbox"), work_path(spark, "book")
+    checkpoint = work_path(spark, "book-checkpoint")
+    for _ in range(2):
+        runs.run_each(sources.poll_lines(spark, folder), intake.ledger_writer(book, 1), checkpoint)
+    rows = spark.read.option("basePath", book).parquet(f"{book}/batch_no=*")
+    b = F.regexp_extract("remote_file_name", "/b=([0-9]+)/", 1).cast("bigint")
+    return rows.groupBy(b.alias("b")).agg(F.sum("n_lines").alias("n_lines"), F.count(F.lit(1)).alias("n_rows"))

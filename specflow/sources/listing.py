@@ -47,8 +47,8 @@ def file_facts(spark: SparkSession, paths: str | list[str], glob: str | None = N
     files = reader.load(paths)
     digest = [F.md5("content").alias("md5_checksum")] if content else []
     return files.select(
-        F.col("path").alias("remote_file_path"),
-        F.element_at(F.split("path", "/"), -1).alias("remote_file_name"),
+        F.col("_metadata.file_path").alias("remote_file_path"),
+        F.col("_metadata.file_name").alias("remote_file_name"),
         F.col("length").alias("file_size_bytes"),
         F.col("modificationTime").alias("remote_last_modified"),
         *digest,
