@@ -405,8 +405,9 @@ def run_status(spark, sf):
  (SELECT (epoch_us(max(o_orderdate)) // 1000) - (epoch_us(min(o_orderdate)) // 1000) FROM orders) AS duration_ms FROM run)""")
 def run_success_rate(spark, sf):
     summary = route.with_success_rate(route.summarise(_run(spark, sf)))
-    span = table(spark, sf, "orders").agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
-    timed = route.with_duration(summary.join(F.broadcast(span)), F.col("a").cast("timestamp"), F.col("b").cast("timestamp"))
+    orders = table(spark, sf, "orders")
+    started, completed = orders.agg(F.min("o_orderdate")).scalar(), orders.agg(F.max("o_orderdate")).scalar()
+    timed = route.with_duration(summary, started.cast("timestamp"), completed.cast("timestamp"))
     return timed.select("total_records", "successful_records", F.round("success_rate", 9).alias("success_rate"), "duration_ms")
 
 

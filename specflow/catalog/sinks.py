@@ -231,8 +231,7 @@ def sink_archive(spark, sf):
 @register("retention_expired", "SNK-12", "SELECT o_orderkey AS k FROM orders WHERE date_diff('day', CAST(o_orderdate AS DATE), (SELECT CAST(max(o_orderdate) AS DATE) FROM orders)) > 90")
 def retention_expired(spark, sf):
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("day"))
-    today = rows.agg(F.max("day").alias("today"))
-    return writers.expired(rows.join(F.broadcast(today)), "day", F.col("today"), 90).select("k")
+    return writers.expired(rows, "day", rows.agg(F.max("day")).scalar(), 90).select("k")
 
 
 @register("ledger_build", "SNK-13", "SELECT lang || '-' || doc_id AS name, md5(text) AS md5, strlen(text) AS size FROM documents WHERE lang <> 'en'")

@@ -171,9 +171,9 @@ def win_state(spark, sf):
     ev = events(spark, sf)
     day = F.date_trunc("day", "ts")
     frame = ev.groupBy(day.alias("d")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("e"))
-    now = ev.agg((F.max("ts") - F.expr("INTERVAL 36 HOURS")).alias("now"))
+    now = ev.agg(F.max("ts") - F.expr("INTERVAL 36 HOURS")).scalar()
     frame = frame.select((F.col("d") + F.expr("INTERVAL 13 HOURS")).alias("opened_at"), (F.col("d") + F.expr("INTERVAL 22 HOURS")).alias("closed_at"), "n", "e")
-    done = windows.with_state(frame.join(F.broadcast(now)), F.col("now"), F.col("e") * 5 <= F.col("n"), F.col("e") * 4 > F.col("n"))
+    done = windows.with_state(frame, now, F.col("e") * 5 <= F.col("n"), F.col("e") * 4 > F.col("n"))
     return _stamped(done.select("opened_at", "state"), "opened_at")
 
 
@@ -251,8 +251,8 @@ def batch_split(spark, sf):
 def win_reprocess(spark, sf):
     """The newest daily window run again from its events; the result replaces that window only."""
     ev = events(spark, sf)
-    newest = ev.agg(F.to_date(F.max("ts")).alias("day"))
-    again = ev.join(F.broadcast(newest), F.to_date("ts") == F.col("day"))
+    newest = ev.agg(F.to_date(F.max("ts"))).scalar()
+    again = ev.filter(F.to_date("ts") == newest)
     done = windows.time_windows(again, "ts", "1 day", keys=("event_type",)).drop("window_end")
     return _stamped(done, "window_start", "last_event_at")
 

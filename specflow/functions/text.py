@@ -93,7 +93,7 @@ def decimal_text(c: Column) -> Column:
     """Plain decimal notation: no plus sign, no extra leading zeros, source scale kept."""
     plain = F.regexp_replace(c, r"^\+", "")
     plain = F.regexp_replace(plain, r"^(-?)0+(?=\d)", "$1")
-    plain = F.regexp_replace(plain, r"^(-?)\.", "${1}0.")
+    plain = F.regexp_replace(plain, r"^(-?)\.", "$10.")
     plain = F.regexp_replace(plain, r"\.$", "")
     wide = F.regexp_replace(c.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
     return F.when(is_canonical(c), c).when(c.rlike("[eE]"), F.coalesce(wide, c)).otherwise(plain)

@@ -20,10 +20,9 @@ def phrase(c: Column, words: str) -> Column:
 
 def recent(logs: DataFrame, ts: str, level: str, seconds: int, limit: int, ties: list[str]) -> DataFrame:
     """Newest lines of one level within the last ``seconds`` of the log."""
-    newest = logs.agg(F.max(ts).alias("_newest"))
-    cutoff = F.unix_millis(F.col("_newest")) - seconds * 1000
-    near = logs.join(F.broadcast(newest)).filter(F.unix_millis(F.col(ts)) >= cutoff)
-    return near.filter(F.col("level") == level).drop("_newest").orderBy(F.desc(ts), *ties).limit(limit)
+    newest = logs.agg(F.max(ts)).scalar()
+    near = logs.filter((F.col("level") == level) & (F.unix_millis(F.col(ts)) >= F.unix_millis(newest) - seconds * 1000))
+    return near.orderBy(F.desc(ts), *ties).limit(limit)
 
 
 def level_histogram(logs: DataFrame, ts: str, duration: str) -> DataFrame:

@@ -56,24 +56,37 @@ def _border_join(data: DataFrame, fill: DataFrame, group: tuple[str, ...]) -> Da
     return joined.drop(*[f"_b_{c}" for c in ("_chunk", *group)])
 
 
-def running_sum(
-    df: DataFrame, group: tuple[str, ...], order: tuple[str, ...], value: Column, out: str, split: bool | None = None
+def running_sums(
+    df: DataFrame, group: tuple[str, ...], order: tuple[str, ...], values: dict[str, Column], split: bool | None = None
 ) -> DataFrame:
-    """Inclusive running sum of ``value``; ``order`` must be unique within a group."""
+    """Inclusive running sums, one per output name; ``order`` must be unique within a group."""
     plain, total = _plain(df, group, split)
     if plain:
         over = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumn(out, F.sum(value).over(over))
-    data = _chunks(df.withColumn("_v", value), group, order, total)
+        return df.withColumns({out: F.sum(value).over(over) for out, value in values.items()})
+    names = list(values)
+    data = _chunks(df.withColumns({f"_v_{n}": values[n] for n in names}), group, order, total)
     inside = W.partitionBy("_chunk", *group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(*group).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    totals = data.groupBy("_chunk", *group).agg(F.sum("_v").alias("_sum"))
-    fill = totals.select("_chunk", *group, F.sum("_sum").over(before).alias("prefix")).filter("prefix is not null")
-    joined = _border_join(data.withColumn("_run", F.sum("_v").over(inside)), fill, group)
-    filled = F.when(F.col("_b_prefix").isNull(), F.col("_run")).otherwise(
-        F.col("_b_prefix") + F.coalesce("_run", F.lit(0))
-    )
-    return joined.withColumn(out, filled).drop("_v", "_run", "_chunk", "_b_prefix")
+    totals = data.groupBy("_chunk", *group).agg(*[F.sum(f"_v_{n}").alias(f"sum_{n}") for n in names])
+    chunk_no = F.row_number().over(W.partitionBy(*group).orderBy("_chunk"))
+    fill = totals.select(
+        "_chunk", *group, chunk_no.alias("nth"), *[F.sum(f"sum_{n}").over(before).alias(f"prefix_{n}") for n in names]
+    ).filter("nth > 1")
+    joined = _border_join(data.withColumns({f"_run_{n}": F.sum(f"_v_{n}").over(inside) for n in names}), fill, group)
+    zero = F.lit(0)
+    sums = {
+        n: F.when(F.coalesce(f"_b_prefix_{n}", f"_run_{n}").isNotNull(),
+                  F.coalesce(f"_b_prefix_{n}", zero) + F.coalesce(f"_run_{n}", zero))
+        for n in names
+    }
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c not in sums], *[v.alias(n) for n, v in sums.items()])
+
+
+def running_sum(
+    df: DataFrame, group: tuple[str, ...], order: tuple[str, ...], value: Column, out: str, split: bool | None = None
+) -> DataFrame:
+    return running_sums(df, group, order, {out: value}, split)
 
 
 def row_numbers(

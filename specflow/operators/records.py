@@ -15,8 +15,12 @@ def fcol(name: str) -> str:
     return f"f_{name}"
 
 
+def ticked(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def quoted(name: str) -> Column:
-    return F.col(f"`{name}`")
+    return F.col(ticked(name))
 
 
 def value_of(name: str) -> Column:
@@ -34,10 +38,6 @@ def literal(value: str | None) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def ticked(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def issue(field: str, message: str, severity: str, raw: str = "cast(null as string)", rule_id: str | None = None) -> Column:
     """A one-element issue array. ``message`` and ``raw`` are SQL text, so one call builds the lot."""
     return F.expr(

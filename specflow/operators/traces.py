@@ -78,12 +78,10 @@ def compare(spans: DataFrame, left: str, right: str) -> DataFrame:
 def compare_extremes(spans: DataFrame) -> DataFrame:
     """Slowest against fastest trace, found and compared without leaving the cluster."""
     totals = summary(spans).select("trace_id", "total_ms")
-    ends = totals.agg(
-        F.max_by("trace_id", F.struct("total_ms", "trace_id")).alias("slow"),
-        F.min_by("trace_id", F.struct("total_ms", "trace_id")).alias("fast"),
-    )
-    both = spans.join(F.broadcast(ends), F.col("trace_id").isin(F.col("slow"), F.col("fast")))
-    return both.groupBy("operation").agg(
-        F.sum(F.when(F.col("trace_id") == F.col("slow"), F.col("duration_ms")).otherwise(0)).alias("slow_ms"),
-        F.sum(F.when(F.col("trace_id") == F.col("fast"), F.col("duration_ms")).otherwise(0)).alias("fast_ms"),
+    slow = totals.agg(F.max_by("trace_id", F.struct("total_ms", "trace_id"))).scalar()
+    fast = totals.agg(F.min_by("trace_id", F.struct("total_ms", "trace_id"))).scalar()
+    marked = spans.select("operation", "duration_ms", (F.col("trace_id") == slow).alias("_slow"), (F.col("trace_id") == fast).alias("_fast"))
+    return marked.filter("_slow or _fast").groupBy("operation").agg(
+        F.sum(F.when(F.col("_slow"), F.col("duration_ms")).otherwise(0)).alias("slow_ms"),
+        F.sum(F.when(F.col("_fast"), F.col("duration_ms")).otherwise(0)).alias("fast_ms"),
     ).withColumn("diff_ms", F.col("slow_ms") - F.col("fast_ms"))

@@ -96,21 +96,25 @@ def number_lines(lines: DataFrame, skip: int = 0, header: bool = False) -> tuple
         headers = heads.filter(F.col("_line") == skip).select("_file", F.col("_raw").alias("_header")) if header else None
     else:
         headers, filled_top = None, None
-    # _seq: a second id counted after blank lines are dropped, offset by non-blank totals.
-    filled = lines.filter(~is_blank(F.col("_raw"))).withColumn("_fid", F.monotonically_increasing_id())
-    firsts = filled.groupBy("_file", "_split").agg(F.min("_fid").alias("_ffirst"))
-    facts = splits.join(firsts, ["_file", "_split"], "left")
+    facts = splits
     if filled_top is not None:
         facts = facts.join(filled_top, "_file", "left")
         facts = facts.withColumn("_filled_before", F.col("_filled_before") - F.coalesce("_filled_top", F.lit(0)))
+    # blank lines need a second id, counted after they are dropped; without any, one pass is enough
+    has_blank = not splits.filter("_filled < _lines").isEmpty()
+    data = lines
+    if has_blank:
+        data = lines.filter(~is_blank(F.col("_raw"))).withColumn("_fid", F.monotonically_increasing_id())
+        firsts = data.groupBy("_file", "_split").agg(F.min("_fid").alias("_ffirst"))
+        facts = facts.join(firsts, ["_file", "_split"], "left")
+        columns += ["_ffirst"]
     if headers is not None:
         facts = facts.join(headers, "_file", "left")
         columns.append("_header")
-    facts = checkpointed(facts)
-    data = attach(filled, facts, *columns, "_ffirst", "_filled_before")
+    data = attach(data, checkpointed(facts), *columns, "_filled_before")
     line = F.col("_offset") + F.col("_id") - F.col("_first")
-    seq = F.col("_filled_before") + F.col("_fid") - F.col("_ffirst")
-    kept = ["_file", "_raw", line.alias("_line"), seq.alias("_seq"), "_split"]
+    place = F.col("_fid") - F.col("_ffirst") if has_blank else F.col("_id") - F.col("_first")
+    kept = ["_file", "_raw", line.alias("_line"), (F.col("_filled_before") + place).alias("_seq"), "_split"]
     if headers is not None:
         kept.append("_header")
     data = data.select(*kept)

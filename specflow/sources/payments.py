@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from specflow.functions import text
 from specflow.operators.coerce import coerce
-from specflow.operators.ordered import running_sum
+from specflow.operators.ordered import running_sum, running_sums
 from specflow.sources.delimited import finish
 from specflow.sources.fixed_width import parse_fixed_width
 from specflow.spec import FieldSpec, FileSpec
@@ -89,6 +89,7 @@ def x12_segments(lines: DataFrame, order: tuple[str, ...] = ("_seq",), element_s
     body = F.btrim("_raw", F.lit(" \r\n"))
     parts = F.split(body, rf"\Q{element_sep}\E", -1)
     cut = lines.filter(body != "").select("*", parts.alias("_parts"), F.get(parts, F.lit(0)).alias("segment_id"))
-    for envelope, out in (("ISA", "interchange_no"), ("GS", "group_no"), ("ST", "transaction_no")):
-        cut = running_sum(cut, ("_file",), order, (F.col("segment_id") == envelope).cast("bigint"), out)
+    counted = {"interchange_no": "ISA", "group_no": "GS", "transaction_no": "ST"}
+    steps = {out: (F.col("segment_id") == opener).cast("bigint") for out, opener in counted.items()}
+    cut = running_sums(cut, ("_file",), order, steps)
     return cut.withColumn("elements", F.slice("_parts", F.lit(2), F.size("_parts"))).drop("_parts")

@@ -17,6 +17,7 @@ from specflow.sources.delimited import finish
 from specflow.sources.lines import BROADCAST_SPLITS, attach, read_lines, split_table
 from specflow.spec import FieldSpec, FileSpec, require_valid
 
+_CALL = re.compile(r"^(?!text\(|node\(|comment\()[\w\-]+\(")
 _STEP = re.compile(r"^[A-Za-z_][\w.\-]*$")
 
 
@@ -121,7 +122,9 @@ def xml_values(fields: list[tuple[FieldSpec, str | None]], body: Column, parsed:
         if p is not None:
             values.append(_pick(parsed, p, tree))
         else:
-            values.append(F.xpath_string(body, F.lit(f"/{tag}/{path}")))
+            # a function call has no place for the record as context, so it names the record itself
+            whole = path if _CALL.match(path) else f"/{tag}/{path}"
+            values.append(F.xpath_string(body, F.lit(whole)))
     return ddl, values
 
 
