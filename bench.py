@@ -20,7 +20,7 @@ HEADLINE = [
     "run_summary",            # parse, correct, validate, route, summarise
     "route_quarantine",
     "error_details",
-    "event_envelope",
+    "sink_kafka_frame",
     "src_fixed_width",
     "src_json",
     "src_xml_attr",

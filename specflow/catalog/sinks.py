@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from specflow.catalog.base import DAY, PRICE, TXN_SPEC, TXN_SQL, columns, register, txn_lines
 from specflow.functions import templates
 from specflow.operators.mapping import map_fields
-from specflow.operators.records import from_columns
+from specflow.operators.records import from_columns, pinned
 from specflow.plans.inbound import processed
 from specflow.session import table, work_path
 from specflow.sinks import generators, writers
@@ -70,7 +70,8 @@ def _passed(spark, sf):
 def event_envelope(spark, sf):
     """The JSON event read back: numbers stay numbers unless a correction made them text."""
     made = envelopes(_passed(spark, sf), TXN_SPEC, RUN, stamp=F.lit(0))
-    v = F.parse_json("value")
+    made = pinned(made.select(F.parse_json("value").alias("v")), ["v"])
+    v = F.col("v")
     amount = F.variant_get(v, "$.fields.amount", "variant")
     shown = F.when(F.schema_of_variant(amount) == "STRING", F.to_json(amount)).otherwise(F.variant_get(v, "$.fields.amount", "decimal(18,2)").cast("string"))
     return made.select(

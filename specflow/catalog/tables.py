@@ -151,13 +151,13 @@ def reconcile_counts(spark, sf):
     return reconcile.verdict(_counts(spark, sf), "WARN_AND_CONTINUE", absolute=1, percent=40.0)
 
 
-@register("control_totals", "AGG-11", """SELECT o_custkey AS id, count(*) + CASE WHEN o_custkey < 100 THEN 1 ELSE 0 END AS declared_count,
- sum(CAST(round(o_totalprice * 100) AS BIGINT))::BIGINT AS declared_sum, count(*) AS actual_count, sum(CAST(round(o_totalprice * 100) AS BIGINT))::BIGINT AS actual_sum, o_custkey >= 100 AS balanced
+@register("control_totals", "AGG-11", """SELECT o_custkey AS id, count(*) + CASE WHEN min(o_totalprice) < 5000 THEN 1 ELSE 0 END AS declared_count,
+ sum(CAST(round(o_totalprice * 100) AS BIGINT))::BIGINT AS declared_sum, count(*) AS actual_count, sum(CAST(round(o_totalprice * 100) AS BIGINT))::BIGINT AS actual_sum, min(o_totalprice) >= 5000 AS balanced
  FROM orders GROUP BY o_custkey""")
 def control_totals(spark, sf):
     orders = columns(spark, sf, "orders", {"id": "o_custkey", "cents": "CAST(round(o_totalprice * 100) AS BIGINT)"})
     declared = orders.groupBy("id").agg(
-        (F.count(F.lit(1)) + F.when(F.col("id") < 100, 1).otherwise(0)).alias("declared_count"), F.sum("cents").alias("declared_sum"))
+        (F.count(F.lit(1)) + F.when(F.min("cents") < 500_000, 1).otherwise(0)).alias("declared_count"), F.sum("cents").alias("declared_sum"))
     return reconcile.control_totals(orders, declared, "id", F.col("cents"))
 
 

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from specflow.functions.text import is_blank
 from specflow.session import checkpointed
 
-# Splits are at least a few MB each, so this many rows of a few hundred bytes stay well
-# under what a driver and an executor can hold; above it the join shuffles by split.
-BROADCAST_SPLITS = 500_000
+# A side is broadcast only after its rows and text have been counted and stay below this.
+BROADCAST_BYTES = 128 * 1024 * 1024
+ROW_BYTES = 100
 
 
 def read_lines(
@@ -71,15 +71,22 @@ def split_table(lines: DataFrame) -> DataFrame:
     )
 
 
+def is_small(side: DataFrame) -> bool:
+    """Measured size of a finished (checkpointed) side: rows plus the bytes of its text columns."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in side.dtypes if kind == "string"]
+    size = F.lit(ROW_BYTES).cast("bigint")
+    for t in texts:
+        size = size + t
+    return (side.agg(F.sum(size).alias("bytes")).first()["bytes"] or 0) <= BROADCAST_BYTES
+
+
 def attach(lines: DataFrame, splits: DataFrame, *columns: str) -> DataFrame:
-    """Joins split facts to the lines; broadcast only below a checked row count.
+    """Joins split facts to the lines; broadcast only below a measured size.
 
     Beyond it the join shuffles on (file, split), where no key exceeds one split.
     """
     facts = splits.select("_file", "_split", *columns)
-    if splits.count() <= BROADCAST_SPLITS:
-        facts = F.broadcast(facts)
-    return lines.join(facts, ["_file", "_split"])
+    return lines.join(F.broadcast(facts) if is_small(facts) else facts, ["_file", "_split"])
 
 
 def number_lines(lines: DataFrame, skip: int = 0, header: bool = False) -> tuple[DataFrame, DataFrame | None]:

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specflow.operators.coerce import coerce_xml
-from specflow.operators.records import quoted
+from specflow.operators.records import found, issue, literal, quoted
+from specflow.session import checkpointed
 from specflow.sources.delimited import finish
-from specflow.sources.lines import BROADCAST_SPLITS, attach, read_lines, split_table
+from specflow.sources.lines import attach, is_small, read_lines, split_table
 from specflow.spec import FieldSpec, FileSpec, require_valid
 
 _CALL = re.compile(r"^(?!text\(|node\(|comment\()[\w\-]+\(")
@@ -139,23 +140,33 @@ def parse_xml_text(records: DataFrame, spec: FileSpec) -> DataFrame:
     tag = record_tag(spec)
     own = [(f, relative_path(spec, f)) for f in spec.fields if header_tag(spec, f) is None or f.xml_attribute]
     heads = sorted({header_tag(spec, f) for f in spec.fields if not f.xml_attribute} - {None})
-    parsed_columns, found = [], {}
+    parsed_columns, values_by_field = [], {}
     ddl, values = xml_values(own, F.col("_xml"), F.col("_parsed"), tag)
-    parsed_columns.append(F.from_xml("_xml", ddl, _options(tag)).alias("_parsed"))
-    found.update({f.name: v for (f, _), v in zip(own, values)})
+    schema_file = spec.metadata.get("xsdLocation")
+    options = _options(tag)
+    if schema_file:
+        # a record that breaks the schema comes back whole in the corrupt-record column
+        ddl = f"{ddl[:-1]},`_bad`:string>"
+        options.update({"rowValidationXSDPath": schema_file, "columnNameOfCorruptRecord": "_bad"})
+    parsed_columns.append(F.from_xml("_xml", ddl, options).alias("_parsed"))
+    values_by_field.update({f.name: v for (f, _), v in zip(own, values)})
     for head in heads:
         fields = [(f, relative_path(spec, f)) for f in spec.fields if header_tag(spec, f) == head and not f.xml_attribute]
         ddl, values = xml_values(fields, quoted(f"_head_{head}"), quoted(f"_parsed_{head}"), head)
         parsed_columns.append(F.from_xml(quoted(f"_head_{head}"), ddl, _options(head)).alias(f"_parsed_{head}"))
-        found.update({f.name: v for (f, _), v in zip(fields, values)})
+        values_by_field.update({f.name: v for (f, _), v in zip(fields, values)})
     parsed = records.select("*", *parsed_columns)
     cells = parsed.select(
         "_file",
         "_seq",
         F.lit(None).cast("string").alias("_raw"),
-        *[found[f.name].alias(f"_r{k}") for k, f in enumerate(spec.fields)],
+        (F.col("_parsed._bad").isNotNull() if schema_file else F.lit(False)).alias("_broken"),
+        *[values_by_field[f.name].alias(f"_r{k}") for k, f in enumerate(spec.fields)],
     )
     made = [coerce_xml(f, f"_r{k}") for k, f in enumerate(spec.fields)]
+    if schema_file and made:
+        broken = found(F.col("_broken"), issue(tag, literal("Record does not match the schema"), "ERROR"))
+        made[0].error = F.concat(broken, made[0].error)
     return finish(cells, spec, made)
 
 
@@ -190,7 +201,6 @@ def read_xml(spark: SparkSession, paths: str | list[str], spec: FileSpec, glob:
             .groupBy("_file")
             .agg(*[F.max(quoted(h)).alias(f"_head_{h}") for h in heads])
         )
-        if splits.count() <= BROADCAST_SPLITS:
-            headers = F.broadcast(headers)
-        numbered = numbered.join(headers, "_file", "left")
+        headers = checkpointed(headers)
+        numbered = numbered.join(F.broadcast(headers) if is_small(headers) else headers, "_file", "left")
     return parse_xml_text(numbered, spec)

@@ -84,7 +84,7 @@ def test_shuffle_join_gives_the_same_numbers(spark, folder, monkeypatch):
     with open(f"{folder}/t.txt", "w") as out:
         out.write("".join(f"{i}\n" for i in range(500)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
-    monkeypatch.setattr(module, "BROADCAST_SPLITS", 0)
+    monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
     try:
         data, _ = number_lines(read_lines(spark, folder), skip=3)
         rows = data.collect()

@@ -131,3 +131,12 @@ def test_own_format(spark):
     register_reader("CUSTOM", lambda s, paths, spec, glob: from_columns(s.range(3).withColumn("v", F.col("id") * 2), spec, seq="id"))
     rows = read_records(spark, "anywhere", FileSpec("c", "c", "CUSTOM", (FieldSpec("v"),))).collect()
     assert sorted(r.f_v for r in rows) == ["0", "2", "4"]
+
+
+def test_xml_schema_check(spark, folder):
+    put(folder, "s.xsd", '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="r"><xs:complexType><xs:sequence><xs:element name="a" type="xs:int"/></xs:sequence></xs:complexType></xs:element></xs:schema>')
+    put(folder, "d.xml", "<d><r><a>5</a></r><r><a>x</a></r></d>")
+    spec = load_spec({"id": "x", "format": "XML", "metadata": {"recordXPath": "/d/r", "xsdLocation": f"{folder}/s.xsd"}, "fields": [{"name": "a", "path": "a", "required": False}]})
+    good, bad = read_records(spark, f"{folder}/d.xml", spec).orderBy("_seq").collect()
+    assert good.f_a == "5" and not good._errors
+    assert [e.message for e in bad._errors] == ["Record does not match the schema"]
