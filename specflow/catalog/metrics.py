@@ -20,10 +20,6 @@ def samples(spark, sf):
     return numbered.withColumn("counter", F.col("rn") * 3).drop("rn", "day")
 
 
-def _bucket(seconds):
-    return f"to_timestamp(floor(epoch(ts) / {seconds}) * {seconds})::TIMESTAMP"
-
-
 INCREASE = SAMPLES + f""", w AS (SELECT *, (epoch_us(ts) // 1000) // 21600000 * 21600000 AS w FROM s),
  l AS (SELECT *, lag(counter) OVER (PARTITION BY kind, w ORDER BY ts, event_id) AS p FROM w),
  g AS (SELECT kind, w, sum(CASE WHEN p IS NULL THEN 0 WHEN counter < p THEN counter ELSE counter - p END)::BIGINT AS increase, count(*) AS samples FROM l GROUP BY ALL)"""
@@ -50,7 +46,7 @@ def metric_sum_by(spark, sf):
     return metrics.sum_by(_grown(spark, sf), ["kind"], "increase", "total")
 
 
-@register("metric_ratio", "AGG-16", INCREASE + f" SELECT {W} AS window_start, sum(increase) FILTER (WHERE kind = 'error')::BIGINT AS part, sum(increase)::BIGINT AS whole, round(sum(increase) FILTER (WHERE kind = 'error') / nullif(sum(increase), 0), 9) AS ratio FROM g GROUP BY w")
+@register("metric_ratio", "AGG-16", INCREASE + f" SELECT {W} AS window_start, coalesce(sum(increase) FILTER (WHERE kind = 'error'), 0)::BIGINT AS part, sum(increase)::BIGINT AS whole, round(coalesce(sum(increase) FILTER (WHERE kind = 'error'), 0) / nullif(sum(increase), 0), 9) AS ratio FROM g GROUP BY w")
 def metric_ratio(spark, sf):
     done = metrics.ratio(_grown(spark, sf), ["window_start"], F.col("kind") == "error", F.lit(True), F.col("increase"))
     return done.withColumns({"window_start": stamp(F.col("window_start")), "ratio": F.round("ratio", 9)})

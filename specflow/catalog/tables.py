@@ -22,7 +22,6 @@ FILES = {
     "file_size_bytes": "CAST(o_totalprice AS BIGINT)",
     "id": "o_orderkey",
 }
-KNOWN = "o_orderstatus = 'F'"
 FILES_SQL = f"WITH files AS ({select_sql('orders', FILES)}), known AS (SELECT * FROM files WHERE processing_status = 'PROCESSED') "
 INTEGRATIONS = {
     "integration_id": "c_custkey",

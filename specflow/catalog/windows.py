@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import UTC, datetime, timedelta
+from datetime import UTC, timedelta
 
 from pyspark.sql import functions as F
 
@@ -41,9 +41,6 @@ def win_session(spark, sf):
     return _stamped(windows.sessions(events(spark, sf), "user_id", "ts", "event_id", 7_200_000), "session_start", "session_last")
 
 
-START, END = datetime(2024, 1, 1), datetime(2024, 2, 1)
-
-
 def _range(frame, ts):
     """First and last day of the data: one row, whatever the data's size."""
     row = frame.agg(F.date_trunc("day", F.min(ts)).alias("a"), F.max(ts).alias("b")).first()

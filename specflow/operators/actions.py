@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from specflow.operators.ordered import running_sum
 
 
-def chain_outcome(attempts: DataFrame, group: tuple[str, ...], order: tuple[str, ...], split: bool | None = None) -> DataFrame:
+def chain_outcome(attempts: DataFrame, group: tuple[str, ...], order: tuple[str, ...], split: int | bool | None = None) -> DataFrame:
     """Adds ``status`` and ``fires_on_error``.
 
     ``attempts`` has ``succeeded`` and ``continue_on_failure``. The first failed step that

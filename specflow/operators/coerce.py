@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specflow.functions import dates, masking, text
+from specflow.functions import masking, text
 from specflow.operators.records import ISSUES, found, issue, literal, value_of
 from specflow.spec import FieldSpec, FileSpec
 
@@ -127,7 +127,3 @@ def typed(f: FieldSpec, value: Column) -> Column:
 def with_typed(records: DataFrame, spec: FileSpec) -> DataFrame:
     """Adds a typed column per field; text that does not convert becomes null."""
     return records.select("*", *[typed(f, value_of(f.name)).alias(f.name) for f in spec.fields])
-
-
-def typed_dates(c: Column) -> Column:
-    return dates.parse_any_date(c)

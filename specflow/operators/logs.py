@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specflow.operators.ordered import previous, running_sum
+from specflow.operators.ordered import previous, running_sum, sized
 
 
 def wildcard(c: Column, pattern: str) -> Column:
@@ -34,10 +34,11 @@ def top_messages(logs: DataFrame, limit: int, message: str = "message") -> DataF
     return logs.groupBy(message).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), message).limit(limit)
 
 
-def alert_spans(alerts: DataFrame, ts: str, unique: str, seconds: int, split: bool | None = None) -> DataFrame:
+def alert_spans(alerts: DataFrame, ts: str, unique: str, seconds: int, split: int | bool | None = None) -> DataFrame:
     """Alert neighbourhoods merged where they overlap: disjoint (span, from, to) rows."""
     at = F.unix_millis(F.col(ts))
     keyed = alerts.select(at.alias("_at"), F.col(unique).alias("_u"))
+    split = sized(keyed, ()) if split is None else split
     back = previous(keyed, (), ("_at", "_u"), {"_was": F.col("_at")}, split)
     opens = (F.col("_was").isNull() | (F.col("_at") - F.col("_was") > 2 * seconds * 1000)).cast("bigint")
     numbered = running_sum(back, (), ("_at", "_u"), opens, "span_no", split)
@@ -59,7 +60,7 @@ def near_alerts(logs: DataFrame, ts: str, spans: DataFrame, bucket_ms: int) -> D
 
 
 def counts_near_alerts(logs: DataFrame, alerts: DataFrame, ts: str, unique: str, seconds: int,
-                       split: bool | None = None) -> DataFrame:
+                       split: int | bool | None = None) -> DataFrame:
     """Per alert, how many log lines lie within +-seconds: two running counts, no line-alert pairs."""
     at = F.unix_millis(F.col(ts))
     none = F.lit(None).cast("bigint")

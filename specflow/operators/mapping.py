@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specflow.functions import text
-from specflow.operators.records import no_issues, quoted, start_columns, value_of
-from specflow.operators.records import fcol
-from specflow.spec import FieldMapping, FileSpec, SpecError
+from specflow.operators.records import fcol, no_issues, quoted, start_columns, value_of
+from specflow.spec import FieldMapping, FieldSpec, FileSpec, SpecError
 
 Transform = Callable[[Column, str | None], Column]
 
@@ -73,8 +72,6 @@ def map_fields(records: DataFrame, mappings: tuple[FieldMapping, ...], order: tu
 
 def outbound_spec(spec: FileSpec) -> FileSpec:
     """The outbound section as a spec the correction and validation steps accept."""
-    from specflow.spec import FieldSpec
-
     config = spec.outbound
     if config is None:
         raise SpecError(f"spec '{spec.name}' has no outbound section")

@@ -20,7 +20,7 @@ def windowed(samples: DataFrame, ts: str, seconds: int, out: str = "window_start
 
 
 def increase(samples: DataFrame, series: tuple[str, ...], ts: str, unique: str, value: str, seconds: int,
-             split: bool | None = None) -> DataFrame:
+             split: int | bool | None = None) -> DataFrame:
     """Counter growth per series and window; a drop is a restart, its value is the growth."""
     cut = windowed(samples, ts, seconds)
     group = (*series, "window_start")
@@ -34,7 +34,7 @@ def increase(samples: DataFrame, series: tuple[str, ...], ts: str, unique: str,
 
 
 def rate(samples: DataFrame, series: tuple[str, ...], ts: str, unique: str, value: str, seconds: int,
-         split: bool | None = None) -> DataFrame:
+         split: int | bool | None = None) -> DataFrame:
     grown = increase(samples, series, ts, unique, value, seconds, split)
     return grown.withColumn("rate_per_sec", F.col("increase").cast("double") / F.lit(float(seconds)))
 
@@ -94,7 +94,7 @@ def histogram_quantile(buckets: DataFrame, keys: list[str], q: float, le: str =
 
 
 def percentiles(frame: DataFrame, keys: list[str], value: str, quantiles: dict[str, float],
-                split: bool | None = None) -> DataFrame:
+                split: int | bool | None = None) -> DataFrame:
     """Exact discrete percentiles from value counts; no key's values are gathered anywhere."""
     counts = frame.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     run = running_sum(counts, tuple(keys), (value,), F.col("_n"), "_upto", split)
@@ -116,7 +116,7 @@ def top(frame: DataFrame, by: str, k: int, ties: list[str]) -> DataFrame:
 
 
 def held_for(samples: DataFrame, series: tuple[str, ...], ts: str, unique: str, firing: Column, seconds: int,
-             split: bool | None = None) -> DataFrame:
+             split: int | bool | None = None) -> DataFrame:
     """Stretches over which the condition held without a break for at least ``seconds``."""
     runs = islands(samples.withColumn("_on", firing), series, (ts, unique), F.col("_on"), "_island", split)
     stretches = (
@@ -128,7 +128,7 @@ def held_for(samples: DataFrame, series: tuple[str, ...], ts: str, unique: str,
     return stretches.withColumn("held_ms", held).filter(F.col("held_ms") >= seconds * 1000).drop("_island")
 
 
-def ranked(alerts: DataFrame, group: tuple[str, ...], order: tuple[str, ...], split: bool | None = None) -> DataFrame:
+def ranked(alerts: DataFrame, group: tuple[str, ...], order: tuple[str, ...], split: int | bool | None = None) -> DataFrame:
     return row_numbers(alerts, group, order, "fire_no", split)
 
 

@@ -33,11 +33,16 @@ def measure(df: DataFrame, group: tuple[str, ...]) -> tuple[int, int]:
     return row["top"] or 0, row["total"] or 0
 
 
-def _plain(df: DataFrame, group: tuple[str, ...], split: bool | None) -> tuple[bool, int]:
-    if split is not None:
-        return not split, 0
+def sized(df: DataFrame, group: tuple[str, ...]) -> int | bool:
+    """False when every group fits the limit, else the number of rows. Measure once, pass on as ``split``."""
     top, total = measure(df, group)
-    return bool(group) and top <= _limit(df), total
+    return False if group and top <= _limit(df) else max(total, 1)
+
+
+def _plain(df: DataFrame, group: tuple[str, ...], split: int | bool | None) -> tuple[bool, int]:
+    if split is None:
+        split = sized(df, group)
+    return split is False, int(split)
 
 
 def _chunks(df: DataFrame, group: tuple[str, ...], order: tuple[str, ...], total: int) -> DataFrame:
@@ -57,7 +62,7 @@ def _border_join(data: DataFrame, fill: DataFrame, group: tuple[str, ...]) -> Da
 
 
 def running_sums(
-    df: DataFrame, group: tuple[str, ...], order: tuple[str, ...], values: dict[str, Column], split: bool | None = None
+    df: DataFrame, group: tuple[str, ...], order: tuple[str, ...], values: dict[str, Column], split: int | bool | None = None
 ) -> DataFrame:
     """Inclusive running sums, one per output name; ``order`` must be unique within a group."""
     plain, total = _plain(df, group, split)
@@ -84,20 +89,20 @@ def running_sums(
 
 
 def running_sum(
-    df: DataFrame, group: tuple[str, ...], order: tuple[str, ...], value: Column, out: str, split: bool | None = None
+    df: DataFrame, group: tuple[str, ...], order: tuple[str, ...], value: Column, out: str, split: int | bool | None = None
 ) -> DataFrame:
     return running_sums(df, group, order, {out: value}, split)
 
 
 def row_numbers(
-    df: DataFrame, group: tuple[str, ...], order: tuple[str, ...], out: str = "rn", split: bool | None = None
+    df: DataFrame, group: tuple[str, ...], order: tuple[str, ...], out: str = "rn", split: int | bool | None = None
 ) -> DataFrame:
     """1-based place within the group; with no group, within the whole frame."""
     return running_sum(df, group, order, F.lit(1).cast("bigint"), out, split)
 
 
 def previous(
-    df: DataFrame, group: tuple[str, ...], order: tuple[str, ...], columns: dict[str, Column], split: bool | None = None
+    df: DataFrame, group: tuple[str, ...], order: tuple[str, ...], columns: dict[str, Column], split: int | bool | None = None
 ) -> DataFrame:
     """Values of the row before, per group; null on the first row."""
     plain, total = _plain(df, group, split)
@@ -118,9 +123,10 @@ def previous(
 
 def islands(
     df: DataFrame, group: tuple[str, ...], order: tuple[str, ...], state: Column, out: str = "island",
-    split: bool | None = None,
+    split: int | bool | None = None,
 ) -> DataFrame:
     """Numbers the maximal runs of equal ``state`` per group, from 1."""
+    split = sized(df, group) if split is None else split
     marked = previous(df.withColumn("_state", state), group, order, {"_was": F.col("_state")}, split)
     new = (~F.col("_state").eqNullSafe(F.col("_was"))).cast("bigint")
     return running_sum(marked, group, order, new, out, split).drop("_state", "_was")

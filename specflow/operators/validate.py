@@ -35,10 +35,6 @@ def _is_bound(value: str | None) -> bool:
     return value == value.strip()
 
 
-def _never(c: Column) -> Column:
-    return F.lit(False)
-
-
 def _max_length(c: Column, r: ValidationRule) -> Column:
     limit = _int(r.value, None)
     return F.lit(False) if limit is None else F.length(c) > limit

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specflow.functions import cron
-from specflow.operators.ordered import previous, row_numbers, running_sum
+from specflow.operators.ordered import previous, row_numbers, running_sum, sized
 
 # Window states and the reasons an event is turned away.
 STATES = ("PENDING", "OPENING", "OPEN", "CLOSING", "CLOSED", "ERROR")
@@ -40,9 +40,10 @@ def summary(events: DataFrame, ts: str, keys: tuple[str, ...]) -> DataFrame:
     return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("event_count"), F.max(ts).alias("last_event_at"))
 
 
-def sessions(events: DataFrame, key: str, ts: str, unique: str, gap_ms: int, split: bool | None = None) -> DataFrame:
+def sessions(events: DataFrame, key: str, ts: str, unique: str, gap_ms: int, split: int | bool | None = None) -> DataFrame:
     """Sessions per key: a pause of at least the gap opens a new one."""
     at = F.unix_millis(F.col(ts))
+    split = sized(events, (key,)) if split is None else split
     back = previous(events.select(key, ts, unique), (key,), (ts, unique), {"_at": at}, split)
     opens = (F.col("_at").isNull() | (at - F.col("_at") >= gap_ms)).cast("bigint")
     numbered = running_sum(back, (key,), (ts, unique), opens, "session_no", split)
@@ -54,7 +55,7 @@ def sessions(events: DataFrame, key: str, ts: str, unique: str, gap_ms: int, spl
 
 
 def count_windows(events: DataFrame, group: tuple[str, ...], order: tuple[str, ...], size: int, out: str = "window_no",
-                  split: bool | None = None) -> DataFrame:
+                  split: int | bool | None = None) -> DataFrame:
     """Every ``size`` events of a group form a window, numbered from 0."""
     return row_numbers(events, group, order, "_rn", split).withColumn(
         out, F.floor((F.col("_rn") - 1) / size).cast("bigint")
@@ -62,7 +63,7 @@ def count_windows(events: DataFrame, group: tuple[str, ...], order: tuple[str, .
 
 
 def marker_windows(events: DataFrame, group: tuple[str, ...], order: tuple[str, ...], marker: Column,
-                   out: str = "window_no", split: bool | None = None) -> DataFrame:
+                   out: str = "window_no", split: int | bool | None = None) -> DataFrame:
     """A marker event closes the window it falls in; windows are numbered from 0."""
     hit = F.coalesce(marker, F.lit(False)).cast("bigint")
     run = running_sum(events.withColumn("_m", hit), group, order, F.col("_m"), "_upto", split)
@@ -147,7 +148,7 @@ def arrival_verdict(arrival: Column, close: Column, allow_late: bool, tolerance_
 
 
 def threshold_fires(events: DataFrame, window: tuple[str, ...], order: tuple[str, ...], threshold: int,
-                    reset: bool = True, limit: int | None = None, split: bool | None = None) -> DataFrame:
+                    reset: bool = True, limit: int | None = None, split: int | bool | None = None) -> DataFrame:
     """The events whose arrival takes a window's count across the threshold, with the trigger number."""
     run = row_numbers(events, window, order, "running_count", split)
     crossed = F.col("running_count") % threshold == 0 if reset else F.col("running_count") == threshold

@@ -39,7 +39,7 @@ class OutboundRun:
 
 
 def generate(records: DataFrame, spec: FileSpec, order: tuple[str, ...], batch_size: int = 10_000,
-             keep: tuple[str, ...] = (), split: bool | None = None, **options) -> OutboundRun:
+             keep: tuple[str, ...] = (), split: int | bool | None = None, **options) -> OutboundRun:
     """Detail lines in files of at most ``batch_size`` records per aggregation key."""
     config = spec.outbound
     done = mapped_records(records, spec, keep=tuple(dict.fromkeys((*keep, *[o for o in order if o not in ("_seq", "_file")]))))

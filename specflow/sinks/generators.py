@@ -87,7 +87,7 @@ for _name, _build in {
 
 
 def split_files(records: DataFrame, group: tuple[str, ...], order: tuple[str, ...], batch_size: int,
-                split: bool | None = None) -> DataFrame:
+                split: int | bool | None = None) -> DataFrame:
     """Adds ``file_no`` (from 0 per group) and ``line_no`` (from 1 per file): no file exceeds the batch size."""
     numbered = row_numbers(records, group, order, "_rn", split)
     return numbered.select(

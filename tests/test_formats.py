@@ -6,7 +6,7 @@ from specflow.sources.fixed_width import parse_fixed_width
 from specflow.sources.json_records import parse_json_lines
 from specflow.sources.lines import read_lines
 from specflow.sources.listing import file_facts, glob_of, matches, normalise_filters
-from specflow.sources.payments import nacha_entries, nacha_lines, swift_records, x12_segments
+from specflow.sources.payments import nacha_entries, nacha_lines, x12_segments
 from specflow.spec import FieldSpec, FileSpec, load_spec
 
 
