@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from specflow.llm import (
     decontaminate,
     line_dedup,
+    lm,
     neighbours,
     packing,
     secrets,
@@ -32,6 +33,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", rejected.alias("predicted"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_rest(F.col("doc_id"), 10) == 0
+    scored = lm.score(documents, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), *scored.columns[1:])
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_rows(table(spark, sf_dir, "documents"), 16)
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -162,7 +170,7 @@ FROM keyed k LEFT JOIN shared s ON s.key = k.key GROUP BY row
 QUERIES = {
     q.__name__: q
     for q in (
-        op1_toxicity, op3_sharding, op4_packing, op5_neighbours, op6_url_filter, op7_secrets, op8_decontamination,
+        op1_toxicity, op2_lm_scoring, op3_sharding, op4_packing, op5_neighbours, op6_url_filter, op7_secrets, op8_decontamination,
         op9_simhash, op10_line_dedup,
     )
 }
