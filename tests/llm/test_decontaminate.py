@@ -46,7 +46,7 @@ def test_like_brute_force(spark, documents, benchmark):
     table = documents.collect()
     items = spark.createDataFrame(benchmark, "item_id bigint, text string")
     want = brute(table, benchmark)
-    for words_per_block in (2_000_000, 30):
+    for words_per_block in (2_000_000, 1_000):
         got = contamination(documents, items, words_per_block=words_per_block)
         assert got.columns[: len(documents.columns)] == documents.columns
         names = got.columns[len(documents.columns) :]

@@ -67,7 +67,7 @@ def test_repeated_strings_are_not_new_and_prose_is_clean(corpus):
     code = "Zx81Qw93Lk27Vb64Nm05"
     around = f"let k = {code}; auth {code} ok"
     second = around.rindex(code)
-    assert novelty(around, second, second + len(code), KNOWN) < 0.3
+    assert novelty(around, second, second + len(code), KNOWN) < 0.4
     draw = random.Random(2)
     assert all(scan(prose(draw, 200), KNOWN) == [] for _ in range(20))
 
