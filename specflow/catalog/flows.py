@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from specflow.catalog.base import DAY, PRICE, TXN, TXN_FIELDS, TXN_SPEC, TXN_SQL, columns, register
+from specflow.catalog.base import DAY, PRICE, ORDER, ORDER_FIELDS, ORDER_SPEC, ORDER_SQL, columns, register
 from specflow.catalog.sinks import pay_events
 from specflow.catalog.sources import FILE_KEYS, FILE_OF, write_files
 from specflow.catalog.windows import events
@@ -18,52 +18,49 @@ from specflow.sources.listing import file_facts
 from specflow.spec import FieldMapping, OutputSpec, load_spec
 
 
-def _txn_files(spark, sf):
-    rows = columns(spark, sf, "orders", {"b": FILE_OF, **TXN})
-    lines = rows.select("b", "k", F.concat_ws("|", *TXN_FIELDS).alias("value"))
-    return write_files(lines, work_path(spark, "txn"), ["b"])
+def _order_files(spark, sf):
+    rows = columns(spark, sf, "orders", {"b": FILE_OF, **ORDER})
+    lines = rows.select("b", "k", F.concat_ws("|", *ORDER_FIELDS).alias("value"))
+    return write_files(lines, work_path(spark, "orders"), ["b"])
 
 
-@register("flow_file_to_events", "PIP-01", TXN_SQL + f"""SELECT k, seq, corrected, CAST(n_errors AS BIGINT) AS n_errors FROM (SELECT *, row_number() OVER (PARTITION BY floor(k / {FILE_KEYS}.0) ORDER BY k) - 1 AS seq FROM run) WHERE NOT fatal""")
+@register("flow_file_to_events", "PIP-01", ORDER_SQL + f"""SELECT k, seq, corrected, CAST(n_errors AS BIGINT) AS n_errors FROM (SELECT *, row_number() OVER (PARTITION BY floor(k / {FILE_KEYS}.0) ORDER BY k) - 1 AS seq FROM run) WHERE NOT fatal""")
 def flow_file_to_events(spark, sf):
     """Files read, numbered, corrected, validated, routed and turned into events."""
-    run = inbound.run_files(spark, _txn_files(spark, sf), TXN_SPEC)
-    made = envelopes(run.passed.withColumn("n_errors", F.size("_errors").cast("bigint")), TXN_SPEC, run.run_id, stamp=F.lit(0), keep=("n_errors",))
+    run = inbound.run_files(spark, _order_files(spark, sf), ORDER_SPEC)
+    made = envelopes(run.passed.withColumn("n_errors", F.size("_errors").cast("bigint")), ORDER_SPEC, run.run_id, stamp=F.lit(0), keep=("n_errors",))
     v = F.parse_json("value")
     return made.select(
-        F.substring(F.variant_get(v, "$.fields.transactionId", "string"), 2, 20).cast("bigint").alias("k"),
+        F.substring(F.variant_get(v, "$.fields.orderNo", "string"), 2, 20).cast("bigint").alias("k"),
         F.variant_get(v, "$.sequenceNumber", "bigint").alias("seq"), F.variant_get(v, "$.corrected", "boolean").alias("corrected"), "n_errors")
 
 
-@register("flow_file_summary", "PIP-01, AGG-01, AGG-02, AGG-03", TXN_SQL + f"""SELECT total_records, successful_records, failed_records, corrected_records, warning_records,
+@register("flow_file_summary", "PIP-01, AGG-01, AGG-02, AGG-03", ORDER_SQL + f"""SELECT total_records, successful_records, failed_records, corrected_records, warning_records,
  CASE WHEN failed_records > 0 AND successful_records > 0 THEN 'COMPLETED_WITH_ERRORS' WHEN failed_records > 0 THEN 'FAILED' WHEN warning_records > 0 THEN 'COMPLETED_WITH_WARNINGS' ELSE 'COMPLETED' END AS status,
  round(successful_records / total_records, 9) AS success_rate FROM (SELECT count(*) AS total_records, count(*) FILTER (WHERE NOT invalid) AS successful_records, count(*) FILTER (WHERE invalid) AS failed_records,
- count(*) FILTER (WHERE NOT invalid AND corrected) AS corrected_records, count(*) FILTER (WHERE NOT invalid AND long_text) AS warning_records FROM run GROUP BY floor(k / {FILE_KEYS}.0))""")
+ count(*) FILTER (WHERE NOT invalid AND corrected) AS corrected_records, count(*) FILTER (WHERE NOT invalid AND wordy) AS warning_records FROM run GROUP BY floor(k / {FILE_KEYS}.0))""")
 def flow_file_summary(spark, sf):
     """One summary per file of one run over many files."""
-    run = inbound.run_files(spark, _txn_files(spark, sf), TXN_SPEC, skip_invalid=True, store=False)
+    run = inbound.run_files(spark, _order_files(spark, sf), ORDER_SPEC, skip_invalid=True, store=False)
     return run.summary.withColumn("success_rate", F.round("success_rate", 9)).drop("_file")
 
 
 OUT_SPEC = load_spec({
-    "id": "pay-out", "name": "pay-out", "format": "CSV", "fields": [{"name": "account"}], "outbound": {
-        "format": "CSV", "fieldOrder": ["routingNo", "accountNo", "amount", "code"],
+    "id": "day-sheet", "name": "Day sheet", "format": "CSV", "fields": [{"name": "account"}], "outbound": {
+        "format": "DELIMITED", "delimiter": ";", "fieldOrder": ["on", "client"],
         "fieldMappings": [
-            {"sourceField": "account", "targetField": "accountNo", "transform": "UPPERCASE"},
-            {"sourceField": "amount", "targetField": "amount", "transform": "FORMAT_DECIMAL_2DP"},
-            {"sourceField": "routing", "targetField": "routingNo", "defaultValue": "021000021"},
-            {"sourceField": "kind", "targetField": "code", "defaultValue": "22"},
-            {"sourceField": "day", "targetField": "day"}],
-        "correctionRules": [{"field": "amount", "type": "PAD_LEFT", "length": 12, "padChar": "0"}],
-        "validationRules": [
-            {"field": "amount", "type": "MIN_VALUE", "value": "1000", "severity": "FATAL", "message": "too small"},
-            {"field": "routingNo", "type": "REQUIRED"}],
-        "aggregationKey": "day", "fileNamingPattern": "PAY_{day}_{specId}.{ext}"}})
-OUT_SQL = f"""WITH o AS (SELECT o_orderkey AS k, {DAY} AS day, CASE WHEN o_orderstatus = 'P' THEN '12.00' ELSE {PRICE} END AS amount, 'AC' || o_custkey AS account, CASE WHEN o_orderstatus = 'F' THEN '27' ELSE '22' END AS code, o_orderstatus FROM orders)"""
-
-
-@register("flow_events_to_file", "PIP-02, PRJ-18, PRJ-19", OUT_SQL + """ SELECT 'PAY_' || day || '_pay-out.csv' AS file_name, (rn - 1) // 5 AS file_no, (rn - 1) % 5 + 1 AS line_no, line FROM (
- SELECT day, row_number() OVER (PARTITION BY day ORDER BY k) AS rn, '021000021,' || account || ',' || lpad(amount, 12, '0') || ',' || code || ',' || day AS line FROM o WHERE o_orderstatus <> 'P')""")
+            {"sourceField": "amount", "targetField": "worth", "transform": "FORMAT_DECIMAL_2DP"},
+            {"sourceField": "kind", "targetField": "desk", "defaultValue": "counter"},
+            {"sourceField": "day", "targetField": "on"},
+            {"sourceField": "account", "targetField": "client", "transform": "UPPERCASE"}],
+        "correctionRules": [{"field": "desk", "type": "UPPERCASE"}],
+        "validationRules": [{"field": "worth", "type": "MIN_VALUE", "value": "1000", "severity": "FATAL", "message": "not worth a line"}],
+        "aggregationKey": "on", "fileNamingPattern": "{specId}-{day}.{ext}"}})
+OUT_SQL = f"""WITH o AS (SELECT o_orderkey AS k, {DAY} AS day, {PRICE} AS worth, 'AC' || o_custkey AS client, CASE WHEN o_orderstatus = 'F' THEN '27' ELSE 'COUNTER' END AS desk, o_orderstatus FROM orders)"""
+
+
+@register("flow_events_to_file", "PIP-02, PRJ-18, PRJ-19", OUT_SQL + """ SELECT 'day-sheet-' || day || '.txt' AS file_name, (rn - 1) // 5 AS file_no, (rn - 1) % 5 + 1 AS line_no, line FROM (
+ SELECT day, row_number() OVER (PARTITION BY day ORDER BY k) AS rn, day || ';' || client || ';' || worth || ';' || desk AS line FROM o WHERE o_orderstatus <> 'P')""")
 def flow_events_to_file(spark, sf):
     """Events mapped, corrected, validated and cut into files of five lines per day."""
     run = outbound.generate(pay_events(spark, sf), OUT_SPEC, ("_seq",), batch_size=5)
@@ -76,15 +73,15 @@ def outbound_summary(spark, sf):
     return outbound.run_summary(outbound.mapped_records(pay_events(spark, sf), OUT_SPEC), OUT_SPEC)
 
 
-@register("flow_file_to_file", "PIP-03", TXN_SQL + """SELECT k, '{"reference":"' || txn_id || '","value":"' || amount_ok || '","day":"' || day_ok || '"}' AS line FROM run WHERE NOT invalid""")
+@register("flow_file_to_file", "PIP-03", ORDER_SQL + """SELECT k, '{"ref":"' || order_no || '","worth":"' || price_ok || '","on":"' || placed_ok || '"}' AS line FROM run WHERE NOT invalid""")
 def flow_file_to_file(spark, sf):
     """Pipe-delimited in, JSON out."""
     from dataclasses import replace
 
-    spec = replace(TXN_SPEC, output_spec=OutputSpec("JSON", field_mappings=(
-        FieldMapping("transactionId", "reference"), FieldMapping("amount", "value"), FieldMapping("transactionDate", "day"))))
-    lines = columns(spark, sf, "orders", TXN).select(
-        F.lit("orders.txt").alias("_file"), F.col("k").alias("_seq"), F.concat_ws("|", *TXN_FIELDS).alias("_raw"))
+    spec = replace(ORDER_SPEC, output_spec=OutputSpec("JSON", field_mappings=(
+        FieldMapping("orderNo", "ref"), FieldMapping("price", "worth"), FieldMapping("placed", "on"))))
+    lines = columns(spark, sf, "orders", ORDER).select(
+        F.lit("orders.txt").alias("_file"), F.col("k").alias("_seq"), F.concat_ws("|", *ORDER_FIELDS).alias("_raw"))
     return file_to_file.convert(parse_delimited(lines, spec), spec, True).select(F.col("_seq").alias("k"), "line")
 
 

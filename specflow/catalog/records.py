@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from specflow.catalog.base import (
-    DAY, PRICE, TXN, TXN_FIELDS, TXN_SPEC, TXN_SQL, columns, register, select_sql, txn_lines,
+    DAY, PRICE, ORDER, ORDER_FIELDS, ORDER_SPEC, ORDER_SQL, columns, register, select_sql, order_lines,
 )
 from specflow.functions import checks, masking
 from specflow.operators import coerce, route
@@ -59,7 +59,7 @@ _coerce(
     FieldSpec("v", "LONG", column_index=1),
 )
 _coerce(
-    "coerce_decimal", "PRJ-05", "orders", "o_orderkey", TXN["amount"], "v",
+    "coerce_decimal", "PRJ-05", "orders", "o_orderkey", ORDER["price"], "v",
     "CASE WHEN v LIKE '$%' THEN 'Cannot convert ''v'' value ''' || v || ''' to DECIMAL' END",
     FieldSpec("v", "DECIMAL", column_index=1),
 )
@@ -83,39 +83,39 @@ _coerce(
 )
 
 
-@register("coerce_date", "PRJ-09", f"SELECT k, CASE WHEN v LIKE '%/%' THEN NULL ELSE v END AS day FROM (SELECT o_orderkey AS k, {TXN['day']} AS v FROM orders)")
+@register("coerce_date", "PRJ-09", f"SELECT k, CASE WHEN v LIKE '%/%' THEN NULL ELSE v END AS day FROM (SELECT o_orderkey AS k, {ORDER['placed']} AS v FROM orders)")
 def coerce_date(spark, sf):
-    rows = columns(spark, sf, "orders", {"k": "o_orderkey", "v": TXN["day"]})
+    rows = columns(spark, sf, "orders", {"k": "o_orderkey", "v": ORDER["placed"]})
     typed = coerce.typed(FieldSpec("v", "DATE", format="yyyy-MM-dd"), F.col("v"))
     return rows.select("k", typed.cast("string").alias("day"))
 
 
-PARSE_SQL = f"WITH raw AS ({select_sql('orders', TXN)}) "
+PARSE_SQL = f"WITH raw AS ({select_sql('orders', ORDER)}) "
 
 
 def _parsed(spark, sf):
-    return parse_delimited(txn_lines(spark, sf), TXN_SPEC)
+    return parse_delimited(order_lines(spark, sf), ORDER_SPEC)
 
 
 @register("coerce_errors", "PRJ-10", PARSE_SQL + """
-SELECT k, 'amount' AS field, 'Cannot convert ''amount'' value ''' || amount || ''' to AMOUNT' AS message, amount AS raw_value
-FROM raw WHERE amount LIKE '$%'""")
+SELECT k, 'price' AS field, 'Cannot convert ''price'' value ''' || price || ''' to DECIMAL' AS message, price AS raw_value
+FROM raw WHERE price LIKE '$%'""")
 def coerce_errors(spark, sf):
     found = _parsed(spark, sf).select(F.col("_seq").alias("k"), F.explode("_errors").alias("e"))
-    return found.filter("e.field = 'amount'").select("k", "e.field", "e.message", "e.raw_value")
+    return found.filter("e.field = 'price'").select("k", "e.field", "e.message", "e.raw_value")
 
 
 @register("required_missing", "PRJ-11", PARSE_SQL + """
-SELECT k, 'accountNumber' AS field, 'Required field ''accountNumber'' is missing or empty' AS message, 'ERROR' AS severity
-FROM raw WHERE account = ''""")
+SELECT k, 'buyer' AS field, 'Required field ''buyer'' is missing or empty' AS message, 'ERROR' AS severity
+FROM raw WHERE buyer = ''""")
 def required_missing(spark, sf):
     found = _parsed(spark, sf).select(F.col("_seq").alias("k"), F.explode("_errors").alias("e"))
-    return found.filter("e.field = 'accountNumber'").select("k", "e.field", "e.message", "e.severity")
+    return found.filter("e.field = 'buyer'").select("k", "e.field", "e.message", "e.severity")
 
 
-@register("default_fill", "PRJ-12", PARSE_SQL + "SELECT k, CASE WHEN status = '' THEN 'POSTED' ELSE status END AS status FROM raw")
+@register("default_fill", "PRJ-12", PARSE_SQL + "SELECT k, CASE WHEN memo = '' THEN 'none' ELSE memo END AS memo FROM raw")
 def default_fill(spark, sf):
-    return _parsed(spark, sf).select(F.col("_seq").alias("k"), F.col("f_status").alias("status"))
+    return _parsed(spark, sf).select(F.col("_seq").alias("k"), F.col("f_memo").alias("memo"))
 
 
 @register("missing_column", "PRJ-13", "SELECT o_orderkey AS k, CAST(NULL AS VARCHAR) AS note, 'Column ''NOTE'' not found in header' AS message FROM orders")
@@ -140,7 +140,7 @@ def short_line(spark, sf):
     return parsed.select(F.col("_seq").alias("k"), F.col("f_tail").alias("tail"), F.get("_errors", F.lit(0)).getField("message").alias("message"))
 
 
-_PIPED = " || '|' || ".join(TXN_FIELDS)
+_PIPED = " || '|' || ".join(ORDER_FIELDS)
 
 
 @register("raw_keep", "PRJ-02", PARSE_SQL + f"SELECT k, {_PIPED} AS raw FROM raw")
@@ -230,12 +230,12 @@ def cor_order(spark, sf):
     return done.select(F.col("_seq").alias("k"), F.col("f_value").alias("value"), F.size("_corrections").alias("n_changes"))
 
 
-@register("cor_log", "COR-15", TXN_SQL + """
-SELECT k, 'transactionType' AS field, kind AS original, upper(kind) AS corrected, 'UPPERCASE' AS type FROM judged WHERE kind <> upper(kind)
-UNION ALL SELECT k, 'amount', amount, amount_ok, 'NUMBER_FORMAT_COERCE' FROM judged WHERE amount <> amount_ok
-UNION ALL SELECT k, 'transactionDate', day, day_ok, 'DATE_FORMAT_COERCE' FROM judged WHERE day <> day_ok""")
+@register("cor_log", "COR-15", ORDER_SQL + """
+SELECT k, 'stage' AS field, stage AS original, upper(stage) AS corrected, 'UPPERCASE' AS type FROM judged WHERE stage <> upper(stage)
+UNION ALL SELECT k, 'price', price, price_ok, 'NUMBER_FORMAT_COERCE' FROM judged WHERE price <> price_ok
+UNION ALL SELECT k, 'placed', placed, placed_ok, 'DATE_FORMAT_COERCE' FROM judged WHERE placed <> placed_ok""")
 def cor_log(spark, sf):
-    done = apply_corrections(_parsed(spark, sf), TXN_SPEC)
+    done = apply_corrections(_parsed(spark, sf), ORDER_SPEC)
     return done.select(F.col("_seq").alias("k"), F.explode("_corrections").alias("c")).select(
         "k", "c.field", "c.original", "c.corrected", "c.type")
 
@@ -318,21 +318,21 @@ _constraint("val_iban", "VAL-22", "orders", "o_orderkey",
             "'Field ''value'' value ''***'' does not match required pattern'")
 
 
-@register("val_all", "VAL-00", TXN_SQL + "SELECT k, CAST(n_errors AS INT) AS n_errors, CAST(long_text AS INT) AS n_warnings FROM run")
+@register("val_all", "VAL-00", ORDER_SQL + "SELECT k, CAST(n_errors AS INT) AS n_errors, CAST(wordy AS INT) AS n_warnings FROM run")
 def val_all(spark, sf):
-    done = processed(_parsed(spark, sf), TXN_SPEC)
+    done = processed(_parsed(spark, sf), ORDER_SPEC)
     return done.select(F.col("_seq").alias("k"), F.size("_errors").alias("n_errors"), F.size("_warnings").alias("n_warnings"))
 
 
-@register("val_severity", "VAL-17", TXN_SQL + """
+@register("val_severity", "VAL-17", ORDER_SQL + """
 SELECT severity, count(*) AS n FROM (
   SELECT 'FATAL' AS severity FROM run WHERE fatal
   UNION ALL SELECT 'ERROR' FROM run WHERE fatal
-  UNION ALL SELECT 'ERROR' FROM run WHERE bad_amount UNION ALL SELECT 'ERROR' FROM run WHERE small
-  UNION ALL SELECT 'ERROR' FROM run WHERE bad_routing UNION ALL SELECT 'ERROR' FROM run WHERE bad_kind
-  UNION ALL SELECT 'WARNING' FROM run WHERE long_text) GROUP BY severity""")
+  UNION ALL SELECT 'ERROR' FROM run WHERE bad_price UNION ALL SELECT 'ERROR' FROM run WHERE dear
+  UNION ALL SELECT 'ERROR' FROM run WHERE slow UNION ALL SELECT 'ERROR' FROM run WHERE bad_stage
+  UNION ALL SELECT 'WARNING' FROM run WHERE wordy) GROUP BY severity""")
 def val_severity(spark, sf):
-    done = processed(_parsed(spark, sf), TXN_SPEC)
+    done = processed(_parsed(spark, sf), ORDER_SPEC)
     return done.select(F.explode(F.concat("_errors", "_warnings")).alias("e")).groupBy(F.col("e.severity").alias("severity")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -354,25 +354,25 @@ def mask_prefix(spark, sf):
 # --- routing and summaries --------------------------------------------------------------
 
 def _run(spark, sf, skip=False):
-    return processed(_parsed(spark, sf), TXN_SPEC, skip)
+    return processed(_parsed(spark, sf), ORDER_SPEC, skip)
 
 
-@register("route_fatal", "RTE-01", TXN_SQL + "SELECT k FROM run WHERE NOT fatal")
+@register("route_fatal", "RTE-01", ORDER_SQL + "SELECT k FROM run WHERE NOT fatal")
 def route_fatal(spark, sf):
     return route.passing(_run(spark, sf)).select(F.col("_seq").alias("k"))
 
 
-@register("route_skip_invalid", "RTE-02", TXN_SQL + "SELECT k FROM run WHERE NOT invalid")
+@register("route_skip_invalid", "RTE-02", ORDER_SQL + "SELECT k FROM run WHERE NOT invalid")
 def route_skip_invalid(spark, sf):
     return route.passing(_run(spark, sf, True)).select(F.col("_seq").alias("k"))
 
 
-@register("route_pass", "RTE-03", TXN_SQL + "SELECT k, CASE WHEN invalid THEN 'WITH_ERRORS' ELSE 'OK' END AS route FROM run WHERE NOT fatal")
+@register("route_pass", "RTE-03", ORDER_SQL + "SELECT k, CASE WHEN invalid THEN 'WITH_ERRORS' ELSE 'OK' END AS route FROM run WHERE NOT fatal")
 def route_pass(spark, sf):
     return route.passing(_run(spark, sf)).select(F.col("_seq").alias("k"), F.col("_route").alias("route"))
 
 
-@register("route_quarantine", "RTE-04, STR-22", TXN_SQL + "SELECT k, CASE WHEN fatal THEN 'FATAL' ELSE 'SKIPPED' END AS route, CAST(n_errors AS INT) AS n_errors FROM run WHERE invalid")
+@register("route_quarantine", "RTE-04, STR-22", ORDER_SQL + "SELECT k, CASE WHEN fatal THEN 'FATAL' ELSE 'SKIPPED' END AS route, CAST(n_errors AS INT) AS n_errors FROM run WHERE invalid")
 def route_quarantine(spark, sf):
     return route.quarantined(_run(spark, sf, True)).select(
         F.col("_seq").alias("k"), F.col("_route").alias("route"), F.size("_errors").alias("n_errors"))
@@ -380,26 +380,26 @@ def route_quarantine(spark, sf):
 
 SUMMARY = """count(*) AS total_records, count(*) FILTER (WHERE NOT invalid) AS successful_records,
  count(*) FILTER (WHERE {out}) AS failed_records, count(*) FILTER (WHERE NOT ({out}) AND corrected) AS corrected_records,
- count(*) FILTER (WHERE NOT ({out}) AND long_text) AS warning_records"""
+ count(*) FILTER (WHERE NOT ({out}) AND wordy) AS warning_records"""
 
 
-@register("run_summary", "AGG-01", TXN_SQL + f"SELECT {SUMMARY.format(out='fatal')} FROM run")
+@register("run_summary", "AGG-01", ORDER_SQL + f"SELECT {SUMMARY.format(out='fatal')} FROM run")
 def run_summary(spark, sf):
     return route.summarise(_run(spark, sf))
 
 
-@register("run_status", "AGG-02", TXN_SQL + f"""SELECT *, CASE WHEN failed_records > 0 AND successful_records > 0 THEN 'COMPLETED_WITH_ERRORS'
+@register("run_status", "AGG-02", ORDER_SQL + f"""SELECT *, CASE WHEN failed_records > 0 AND successful_records > 0 THEN 'COMPLETED_WITH_ERRORS'
  WHEN failed_records > 0 THEN 'FAILED' WHEN warning_records > 0 THEN 'COMPLETED_WITH_WARNINGS' ELSE 'COMPLETED' END AS status
- FROM (SELECT kind, {SUMMARY.format(out='invalid')} FROM run GROUP BY kind)""")
+ FROM (SELECT stage, {SUMMARY.format(out='invalid')} FROM run GROUP BY stage)""")
 def run_status(spark, sf):
-    """One run per transaction type as sent."""
-    lines = columns(spark, sf, "orders", TXN).select(
-        F.col("kind").alias("_file"), F.col("k").alias("_seq"), F.concat_ws("|", *TXN_FIELDS).alias("_raw"))
-    done = processed(parse_delimited(lines, TXN_SPEC), TXN_SPEC, True)
-    return route.with_status(route.summarise(done, ("_file",))).withColumnRenamed("_file", "kind")
+    """One run per stage as sent."""
+    lines = columns(spark, sf, "orders", ORDER).select(
+        F.col("stage").alias("_file"), F.col("k").alias("_seq"), F.concat_ws("|", *ORDER_FIELDS).alias("_raw"))
+    done = processed(parse_delimited(lines, ORDER_SPEC), ORDER_SPEC, True)
+    return route.with_status(route.summarise(done, ("_file",))).withColumnRenamed("_file", "stage")
 
 
-@register("run_success_rate", "AGG-03", TXN_SQL + """SELECT total_records, successful_records,
+@register("run_success_rate", "AGG-03", ORDER_SQL + """SELECT total_records, successful_records,
  round(successful_records / total_records, 9) AS success_rate, duration_ms FROM (
  SELECT count(*) AS total_records, count(*) FILTER (WHERE NOT invalid) AS successful_records,
  (SELECT (epoch_us(max(o_orderdate)) // 1000) - (epoch_us(min(o_orderdate)) // 1000) FROM orders) AS duration_ms FROM run)""")
@@ -411,44 +411,44 @@ def run_success_rate(spark, sf):
     return timed.select("total_records", "successful_records", F.round("success_rate", 9).alias("success_rate"), "duration_ms")
 
 
-@register("error_details", "AGG-04", TXN_SQL + """
-SELECT k AS sequence_number, 'accountNumber' AS field, 'Required field ''accountNumber'' is missing or empty' AS message, 'ERROR' AS severity FROM run WHERE fatal
-UNION ALL SELECT k, 'accountNumber', 'account missing', 'FATAL' FROM run WHERE fatal
-UNION ALL SELECT k, 'amount', 'Cannot convert ''amount'' value ''' || amount || ''' to AMOUNT', 'ERROR' FROM run WHERE fatal AND bad_amount
-UNION ALL SELECT k, 'amount', 'amount too small', 'ERROR' FROM run WHERE fatal AND small
-UNION ALL SELECT k, 'routingNumber', 'routing length', 'ERROR' FROM run WHERE fatal AND bad_routing
-UNION ALL SELECT k, 'transactionType', 'Field ''transactionType'' value ''UNKNOWN'' not in allowed values: [CREDIT, DEBIT, REVERSAL, FEE]', 'ERROR' FROM run WHERE fatal AND bad_kind""")
+@register("error_details", "AGG-04", ORDER_SQL + """
+SELECT k AS sequence_number, 'buyer' AS field, 'Required field ''buyer'' is missing or empty' AS message, 'ERROR' AS severity FROM run WHERE fatal
+UNION ALL SELECT k, 'buyer', 'nobody ordered', 'FATAL' FROM run WHERE fatal
+UNION ALL SELECT k, 'price', 'Cannot convert ''price'' value ''' || price || ''' to DECIMAL', 'ERROR' FROM run WHERE fatal AND bad_price
+UNION ALL SELECT k, 'price', 'needs approval', 'ERROR' FROM run WHERE fatal AND dear
+UNION ALL SELECT k, 'urgency', 'urgency unknown', 'ERROR' FROM run WHERE fatal AND slow
+UNION ALL SELECT k, 'stage', 'Field ''stage'' value ''LIMBO'' not in allowed values: [OPEN, DONE, HELD]', 'ERROR' FROM run WHERE fatal AND bad_stage""")
 def error_details(spark, sf):
     return route.error_details(_run(spark, sf)).drop("_file")
 
 
-@register("errors_by_rule", "AGG-05", TXN_SQL + """
+@register("errors_by_rule", "AGG-05", ORDER_SQL + """
 SELECT field, rule_id, severity, count(*) AS n FROM (
- SELECT 'accountNumber' AS field, '-' AS rule_id, 'ERROR' AS severity FROM run WHERE fatal
- UNION ALL SELECT 'accountNumber', 'v3', 'FATAL' FROM run WHERE fatal
- UNION ALL SELECT 'amount', '-', 'ERROR' FROM run WHERE bad_amount
- UNION ALL SELECT 'amount', 'v1', 'ERROR' FROM run WHERE small
- UNION ALL SELECT 'routingNumber', 'v2', 'ERROR' FROM run WHERE bad_routing
- UNION ALL SELECT 'transactionType', '-', 'ERROR' FROM run WHERE bad_kind
- UNION ALL SELECT 'description', 'v4', 'WARNING' FROM run WHERE long_text) GROUP BY ALL""")
+ SELECT 'buyer' AS field, '-' AS rule_id, 'ERROR' AS severity FROM run WHERE fatal
+ UNION ALL SELECT 'buyer', 'who', 'FATAL' FROM run WHERE fatal
+ UNION ALL SELECT 'price', '-', 'ERROR' FROM run WHERE bad_price
+ UNION ALL SELECT 'price', 'dear', 'ERROR' FROM run WHERE dear
+ UNION ALL SELECT 'urgency', 'slow', 'ERROR' FROM run WHERE slow
+ UNION ALL SELECT 'stage', '-', 'ERROR' FROM run WHERE bad_stage
+ UNION ALL SELECT 'memo', 'wordy', 'WARNING' FROM run WHERE wordy) GROUP BY ALL""")
 def errors_by_rule(spark, sf):
     return route.issues_by_rule(_run(spark, sf))
 
 
-@register("corrections_by_type", "AGG-06", TXN_SQL + """
+@register("corrections_by_type", "AGG-06", ORDER_SQL + """
 SELECT field, type, count(*) AS n FROM (
- SELECT 'transactionType' AS field, 'UPPERCASE' AS type FROM judged WHERE kind <> upper(kind)
- UNION ALL SELECT 'amount', 'NUMBER_FORMAT_COERCE' FROM judged WHERE amount <> amount_ok
- UNION ALL SELECT 'transactionDate', 'DATE_FORMAT_COERCE' FROM judged WHERE day <> day_ok) GROUP BY ALL""")
+ SELECT 'stage' AS field, 'UPPERCASE' AS type FROM judged WHERE stage <> upper(stage)
+ UNION ALL SELECT 'price', 'NUMBER_FORMAT_COERCE' FROM judged WHERE price <> price_ok
+ UNION ALL SELECT 'placed', 'DATE_FORMAT_COERCE' FROM judged WHERE placed <> placed_ok) GROUP BY ALL""")
 def corrections_by_type(spark, sf):
     return route.corrections_by_type(_run(spark, sf))
 
 
-@register("dry_run_summary", "SRC-32", TXN_SQL + f"""SELECT *, CASE WHEN failed_records > 0 AND successful_records > 0 THEN 'COMPLETED_WITH_ERRORS'
+@register("dry_run_summary", "SRC-32", ORDER_SQL + f"""SELECT *, CASE WHEN failed_records > 0 AND successful_records > 0 THEN 'COMPLETED_WITH_ERRORS'
  WHEN failed_records > 0 THEN 'FAILED' WHEN warning_records > 0 THEN 'COMPLETED_WITH_WARNINGS' ELSE 'COMPLETED' END AS status,
  round(successful_records / total_records, 9) AS success_rate FROM (SELECT {SUMMARY.format(out='invalid')} FROM run)""")
 def dry_run_summary(spark, sf):
-    return dry_run(_parsed(spark, sf), TXN_SPEC, True).withColumn("success_rate", F.round("success_rate", 9))
+    return dry_run(_parsed(spark, sf), ORDER_SPEC, True).withColumn("success_rate", F.round("success_rate", 9))
 
 
 @register("check_digit", "VAL-21, PRJ-19", """SELECT k, v || CAST(((10 - (3 * (CAST(v[1] AS INT) + CAST(v[4] AS INT) + CAST(v[7] AS INT))

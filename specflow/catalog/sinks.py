@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from specflow.catalog.base import DAY, PRICE, TXN_SPEC, TXN_SQL, columns, register, txn_lines
+from specflow.catalog.base import DAY, ORDER_SPEC, ORDER_SQL, PRICE, columns, order_lines, register
 from specflow.functions import templates
 from specflow.operators.mapping import map_fields
+from specflow.operators.ordered import row_numbers
 from specflow.operators.records import from_columns, pinned
 from specflow.plans.inbound import processed
 from specflow.session import table, work_path
-from specflow.sinks import generators, writers
+from specflow.sinks import generators, nacha, writers
 from specflow.sinks.envelope import envelopes
 from specflow.sources.delimited import parse_delimited
 from specflow.sources.lines import number_lines, read_lines
 from specflow.sources.listing import file_facts
+from specflow.sources.payments import nacha_entries
 from specflow.operators.route import passing
 from specflow.spec import FieldMapping, FieldSpec, FileSpec
 
@@ -62,30 +64,30 @@ RUN = "11111111-2222-3333-4444-555555555555"
 
 
 def _passed(spark, sf):
-    return passing(processed(parse_delimited(txn_lines(spark, sf), TXN_SPEC), TXN_SPEC))
+    return passing(processed(parse_delimited(order_lines(spark, sf), ORDER_SPEC), ORDER_SPEC))
 
 
-@register("event_envelope", "PRJ-24, PRJ-25", TXN_SQL + f"""SELECT k, '{RUN}' AS run, 'bank-transactions' AS spec, 'orders.txt' AS file, corrected,
- CASE WHEN bad_amount THEN '"' || amount_ok || '"' ELSE CAST(CAST(amount AS DECIMAL(18,2)) AS VARCHAR) END AS amount, upper(kind) AS kind FROM run WHERE NOT fatal""")
+@register("event_envelope", "PRJ-24, PRJ-25", ORDER_SQL + f"""SELECT k, '{RUN}' AS run, 'shop-orders' AS spec, 'orders.txt' AS file, corrected,
+ CASE WHEN bad_price THEN '"' || price_ok || '"' ELSE CAST(CAST(price AS DECIMAL(18,2)) AS VARCHAR) END AS price, upper(stage) AS stage FROM run WHERE NOT fatal""")
 def event_envelope(spark, sf):
     """The JSON event read back: numbers stay numbers unless a correction made them text."""
-    made = envelopes(_passed(spark, sf), TXN_SPEC, RUN, stamp=F.lit(0))
+    made = envelopes(_passed(spark, sf), ORDER_SPEC, RUN, stamp=F.lit(0))
     made = pinned(made.select(F.parse_json("value").alias("v")), ["v"])
     v = F.col("v")
-    amount = F.variant_get(v, "$.fields.amount", "variant")
-    shown = F.when(F.schema_of_variant(amount) == "STRING", F.to_json(amount)).otherwise(F.variant_get(v, "$.fields.amount", "decimal(18,2)").cast("string"))
+    price = F.variant_get(v, "$.fields.price", "variant")
+    shown = F.when(F.schema_of_variant(price) == "STRING", F.to_json(price)).otherwise(F.variant_get(v, "$.fields.price", "decimal(18,2)").cast("string"))
     return made.select(
         F.variant_get(v, "$.sequenceNumber", "bigint").alias("k"), F.variant_get(v, "$.correlationId", "string").alias("run"),
         F.variant_get(v, "$.specId", "string").alias("spec"), F.variant_get(v, "$.fileName", "string").alias("file"),
-        F.variant_get(v, "$.corrected", "boolean").alias("corrected"), shown.alias("amount"), F.variant_get(v, "$.fields.transactionType", "string").alias("kind"))
+        F.variant_get(v, "$.corrected", "boolean").alias("corrected"), shown.alias("price"), F.variant_get(v, "$.fields.stage", "string").alias("stage"))
 
 
-@register("sink_kafka_frame", "SNK-01", TXN_SQL + f"""SELECT '{RUN}' AS key, '{{"correlationId":"{RUN}","specId":"bank-transactions","sequenceNumber":' || k || ',"fileName":"orders.txt","fields":{{"transactionId":"' || txn_id || '","accountNumber":"' || account
- || '","routingNumber":"' || routing || '","amount":"' || amount_ok || '","transactionDate":"' || day_ok || '","transactionType":"' || upper(kind) || '","description":"' || descr || '","status":"POSTED"}},"corrected":'
+@register("sink_kafka_frame", "SNK-01", ORDER_SQL + f"""SELECT '{RUN}' AS key, '{{"correlationId":"{RUN}","specId":"shop-orders","sequenceNumber":' || k || ',"fileName":"orders.txt","fields":{{"placed":"' || placed_ok || '","orderNo":"' || order_no
+ || '","price":"' || price_ok || '","buyer":"' || buyer || '","stage":"' || upper(stage) || '","urgency":"' || urgency || '","memo":"' || memo_ok || '"}},"corrected":'
  || CASE WHEN corrected THEN 'true' ELSE 'false' END || ',"metadata":{{}},"eventTimestamp":0}}' AS value FROM run WHERE NOT fatal""")
 def sink_kafka_frame(spark, sf):
     """Key and value as they go to the topic, fields as text."""
-    return envelopes(_passed(spark, sf), TXN_SPEC, RUN, text_only=True, stamp=F.lit(0))
+    return envelopes(_passed(spark, sf), ORDER_SPEC, RUN, text_only=True, stamp=F.lit(0))
 
 
 @register("storage_key", "PRJ-27", f"SELECT o_orderkey AS k, CAST(o_custkey AS VARCHAR) || '/' || {DAY} || '/F' || CAST(o_orderkey AS VARCHAR) || '.csv' AS storage_key FROM orders")
@@ -111,7 +113,7 @@ def _doc_records(spark, sf):
     return from_columns(table(spark, sf, "documents"), spec, seq="doc_id")
 
 
-@register("gen_csv", "SNK-04, EXT-05", """SELECT doc_id AS k, source || ',' || CASE WHEN contains(text, ',') THEN '"' || replace(text, '"', '') || '"' ELSE replace(text, '"', '') END || ',' || lang AS line FROM documents""")
+@register("gen_csv", "SNK-04, EXT-05", """SELECT doc_id AS k, source || ',' || CASE WHEN regexp_matches(text, '[,"\\r\\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END || ',' || lang AS line FROM documents""")
 def gen_csv(spark, sf):
     return _doc_records(spark, sf).select(F.col("_seq").alias("k"), generators.line_of("CSV", ["source", "text", "lang"]).alias("line"))
 
@@ -146,7 +148,7 @@ BATCHES = f"""WITH e AS (SELECT o_orderkey AS k, o_custkey AS c, {DAY} AS day, C
 
 def entries(spark, sf):
     return columns(spark, sf, "orders", {
-        "k": "o_orderkey", "day": DAY, "code": "CASE WHEN o_orderstatus = 'F' THEN '27' ELSE '22' END", "routing": "lpad(CAST(o_custkey AS STRING), 9, '0')",
+        "k": "o_orderkey", "c": "CAST(o_custkey AS STRING)", "day": DAY, "code": "CASE WHEN o_orderstatus = 'F' THEN '27' ELSE '22' END", "routing": "lpad(CAST(o_custkey AS STRING), 9, '0')",
         "cents": "CAST(round(o_totalprice * 100) AS BIGINT)"})
 
 
@@ -154,13 +156,13 @@ def _totals(spark, sf):
     return generators.totals(entries(spark, sf), ["day"], F.col("cents"), F.col("code"), F.col("routing"))
 
 
-@register("nacha_control", "AGG-12", BATCHES + """SELECT day, n AS "entryCount", debit AS "totalDebit", credit AS "totalCredit", hash AS "entryHash", 1::BIGINT AS "batchCount", ceil((n + 2) / 10)::BIGINT AS "blockCount" FROM t""")
+@register("nacha_control", "AGG-12", BATCHES + """SELECT day, n AS "entryCount", debit AS "totalDebit", credit AS "totalCredit", hash AS "entryHash", 1::BIGINT AS "batchCount", ceil((n + 4) / 10)::BIGINT AS "blockCount" FROM t""")
 def nacha_control(spark, sf):
     return _totals(spark, sf)
 
 
-FOOTER = "9{batchCount:6}{blockCount:6}{entryCount:8}{totalDebit:12}{totalCredit:12}"
-FOOTER_SQL = "'9' || lpad('1', 6, '0') || lpad(CAST(ceil((n + 2) / 10)::BIGINT AS VARCHAR), 6, '0') || lpad(CAST(n AS VARCHAR), 8, '0') || lpad(CAST(debit AS VARCHAR), 12, '0') || lpad(CAST(credit AS VARCHAR), 12, '0')"
+FOOTER = "TOTAL entries={entryCount:9} out={totalDebit:15} in={totalCredit:15} check={entryHash:10}"
+FOOTER_SQL = "'TOTAL entries=' || lpad(CAST(n AS VARCHAR), 9, '0') || ' out=' || lpad(CAST(debit AS VARCHAR), 15, '0') || ' in=' || lpad(CAST(credit AS VARCHAR), 15, '0') || ' check=' || lpad(CAST(hash AS VARCHAR), 10, '0')"
 
 
 @register("gen_footer", "SNK-09", BATCHES + f"SELECT day, {FOOTER_SQL} AS line FROM t")
@@ -170,16 +172,51 @@ def gen_footer(spark, sf):
     return totals.select("day", templates.render(FOOTER, values, generators.NUMERIC_TOTALS).alias("line"))
 
 
-@register("gen_nacha", "SNK-06", BATCHES + f"""SELECT day, 0::BIGINT AS line_no, '101 ' || day || ' A094101ACME' AS line FROM t UNION ALL SELECT day, n + 1, {FOOTER_SQL} FROM t
- UNION ALL SELECT day, row_number() OVER (PARTITION BY day ORDER BY k), '6' || code || routing || lpad(CAST(cents AS VARCHAR), 10, '0') FROM e""")
+# Cells of the files below that are the same in every line.
+BANK = {
+    "destination": "091000019", "origin": "1987654321", "created_on": "260101", "created_at": "0600", "modifier": "A",
+    "destination_name": "PRAIRIE BANK", "origin_name": "ORDER HOUSE", "reference": "", "service_class": "200",
+    "company_name": "ORDER HOUSE", "company_data": "", "company_id": "1987654321", "entry_class": "PPD", "description": "ORDERS",
+    "described_on": "", "effective_on": "260102", "originator": "09100001", "batch_no": "1", "individual_name": "SHOP",
+}
+NACHA_SQL = BATCHES + """SELECT day, 0::BIGINT AS line_no, '101' || lpad('091000019', 10, ' ') || '1987654321' || '260101' || '0600' || 'A' || '094' || '10' || '1' || rpad('PRAIRIE BANK', 23, ' ') || rpad('ORDER HOUSE', 23, ' ') || rpad('', 8, ' ') AS line FROM t
+ UNION ALL SELECT day, 1, '5200' || rpad('ORDER HOUSE', 16, ' ') || rpad('', 20, ' ') || '1987654321' || 'PPD' || rpad('ORDERS', 10, ' ') || rpad('', 6, ' ') || '260102' || '   ' || '1' || '09100001' || '0000001' FROM t
+ UNION ALL SELECT day, row_number() OVER w + 1, '6' || code || routing || rpad('AC' || c, 17, ' ') || lpad(CAST(cents AS VARCHAR), 10, '0') || rpad(CAST(k AS VARCHAR), 15, ' ') || rpad('SHOP', 22, ' ') || '  0' || '09100001' || lpad(CAST(row_number() OVER w AS VARCHAR), 7, '0') FROM e WINDOW w AS (PARTITION BY day ORDER BY k)
+ UNION ALL SELECT day, n + 2, '8200' || lpad(CAST(n AS VARCHAR), 6, '0') || lpad(CAST(hash AS VARCHAR), 10, '0') || lpad(CAST(debit AS VARCHAR), 12, '0') || lpad(CAST(credit AS VARCHAR), 12, '0') || '1987654321' || rpad('', 25, ' ') || '09100001' || '0000001' FROM t
+ UNION ALL SELECT day, n + 3, '9' || '000001' || lpad(CAST(ceil((n + 4) / 10)::BIGINT AS VARCHAR), 6, '0') || lpad(CAST(n AS VARCHAR), 8, '0') || lpad(CAST(hash AS VARCHAR), 10, '0') || lpad(CAST(debit AS VARCHAR), 12, '0') || lpad(CAST(credit AS VARCHAR), 12, '0') || rpad('', 39, ' ') FROM t
+ UNION ALL SELECT day, n + 4 + i, repeat('9', 94) FROM t, range(10) r(i) WHERE i < (10 - (n + 4) % 10) % 10"""
+
+
+def _bank_files(spark, sf, key="day"):
+    """A file per day (or year): headers, entries, controls and filler lines, in blocks of ten."""
+    rows = entries(spark, sf).withColumn("year", F.substring("day", 1, 4)).withColumn("account", F.concat(F.lit("AC"), "c")).withColumn("individual_id", F.col("k"))
+    numbered = row_numbers(rows, (key,), ("k",), "nth")
+    return nacha.files(numbered, [key], "nth", BANK)
+
+
+@register("gen_nacha", "SNK-06", NACHA_SQL)
 def gen_nacha(spark, sf):
-    """A file per day: header, entries, control record."""
-    rows = entries(spark, sf)
-    placed = generators.split_files(rows, ("day",), ("k",), 2**40)
-    cells = {"kind": 1, "code": 2, "routing": 9, "cents": 10}
-    line = generators.line_of("NACHA", list(cells), widths=cells, numeric={"cents", "routing"}, value=lambda n: F.lit("6") if n == "kind" else F.col(n).cast("string"))
-    details = placed.select("day", "line_no", line.alias("line"))
-    return generators.framed(details, _totals(spark, sf), ["day"], "101 {day} A094101{companyName}", FOOTER, {"companyName": "ACME"})
+    return _bank_files(spark, sf)
+
+
+@register("nacha_roundtrip", "SNK-06, SRC-18", BATCHES + "SELECT k, substr(day, 1, 4) AS year, 'AC' || c AS account, code, CAST(cents / 100 AS DECIMAL(18,2))::VARCHAR AS amount FROM e")
+def nacha_roundtrip(spark, sf):
+    """Bank files written, read back as files and parsed, record for record."""
+    path = work_path(spark, "bank")
+    writers.write_line_files(_bank_files(spark, sf, "year"), path, file="year")
+    lines = number_lines(read_lines(spark, path))[0]
+    back = nacha_entries(lines)
+    return back.select(
+        F.col("f_individualId").cast("bigint").alias("k"), F.regexp_extract("_file", "/year=([0-9]+)/", 1).alias("year"),
+        F.col("f_account").alias("account"), F.col("f_code").alias("code"), F.col("f_amount").alias("amount"))
+
+
+@register("gen_too_wide", "SNK-05, SNK-06", BATCHES + "SELECT k, 'cents' AS field, 'wider than 7' AS message, 'FATAL' AS severity, CAST(cents AS VARCHAR) AS raw_value FROM e WHERE length(CAST(cents AS VARCHAR)) > 7")
+def gen_too_wide(spark, sf):
+    """Numbers that a narrow column cannot hold are reported, never cut."""
+    narrow = tuple((n, 7 if n == "cents" else w, k) for n, w, k in nacha.ENTRY if n in ("code", "routing", "cents"))
+    found = entries(spark, sf).select("k", F.explode(nacha.unfit(narrow)).alias("i"))
+    return found.select("k", "i.field", "i.message", "i.severity", "i.raw_value")
 
 
 @register("gen_empty", "SNK-10", """WITH c AS (SELECT DISTINCT c_nationkey AS nation FROM customer), t AS (SELECT s_nationkey AS nation, count(*) AS n FROM supplier WHERE s_acctbal > 8000 GROUP BY 1)
@@ -235,10 +272,10 @@ def retention_expired(spark, sf):
     return writers.expired(rows, "day", rows.agg(F.max("day")).scalar(), 90).select("k")
 
 
-@register("ledger_build", "SNK-13", "SELECT lang || '-' || doc_id AS name, md5(text) AS md5, strlen(text) AS size FROM documents WHERE lang <> 'en'")
+@register("ledger_build", "SNK-13", "SELECT lang || '-' || doc_id AS name, md5(text) AS md5, strlen(text) AS size FROM documents")
 def ledger_build(spark, sf):
     """Files as byte contents with digest and size, keyed by name."""
-    docs = table(spark, sf, "documents").filter("lang <> 'en'")
+    docs = table(spark, sf, "documents")
     return docs.select(F.concat_ws("-", "lang", "doc_id").alias("name"), F.md5(F.encode("text", "UTF-8")).alias("md5"), F.octet_length("text").cast("bigint").alias("size"))
 
 

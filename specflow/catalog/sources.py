@@ -87,13 +87,28 @@ _delimited("src_delimited_multichar", "SRC-02", "||")
 _delimited("src_delimited_tab", "SRC-02", "\t")
 
 
-@register("src_csv_quoted", "SRC-03", """SELECT doc_id AS k, replace(replace(text, '"', ''), chr(10), ' ') AS text, source, strlen(text) > 0 AS filled FROM documents""")
+def escaped(text, *marks):
+    """SQL text that spells the marks, and the sign it spells them with, as %XX; Spark and DuckDB share it."""
+    for mark in ("%", *marks):
+        text = f"replace({text}, chr({ord(mark)}), '%{ord(mark):02X}')"
+    return text
+
+
+def unescaped(c, *marks):
+    for mark in (*marks, "%"):
+        c = F.replace(c, F.lit(f"%{ord(mark):02X}"), F.lit(mark))
+    return c
+
+
+@register("src_csv_quoted", "SRC-03", "SELECT doc_id AS k, text, source, strlen(text) > 0 AS filled FROM documents")
 def src_csv_quoted(spark, sf):
-    """Whole documents as quoted cells, commas and all."""
-    rows = columns(spark, sf, "documents", {"k": "doc_id", "line": """'"' || replace(replace(text, '"', ''), chr(10), ' ') || '",' || source"""})
+    """Whole documents as quoted cells, commas and all; what such a cell cannot hold is spelled out."""
+    held = escaped("text", '"', "\n", "\r")
+    rows = columns(spark, sf, "documents", {"k": "doc_id", "line": f"""'"' || {held} || '",' || source"""})
     parts = split_quoted(F.col("line"), ",")
     cut = rows.select("k", parts.alias("p"))
-    return cut.select("k", F.get("p", F.lit(0)).alias("text"), F.get("p", F.lit(1)).alias("source"), (F.length(F.get("p", F.lit(0))) > 0).alias("filled"))
+    text = unescaped(F.get("p", F.lit(0)), '"', "\n", "\r")
+    return cut.select("k", text.alias("text"), F.get("p", F.lit(1)).alias("source"), (F.length(F.get("p", F.lit(0))) > 0).alias("filled"))
 
 
 @register("src_csv_header", "SRC-04", "SELECT o_orderkey AS k, o_orderpriority AS last_wins, o_orderstatus AS by_index FROM orders")
@@ -135,26 +150,37 @@ def src_blank_skip(spark, sf):
     return data.select(F.col("_raw").cast("bigint").alias("id"), F.col("_seq").alias("seq"), F.col("_line").alias("line"))
 
 
-@register("src_charset", "SRC-08", "SELECT doc_id AS k, regexp_replace(text, '[^\\x{20}-\\x{ff}]', '', 'g') AS text FROM documents")
-def src_charset(spark, sf):
-    """Documents written in Latin-1 and decoded on the way in."""
-    path = work_path(spark, "latin1")
-    rows = table(spark, sf, "documents").select(F.concat_ws("|", "doc_id", F.regexp_replace("text", "[^\\x20-\\xff]", "")).alias("value"))
-    rows.write.option("encoding", "ISO-8859-1").option("sep", "\x01").option("quote", "").option("escape", "").option("quoteAll", "false").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").option("emptyValue", "").csv(path)
-    lines = read_lines(spark, path, encoding="ISO-8859-1")
-    cut = F.instr("_raw", "|")
-    return lines.select(F.substring("_raw", F.lit(1), cut - 1).cast("bigint").alias("k"), F.substr("_raw", cut + 1).alias("text"))
+def _charset(name, encoding, separator):
+    @register(name, "SRC-08", "SELECT doc_id AS k, text FROM documents")
+    def run(spark, sf):
+        """Whole documents as lines of another charset, a blank line after each, decoded on the way in.
+
+        The text writer keeps the bytes of its strings, so encoded lines and separators go through it.
+        """
+        path = work_path(spark, name)
+        line = f"CAST(doc_id AS STRING) || '|' || {escaped('text', chr(10), chr(13))} || chr(10)"
+        rows = columns(spark, sf, "documents", {"line": line})
+        rows.select(F.encode("line", encoding).cast("string").alias("value")).write.options(**separator).text(path)
+        lines = read_lines(spark, path, encoding=encoding).filter("_raw <> ''")
+        cut = F.instr("_raw", "|")
+        text = unescaped(F.substr("_raw", cut + 1), "\n", "\r")
+        return lines.select(F.substring("_raw", F.lit(1), cut - 1).cast("bigint").alias("k"), text.alias("text"))
+
 
+_charset("src_charset", "ISO-8859-1", {"lineSep": "\n"})
+_charset("src_charset_wide", "UTF-16BE", {"lineSep": "\n", "encoding": "UTF-16BE"})
 
-@register("src_record_separator", "SRC-09", "SELECT doc_id AS k, replace(replace(text, '~', ''), chr(13), '') AS text FROM documents")
+
+@register("src_record_separator", "SRC-09", "SELECT doc_id AS k, text FROM documents")
 def src_record_separator(spark, sf):
     """Records end in '~', so documents keep their line breaks."""
     path = work_path(spark, "sep")
-    rows = table(spark, sf, "documents").select(F.concat_ws("|", "doc_id", F.replace(F.replace("text", F.lit("~"), F.lit("")), F.lit("\r"), F.lit(""))).alias("value"))
+    rows = columns(spark, sf, "documents", {"value": f"CAST(doc_id AS STRING) || '|' || {escaped('text', '~')}"})
     rows.write.option("lineSep", "~").text(path)
     lines = read_lines(spark, path, line_sep="~")
     cut = F.instr("_raw", "|")
-    return lines.select(F.substring("_raw", F.lit(1), cut - 1).cast("bigint").alias("k"), F.substr("_raw", cut + 1).alias("text"))
+    text = unescaped(F.substr("_raw", cut + 1), "~")
+    return lines.select(F.substring("_raw", F.lit(1), cut - 1).cast("bigint").alias("k"), text.alias("text"))
 
 
 CUSTOMER_FIXED = FileSpec("customer-fw", "customer-fw", "FIXED_WIDTH", (
@@ -239,49 +265,76 @@ def xml_required(spark, sf):
     return done.select(F.col("_seq").alias("k"), F.explode("_errors").alias("e")).select("k", "e.message")
 
 
-PAIN = load_spec({
-    "id": "pain001", "format": "ISO20022", "metadata": {"recordXPath": "/Document/CstmrCdtTrfInitn/PmtInf/CdtTrfTxInf"}, "fields": [
-        {"name": "messageId", "path": "/Document/CstmrCdtTrfInitn/GrpHdr/MsgId"},
-        {"name": "numberOfTransactions", "type": "INTEGER", "path": "/Document/CstmrCdtTrfInitn/GrpHdr/NbOfTxs"},
-        {"name": "controlSum", "type": "AMOUNT", "path": "/Document/CstmrCdtTrfInitn/GrpHdr/CtrlSum"},
-        {"name": "endToEndId", "path": "/Document/CstmrCdtTrfInitn/PmtInf/CdtTrfTxInf/PmtId/EndToEndId"},
-        {"name": "instructedAmount", "type": "AMOUNT", "path": "/Document/CstmrCdtTrfInitn/PmtInf/CdtTrfTxInf/Amt/InstdAmt"},
-        {"name": "currencyCode", "path": "Amt/InstdAmt/@Ccy"}]})
+# Element names of the ISO 20022 payment message.
+MESSAGE, PAYMENT = "/Document/CstmrCdtTrfInitn", "/Document/CstmrCdtTrfInitn/PmtInf"
+TRANSFER = load_spec({
+    "id": "transfer", "format": "ISO20022", "metadata": {"recordXPath": f"{PAYMENT}/CdtTrfTxInf"}, "fields": [
+        {"name": "wanted", "type": "DECIMAL", "path": "Amt/InstdAmt"},
+        {"name": "money", "path": "Amt/InstdAmt/@Ccy"},
+        {"name": "chain", "path": f"{PAYMENT}/CdtTrfTxInf/PmtId/EndToEndId"},
+        {"name": "block", "path": f"{PAYMENT}/PmtInfId"},
+        {"name": "payer", "path": f"{PAYMENT}/Dbtr/Nm"},
+        {"name": "day", "type": "DATE", "path": f"{PAYMENT}/ReqdExctnDt"},
+        {"name": "message", "path": f"{MESSAGE}/GrpHdr/MsgId"},
+        {"name": "count", "type": "INTEGER", "path": f"{MESSAGE}/GrpHdr/NbOfTxs"}]})
 
 
-def write_pain(spark, sf):
-    """One document per span of order keys: group header, then one payment per order."""
+def write_transfers(spark, sf):
+    """One message per span of order keys, with a payment block per priority and a transfer per order."""
     rows = columns(spark, sf, "orders", {
-        "b": FILE_OF, "k": "o_orderkey", "cents": "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(28,2))",
+        "b": FILE_OF, "p": "CAST(substr(o_orderpriority, 1, 1) AS BIGINT)", "o": "o_orderkey",
         "value": f"'<CdtTrfTxInf><PmtId><EndToEndId>E' || CAST(o_orderkey AS STRING) || '</EndToEndId></PmtId><Amt><InstdAmt Ccy=\"EUR\">' || {PRICE} || '</InstdAmt></Amt></CdtTrfTxInf>'"})
-    heads = rows.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("total")).select(
-        "b", F.lit(-1).cast("bigint").alias("k"),
-        F.format_string('<?xml version="1.0"?><Document><CstmrCdtTrfInitn><GrpHdr><MsgId>M-%s</MsgId><NbOfTxs>%d</NbOfTxs><CtrlSum>%s</CtrlSum></GrpHdr><PmtInf>',
-                        F.col("b").cast("string"), "n", F.col("total").cast("string")).alias("value"))
-    tails = heads.select("b", F.lit(2**62).alias("k"), F.lit("</PmtInf></CstmrCdtTrfInitn></Document>").alias("value"))
-    whole = rows.select("b", "k", "value").unionByName(heads).unionByName(tails)
-    return write_files(whole, work_path(spark, "pain"), ["b"])
+    k = F.col("p") * F.lit(1 << 50)
+    body = rows.select("b", (k + F.col("o") + 1).alias("k"), "value")
+    block = rows.select("b", "p").distinct()
+    # the last block names no day of its own
+    opened = F.format_string("<PmtInf><PmtInfId>P%s</PmtInfId>%s<Dbtr><Nm>payer %s of %s</Nm></Dbtr>", F.col("p").cast("string"),
+                             F.when(F.col("p") < 5, F.format_string("<ReqdExctnDt>2026-01-0%s</ReqdExctnDt>", F.col("p").cast("string"))).otherwise(""),
+                             F.col("p").cast("string"), F.col("b").cast("string"))
+    ends = block.select("b", F.inline(F.array(
+        F.struct(k.alias("k"), opened.alias("value")), F.struct((k + F.lit(1 << 49)).alias("k"), F.lit("</PmtInf>").alias("value")))))
+    heads = rows.groupBy("b").agg(F.count(F.lit(1)).alias("n")).select("b", F.lit(-1).cast("bigint").alias("k"), F.format_string(
+        '<?xml version="1.0"?><Document><CstmrCdtTrfInitn><GrpHdr><MsgId>M-%s</MsgId><NbOfTxs>%d</NbOfTxs></GrpHdr>', F.col("b").cast("string"), "n").alias("value"))
+    tails = heads.select("b", F.lit(2**62).alias("k"), F.lit("</CstmrCdtTrfInitn></Document>").alias("value"))
+    return write_files(body.unionByName(ends).unionByName(heads).unionByName(tails), work_path(spark, "transfers"), ["b"])
+
+
+TRANSFER_SQL = f"""SELECT 'M-' || CAST({FILE_OF} AS VARCHAR) AS message, CAST(count(*) OVER (PARTITION BY {FILE_OF}) AS VARCHAR) AS n,
+ 'P' || substr(o_orderpriority, 1, 1) AS block, 'payer ' || substr(o_orderpriority, 1, 1) || ' of ' || CAST({FILE_OF} AS VARCHAR) AS payer,
+ CASE WHEN o_orderpriority < '5' THEN '2026-01-0' || substr(o_orderpriority, 1, 1) END AS day,
+ 'E' || CAST(o_orderkey AS VARCHAR) AS chain, {PRICE} AS wanted, 'EUR' AS money,
+ row_number() OVER (PARTITION BY {FILE_OF} ORDER BY substr(o_orderpriority, 1, 1), o_orderkey) - 1 AS seq FROM orders"""
+
+
+@register("src_xml_header_join", "SRC-14, JOI-12", TRANSFER_SQL)
+def src_xml_header_join(spark, sf):
+    """Leaf and nested headers, of the message and of the block that each transfer stands in."""
+    records = read_records(spark, write_transfers(spark, sf), TRANSFER)
+    return records.select(F.col("f_message").alias("message"), F.col("f_count").alias("n"), *[
+        F.col(f"f_{c}").alias(c) for c in ("block", "payer", "day", "chain", "wanted", "money")], F.col("_seq").alias("seq"))
 
 
-PAIN_SQL = f"""SELECT 'M-' || CAST({FILE_OF} AS VARCHAR) AS message_id, CAST(count(*) OVER (PARTITION BY {FILE_OF}) AS VARCHAR) AS n_transactions,
- 'E' || CAST(o_orderkey AS VARCHAR) AS end_to_end_id, {PRICE} AS amount, 'EUR' AS currency,
- row_number() OVER (PARTITION BY {FILE_OF} ORDER BY o_orderkey) - 1 AS seq FROM orders"""
+@register("src_iso20022", "SRC-16", f"""SELECT 'M-' || CAST({FILE_OF} AS VARCHAR) AS message, 'P' || substr(o_orderpriority, 1, 1) AS block, count(*) AS n,
+ CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS VARCHAR) AS total FROM orders GROUP BY 1, 2""")
+def src_iso20022(spark, sf):
+    records = read_records(spark, write_transfers(spark, sf), TRANSFER)
+    return records.groupBy(F.col("f_message").alias("message"), F.col("f_block").alias("block")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("f_wanted").cast("decimal(18,2)")).cast("string").alias("total"))
 
 
-@register("src_xml_header_join", "SRC-14, JOI-12", PAIN_SQL)
-def src_xml_header_join(spark, sf):
-    records = read_records(spark, write_pain(spark, sf), PAIN)
-    return records.select(
-        F.col("f_messageId").alias("message_id"), F.col("f_numberOfTransactions").alias("n_transactions"),
-        F.col("f_endToEndId").alias("end_to_end_id"), F.col("f_instructedAmount").alias("amount"),
-        F.col("f_currencyCode").alias("currency"), F.col("_seq").alias("seq"))
+BRANCH_XML = load_spec({"id": "branch", "format": "XML", "metadata": {"recordXPath": "/all/good/row", "emptyRecords": "true"}, "fields": [
+    {"name": "id", "type": "LONG", "xmlAttribute": "id"}, {"name": "name", "xmlAttribute": "name"}]})
 
 
-@register("src_iso20022", "SRC-16", f"SELECT 'M-' || CAST({FILE_OF} AS VARCHAR) AS message_id, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS VARCHAR) AS total FROM orders GROUP BY 1")
-def src_iso20022(spark, sf):
-    records = read_records(spark, write_pain(spark, sf), PAIN)
-    return records.groupBy(F.col("f_messageId").alias("message_id")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("f_instructedAmount").cast("decimal(18,2)")).cast("string").alias("total"))
+@register("src_xml_branch", "SRC-11, SRC-13", "SELECT c_custkey AS k, c_name AS name, row_number() OVER (ORDER BY c_custkey) - 1 AS seq FROM customer WHERE c_acctbal >= 0")
+def src_xml_branch(spark, sf):
+    """Empty elements, split over tasks, of which only those under the spec's own branch are records."""
+    rows = columns(spark, sf, "customer", {
+        "b": "0L", "k": "c_custkey",
+        "value": "CASE WHEN c_acctbal < 0 THEN '<bad><row id=\"' ELSE '<good><row id=\"' END || CAST(c_custkey AS STRING) || '\" name=\"' || c_name || '\"/>' || CASE WHEN c_acctbal < 0 THEN '</bad>' ELSE '</good>' END"})
+    path = write_files(_enclosed(rows, "<all>", "</all>"), work_path(spark, "branch"), ["b"])
+    done = read_records(spark, path, BRANCH_XML)
+    return done.select(F.col("f_id").cast("bigint").alias("k"), F.col("f_name").alias("name"), F.col("_seq").alias("seq"))
 
 
 EVENT_JSON = load_spec({"id": "event-json", "format": "JSON", "fields": [
@@ -300,18 +353,18 @@ def nacha_text(spark, sf):
     """Orders as bank entries: one batch header per day, entries after it."""
     rows = columns(spark, sf, "orders", {
         "day": DAY, "k": "o_orderkey",
-        "line": "'6' || '022' || '021000021' || ' ' || rpad('AC' || CAST(o_custkey AS STRING), 17, ' ') || lpad(replace(" + PRICE + ", '.', ''), 10, '0') || rpad(CAST(o_orderkey AS STRING), 15, ' ') || rpad(o_orderpriority, 22, ' ') || rpad('', 9, ' ') || lpad(CAST(o_orderkey AS STRING), 7, '0')"})
+        "line": "'6' || '22' || '091000019' || rpad('AC' || CAST(o_custkey AS STRING), 17, ' ') || lpad(replace(" + PRICE + ", '.', ''), 10, '0') || rpad(CAST(o_orderkey AS STRING), 15, ' ') || rpad(o_orderpriority, 22, ' ') || '  0' || '09100001' || lpad(CAST(o_orderkey AS STRING), 7, '0')"})
     heads = rows.select("day").distinct().select("day", F.lit(-1).cast("bigint").alias("k"), F.concat(F.lit("5200"), "day").alias("line"))
     whole = rows.unionByName(heads)
     return whole.select(F.lit("nacha.txt").alias("_file"), F.concat_ws("/", "day", F.lpad((F.col("k") + 1).cast("string"), 20, "0")).alias("_seq"), F.col("line").alias("_raw"))
 
 
 @register("src_nacha", "SRC-18", f"""SELECT o_orderkey AS k, 'AC' || CAST(o_custkey AS VARCHAR) AS account, {PRICE} AS amount,
- dense_rank() OVER (ORDER BY {DAY}) AS batch_no, lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS trace FROM orders""")
+ dense_rank() OVER (ORDER BY {DAY}) AS batch_no, o_orderpriority AS name, '09100001' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS trace FROM orders""")
 def src_nacha(spark, sf):
     done = nacha_entries(nacha_text(spark, sf))
-    return done.select(F.col("f_individualId").cast("bigint").alias("k"), F.col("f_accountNumber").alias("account"), F.col("f_amount").alias("amount"),
-                       F.col("_batch").alias("batch_no"), F.col("f_traceNumber").alias("trace"))
+    return done.select(F.col("f_individualId").cast("bigint").alias("k"), F.col("f_account").alias("account"), F.col("f_amount").alias("amount"),
+                       F.col("_batch").alias("batch_no"), F.col("f_individualName").alias("name"), F.col("f_trace").alias("trace"))
 
 
 @register("envelope_id", "WIN-08", f"""SELECT batch_no, record_type, count(*) AS n FROM (
@@ -384,10 +437,10 @@ def src_custom(spark, sf):
     return done.select(F.col("_seq").alias("conv_id"), F.col("f_turn").cast("bigint").alias("turn"), F.col("f_role").alias("role"), F.col("f_chars").alias("chars"))
 
 
-@register("src_multi_dir", "SRC-24", "SELECT o_orderstatus AS status, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1")
+@register("src_multi_dir", "SRC-24", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
 def src_multi_dir(spark, sf):
     path = _write_orders(spark, sf, "dirs")
-    records = read_records(spark, [f"{path}/s=F", f"{path}/s=O"], ORDER_CSV)
+    records = read_records(spark, [f"{path}/s={s}" for s in ("F", "O", "P")], ORDER_CSV)
     return records.groupBy(F.col("f_status").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -4,37 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from specflow.catalog.base import TXN, TXN_FIELDS, TXN_SPEC, TXN_SQL, columns, register, sql_stamp, stamp
+from specflow.catalog.base import ORDER, ORDER_FIELDS, ORDER_SPEC, ORDER_SQL, columns, register, sql_stamp, stamp
 from specflow.catalog.flows import FILE_OF
 from specflow.catalog.sources import write_files
 from specflow.session import table, work_path
 from specflow.streaming import intake, keyed, runs, sources, windows
 
 
-def event_stream(spark, sf, files=None):
-    path = f"{sf}/events.parquet"
-    return sources.table_stream(spark, path, spark.read.parquet(path).schema, files)
-
-
 def split_stream(spark, sf, parts=4):
     """The events table as several files, read one per batch."""
     path = work_path(spark, "events")
     events = table(spark, sf, "events")
     events.repartitionByRange(parts, "event_id").write.parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "1").parquet(path)
+    return sources.table_stream(spark, path, events.schema, files_per_poll=1)
 
 
 @register("stream_tumbling", "STR-01", f"""SELECT {sql_stamp("time_bucket(INTERVAL 1 HOUR, ts)")} AS window_start, event_type, count(*) AS event_count FROM events GROUP BY time_bucket(INTERVAL 1 HOUR, ts), event_type""")
 def stream_tumbling(spark, sf):
     """Complete mode: the last batch holds all windows."""
-    counted = windows.windowed_counts(windows.event_time(event_stream(spark, sf), "ts", "1 hour"), "ts", "1 hour", keys=("event_type",))
+    counted = windows.windowed_counts(windows.event_time(split_stream(spark, sf), "ts", "1 hour"), "ts", "1 hour", keys=("event_type",))
     done = runs.run_to_folder(counted, "stream-tumbling", "complete")
     return done.select(stamp(F.col("window_start")).alias("window_start"), "event_type", "event_count")
 
 
 @register("stream_sliding", "STR-02", f"""WITH w AS (SELECT time_bucket(INTERVAL 2 HOUR, ts) - i * INTERVAL 2 HOUR AS s FROM events, range(3) t(i)) SELECT {sql_stamp("s")} AS window_start, count(*) AS event_count FROM w GROUP BY s""")
 def stream_sliding(spark, sf):
-    counted = windows.windowed_counts(windows.event_time(event_stream(spark, sf), "ts", "1 hour"), "ts", "6 hours", "2 hours")
+    counted = windows.windowed_counts(windows.event_time(split_stream(spark, sf), "ts", "1 hour"), "ts", "6 hours", "2 hours")
     done = runs.run_to_folder(counted, "stream-sliding", "complete")
     return done.select(stamp(F.col("window_start")).alias("window_start"), "event_count")
 
@@ -43,7 +38,7 @@ def stream_sliding(spark, sf):
  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM g)
  SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start, count(*) AS event_count FROM n GROUP BY user_id, no""")
 def stream_session(spark, sf):
-    counted = windows.session_counts(windows.event_time(event_stream(spark, sf), "ts", "1 hour"), "ts", "user_id", "2 hours")
+    counted = windows.session_counts(windows.event_time(split_stream(spark, sf), "ts", "1 hour"), "ts", "user_id", "2 hours")
     done = runs.run_to_folder(counted, "stream-session", "complete")
     return done.select("user_id", stamp(F.col("session_start")).alias("session_start"), "event_count")
 
@@ -86,7 +81,7 @@ def stream_marker_windows(spark, sf):
 
 
 def _order_files(spark, sf, label):
-    rows = columns(spark, sf, "orders", {"b": FILE_OF, **TXN}).select("b", "k", F.concat_ws("|", *TXN_FIELDS).alias("value"))
+    rows = columns(spark, sf, "orders", {"b": FILE_OF, **ORDER}).select("b", "k", F.concat_ws("|", *ORDER_FIELDS).alias("value"))
     return write_files(rows, work_path(spark, label), ["b"])
 
 
@@ -98,15 +93,15 @@ def stream_file_poll(spark, sf):
     return done.groupBy(F.regexp_extract("_file", "/b=([0-9]+)/", 1).cast("bigint").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("stream_file_to_events", "STR-19", TXN_SQL + "SELECT k, corrected FROM run WHERE NOT fatal")
+@register("stream_file_to_events", "STR-19", ORDER_SQL + "SELECT k, corrected FROM run WHERE NOT fatal")
 def stream_file_to_events(spark, sf):
     out = work_path(spark, "stream-events")
     lines = sources.poll_lines(spark, _order_files(spark, sf, "inbox"), files_per_poll=2000)
-    runs.run_each(lines, intake.event_writer(TXN_SPEC, out, "run-1"), work_path(spark, "events-checkpoint"))
+    runs.run_each(lines, intake.event_writer(ORDER_SPEC, out, "run-1"), work_path(spark, "events-checkpoint"))
     v = F.parse_json("value")
     made = spark.read.option("basePath", f"{out}/events").parquet(f"{out}/events/batch_no=*")
     return made.select(
-        F.substring(F.variant_get(v, "$.fields.transactionId", "string"), 2, 20).cast("bigint").alias("k"),
+        F.substring(F.variant_get(v, "$.fields.orderNo", "string"), 2, 20).cast("bigint").alias("k"),
         F.variant_get(v, "$.corrected", "boolean").alias("corrected"))
 
 
@@ -114,9 +109,9 @@ def stream_file_to_events(spark, sf):
 def stream_ledger(spark, sf):
     """The same folder taken in twice by separate streams into one ledger: one row per file."""
     folder, book = _order_files(spark, sf, "ledger-inbox"), work_path(spark, "book")
-    checkpoint = work_path(spark, "book-checkpoint")
-    for _ in range(2):
-        runs.run_each(sources.poll_lines(spark, folder), intake.ledger_writer(book, 1), checkpoint)
-    rows = spark.read.option("basePath", book).parquet(f"{book}/batch_no=*")
+    for stream, per_poll in (("first", 5), ("second", 20)):
+        lines = sources.poll_lines(spark, folder, files_per_poll=per_poll)
+        runs.run_each(lines, intake.ledger_writer(book, 1, stream), work_path(spark, f"book-{stream}"))
+    rows = intake.read_book(spark, book)
     b = F.regexp_extract("remote_file_name", "/b=([0-9]+)/", 1).cast("bigint")
     return rows.groupBy(b.alias("b")).agg(F.sum("n_lines").alias("n_lines"), F.count(F.lit(1)).alias("n_rows"))

@@ -197,10 +197,10 @@ def integration_summary(spark, sf):
 
 
 @register("profile_counts", "AGG-27", """SELECT n_name AS profile, coalesce(c.n, 0) AS spec_count, coalesce(s.n, 0) AS integration_count FROM nation
- LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY 1) c ON c_nationkey = n_nationkey
+ LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) c ON c_nationkey = n_nationkey
  LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) s ON s_nationkey = n_nationkey""")
 def profile_counts(spark, sf):
-    c = table(spark, sf, "customer").filter("c_acctbal > 5000").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("c"))
+    c = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("c"))
     s = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("s"))
     joined = table(spark, sf, "nation").join(c, "n_nationkey", "left").join(s, "n_nationkey", "left")
     zero = F.lit(0).cast("bigint")

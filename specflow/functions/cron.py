@@ -72,42 +72,79 @@ def _days(spec: str, day: date) -> bool:
     return day.day in _values(spec, 1, 31)
 
 
+class Schedule:
+    """The instants an expression names, day by day in its time zone."""
+
+    #: after so many days the calendar repeats; what has not fired by then never does
+    REPEAT = 41 * 366
+
+    def __init__(self, expression: str, timezone: str = "UTC"):
+        second, minute, hour, self.dom, month, dow = _fields(expression)
+        self.seconds, self.minutes = sorted(_values(second, 0, 59)), sorted(_values(minute, 0, 59))
+        self.hours, self.months = sorted(_values(hour, 0, 23)), _values(month, 1, 12, MONTHS, 1)
+        self.weekdays = _weekdays(dow)
+        self.zone = ZoneInfo(timezone)
+
+    def of_day(self, day: date) -> list[datetime]:
+        if day.month not in self.months or day.weekday() not in self.weekdays or not _days(self.dom, day):
+            return []
+        local = (
+            datetime(day.year, day.month, day.day, h, m, s, tzinfo=self.zone)
+            for h in self.hours for m in self.minutes for s in self.seconds
+        )
+        return sorted({t.astimezone(UTC) for t in local})
+
+    def between(self, start: datetime, end: datetime) -> list[datetime]:
+        """Instants in [start, end)."""
+        day, found = start.astimezone(self.zone).date(), []
+        while day <= end.astimezone(self.zone).date():
+            found += [t for t in self.of_day(day) if start <= t < end]
+            day += timedelta(days=1)
+        return found
+
+    def _step(self, at: datetime, days: int):
+        day = at.astimezone(self.zone).date()
+        for _ in range(self.REPEAT):
+            yield self.of_day(day)
+            if day in (date.min, date.max):
+                return
+            day += timedelta(days=days)
+
+    def after(self, at: datetime) -> datetime | None:
+        """First instant after ``at``."""
+        return next((t for times in self._step(at, 1) for t in times if t > at), None)
+
+    def upto(self, at: datetime) -> datetime | None:
+        """Last instant at or before ``at``."""
+        return next((t for times in self._step(at, -1) for t in reversed(times) if t <= at), None)
+
+
 def fire_times(expression: str, start: datetime, end: datetime, timezone: str = "UTC") -> list[datetime]:
     """UTC instants in [start, end) at which the expression fires, in order."""
-    second, minute, hour, dom, month, dow = _fields(expression)
-    seconds, minutes = sorted(_values(second, 0, 59)), sorted(_values(minute, 0, 59))
-    hours, months = sorted(_values(hour, 0, 23)), _values(month, 1, 12, MONTHS, 1)
-    weekdays = _weekdays(dow)
-    zone = ZoneInfo(timezone)
-    start, end = start.replace(tzinfo=UTC), end.replace(tzinfo=UTC)
-    day = start.astimezone(zone).date()
-    found = []
-    while day <= end.astimezone(zone).date():
-        if day.month in months and day.weekday() in weekdays and _days(dom, day):
-            for h in hours:
-                for m in minutes:
-                    for s in seconds:
-                        local = datetime(day.year, day.month, day.day, h, m, s, tzinfo=zone)
-                        instant = local.astimezone(UTC)
-                        if start <= instant < end:
-                            found.append(instant)
-        day += timedelta(days=1)
-    return sorted(set(found))
+    return Schedule(expression, timezone).between(start.replace(tzinfo=UTC), end.replace(tzinfo=UTC))
 
 
 def intervals(open_cron: str, close_cron: str, start: datetime, end: datetime, timezone: str = "UTC",
               cap_minutes: int | None = None) -> list[tuple[datetime, datetime]]:
-    """(open, close) pairs: each opening runs to the next closing after it, at most to the cap."""
-    opens = fire_times(open_cron, start, end, timezone)
-    closes = fire_times(close_cron, start, end + timedelta(days=32), timezone)
-    pairs, at = [], 0
-    for opened in opens:
-        while at < len(closes) and closes[at] <= opened:
-            at += 1
-        if at == len(closes):
-            break
-        closed = closes[at]
-        if cap_minutes is not None:
-            closed = min(closed, opened + timedelta(minutes=cap_minutes))
-        pairs.append((opened, closed))
+    """(open, close) pairs that touch [start, end): each opening runs to the next closing after it, at most to the cap.
+
+    Openings before ``start`` count as long as they are still open there, and a closing is
+    looked for as far ahead as the calendar goes.
+    """
+    start, end = start.replace(tzinfo=UTC), end.replace(tzinfo=UTC)
+    opening, closing = Schedule(open_cron, timezone), Schedule(close_cron, timezone)
+    # whatever opened before the last closing is closed by now
+    since = closing.upto(start)
+    if since is None:
+        since = opening.upto(start) or start
+    pairs: list[tuple[datetime, datetime]] = []
+    closed: datetime | None = None
+    for opened in opening.between(since, end):
+        if closed is None or closed <= opened:
+            closed = closing.after(opened)
+            if closed is None:
+                break
+        upto = closed if cap_minutes is None else min(closed, opened + timedelta(minutes=cap_minutes))
+        if upto > start:
+            pairs.append((opened, upto))
     return pairs

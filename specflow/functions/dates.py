@@ -19,14 +19,25 @@ CANDIDATES = (
 )
 
 
-def parse_any_date(c: Column) -> Column:
-    """First candidate layout that parses, as a date; null when none does.
+def smart_date(c: Column, layout: str) -> Column:
+    """Date of a text that has the layout's shape; a day that its month lacks becomes the month's last day.
 
-    Impossible days such as 2024-02-30 do not parse.
+    Null for months beyond 12 and days beyond 31.
     """
+
+    def part(name: str) -> Column:
+        return F.substring(c, layout.index(name) + 1, len(name)).cast("int")
+
+    month, day = part("MM"), part("dd")
+    first = F.make_date(part("yyyy"), month, F.lit(1))
+    return F.when(month.between(1, 12) & day.between(1, 31), F.least(F.date_add(first, day - 1), F.last_day(first)))
+
+
+def parse_any_date(c: Column) -> Column:
+    """First candidate layout that parses, as a date; null when none does."""
     by_shape: dict[str, list[Column]] = {}
     for layout, shape in CANDIDATES:
-        by_shape.setdefault(shape, []).append(F.try_to_date(c, layout))
+        by_shape.setdefault(shape, []).append(smart_date(c, layout))
     found = None
     for shape, tries in by_shape.items():
         day = F.coalesce(*tries)
@@ -36,7 +47,3 @@ def parse_any_date(c: Column) -> Column:
 
 def coerce_date(c: Column, target: str | None) -> Column:
     return F.coalesce(F.date_format(parse_any_date(c), target or "yyyy-MM-dd"), c)
-
-
-def epoch_ms(ts: Column) -> Column:
-    return F.unix_millis(ts.cast("timestamp"))

@@ -122,8 +122,3 @@ def typed(f: FieldSpec, value: Column) -> Column:
         return F.try_to_timestamp(value, F.lit(f.format)) if f.format else F.try_to_timestamp(value)
     kind = spark_type(f)
     return value if kind == "string" else value.try_cast(kind)
-
-
-def with_typed(records: DataFrame, spec: FileSpec) -> DataFrame:
-    """Adds a typed column per field; text that does not convert becomes null."""
-    return records.select("*", *[typed(f, value_of(f.name)).alias(f.name) for f in spec.fields])

@@ -8,14 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specflow.functions import text
-from specflow.operators.records import fcol, no_issues, quoted, start_columns, value_of
+from specflow.operators.records import (
+    ISSUES, collected, fcol, found, issue, literal, no_issues, quoted, start_columns, ticked, value_of,
+)
 from specflow.spec import FieldMapping, FieldSpec, FileSpec, SpecError
 
 Transform = Callable[[Column, str | None], Column]
 
 
 def _decimals(c: Column, arg: str | None) -> Column:
-    return c.try_cast("decimal(38,10)").cast("decimal(38,2)").cast("string")
+    return c.try_cast("decimal(38,2)").cast("string")
 
 
 # One entry per transform name; an argument may follow a colon, as in PAD_LEFT:10.
@@ -30,6 +32,10 @@ TRANSFORMS: dict[str, Transform] = {
 }
 
 
+# Transforms that some texts do not fit; those texts stay and are reported.
+PARSING = {"FORMAT_DATE": "date", "FORMAT_DECIMAL_2DP": "number"}
+
+
 def register_transform(name: str, build: Transform) -> None:
     TRANSFORMS[name] = build
 
@@ -45,19 +51,33 @@ def mapped(m: FieldMapping, source: Column) -> Column:
     return value
 
 
+def unfit(m: FieldMapping, source: Column) -> Column | None:
+    """True where the mapping's transform cannot read the text; None for transforms that take any."""
+    if not m.transform or m.transform.partition(":")[0] not in PARSING:
+        return None
+    given = F.coalesce(source, F.lit(m.default_value)) if m.default_value is not None else source
+    return given.isNotNull() & ~text.is_blank(given) & mapped(m, source).isNull()
+
+
 def map_fields(records: DataFrame, mappings: tuple[FieldMapping, ...], order: tuple[str, ...] = (),
                keep: tuple[str, ...] = ()) -> DataFrame:
     """Fresh records that hold only the target fields, in the given order."""
     have = set(records.columns)
-    made = {}
+    made, errors = {}, []
     for m in mappings:
         source = value_of(m.source_field) if fcol(m.source_field) in have else F.lit(None).cast("string")
         made[m.target_field] = mapped(m, source)
+        bad = unfit(m, source)
+        if bad is not None:
+            kind = PARSING[m.transform.partition(":")[0]]
+            made[m.target_field] = F.when(bad, source).otherwise(made[m.target_field])
+            raw = f"cast({ticked(fcol(m.source_field))} as string)" if fcol(m.source_field) in have else literal(None)
+            errors.append(found(bad, issue(m.target_field, literal(f"'{m.source_field}' is no {kind}"), "ERROR", raw)))
     names = [n for n in order if n in made] + [n for n in made if n not in order]
     frame = records.select(
         "_file", "_seq", F.lit(None).cast("string").alias("_raw"),
         *[made[n].cast("string").alias(fcol(n)) for n in names],
-        no_issues().alias("_errors"), *start_columns(), "_metadata",
+        (collected(errors, ISSUES) if errors else no_issues()).alias("_errors"), *start_columns(), "_metadata",
         *[quoted(k) for k in keep],
     )
     # expressions see the mapped value under the name ``value``

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specflow.session import checkpointed
+from specflow.session import stored
 
 
 def search(spans: DataFrame, operation: str | None = None, min_ms: float | None = None,
@@ -42,27 +42,28 @@ def with_parent(spans: DataFrame) -> DataFrame:
     return spans.join(parents, hit, "left").drop("_t", "_s")
 
 
-def with_depth(spans: DataFrame, most: int = 64) -> DataFrame:
-    """Depth below the root, one level per round; rounds end when no span is left to place.
+def with_depth(spans: DataFrame) -> DataFrame:
+    """Depth below the root, by pointers whose reach doubles each round: a chain of n spans takes log n rounds.
 
-    Each round keeps ids only and is checkpointed, so lineage stays flat. Spans whose
-    parent chain does not reach a root keep a null depth.
+    Each round keeps ids only and is stored, so lineage stays flat. Spans whose parent chain
+    does not reach a root keep a null depth; that includes rings, whose pointers reach no end.
     """
     ids = spans.select("trace_id", "span_id", "parent_id")
-    level = checkpointed(ids.filter("parent_id is null").select("trace_id", "span_id", F.lit(0).alias("depth")))
-    levels, depth = [level], 0
-    while depth < most:
-        depth += 1
-        above = level.select("trace_id", F.col("span_id").alias("parent_id"))
-        level = checkpointed(
-            ids.join(above, ["trace_id", "parent_id"]).select("trace_id", "span_id", F.lit(depth).alias("depth"))
-        )
-        if level.isEmpty():
+    # up: the ancestor ``steps`` levels above, null once the root is reached
+    far = stored(ids.distinct().selectExpr("trace_id", "span_id", "parent_id AS up", "0L AS steps"), "depth")
+    total = far.count()
+    while True:
+        above = far.selectExpr("trace_id", "span_id AS up", "up AS further", "steps AS more")
+        going = far.filter("up IS NOT NULL").join(above, ["trace_id", "up"])
+        moved = going.selectExpr("trace_id", "span_id", "further AS up", "steps + 1 + more AS steps")
+        ended = far.filter("up IS NULL")
+        # spans whose pointer leads nowhere drop out of the join; they have no root
+        far = stored(ended.unionByName(moved), "depth")
+        left = far.filter("up IS NOT NULL").agg(F.count(F.lit(1)).alias("n"), F.max("steps").alias("steps")).first()
+        # a path longer than the number of spans runs in a ring
+        if not left["n"] or left["steps"] > total:
             break
-        levels.append(level)
-    placed = levels[0]
-    for more in levels[1:]:
-        placed = placed.unionByName(more)
+    placed = far.filter("up IS NULL").selectExpr("trace_id", "span_id", "cast(steps AS int) AS depth")
     return spans.join(placed, ["trace_id", "span_id"], "left")
 
 

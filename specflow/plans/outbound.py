@@ -17,12 +17,20 @@ from specflow.sinks import generators
 from specflow.spec import FileSpec
 
 
-def mapped_records(records: DataFrame, spec: FileSpec, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Map, correct, validate and route with the outbound rules; FATAL records drop out."""
+def mapped_records(records: DataFrame, spec: FileSpec, keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """Map, correct, validate and route with the outbound rules; FATAL records drop out.
+
+    So do records with values that a line of the output format cannot hold.
+    """
     config = spec.outbound
     target = outbound_spec(spec)
     done = map_fields(records, config.field_mappings, config.field_order, keep)
-    return route.routed(apply_validations(apply_corrections(done, target), target))
+    checked = apply_validations(apply_corrections(done, target), target)
+    odd = generators.misfits(config.format, field_order(spec), **options)
+    errors = F.filter(odd, lambda i: i.severity != "WARNING")
+    warnings = F.filter(odd, lambda i: i.severity == "WARNING")
+    checked = checked.withColumns({"_errors": F.concat("_errors", errors), "_warnings": F.concat("_warnings", warnings)})
+    return route.routed(checked)
 
 
 def field_order(spec: FileSpec) -> list[str]:
@@ -42,7 +50,7 @@ def generate(records: DataFrame, spec: FileSpec, order: tuple[str, ...], batch_s
              keep: tuple[str, ...] = (), split: int | bool | None = None, **options) -> OutboundRun:
     """Detail lines in files of at most ``batch_size`` records per aggregation key."""
     config = spec.outbound
-    done = mapped_records(records, spec, keep=tuple(dict.fromkeys((*keep, *[o for o in order if o not in ("_seq", "_file")]))))
+    done = mapped_records(records, spec, keep=tuple(dict.fromkeys((*keep, *[o for o in order if o not in ("_seq", "_file")]))), **options)
     passed = route.passing(done)
     group: tuple[str, ...] = ()
     if config.aggregation_key:
@@ -52,6 +60,7 @@ def generate(records: DataFrame, spec: FileSpec, order: tuple[str, ...], batch_s
     fmt = config.format
     if fmt in ("CSV", "DELIMITED"):
         options.setdefault("delimiter", config.delimiter or ",")
+    options.pop("line_breaks", None)
     line = generators.line_of(fmt, field_order(spec), **options)
     return OutboundRun(done, placed.withColumn("line", line), run_summary(done, spec))
 

@@ -52,6 +52,13 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/specflow/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Writes the rows to the shared folder and reads them back: fixed rows whose size the planner knows."""
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss and fixes nondeterministic columns."""
     spark = df.sparkSession

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from specflow.functions import templates, text
 from specflow.operators.ordered import row_numbers
-from specflow.operators.records import value_of
+from specflow.operators.records import ISSUES, collected, fcol, found, issue, literal, ticked, value_of
 from specflow.spec import UnsupportedFormatError
 
 Generator = Callable[..., Column]
@@ -31,9 +31,11 @@ def line_of(format_name: str, fields: list[str], **options) -> Column:
 
 
 def csv_cell(c: Column, delimiter: str) -> Column:
-    """Quoted when the text holds the delimiter; quotes inside cannot be kept by the format and go."""
-    clean = F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit(""))
-    return F.when(F.contains(clean, F.lit(delimiter)), F.concat(F.lit('"'), clean, F.lit('"'))).otherwise(clean)
+    """Quoted when the text holds the delimiter, a quote or a line break; quotes inside are doubled."""
+    whole = F.coalesce(c, F.lit(""))
+    doubled = F.concat(F.lit('"'), F.replace(whole, F.lit('"'), F.lit('""')), F.lit('"'))
+    marks = [F.contains(whole, F.lit(mark)) for mark in (delimiter, '"', "\n", "\r")]
+    return F.when(marks[0] | marks[1] | marks[2] | marks[3], doubled).otherwise(whole)
 
 
 def csv_line(fields: list[str], delimiter: str = ",", value=value_of) -> Column:
@@ -45,15 +47,35 @@ def csv_header(fields: list[str], delimiter: str = ",") -> str:
 
 
 def fixed_line(fields: list[str], widths: dict[str, int], numeric: set[str] = frozenset(), value=value_of) -> Column:
-    """Numbers padded with zeros on the left, text with spaces on the right, both cut to width."""
+    """Numbers padded with zeros on the left and never cut; text padded with spaces on the right and cut to width.
+
+    ``misfits`` reports what is too wide; records with a number that is must not be written.
+    """
     cells = []
     for n in fields:
         c = F.coalesce(value(n), F.lit(""))
-        padded = text.pad_left(c, widths[n]) if n in numeric else text.pad_right(c, widths[n])
-        cells.append(F.substring(padded, 1, widths[n]))
+        cells.append(text.pad_left(c, widths[n]) if n in numeric else F.substring(text.pad_right(c, widths[n]), 1, widths[n]))
     return F.concat(*cells)
 
 
+def misfits(format_name: str, fields: list[str], widths: dict[str, int] | None = None, numeric: set[str] = frozenset(),
+            line_breaks: bool = False, **_) -> Column:
+    """Issues of the values that a line of the format cannot hold.
+
+    Numbers wider than their column are FATAL, text that will be cut is a WARNING. Line breaks
+    are FATAL in line formats unless ``line_breaks`` says that the reader takes quoted ones.
+    """
+    hits = []
+    for n in fields:
+        value, raw = value_of(n), f"cast({ticked(fcol(n))} as string)"
+        if format_name in ("FIXED_WIDTH", "NACHA"):
+            severity = "FATAL" if n in numeric else "WARNING"
+            hits.append(found(F.coalesce(F.length(value) > widths[n], F.lit(False)), issue(n, literal(f"wider than {widths[n]}"), severity, raw)))
+        if format_name in ("FIXED_WIDTH", "NACHA") or format_name in ("CSV", "DELIMITED") and not line_breaks:
+            hits.append(found(F.coalesce(value.rlike(r"[\r\n]"), F.lit(False)), issue(n, literal("holds a line break"), "FATAL", raw)))
+    return collected(hits, ISSUES)
+
+
 def json_line(fields: list[str], value=value_of) -> Column:
     return F.to_json(F.struct(*[value(n).alias(n) for n in fields]), {"ignoreNullFields": "false"})
 
@@ -107,8 +129,8 @@ def totals(records: DataFrame, keys: list[str], amount: Column, code: Column, ro
         F.sum(credit).alias("totalCredit"),
         (F.sum(F.substring(routing, 1, 8).try_cast("bigint")) % 10_000_000_000).alias("entryHash"),
     )
-    # header and control lines count towards the blocks
-    blocks = F.ceil((F.col("entryCount") + 2) / BLOCK_LINES)
+    # the two header and the two control lines count towards the blocks
+    blocks = F.ceil((F.col("entryCount") + 4) / BLOCK_LINES)
     return summed.withColumn("batchCount", F.lit(1).cast("bigint")).withColumn("blockCount", blocks.cast("bigint"))
 
 

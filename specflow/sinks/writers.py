@@ -9,6 +9,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from specflow.session import stored
+
 # Archive codec names as Spark spells them.
 CODECS = {"NONE": "none", "GZIP": "gzip", "ZSTD": "zstd", "SNAPPY": "snappy"}
 
@@ -29,8 +31,22 @@ def to_files(df: DataFrame, options: dict) -> None:
 
 
 def to_database(df: DataFrame, options: dict) -> None:
-    """Append or replace over JDBC in batches; upserts go through ``upserted`` on a table path."""
-    mode = {"INSERT_ONLY": "append", "REPLACE": "overwrite"}[options.get("write_mode", "INSERT_ONLY")]
+    """Append, replace or upsert over JDBC in batches.
+
+    UPSERT_ON_KEY reads the table, puts the new rows in the place of those with their ``key``
+    and writes the result back; other writers of the table must pause meanwhile.
+    """
+    kind = options.get("write_mode", "INSERT_ONLY")
+    modes = {"INSERT_ONLY": "append", "REPLACE": "overwrite", "UPSERT_ON_KEY": "overwrite"}
+    if kind not in modes:
+        raise ValueError(f"unknown write mode {kind}; known are {', '.join(modes)}")
+    if kind == "UPSERT_ON_KEY":
+        if not options.get("key"):
+            raise ValueError("UPSERT_ON_KEY needs the key columns")
+        target = df.sparkSession.read.format("jdbc").options(**options["connection"]).load()
+        # the table is emptied before it is written, so its rows are fixed first
+        df = stored(upserted(target, df, list(options["key"]), options.get("order")), "upsert")
+    mode = modes[kind]
     writer = df.write.format("jdbc").mode(mode).option("batchsize", options.get("batch_size", 1000))
     if mode == "overwrite":
         writer = writer.option("truncate", "true")

@@ -11,7 +11,7 @@ from specflow.sources.fixed_width import parse_fixed_width
 from specflow.sources.json_records import parse_json_lines
 from specflow.sources.lines import number_lines, read_lines
 from specflow.sources.listing import glob_of
-from specflow.sources.payments import nacha_entries, swift_records
+from specflow.sources.payments import nacha_entries, swift_records, x12_records, x12_separators
 from specflow.sources.xml_records import read_xml
 from specflow.spec import FileSpec, UnsupportedFormatError, require_valid
 
@@ -63,6 +63,13 @@ def _swift(spark, paths, spec, glob):
     return swift_records(number_lines(lines)[0], spec)
 
 
+def _x12(spark, paths, spec, glob):
+    require_valid(spec)
+    elements, segments = x12_separators(read_lines(spark, paths, spec.encoding, glob=glob))
+    lines = read_lines(spark, paths, spec.encoding, segments, glob)
+    return x12_records(number_lines(lines)[0], spec, elements)
+
+
 def _xml(spark, paths, spec, glob):
     return read_xml(spark, paths, spec, glob)
 
@@ -74,6 +81,7 @@ for _format, _reader in {
     "JSON": _json,
     "NACHA": _nacha,
     "SWIFT_MT": _swift,
+    "EDI_X12": _x12,
     "XML": _xml,
     "ISO20022": _xml,
 }.items():

@@ -10,30 +10,22 @@ from specflow.operators.coerce import coerce
 from specflow.operators.records import ISSUES, collected, fcol, pinned, start_columns
 from specflow.spec import FileSpec, require_valid
 
-# Control characters that mark delimiters inside quotes and the place of removed quotes.
-HELD, SEAM = "\x01", "\x02"
-
 
 def split_quoted(line: Column, delimiter: str) -> Column:
     """Split outside quotes; quotes toggle and vanish, a doubled quote leaves nothing.
 
-    Pieces between quotes alternate outside/inside. Delimiters inside are swapped for a
-    marker, the pieces are glued with a seam, the glued text is split, and both markers
-    are undone.
+    Pieces between quotes alternate outside/inside. The first cell of a piece continues the
+    last cell so far; a piece inside quotes is one cell, a piece outside is split.
     """
-    glued = F.array_join(
-        F.transform(
-            F.split(line, '"', -1),
-            lambda piece, i: F.when(i % 2 == 1, F.replace(piece, F.lit(delimiter), F.lit(HELD))).otherwise(piece),
-        ),
-        SEAM,
-    )
-    parts = F.split(glued, r"\Q" + delimiter + r"\E", -1)
-    undone = F.transform(
-        parts, lambda p: F.replace(F.replace(p, F.lit(SEAM), F.lit("")), F.lit(HELD), F.lit(delimiter))
-    )
-    plain = F.split(line, r"\Q" + delimiter + r"\E", -1)
-    return F.when(F.contains(line, F.lit('"')), undone).otherwise(plain)
+    pattern = r"\Q" + delimiter + r"\E"
+    pieces = F.transform(F.split(line, '"', -1), lambda piece, i: F.when(i % 2 == 1, F.array(piece)).otherwise(F.split(piece, pattern, -1)))
+
+    def glue(cells: Column, more: Column) -> Column:
+        seam = F.concat(F.element_at(cells, -1), F.element_at(more, 1))
+        return F.concat(F.slice(cells, F.lit(1), F.size(cells) - 1), F.array(seam), F.slice(more, F.lit(2), F.size(more)))
+
+    glued = F.aggregate(pieces, F.array(F.lit("")), glue)
+    return F.when(F.contains(line, F.lit('"')), glued).otherwise(F.split(line, pattern, -1))
 
 
 def header_names(header: Column, delimiter: str) -> Column:

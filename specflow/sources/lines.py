@@ -4,6 +4,10 @@ Every file split is numbered locally: ``monotonically_increasing_id`` counts row
 scan order, so a row's place in its split is its id minus the smallest id of the split.
 One aggregation gives (smallest id, line count) per split; running totals over that
 small table give each split's offset, and a join on the split adds it to the lines.
+
+The two scans must cut the files alike. Spark cuts by the cores it has at each scan, so
+``read_lines`` pins that number for the session; a line that still finds no facts of its
+split, or lies outside them, stops the job.
 """
 
 from __future__ import annotations
@@ -13,80 +17,119 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from specflow.functions.text import is_blank
-from specflow.session import checkpointed
-
-# A side is broadcast only after its rows and text have been counted and stay below this.
-BROADCAST_BYTES = 128 * 1024 * 1024
-ROW_BYTES = 100
+from specflow.session import stored
+
+PIN = "spark.sql.files.minPartitionNum"
+MOVED = "The files were cut differently by two scans; lines cannot be numbered. Keep " + PIN + " and the files unchanged."
+
+
+def pin_splits(spark: SparkSession) -> None:
+    """From now on files are cut for as many tasks as now, whatever executors come and go."""
+    if spark.conf.get(PIN, None) is None:
+        cores = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism
+        spark.conf.set(PIN, str(cores))
+
+
+def charset_of(spark: SparkSession, paths: list[str], encoding: str) -> str | None:
+    """Canonical name, None for UTF-8 and ASCII; UTF-16 becomes the byte order that the first file's mark tells."""
+    name = encoding.upper().replace("_", "-")
+    if name in ("UTF-8", "UTF8", "US-ASCII", "ASCII"):
+        return None
+    if name in ("UTF-16", "UTF16"):
+        first = spark.read.option("recursiveFileLookup", "true").text(paths).limit(1)
+        mark = first.select(F.hex(F.substring(F.col("value").cast("binary"), 1, 2)).alias("mark")).first()
+        return "UTF-16LE" if mark and mark["mark"] == "FFFE" else "UTF-16BE"
+    return {"LATIN1": "ISO-8859-1", "ISO8859-1": "ISO-8859-1", "LATIN-1": "ISO-8859-1"}.get(name, name)
+
+
+def decoded(lines: DataFrame, charset: str) -> DataFrame:
+    """``value`` from the bytes of a charset; bytes it does not know become the replacement mark."""
+    conf = lines.sparkSession.conf
+    switches = ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction")
+    before = {k: conf.get(k, "false") for k in switches}
+    try:
+        # both are read when the expression is made, so they need not stay
+        for k in switches:
+            conf.set(k, "true")
+        text = F.decode(F.col("value").cast("binary"), charset)
+        return lines.withColumn("value", F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), r"\r$", ""))
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
 
 
 def read_lines(
     spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8", line_sep: str | None = None,
     glob: str | None = None,
 ) -> DataFrame:
-    """Columns: _file, _split, _raw, _id."""
+    """Columns: _file, _split, _raw, _id. Lines are cut as bytes, then decoded; blank lines are lines."""
+    pin_splits(spark)
     paths = [paths] if isinstance(paths, str) else list(paths)
     # folder names are not data here, even when they look like partitions
     options = {"recursiveFileLookup": "true"}
-    if line_sep and line_sep != "\n":
-        options["lineSep"] = line_sep
     if glob:
         options["pathGlobFilter"] = glob
-    if encoding.upper().replace("_", "-") in ("UTF-8", "UTF8", "US-ASCII", "ASCII"):
-        reader = spark.read.format("text").options(**options)
-        value = F.col("value")
-    else:
-        # csv with a separator that cannot occur decodes any charset and still splits files
-        reader = spark.read.format("csv").schema("value string").options(**options).option("encoding", encoding)
-        reader = reader.option("sep", "\x00").option("quote", "").option("escape", "").option("mode", "PERMISSIVE")
-        reader = reader.option("multiLine", "false").option("emptyValue", "").option("nullValue", "\x00")
-        value = F.coalesce("value", F.lit(""))
-    return (
-        reader.load(paths)
-        .select(
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_split"),
-            value.alias("_raw"),
-        )
-        .withColumn("_id", F.monotonically_increasing_id())
+    charset = charset_of(spark, paths, encoding)
+    wide = charset is not None and charset.startswith(("UTF-16", "UTF-32"))
+    if line_sep and line_sep != "\n" or wide:
+        options["lineSep"] = line_sep or "\n"
+    if charset:
+        # the separator's bytes; the text itself is decoded below
+        options["encoding"] = charset
+    lines = spark.read.format("text").options(**options).load(paths).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split")
     )
+    if charset:
+        lines = decoded(lines, charset)
+    return lines.select("_file", "_split", F.col("value").alias("_raw")).withColumn("_id", F.monotonically_increasing_id())
+
 
+def split_table(lines: DataFrame, first_line: bool = False) -> DataFrame:
+    """One row per file split: first id, lines, filled lines and those before the split; its first line on demand.
 
-def split_table(lines: DataFrame) -> DataFrame:
-    """One row per file split: first id, lines before the split, first line."""
-    counted = lines.groupBy("_file", "_split").agg(
+    ``_ffirst`` is the id that the split's first filled line gets when blank lines are dropped
+    before ids are given: ids restart with each task, whose number is in the upper bits.
+    """
+    figures = [
         F.min("_id").alias("_first"),
         F.count(F.lit(1)).alias("_lines"),
         F.count_if(~is_blank(F.col("_raw"))).alias("_filled"),
-        F.min_by("_raw", "_id").alias("_line0"),
-    )
-    before = W.partitionBy("_file").orderBy("_split").rowsBetween(W.unboundedPreceding, -1)
+    ]
+    if first_line:
+        figures.append(F.min_by("_raw", "_id").alias("_line0"))
+    counted = lines.groupBy("_file", "_split").agg(*figures)
+    task = F.shiftright("_first", 33)
+    of_file = W.partitionBy("_file").orderBy("_split").rowsBetween(W.unboundedPreceding, -1)
+    of_task = W.partitionBy(task).orderBy("_first").rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
-    return checkpointed(
+    return stored(
         counted.select(
             "*",
-            F.coalesce(F.sum("_lines").over(before), zero).alias("_offset"),
-            F.coalesce(F.sum("_filled").over(before), zero).alias("_filled_before"),
-        )
+            F.coalesce(F.sum("_lines").over(of_file), zero).alias("_offset"),
+            F.coalesce(F.sum("_filled").over(of_file), zero).alias("_filled_before"),
+            (F.shiftleft(task, 33) + F.coalesce(F.sum("_filled").over(of_task), zero)).alias("_ffirst"),
+        ),
+        "splits",
     )
 
 
-def is_small(side: DataFrame) -> bool:
-    """Measured size of a finished (checkpointed) side: rows plus the bytes of its text columns."""
-    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in side.dtypes if kind == "string"]
-    size = F.lit(ROW_BYTES).cast("bigint")
-    for t in texts:
-        size = size + t
-    return (side.agg(F.sum(size).alias("bytes")).first()["bytes"] or 0) <= BROADCAST_BYTES
+def attach(lines: DataFrame, splits: DataFrame, *columns: str) -> DataFrame:
+    """Joins split facts to the lines; the planner broadcasts them when their files are small.
 
+    Beyond that the join shuffles on (file, split), where no key exceeds one split.
+    """
+    return lines.join(splits.select("_file", "_split", *columns), ["_file", "_split"], "left")
 
-def attach(lines: DataFrame, splits: DataFrame, *columns: str) -> DataFrame:
-    """Joins split facts to the lines; broadcast only below a measured size.
 
-    Beyond it the join shuffles on (file, split), where no key exceeds one split.
+def place(before: str, id: str, first: str, size: str) -> Column:
+    """Lines before its split plus a line's place in it; stops the job when the facts are not those of its split.
+
+    The sum stands inside the test: a sum of nulls outside would let the planner make the join
+    an inner one under a filter, and lines without facts would vanish.
     """
-    facts = splits.select("_file", "_split", *columns)
-    return lines.join(F.broadcast(facts) if is_small(facts) else facts, ["_file", "_split"])
+    at = F.col(id) - F.col(first)
+    right = (at >= 0) & (at < F.col(size))
+    return F.when(right, F.col(before) + at).otherwise(F.raise_error(F.lit(MOVED)).cast("bigint"))
 
 
 def number_lines(lines: DataFrame, skip: int = 0, header: bool = False) -> tuple[DataFrame, DataFrame | None]:
@@ -96,32 +139,27 @@ def number_lines(lines: DataFrame, skip: int = 0, header: bool = False) -> tuple
     after the skipped lines and the header.
     """
     top = skip + (1 if header else 0)
-    splits = split_table(lines)
-    columns = ["_first", "_offset"]
+    splits = split_table(lines, first_line=top == 1)
+    columns = ["_first", "_lines", "_filled", "_offset", "_ffirst", "_filled_before"]
+    headers, facts = None, splits
     if top:
         heads, filled_top = _heads(lines, splits, top)
-        headers = heads.filter(F.col("_line") == skip).select("_file", F.col("_raw").alias("_header")) if header else None
-    else:
-        headers, filled_top = None, None
-    facts = splits
-    if filled_top is not None:
-        facts = facts.join(filled_top, "_file", "left")
+        facts = splits.join(filled_top, "_file", "left")
         facts = facts.withColumn("_filled_before", F.col("_filled_before") - F.coalesce("_filled_top", F.lit(0)))
-    # blank lines need a second id, counted after they are dropped; without any, one pass is enough
-    has_blank = not splits.filter("_filled < _lines").isEmpty()
-    data = lines
-    if has_blank:
-        data = lines.filter(~is_blank(F.col("_raw"))).withColumn("_fid", F.monotonically_increasing_id())
-        firsts = data.groupBy("_file", "_split").agg(F.min("_fid").alias("_ffirst"))
-        facts = facts.join(firsts, ["_file", "_split"], "left")
-        columns += ["_ffirst"]
-    if headers is not None:
-        facts = facts.join(headers, "_file", "left")
-        columns.append("_header")
-    data = attach(data, checkpointed(facts), *columns, "_filled_before")
-    line = F.col("_offset") + F.col("_id") - F.col("_first")
-    place = F.col("_fid") - F.col("_ffirst") if has_blank else F.col("_id") - F.col("_first")
-    kept = ["_file", "_raw", line.alias("_line"), (F.col("_filled_before") + place).alias("_seq"), "_split"]
+        if header:
+            headers = heads.filter(F.col("_line") == skip).select("_file", F.col("_raw").alias("_header"))
+            facts = facts.join(headers, "_file", "left")
+            columns.append("_header")
+        facts = stored(facts.select("_file", "_split", *columns), "facts")
+    # ids of the filled lines are given after the blank ones are dropped, so they have no gaps
+    data = lines.filter(~is_blank(F.col("_raw"))).withColumn("_fid", F.monotonically_increasing_id())
+    data = attach(data, facts, *columns)
+    kept = [
+        "_file", "_raw",
+        place("_offset", "_id", "_first", "_lines").alias("_line"),
+        place("_filled_before", "_fid", "_ffirst", "_filled").alias("_seq"),
+        "_split",
+    ]
     if headers is not None:
         kept.append("_header")
     data = data.select(*kept)
@@ -133,24 +171,14 @@ def number_lines(lines: DataFrame, skip: int = 0, header: bool = False) -> tuple
 def _heads(lines: DataFrame, splits: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
     """The first ``top`` lines of every file, and how many of them are not blank."""
     if top == 1:
-        # the first line of the first split came with the split table: no second scan
+        # the first line of the first split came with the split table: no further scan
         first = splits.groupBy("_file").agg(F.min_by("_line0", "_offset").alias("_raw"))
         heads = first.select("_file", F.lit(0).cast("bigint").alias("_line"), "_raw")
     else:
         # only splits that start inside the first lines can hold them
-        early = splits.filter(F.col("_offset") < top)
-        line = F.col("_offset") + F.col("_id") - F.col("_first")
-        heads = checkpointed(
-            attach(lines, early, "_first", "_offset").select("_file", line.alias("_line"), "_raw").filter(line < top)
-        )
+        early = splits.filter(F.col("_offset") < top).select("_file", "_split", "_first", "_lines", "_offset")
+        line = place("_offset", "_id", "_first", "_lines")
+        found = lines.join(early, ["_file", "_split"]).select("_file", line.alias("_line"), "_raw")
+        heads = stored(found.filter(F.col("_line") < top), "heads")
     filled_top = heads.groupBy("_file").agg(F.count_if(~is_blank(F.col("_raw"))).alias("_filled_top"))
     return heads, filled_top
-
-
-def lines_from_rows(df: DataFrame, line: Column, seq: Column, file: Column | None = None) -> DataFrame:
-    """Lines that already sit in a table: one row per line, numbered by a column."""
-    return df.select(
-        (file if file is not None else F.lit(None)).cast("string").alias("_file"),
-        seq.cast("bigint").alias("_seq"),
-        line.alias("_raw"),
-    )

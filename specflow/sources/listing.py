@@ -53,11 +53,3 @@ def file_facts(spark: SparkSession, paths: str | list[str], glob: str | None = N
         F.col("modificationTime").alias("remote_last_modified"),
         *digest,
     )
-
-
-def object_columns(bucket: Column, key: Column) -> list[Column]:
-    """File name and full path of an object-store key."""
-    return [
-        F.element_at(F.split(key, "/"), -1).alias("file_name"),
-        F.concat_ws("/", bucket, key).alias("file_path"),
-    ]

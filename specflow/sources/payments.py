@@ -15,23 +15,28 @@ from specflow.spec import FieldSpec, FileSpec
 # Record type codes in the first character of a line.
 NACHA_TYPES = {"1": "FILE_HEADER", "5": "BATCH_HEADER", "6": "ENTRY", "7": "ADDENDA", "8": "BATCH_CONTROL", "9": "FILE_CONTROL"}
 
-# Entry detail layout (1-based start, length).
+# Cells of an entry detail record in the public 94-column layout (1-based start, length).
 NACHA_ENTRY = (
-    ("recordTypeCode", 1, 1, "STRING"),
-    ("transactionCode", 2, 3, "STRING"),
-    ("routingNumber", 5, 9, "ROUTING_NUMBER"),
-    ("accountNumber", 15, 17, "ACCOUNT_NUMBER"),
-    ("amount", 32, 10, "AMOUNT"),
-    ("individualId", 42, 15, "STRING"),
-    ("individualName", 57, 22, "STRING"),
-    ("traceNumber", 88, 7, "STRING"),
+    ("recordType", 1, 1, "STRING"),
+    ("code", 2, 2, "STRING"),
+    ("routing", 4, 9, "ROUTING_NUMBER"),
+    ("account", 13, 17, "ACCOUNT_NUMBER"),
+    ("amount", 30, 10, "AMOUNT"),
+    ("individualId", 40, 15, "STRING"),
+    ("individualName", 55, 22, "STRING"),
+    ("discretionary", 77, 2, "STRING"),
+    ("addenda", 79, 1, "STRING"),
+    ("trace", 80, 15, "STRING"),
 )
 
 
+OPTIONAL = ("individualId", "discretionary")
+
+
 def nacha_entry_spec(spec_id: str = "nacha-entry") -> FileSpec:
     made = tuple(
         FieldSpec(name=n, type=t, start_position=s, length=k, scale=2 if t == "AMOUNT" else None,
-                  required=n != "individualId", nullable=n == "individualId")
+                  required=n not in OPTIONAL, nullable=n in OPTIONAL)
         for n, s, k, t in NACHA_ENTRY
     )
     return FileSpec(id=spec_id, name=spec_id, format="FIXED_WIDTH", fields=made, position_base=1)
@@ -80,6 +85,35 @@ def swift_records(messages: DataFrame, spec: FileSpec) -> DataFrame:
     return finish(cells, spec, [coerce(f, f"_r{k}", False) for k, f in enumerate(spec.fields)])
 
 
+def x12_separators(lines: DataFrame) -> tuple[str, str]:
+    """(element separator, segment terminator) as the first interchange header found spells them.
+
+    The header has fixed columns: its fourth character parts elements, its 106th ends segments.
+    """
+    head = lines.filter(F.startswith("_raw", F.lit("ISA")) & (F.length("_raw") >= 105)).select(F.substring("_raw", 1, 106).alias("isa")).first()
+    if head is None:
+        raise ValueError("no interchange header of full length was found")
+    isa = head["isa"]
+    return isa[3], isa[105] if len(isa) > 105 else "\n"
+
+
+def x12_records(lines: DataFrame, spec: FileSpec, element_sep: str) -> DataFrame:
+    """One record per segment that the spec's ``recordSegment`` names; a field's path is the element's number, from 1.
+
+    Paths ``interchange``, ``group`` and ``transaction`` give the running envelope numbers.
+    """
+    envelopes = {"interchange": "interchange_no", "group": "group_no", "transaction": "transaction_no"}
+    cut = x12_segments(lines, element_sep=element_sep).filter(F.col("segment_id") == spec.metadata["recordSegment"])
+
+    def raw(f: FieldSpec) -> Column:
+        if f.path in envelopes:
+            return F.col(envelopes[f.path]).cast("string")
+        return text.trim(F.nullif(F.get("elements", F.lit(int(f.path) - 1)), F.lit("")))
+
+    cells = cut.select("_file", "_seq", "_raw", *[raw(f).alias(f"_r{k}") for k, f in enumerate(spec.fields)])
+    return finish(cells, spec, [coerce(f, f"_r{k}", False) for k, f in enumerate(spec.fields)])
+
+
 def x12_segments(lines: DataFrame, order: tuple[str, ...] = ("_seq",), element_sep: str = "*") -> DataFrame:
     """Segments with their envelope numbers. ``lines`` holds one segment per row.
 

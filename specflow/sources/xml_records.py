@@ -1,7 +1,11 @@
 """XML records: record-sized chunks, one parse per record, fields by path.
 
 Files are read as text with the record's closing tag as line separator, so large
-documents split across tasks and no task holds a whole document.
+documents split across tasks and no task holds a whole document; comments must not hold that tag. Records that are all empty
+elements have no closing tag; ``"emptyRecords": "true"`` in the spec's metadata cuts at ``/>``.
+
+The chunks are cut again where a record or a header's block opens. Running sums of what each
+piece opens and closes tell the path that every record stands on and the block it belongs to.
 """
 
 from __future__ import annotations
@@ -13,17 +17,22 @@ from pyspark.sql import functions as F
 
 from specflow.operators.coerce import coerce_xml
 from specflow.operators.records import found, issue, literal, quoted
-from specflow.session import checkpointed
+from specflow.operators.ordered import row_numbers, running_sums
+from specflow.session import stored
 from specflow.sources.delimited import finish
-from specflow.sources.lines import attach, is_small, read_lines, split_table
+from specflow.sources.lines import attach, place, read_lines, split_table
 from specflow.spec import FieldSpec, FileSpec, require_valid
 
 _CALL = re.compile(r"^(?!text\(|node\(|comment\()[\w\-]+\(")
 _STEP = re.compile(r"^[A-Za-z_][\w.\-]*$")
 
 
+def record_path(spec: FileSpec) -> list[str]:
+    return spec.metadata["recordXPath"].strip("/").split("/")
+
+
 def record_tag(spec: FileSpec) -> str:
-    return spec.metadata["recordXPath"].rstrip("/").split("/")[-1]
+    return record_path(spec)[-1]
 
 
 def header_tag(spec: FileSpec, f: FieldSpec) -> str | None:
@@ -40,6 +49,15 @@ def header_tag(spec: FileSpec, f: FieldSpec) -> str | None:
     return steps[shared]
 
 
+def block_tag(spec: FileSpec, f: FieldSpec) -> str | None:
+    """Element around a document-level field that is nearest to the records: the last step both paths share."""
+    if header_tag(spec, f) is None:
+        return None
+    record, steps = record_path(spec), f.path.strip("/").split("/")
+    shared = steps.index(header_tag(spec, f))
+    return record[shared - 1] if shared else record[0]
+
+
 def relative_path(spec: FileSpec, f: FieldSpec) -> str | None:
     """Field path below the record (or below its header element)."""
     if f.path is None:
@@ -152,6 +170,12 @@ def parse_xml_text(records: DataFrame, spec: FileSpec) -> DataFrame:
     values_by_field.update({f.name: v for (f, _), v in zip(own, values)})
     for head in heads:
         fields = [(f, relative_path(spec, f)) for f in spec.fields if header_tag(spec, f) == head and not f.xml_attribute]
+        # an empty path names the header element itself
+        own_text = [f for f, path in fields if not path]
+        values_by_field.update({f.name: F.xpath_string(quoted(f"_head_{head}"), F.lit(f"/{head}")) for f in own_text})
+        fields = [(f, path) for f, path in fields if path]
+        if not fields:
+            continue
         ddl, values = xml_values(fields, quoted(f"_head_{head}"), quoted(f"_parsed_{head}"), head)
         parsed_columns.append(F.from_xml(quoted(f"_head_{head}"), ddl, _options(head)).alias(f"_parsed_{head}"))
         values_by_field.update({f.name: v for (f, _), v in zip(fields, values)})
@@ -170,37 +194,93 @@ def parse_xml_text(records: DataFrame, spec: FileSpec) -> DataFrame:
     return finish(cells, spec, made)
 
 
-def element_pattern(tag: str) -> str:
-    """One element at the end of a chunk, or an empty element anywhere."""
-    return rf"(?s)(<{tag}(?:\s[^<>]*)?/>|<{tag}(?:\s[^<>]*[^/])?>.*)"
+# Fixed value: what holds no elements of the document.
+ASIDE = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![A-Z].*?>"
+OPEN, EMPTY = r"<[A-Za-z_][^<>]*>", r"<[A-Za-z_][^<>]*/>"
 
 
-def read_xml(spark: SparkSession, paths: str | list[str], spec: FileSpec, glob: str | None = None) -> DataFrame:
-    """Records of XML files. Numbering restarts per file, in document order."""
-    require_valid(spec)
+def opens_at(tag: str) -> str:
+    return rf"^<{re.escape(tag)}[\s/>]"
+
+
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)).cast("bigint")
+
+
+def _change(text: Column, tag: str | None = None) -> Column:
+    """How many elements (of one tag) a piece of text opens more than it closes."""
+    if tag is None:
+        return _count(text, OPEN) - _count(text, EMPTY) - _count(text, "</")
+    name = re.escape(tag)
+    return _count(text, rf"<{name}(\s[^<>]*)?>") - _count(text, rf"<{name}(\s[^<>]*)?/>") - _count(text, rf"</{name}\s*>")
+
+
+def pieces_of(spark: SparkSession, paths: str | list[str], spec: FileSpec, blocks: list[str], glob: str | None) -> DataFrame:
+    """_file, _nth (from 0 per file) and _text: the document cut where a record or a block opens.
+
+    A piece that starts with a record holds it to its end; only an empty record is followed by other text.
+    """
     tag = record_tag(spec)
-    close = f"</{tag}>"
+    close = "/>" if spec.metadata.get("emptyRecords") == "true" else f"</{tag}>"
     chunks = read_lines(spark, paths, spec.encoding, line_sep=close, glob=glob)
-    # every chunk but a file's tail lost its closing tag to the separator
-    pieces = F.regexp_extract_all("_raw", F.lit(element_pattern(tag)), F.lit(1))
-    elements = chunks.select("_file", "_split", F.explode(pieces).alias("_xml"))
-    closed = F.when(F.col("_xml").rlike(rf"^<{tag}(\s[^<>]*)?/>$"), F.col("_xml")).otherwise(
-        F.concat("_xml", F.lit(close))
-    )
-    elements = elements.select("_file", "_split", closed.alias("_raw")).withColumn("_id", F.monotonically_increasing_id())
-    splits = split_table(elements)
-    numbered = attach(elements, splits, "_first", "_offset").select(
-        "_file", (F.col("_offset") + F.col("_id") - F.col("_first")).alias("_seq"), F.col("_raw").alias("_xml")
+    names = "|".join(re.escape(t) for t in dict.fromkeys([tag, *blocks]))
+    cut = F.split(F.regexp_replace("_raw", ASIDE_BUT_CDATA, ""), rf"(?=<(?:{names})[\s/>])", -1)
+    pieces = chunks.select("_file", "_split", F.posexplode(cut).alias("_at", "_text"), (F.size(cut) - 1).alias("_last"))
+    # every chunk lost the separator at its end; a file's tail gets one too many, which closes nothing
+    ends = F.col("_at") == F.col("_last")
+    whole = F.when(ends, F.concat("_text", F.lit(close))).otherwise(F.col("_text"))
+    pieces = pieces.select("_file", "_split", whole.alias("_raw"))
+    pieces = pieces.withColumn("_id", F.monotonically_increasing_id())
+    facts = split_table(pieces)
+    numbered = attach(pieces, facts, "_first", "_lines", "_offset")
+    return numbered.select("_file", place("_offset", "_id", "_first", "_lines").alias("_nth"), F.col("_raw").alias("_text"))
+
+
+# Comments may hold tags that are none; character data may too, but belongs to the values.
+ASIDE_BUT_CDATA = r"(?s)<!--.*?-->|<\?.*?\?>|<![A-Z].*?>"
+
+
+def read_xml(spark: SparkSession, paths: str | list[str], spec: FileSpec, glob: str | None = None) -> DataFrame:
+    """Records that stand on the spec's path, numbered per file in document order.
+
+    Fields outside the records' branch come from the block around the record: the first such
+    element of the block, wherever the block names it.
+    """
+    require_valid(spec)
+    *above, tag = record_path(spec)
+    outer = [f for f in spec.fields if header_tag(spec, f) is not None and not f.xml_attribute]
+    heads = {header_tag(spec, f): block_tag(spec, f) for f in outer}
+    blocks = sorted(set(heads.values()))
+    pieces = pieces_of(spark, paths, spec, blocks, glob)
+    bare = F.regexp_replace("_text", ASIDE, "")
+    starts = F.col("_text").rlike(opens_at(tag))
+    empty = F.col("_text").rlike(rf"^<{re.escape(tag)}(\s[^<>]*)?/>")
+    changes = {"_depth": _change(bare), **{f"_in_{a}": _change(bare, a) for a in sorted(set(above))}}
+    opened = {f"_no_{b}": F.col("_text").rlike(opens_at(b)).cast("bigint") for b in blocks}
+    # narrow rows go through the running sums; texts are joined back by their number
+    marks = pieces.select(
+        "_file", "_nth", starts.alias("_starts"), *[c.alias(f"d{n}") for n, c in changes.items()], *[c.alias(f"d{n}") for n, c in opened.items()]
     )
-    heads = sorted({header_tag(spec, f) for f in spec.fields if not f.xml_attribute} - {None})
-    if heads:
-        wanted = [F.regexp_extract("_raw", rf"(?s)(<{h}[\s>].*?</{h}>)", 1).alias(h) for h in heads]
-        headers = (
-            chunks.select("_file", *wanted)
-            .filter(" or ".join(f"`{h}` <> ''" for h in heads))
-            .groupBy("_file")
-            .agg(*[F.max(quoted(h)).alias(f"_head_{h}") for h in heads])
-        )
-        headers = checkpointed(headers)
-        numbered = numbered.join(F.broadcast(headers) if is_small(headers) else headers, "_file", "left")
-    return parse_xml_text(numbered, spec)
+    sums = running_sums(marks, ("_file",), ("_nth",), {n: F.col(f"d{n}") for n in [*changes, *opened]})
+    # the state before a piece, for what it stands in; blocks count the one that it opens itself
+    before = {n: F.col(n) - F.col(f"d{n}") for n in changes}
+    on_path = before["_depth"] == len(above)
+    for a in set(above):
+        on_path = on_path & (before[f"_in_{a}"] >= above.count(a))
+    state = stored(sums.select("_file", "_nth", (F.col("_starts") & on_path).alias("_record"), *opened), "xml")
+    records = row_numbers(state.filter("_record"), ("_file",), ("_nth",), "_rn")
+    records = records.select("_file", "_nth", (F.col("_rn") - 1).alias("_seq"), *opened)
+    element = F.when(empty, F.regexp_extract("_text", rf"^(<{re.escape(tag)}(?:\s[^<>]*)?/>)", 1)).otherwise(F.col("_text"))
+    numbered = records.join(pieces.select("_file", "_nth", element.alias("_xml")), ["_file", "_nth"])
+    outside = F.when(~starts, F.col("_text")).when(empty, F.regexp_replace("_text", rf"^<{re.escape(tag)}(\s[^<>]*)?/>", ""))
+    for block in blocks:
+        own = [h for h, b in heads.items() if b == block]
+        found = pieces.select("_file", "_nth", *[
+            F.nullif(F.regexp_extract(outside, rf"(?s)(<{re.escape(h)}(?:\s[^<>]*)?/>|<{re.escape(h)}[\s>].*?</{re.escape(h)}\s*>)", 1), F.lit("")).alias(h) for h in own
+        ]).filter(" or ".join(f"`{h}` is not null" for h in own))
+        of_block = found.join(state.select("_file", "_nth", f"_no_{block}"), ["_file", "_nth"]).groupBy("_file", f"_no_{block}")
+        firsts = stored(of_block.agg(*[
+            F.min_by(quoted(h), F.when(quoted(h).isNotNull(), F.col("_nth"))).alias(f"_head_{h}") for h in own
+        ]), "xml-heads")
+        numbered = numbered.join(firsts, ["_file", f"_no_{block}"], "left")
+    return parse_xml_text(numbered.drop("_nth", *opened), spec)

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
 # The names a spec file may use.
-FORMATS = ("CSV", "FIXED_WIDTH", "XML", "JSON", "NACHA", "ISO20022", "SWIFT_MT", "DELIMITED", "CUSTOM")
+FORMATS = ("CSV", "FIXED_WIDTH", "XML", "JSON", "NACHA", "ISO20022", "SWIFT_MT", "EDI_X12", "DELIMITED", "CUSTOM")
 TYPES = (
     "STRING", "INTEGER", "LONG", "DECIMAL", "AMOUNT", "DATE", "DATETIME", "BOOLEAN",
     "ALPHANUMERIC", "ROUTING_NUMBER", "ACCOUNT_NUMBER", "ABA", "ENUM",
@@ -279,6 +279,8 @@ def issues(spec: FileSpec) -> list[str]:
         found.append("spec has no fields")
     if spec.format in ("XML", "ISO20022") and "recordXPath" not in spec.metadata:
         found.append("metadata key recordXPath is missing")
+    if spec.format == "EDI_X12" and "recordSegment" not in spec.metadata:
+        found.append("metadata key recordSegment is missing")
     for f in spec.fields:
         if f.type not in TYPES:
             found.append(f"{f.name}: unknown type {f.type}")

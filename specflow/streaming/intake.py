@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specflow.operators import ledger
@@ -15,7 +15,7 @@ from specflow.sources.delimited import parse_delimited
 from specflow.sources.fixed_width import parse_fixed_width
 from specflow.sources.json_records import parse_json_lines
 from specflow.sources.lines import number_lines
-from specflow.session import checkpointed
+from specflow.session import checkpointed, stored
 from specflow.spec import FileSpec, UnsupportedFormatError
 
 PARSERS: dict[str, Callable] = {
@@ -38,26 +38,38 @@ def event_writer(spec: FileSpec, out: str, run_id: str, skip_invalid: bool = Fal
 
     def each(batch: DataFrame, number: int) -> None:
         done = checkpointed(processed(parsed_batch(batch, spec), spec, skip_invalid))
-        envelopes(passing(done), spec, run_id, stamp=F.lit(0)).write.mode("overwrite").parquet(f"{out}/events/batch_no={number}")
-        quarantined(done).select("_file", "_seq", "_raw", "_route").write.mode("overwrite").parquet(f"{out}/quarantine/batch_no={number}")
+        envelopes(passing(done), spec, run_id).write.mode("overwrite").parquet(f"{out}/events/batch_no={number}")
+        quarantined(done).write.mode("overwrite").parquet(f"{out}/quarantine/batch_no={number}")
         summarise(done, ("_file",)).write.mode("overwrite").parquet(f"{out}/summary/batch_no={number}")
 
     return each
 
 
-def ledger_writer(book: str, integration: int) -> Callable[[DataFrame, int], None]:
-    """Per batch: a ledger row for each file not yet in the ledger of the batches before."""
+BOOK = "integration_id bigint, remote_file_name string, n_lines bigint, processing_status string, stream string, batch_no int"
+
+
+def read_book(spark: SparkSession, book: str) -> DataFrame:
+    """All rows of a ledger, whichever streams wrote them."""
+    return spark.read.schema(BOOK).option("basePath", book).parquet(f"{book}/stream=*/batch_no=*")
+
+
+def ledger_writer(book: str, integration: int, stream: str) -> Callable[[DataFrame, int], None]:
+    """Per batch: a ledger row for each file that no other batch of any stream has in the ledger.
+
+    Folders belong to a stream, named for its checkpoint, and a batch, so streams with their own
+    checkpoints do not overwrite each other and a batch that runs again replaces its own rows.
+    Streams of one book are expected to take turns.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         listing = batch.groupBy(F.col("_file").alias("remote_file_name")).agg(F.count(F.lit(1)).alias("n_lines"))
         listing = listing.withColumn("integration_id", F.lit(integration).cast("bigint"))
-        fresh = listing
-        if number > 0:
-            known = spark.read.schema("integration_id bigint, remote_file_name string, n_lines bigint, processing_status string, batch_no int")
-            older = known.option("basePath", book).parquet(f"{book}/batch_no=*").filter(F.col("batch_no") < number)
-            fresh = ledger.unseen(listing, older)
+        own = f"{book}/stream={stream}/batch_no={number}"
+        spark.createDataFrame([], BOOK).drop("stream", "batch_no").write.mode("ignore").parquet(own)
+        others = read_book(spark, book).filter(~((F.col("stream") == stream) & (F.col("batch_no") >= number)))
+        fresh = stored(ledger.unseen(listing, others), "ledger")
         rows = fresh.select("integration_id", "remote_file_name", "n_lines", F.lit("PENDING").alias("processing_status"))
-        rows.write.mode("overwrite").parquet(f"{book}/batch_no={number}")
+        rows.write.mode("overwrite").parquet(own)
 
     return each

@@ -23,14 +23,18 @@ def run_each(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoi
 
 def run_to_folder(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Runs over everything available; each batch overwrites its own folder, so a retried
-    batch cannot count twice. Complete and update modes keep the newest row set per batch."""
+    batch cannot count twice. In complete mode the newest batch holds all rows and is read alone."""
     spark: SparkSession = stream.sparkSession
     out, checkpoint = work_path(spark, label), work_path(spark, f"{label}-checkpoint")
     schema = stream.schema
 
+    newest = 0
+
     def store(batch: DataFrame, number: int) -> None:
+        nonlocal newest
         batch.write.mode("overwrite").parquet(f"{out}/batch_no={number}")
+        newest = max(newest, number)
 
     run_each(stream, store, checkpoint, mode)
-    found = spark.read.schema(schema).option("basePath", out).parquet(f"{out}/batch_no=*")
+    found = spark.read.schema(schema).option("basePath", out).parquet(f"{out}/batch_no={newest if mode == 'complete' else '*'}")
     return found

@@ -78,21 +78,72 @@ def test_each_file_has_its_own_header_and_numbers(spark, folder):
         ("a.csv", 0, "1", "x"), ("a.csv", 1, "2", "y"), ("b.csv", 0, "9", "z")]
 
 
-def test_shuffle_join_gives_the_same_numbers(spark, folder, monkeypatch):
-    from specflow.sources import lines as module
+def numbered(spark, folder, skip=0):
+    return number_lines(read_lines(spark, folder), skip=skip)[0]
 
+
+def test_shuffle_join_gives_the_same_numbers(spark, folder):
     with open(f"{folder}/t.txt", "w") as out:
         out.write("".join(f"{i}\n" for i in range(500)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
-    monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        data, _ = number_lines(read_lines(spark, folder), skip=3)
-        rows = data.collect()
+        rows = numbered(spark, folder, 3).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(rows) == 497 and all(int(r._raw) == r._line == r._seq + 3 for r in rows)
 
 
+def test_numbers_hold_when_executors_come_or_go(spark, folder):
+    """The number of cores decides how files are cut; it may change between the two scans."""
+    with open(f"{folder}/t.txt", "w") as out:
+        out.write("".join("\n" if i % 7 == 3 else f"{i}\n" for i in range(20_000)))
+    changed = {"spark.sql.files.openCostInBytes": "1", "spark.sql.leafNodeDefaultParallelism": "4"}
+    pinned = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        data = numbered(spark, folder)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "16")
+        rows = sorted((r._line, r._seq, r._raw) for r in data.collect())
+        filled = [i for i in range(20_000) if i % 7 != 3]
+        assert rows == [(i, nth, str(i)) for nth, i in enumerate(filled)]
+        # other cuts, against the pin, stop the job
+        spark.conf.set("spark.sql.files.minPartitionNum", "7")
+        with pytest.raises(Exception, match="cut differently"):
+            data.filter("_line >= 0").collect()
+    finally:
+        for k in [*changed, "spark.sql.files.minPartitionNum"]:
+            spark.conf.unset(k)
+        if pinned:
+            spark.conf.set("spark.sql.files.minPartitionNum", pinned)
+
+
+def test_control_characters_stay(spark):
+    frame = spark.createDataFrame([('"a\x01b",\x02c,"d,e"f""g',)], "v string")
+    assert frame.select(split_quoted(F.col("v"), ",").alias("o")).first().o == ["a\x01b", "\x02c", "d,efg"]
+
+
+@pytest.mark.parametrize("charset", ["ISO-8859-1", "windows-1252", "UTF-16", "UTF-16LE", "UTF-16BE"])
+def test_charsets_with_blank_and_skipped_lines(spark, folder, charset):
+    import os
+
+    os.makedirs(f"{folder}/in")
+    lines = ["", "skip", "id|name", "1|Ærø", "", "2|naïve café", "3|" + "ü" * 300]
+    with open(f"{folder}/in/a.txt", "wb") as out:
+        out.write("\n".join(lines).encode(charset) + "\n".encode("utf-16-le" if charset == "UTF-16" else charset))
+    spec = load_spec({"id": "c", "format": "DELIMITED", "delimiter": "|", "encoding": charset, "hasHeader": True, "skipLinesCount": 2,
+                      "fields": [{"name": "id", "columnName": "id"}, {"name": "name", "columnName": "name"}]})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128")
+    try:
+        rows = sorted((r._seq, r.f_id, r.f_name) for r in read_records(spark, f"{folder}/in", spec).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows == [(0, "1", "Ærø"), (1, "2", "naïve café"), (2, "3", "ü" * 300)]
+
+
 def toggle_split(line, delimiter):
     out, cell, quoted, i = [], "", False, 0
     while i < len(line):

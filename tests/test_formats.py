@@ -75,7 +75,7 @@ def test_json_lines(lines):
 
 
 def entry(account, amount, name):
-    return "6" + "022" + "021000021" + " " + account.ljust(17) + str(amount).rjust(10, "0") + "ID".ljust(15) + name.ljust(22) + " " * 9 + "0000001"
+    return "6" + "22" + "091000019" + account.ljust(17) + str(amount).rjust(10, "0") + "ID".ljust(15) + name.ljust(22) + "  0" + "091000010000001"
 
 
 def test_nacha(lines):
@@ -84,7 +84,8 @@ def test_nacha(lines):
     assert [(r._batch, r.record_type) for r in nacha_lines(frame).orderBy("_seq").collect()] == [
         (0, "FILE_HEADER"), (1, "BATCH_HEADER"), (1, "ENTRY"), (1, "ENTRY"), (2, "BATCH_HEADER"), (2, "ENTRY"), (2, "BATCH_CONTROL"), (2, "FILE_CONTROL")]
     rows = nacha_entries(frame).orderBy("_seq").collect()
-    assert [(r.f_accountNumber, r.f_amount, r.f_individualName, r._batch) for r in rows] == [("A1", "12.50", "ANN", 1), ("A2", "0.05", "BOB", 1), ("A3", "0.07", "CY", 2)]
+    assert {len(r._raw) for r in rows} == {94} and {r.f_routing for r in rows} == {"091000019"} and {r.f_code for r in rows} == {"22"}
+    assert [(r.f_account, r.f_amount, r.f_individualName, r._batch) for r in rows] == [("A1", "12.50", "ANN", 1), ("A2", "0.05", "BOB", 1), ("A3", "0.07", "CY", 2)]
 
 
 def test_swift(spark, folder):
@@ -104,6 +105,57 @@ def test_x12_from_a_file(spark, folder):
     assert rows[3].elements == ["1", ""] and rows[-1].interchange_no == 1
 
 
+ISA = "ISA*00*          *00*          *ZZ*SENDER         *ZZ*RECEIVER       *260101*0600*U*00401*000000001*0*P*>"
+
+
+@pytest.mark.parametrize("element, terminator, ending", [("*", "~", ""), ("*", "~", "\n"), ("|", "'", "\r\n"), ("*", "\n", "")])
+def test_x12_reader_takes_separators_from_the_header(spark, folder, element, terminator, ending):
+    assert len(ISA) == 105
+    segments = [ISA, "GS*RA*A*B", "ST*820*1", "RMR*IV*77**5.25", "SE*3*1", "ST*820*2", "RMR*IV*78*x*7", "SE*3*2", "GE*2*1", "IEA*1*1"]
+    put(folder, "a.edi", "".join(s.replace("*", element) + terminator + ending for s in segments))
+    spec = load_spec({"id": "e", "format": "EDI_X12", "metadata": {"recordSegment": "RMR"}, "fields": [
+        {"name": "no", "type": "INTEGER", "path": "2"}, {"name": "note", "path": "3", "required": False, "nullable": True},
+        {"name": "paid", "type": "DECIMAL", "path": "4"}, {"name": "batch", "path": "transaction"}]})
+    rows = read_records(spark, folder, spec).orderBy("_seq").collect()
+    assert [(r.f_no, r.f_note, r.f_paid, r.f_batch) for r in rows] == [("77", None, "5.25", "1"), ("78", "x", "7", "2")]
+    assert not any(r._errors for r in rows)
+
+
+DOC = load_spec({"id": "d", "format": "XML", "metadata": {"recordXPath": "/doc/a/item"}, "fields": [
+    {"name": "v", "path": "v"}, {"name": "own", "path": "/doc/a/label"}, {"name": "who", "path": "/doc/a/by/name"}, {"name": "top", "path": "/doc/title"}]})
+
+
+def test_xml_paths_blocks_and_other_branches(spark, folder):
+    body = "<!-- <a><item><v>no</v> --><title>T</title>"
+    for block in range(3):
+        items = "".join(f"<item><v>{block}.{i}</v><label>inner</label></item>" for i in range(40))
+        label = f"<label>L{block}</label>" if block != 1 else ""
+        body += f"<a>{label}<by><name>N{block}</name></by>{items}</a><b><item><v>other</v></item><x><a2/></x></b>"
+    put(folder, "a.xml", f"<?xml version='1.0'?><doc>{body}<deep><a><item><v>deeper</v></item></a></deep></doc>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        rows = sorted((r._seq, r.f_v, r.f_own, r.f_who, r.f_top) for r in read_records(spark, folder, DOC).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [(b * 40 + i, f"{b}.{i}", f"L{b}" if b != 1 else None, f"N{b}", "T") for b in range(3) for i in range(40)]
+    assert rows == want
+
+
+def test_empty_records_split_over_tasks_and_charsets(spark, folder):
+    text = "<all><good>" + "".join(f'<row id="{i}" name="é{i}"/>' for i in range(500)) + '</good><bad><row id="x" name="y"/></bad></all>'
+    put(folder, "a.xml", text, "iso-8859-1")
+    spec = load_spec({"id": "e", "format": "XML", "encoding": "ISO-8859-1", "metadata": {"recordXPath": "/all/good/row", "emptyRecords": "true"}, "fields": [
+        {"name": "id", "xmlAttribute": "id"}, {"name": "name", "xmlAttribute": "name"}]})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        done = read_records(spark, folder, spec)
+        assert read_lines(spark, folder, "ISO-8859-1", "/>").rdd.getNumPartitions() > 5
+        rows = sorted((r._seq, r.f_id, r.f_name) for r in done.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows == [(i, str(i), f"é{i}") for i in range(500)]
+
+
 def test_charset(spark, folder):
     put(folder, "a.csv", "1|Zürich\n2|Málaga, \"quoted\"\n", "iso-8859-1")
     spec = load_spec({"id": "c", "format": "DELIMITED", "delimiter": "|", "encoding": "ISO-8859-1", "fields": [{"name": "i", "columnIndex": 0}, {"name": "v", "columnIndex": 1}]})

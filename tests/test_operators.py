@@ -65,6 +65,52 @@ def test_dedup_of_one_hot_checksum(spark):
     assert first_seen(frame, ["sum"], ["t", "id"]).count() == 201
 
 
+def test_windows_over_midnight_and_over_the_year():
+    night = cron.intervals("0 0 22 * * ?", "0 0 6 * * ?", datetime(2024, 5, 1), datetime(2024, 5, 2))
+    assert [(o.day, o.hour, c.day, c.hour) for o, c in night] == [(30, 22, 1, 6), (1, 22, 2, 6)]
+    year = cron.intervals("0 0 0 1 JAN ?", "0 0 0 31 DEC ?", datetime(2024, 2, 1), datetime(2024, 3, 1))
+    assert [(o.month, o.day, c.month, c.day) for o, c in year] == [(1, 1, 12, 31)]
+    leap = cron.intervals("0 0 0 29 FEB ?", "0 0 12 29 FEB ?", datetime(2025, 1, 1), datetime(2028, 3, 1))
+    assert [(o.year, c.hour) for o, c in leap] == [(2028, 12)]
+    assert cron.intervals("0 0 0 30 FEB ?", "0 0 1 * * ?", datetime(2024, 1, 1), datetime(2024, 12, 31)) == []
+    assert cron.intervals("0 0 8 * * ?", "0 0 0 30 FEB ?", datetime(2024, 1, 1), datetime(2024, 1, 3)) == []
+    capped = cron.intervals("0 0 22 * * ?", "0 0 6 * * ?", datetime(2024, 5, 1), datetime(2024, 5, 2), cap_minutes=60)
+    assert [o.day for o, _ in capped] == [1]
+
+
+def test_deep_chains_and_rings(spark):
+    from specflow.operators import traces
+
+    spans = [("t", f"s{i}", f"s{i - 1}" if i else None) for i in range(131)]
+    spans += [("r", "a", "b"), ("r", "b", "a"), ("r", "c", "a"), ("r", "d", "gone"), ("t", "x", "s64"), ("u", "s0", None), ("u", "s1", "s0")]
+    frame = spark.createDataFrame(spans, "trace_id string, span_id string, parent_id string")
+    got = {(r.trace_id, r.span_id): r.depth for r in traces.with_depth(frame).collect()}
+    assert [got["t", f"s{i}"] for i in range(131)] == list(range(131))
+    assert got["t", "x"] == 65 and got["u", "s1"] == 1
+    assert {got["r", s] for s in "abcd"} == {None}
+
+
+@pytest.mark.parametrize("value, bound, order", [
+    ("0.009999999999", "0.01", -1), ("0.00000000001", "0", 1), ("-0.00000000001", "0", -1), ("1E-20", "0", 1), ("1e3", "1000", 0), ("+1000.000", "1000", 0),
+    ("123456789012345678901234567890123456789", "123456789012345678901234567890123456788", 1), ("-5", "-4.99", -1), ("-0.0", "0", 0), ("0e9", "0", 0),
+    (".5", "0.5", 0), ("5.", "5", 0), ("99999999999999999999999999999", "1", 1), ("-99999999999999999999999999999.5", "1", -1), ("12", "123", -1), ("1.5E+1", "15", 0)])
+def test_exact_comparison(spark, value, bound, order):
+    from specflow.functions import text
+
+    frame = spark.createDataFrame([(value,)], "v string")
+    row = frame.select(*[text.compare_number(F.col("v"), op, bound).alias(str(i)) for i, op in enumerate(("<", "<=", ">", ">="))]).first()
+    assert tuple(row) == (order < 0, order <= 0, order > 0, order >= 0)
+
+
+@pytest.mark.parametrize("value, plain", [
+    ("1E-20", "0.00000000000000000001"), ("1.2345678901234567891234E0", "1.2345678901234567891234"), ("-2.50e2", "-250"), ("7e0", "7"), ("0E5", "0"),
+    ("12.5E-1", "1.25"), ("1e40", "1" + "0" * 40), ("1e999999", "1e999999"), ("+007.10", "7.10"), (".5", "0.5"), ("5.", "5")])
+def test_plain_notation(spark, value, plain):
+    from specflow.functions import text
+
+    assert spark.createDataFrame([(value,)], "v string").select(text.decimal_text(F.col("v")).alias("o")).first().o == plain
+
+
 def test_cron():
     day = (datetime(2024, 3, 8), datetime(2024, 3, 12))
     fires = cron.fire_times("0 0 8 * * MON-FRI ?", *day, timezone="America/New_York")

@@ -84,12 +84,25 @@ def test_ledger_stream_takes_a_file_once(spark, folder):
     book = f"{folder}/book"
 
     def take():
-        runs.run_each(sources.poll_lines(spark, f"{folder}/in"), intake.ledger_writer(book, 1), f"{folder}/cp")
+        runs.run_each(sources.poll_lines(spark, f"{folder}/in"), intake.ledger_writer(book, 1, "one"), f"{folder}/cp")
 
     for name in ("a", "b", "c"):
         with open(f"{folder}/in/{name}", "w") as out:
             out.write("x\ny\n")
         take()
     take()
-    rows = spark.read.parquet(f"{book}/batch_no=*").collect()
+    rows = intake.read_book(spark, book).collect()
     assert sorted((r.remote_file_name[-1], r.n_lines) for r in rows) == [("a", 2), ("b", 2), ("c", 2)]
+    # a second stream with its own checkpoint finds all of them taken and leaves the first one's rows
+    with open(f"{folder}/in/d", "w") as out:
+        out.write("x\n")
+    runs.run_each(sources.poll_lines(spark, f"{folder}/in"), intake.ledger_writer(book, 1, "two"), f"{folder}/cp2")
+    rows = intake.read_book(spark, book).collect()
+    assert sorted((r.remote_file_name[-1], r.stream) for r in rows) == [("a", "one"), ("b", "one"), ("c", "one"), ("d", "two")]
+
+
+def test_complete_mode_keeps_the_last_state(spark, folder):
+    batches = [[("a", n * 10 + i, "x", n * 40 + i) for i in range(5)] for n in range(4)]
+    stream = arrivals(spark, folder, batches).withWatermark("ts", "1 hour")
+    done = runs.run_to_folder(windows.windowed_counts(stream, "ts", "100 seconds"), "complete", "complete")
+    assert sorted((int(r.window_start.timestamp()), r.event_count) for r in done.collect()) == [(0, 15), (100, 5)]
