@@ -27,8 +27,8 @@ def brute(table, documents, least):
 
 def test_like_brute_force(documents):
     table = documents.collect()
-    for least in (1, 5):
-        got = drop_shared_lines(documents, documents=10, least=least)
+    for least, broadcast_keys in ((1, 200_000), (5, 0), (1, 0)):
+        got = drop_shared_lines(documents, documents=10, least=least, broadcast_keys=broadcast_keys)
         assert rows(got, "doc_id", "n_lines", "n_dropped", "text") == brute(table, 10, least)
     assert sum(r[2] for r in brute(table, 10, 1)) > 20
     assert got.columns[: len(documents.columns)] == documents.columns
