@@ -3,7 +3,7 @@
 Centroids come from balanced splits of a bounded sample; they and a graph that links each to
 its nearest ones are broadcast. A vector goes to its nearest list and to further lists whose
 centroid is nearly as near, unless a chosen centroid is nearer to that centroid (boundary
-vectors). A query walks the graph and reads the lists whose centroid is within a ratio of the
+vectors). A query walks the graph and reads every list whose centroid is within a ratio of the
 nearest one. Large lists, and lists that many queries read, are dealt as pairs of chunks.
 Queries with too few finds read every list.
 
@@ -34,12 +34,14 @@ SAMPLE = 16_384
 MOST_LISTS = 2_048
 #: vectors a list holds on average before replication
 LIST_ROWS = 128
-#: links of a centroid, places of the walk
-LINKS, BEAM = 24, 96
+#: links of a centroid, and centroids that a walk leaves from at least
+LINKS, LEAST = 24, 16
+#: a vector's walk goes on from centroids within this ratio of the nearest
+EXPLORE = 1.08
 #: a vector is copied to lists within this ratio of its nearest centroid, at most so many
-CLOSURE, COPIES = 1.15, 6
-#: a query reads the lists within this ratio of its nearest centroid
-PRUNE = 1.35
+CLOSURE, COPIES = 1.02, 3
+#: a query reads all lists within this ratio of its nearest centroid
+PRUNE = 1.2
 #: vectors and queries that meet in one group
 CHUNK = 4_096
 
@@ -75,6 +77,8 @@ class Graph:
         most = max(1, -(-len(points) * 5 // (4 * lists)))
         leaves = split(points, np.arange(len(points)), most, random)
         self.centres = np.stack([points[leaf].mean(axis=0) for leaf in leaves]).astype(np.float64)
+        own = np.concatenate([((points[leaf] - centre) ** 2).sum(axis=1) for leaf, centre in zip(leaves, self.centres)])
+        self.radius = float(np.sqrt(np.median(own)))
         count = len(self.centres)
         squares = (self.centres**2).sum(axis=1)
         links = []
@@ -86,49 +90,39 @@ class Graph:
         self.links = np.concatenate([np.concatenate(links), ring], axis=1)
         self.begin = np.unique(np.linspace(0, count - 1, min(16, count)).astype(np.int64))
 
-    def walk(self, vectors: np.ndarray, places: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """Nearest centroids that a best-first walk meets, and their distances, nearest first; all rows advance together."""
+    def walk(self, vectors: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """Distances to the centroids that a best-first walk meets (else infinite), and each vector's reach.
+
+        The reach is ``ratio`` times the nearest distance found, or times half a list's usual radius
+        if that is more. A walk ends when no centroid within its reach is left to go on from;
+        all vectors advance together.
+        """
         rows, count = len(vectors), len(self.centres)
-        places = min(places, count)
-        ids = np.tile(self.begin, (rows, 1))
-        apart = ((self.centres[ids] - vectors[:, None]) ** 2).sum(axis=2)
-        if ids.shape[1] < places:
-            pad = ((0, 0), (0, places - ids.shape[1]))
-            ids, apart = np.pad(ids, pad), np.pad(apart, pad, constant_values=np.inf)
-        seen = np.zeros((rows, count), bool)
-        seen[:, self.begin] = True
-        done = np.isinf(apart)
-        while True:
-            cost = np.where(done, np.inf, apart)
-            pick = cost.argmin(axis=1)
-            going = np.flatnonzero(np.isfinite(cost[np.arange(rows), pick]))
-            if not len(going):
-                order = np.argsort(apart, axis=1, kind="stable")[:, :places]
-                return np.take_along_axis(ids, order, 1), np.sqrt(np.take_along_axis(apart, order, 1))
-            done[going, pick[going]] = True
-            near = self.links[ids[going, pick[going]]]
-            old = seen[going[:, None], near]
-            seen[going[:, None], near] = True
-            # a list may be linked twice; the second link counts as seen
-            ranked = np.sort(near, axis=1)
-            if (ranked[:, 1:] == ranked[:, :-1]).any():
-                first = np.argsort(near, axis=1, kind="stable")
-                again = np.zeros_like(old)
-                again[np.arange(len(near))[:, None], first[:, 1:]] = ranked[:, 1:] == ranked[:, :-1]
-                old |= again
-            gaps = ((self.centres[near] - vectors[going][:, None]) ** 2).sum(axis=2)
-            gaps[old] = np.inf
-            joined = np.concatenate([apart[going], gaps], axis=1)
-            order = np.argsort(joined, axis=1, kind="stable")[:, : ids.shape[1]]
-            ids[going] = np.take_along_axis(np.concatenate([ids[going], near], axis=1), order, 1)
-            apart[going] = np.take_along_axis(joined, order, 1)
-            done[going] = np.take_along_axis(np.concatenate([done[going], old], axis=1), order, 1)
+        apart = np.full((rows, count), np.inf)
+        apart[:, self.begin] = np.sqrt(((self.centres[self.begin] - vectors[:, None]) ** 2).sum(axis=2))
+        left = apart.copy()
+        going, steps = np.arange(rows), 0
+        while len(going):
+            pick = left[going].argmin(axis=1)
+            reach = ratio * np.maximum(apart[going].min(axis=1), self.radius / 2)
+            cost = left[going, pick]
+            more = (cost <= reach) | (steps < LEAST) & np.isfinite(cost)
+            going, pick, steps = going[more], pick[more], steps + 1
+            left[going, pick] = np.inf
+            near = self.links[pick]
+            gaps = np.sqrt(((self.centres[near] - vectors[going][:, None]) ** 2).sum(axis=2))
+            new = np.isinf(apart[going[:, None], near])
+            at, to = np.repeat(going, new.sum(axis=1)), near[new]
+            apart[at, to] = gaps[new]
+            left[at, to] = gaps[new]
+        return apart, ratio * np.maximum(apart.min(axis=1), self.radius / 2)
 
     def homes(self, vectors: np.ndarray) -> list[list[int]]:
         """Lists of each vector: its nearest, and further ones for boundary vectors."""
-        ids, apart = self.walk(vectors, 24)
+        apart, _ = self.walk(vectors, EXPLORE)
+        ids = np.argsort(apart, axis=1, kind="stable")[:, : 4 * COPIES]
         out = []
-        for near, far in zip(ids, apart):
+        for near, far in zip(ids, np.take_along_axis(apart, ids, 1)):
             chosen = [int(near[0])]
             for place in range(1, len(near)):
                 if len(chosen) == COPIES or not far[place] <= CLOSURE * far[0]:
@@ -239,12 +233,13 @@ def search(df: DataFrame, is_query: Column, id: str = "vec_id", vector: str = "e
         for batch in batches:
             for start in range(0, len(batch), 512):
                 part = batch.slice(start, 512)
-                ids, apart = graph.value.walk(matrix(part.column("vec")) + 0.0)
-                places, lists = np.nonzero(apart <= PRUNE * apart[:, :1])
-                vecs = [v.tobytes() for v in matrix(part.column("vec")) + 0.0]
+                vectors = matrix(part.column("vec")) + 0.0
+                apart, reach = graph.value.walk(vectors, PRUNE)
+                places, lists = np.nonzero(apart <= reach[:, None])
+                vecs = [v.tobytes() for v in vectors]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id").take(pa.array(places)), pa.array([vecs[p] for p in places], pa.binary()),
-                     pa.array(ids[places, lists].astype(np.int32))], ["query_id", "vec", "list"]
+                     pa.array(lists.astype(np.int32))], ["query_id", "vec", "list"]
                 )
 
     postings = frozen(rows.mapInArrow(post, "id bigint, vec binary, list int"), "postings")

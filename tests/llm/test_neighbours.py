@@ -82,12 +82,13 @@ def test_walk_finds_the_nearest_centroids():
     graph = neighbours.Graph(points, 200)
     sizes = [len(x) for x in neighbours.split(points, np.arange(len(points)), 25, np.random.default_rng(7))]
     assert sum(sizes) == len(points) and max(sizes) <= 25
-    ids, apart = graph.walk(points[:200], 32)
+    apart, reach = graph.walk(points[:200], 1.3)
     exact = np.sqrt(((graph.centres[None] - points[:200, None]) ** 2).sum(axis=2))
-    assert (apart[:, 1:] >= apart[:, :-1]).all()
-    assert np.allclose(np.take_along_axis(exact, ids, 1), apart)
-    assert (ids[:, 0] == exact.argmin(axis=1)).mean() > 0.97
-    assert all(len(set(row)) == len(row) for row in ids.tolist())
+    met = np.isfinite(apart)
+    assert np.allclose(apart[met], exact[met])
+    assert (apart.argmin(axis=1) == exact.argmin(axis=1)).mean() > 0.97
+    inside = exact <= reach[:, None]
+    assert (met & inside).sum() > 0.97 * inside.sum()
     homes = graph.homes(points[:200])
     assert any(len(h) > 1 for h in homes) and all(len(set(h)) == len(h) <= neighbours.COPIES for h in homes)
 
