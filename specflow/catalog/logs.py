@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from specflow.catalog.base import columns, register, sql_stamp, stamp
 from specflow.catalog.windows import events
 from specflow.operators import logs, traces
+from specflow.operators.ordered import previous
 from specflow.session import table
 
 LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' WHEN 'view' THEN 'DEBUG' ELSE 'INFO' END"
@@ -155,3 +156,11 @@ def join_span_parent(spark, sf):
 @register("span_depth", "JOI-08", SPANS + "SELECT span_id, CASE substr(span_id, 1, 1) WHEN 'C' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS depth FROM spans")
 def span_depth(spark, sf):
     return traces.with_depth(spans(spark, sf)).select("span_id", "depth")
+
+
+@register("span_depth_chain", "JOI-08", "SELECT event_id, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1)::INT AS depth FROM events")
+def span_depth_chain(spark, sf):
+    """Every event hangs on the one before of its type: chains of hundreds of spans and more."""
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("trace_id"), F.col("event_id").alias("span_id"))
+    chained = previous(rows, ("trace_id",), ("span_id",), {"parent_id": F.col("span_id")})
+    return traces.with_depth(chained).select(F.col("span_id").alias("event_id"), "depth")

@@ -64,6 +64,19 @@ def win_cron(spark, sf):
     return _stamped(windows.summary(joined, "ts", ("opened_at", "closed_at")), "opened_at", "closed_at", "last_event_at")
 
 
+NIGHT = "date_trunc('day', ts - INTERVAL 6 HOUR) + INTERVAL 22 HOUR"
+
+
+@register("win_overnight", "STR-04, JOI-10", f"""SELECT {sql_stamp(NIGHT)} AS opened_at, {sql_stamp(f"{NIGHT} + INTERVAL 8 HOUR")} AS closed_at, count(*) AS event_count, {sql_stamp("max(ts)")} AS last_event_at
+ FROM events WHERE hour(ts) >= 22 OR hour(ts) < 6 GROUP BY {NIGHT}""")
+def win_overnight(spark, sf):
+    """Nights from 22:00 to 06:00; the first one opened before the first event's day."""
+    ev = events(spark, sf)
+    start, end = _range(ev, "ts")
+    joined = windows.assign(ev, "ts", windows.instances(spark, "0 0 22 * * ?", "0 0 6 * * ?", start, end))
+    return _stamped(windows.summary(joined, "ts", ("opened_at", "closed_at")), "opened_at", "closed_at", "last_event_at")
+
+
 @register("join_event_window", "JOI-10", """SELECT event_id, CAST(date_trunc('hour', ts) + CASE WHEN minute(ts) >= 30 THEN INTERVAL 30 MINUTE ELSE INTERVAL 0 MINUTE END AS VARCHAR) AS opened_at
  FROM events WHERE (epoch_us(ts) // 1000) < (epoch_us(date_trunc('minute', ts)) // 1000) + 60000 AND minute(ts) % 30 < 29""")
 def join_event_window(spark, sf):
