@@ -30,7 +30,7 @@ BITS = 20
 ROWS = 2_000
 CHARACTERS = 24_000_000
 #: places that the regression may use, those with the largest ratios
-FEATURES = 65_536
+FEATURES = 16_384
 ALPHA = 0.5
 PENALTY = 1e-4
 ROUNDS = 150
@@ -82,10 +82,10 @@ def fit(rows: list[tuple[bytes, int]], shares: tuple[float, float]) -> Model:
     if not len(rows) or labels.min() == labels.max():
         return Model(weights, float(np.log(max(shares[1], 1e-6) / max(shares[0], 1e-6))))
     cut = Places()
-    held = [cut.of(text) for text, _ in rows]
-    counts = np.zeros((2, 1 << BITS))
-    for places, label in zip(held, labels):
-        counts[int(label), places] += 1
+    # places are found twice rather than held for all rows
+    counts = np.zeros((2, 1 << BITS), np.int32)
+    for text, label in rows:
+        counts[label, cut.of(text)] += 1
     # shares of documents of the label that hold the place; long documents do not outweigh short ones
     sizes = np.array([[(labels == 0).sum()], [(labels == 1).sum()]])
     smooth = (counts + ALPHA) / (sizes + 2 * ALPHA)
@@ -97,10 +97,10 @@ def fit(rows: list[tuple[bytes, int]], shares: tuple[float, float]) -> Model:
     chosen = chosen[telling[chosen] > 0]
     column = np.full(1 << BITS, -1, np.int32)
     column[chosen] = np.arange(len(chosen))
-    kept = [c[c >= 0] for c in (column[places] for places in held)]
-    row = np.repeat(np.arange(len(kept)), [len(k) for k in kept])
-    col = np.concatenate(kept) if kept else np.zeros(0, np.int32)
-    value = ratio[chosen][col]
+    kept = [c[c >= 0] for c in (column[cut.of(text)] for text, _ in rows)]
+    row = np.repeat(np.arange(len(kept), dtype=np.int32), [len(k) for k in kept])
+    col = np.concatenate(kept)
+    value = ratio[chosen].astype(np.float32)[col]
     weight = np.where(labels == 1, shares[1] / sizes[1, 0], shares[0] / sizes[0, 0])
     weight /= weight.sum()
     beta, bias = np.zeros(len(chosen)), float(np.log(shares[1] / shares[0]))
@@ -149,10 +149,10 @@ def fit(rows: list[tuple[bytes, int]], shares: tuple[float, float]) -> Model:
     if not len(rows) or labels.min() == labels.max():
         return Model(weights, float(np.log(max(shares[1], 1e-6) / max(shares[0], 1e-6))))
     cut = Places()
-    held = [cut.of(text) for text, _ in rows]
-    counts = np.zeros((2, 1 << BITS))
-    for places, label in zip(held, labels):
-        counts[int(label), places] += 1
+    # places are found twice rather than held for all rows
+    counts = np.zeros((2, 1 << BITS), np.int32)
+    for text, label in rows:
+        counts[label, cut.of(text)] += 1
     # shares of documents of the label that hold the place; long documents do not outweigh short ones
     sizes = np.array([[(labels == 0).sum()], [(labels == 1).sum()]])
     smooth = (counts + ALPHA) / (sizes + 2 * ALPHA)
@@ -164,10 +164,10 @@ def fit(rows: list[tuple[bytes, int]], shares: tuple[float, float]) -> Model:
     chosen = chosen[telling[chosen] > 0]
     column = np.full(1 << BITS, -1, np.int32)
     column[chosen] = np.arange(len(chosen))
-    kept = [c[c >= 0] for c in (column[places] for places in held)]
-    row = np.repeat(np.arange(len(kept)), [len(k) for k in kept])
-    col = np.concatenate(kept) if kept else np.zeros(0, np.int32)
-    value = ratio[chosen][col]
+    kept = [c[c >= 0] for c in (column[cut.of(text)] for text, _ in rows)]
+    row = np.repeat(np.arange(len(kept), dtype=np.int32), [len(k) for k in kept])
+    col = np.concatenate(kept)
+    value = ratio[chosen].astype(np.float32)[col]
     weight = np.where(labels == 1, shares[1] / sizes[1, 0], shares[0] / sizes[0, 0])
     weight /= weight.sum()
     beta, bias = np.zeros(len(chosen)), float(np.log(shares[1] / shares[0]))
