@@ -147,7 +147,7 @@ class WordPieces:
         """Ids of each text, as little-endian unsigned 32-bit numbers."""
         split = [row.split() for row in rows]
         seen = set().union(*split)
-        new = seen - self.words.keys()
+        new = {w for w in seen if w not in self.words}
         if len(self.words) + len(new) > self.most:
             self.words = {w: self.words[w] for w in seen if w in self.words}
         if len(self.pieces) > self.most:
