@@ -7,8 +7,9 @@ code (0, 1, 2 as 00, 01, 11), in which it is the number of differing code bits.
 
 The axes are dealt to ``distance + 2`` groups. A pair within the distance has two groups at
 least in which the embeddings are equal, so it meets in a grid cell of some pair of groups.
-Within a cell a search starts from any fingerprint and takes all unreached ones within reach
-of it, so a cell of m fingerprints gives under m links, never its pairs. Cells of more than
+Within a cell a search starts from the first fingerprint, takes all unreached ones within reach,
+goes on from those, and ties all it has found to the first, so a cell of m fingerprints gives
+under m ties, never its pairs. Cells of more than
 ``per_cell`` fingerprints are dealt as pairs of chunks. Equal fingerprints are one node.
 Components come from alternating large-star and small-star rounds.
 
@@ -100,26 +101,28 @@ def cells(prints: DataFrame, distance: int) -> DataFrame:
 
 
 def forest(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links that join all fingerprints of a cell which reach each other within the distance."""
+    """(first, other) for the fingerprints of a cell that reach each other within the distance; ``prints`` rise."""
     codes = embed(prints)
     links, waiting, left = [], [], np.arange(len(prints))
+    first = 0
     while len(left):
         if waiting:
             at = waiting.pop()
         else:
-            at, left = left[0], left[1:]
+            first = at = left[0]
+            left = left[1:]
         near = np.bitwise_count(codes[left] ^ codes[at]) <= distance
         if near.any():
             near[near] = np.bitwise_count(prints[left[near]] ^ prints[at]) <= distance
             reached = left[near]
-            links += [(at, other) for other in reached.tolist()]
+            links += [(first, other) for other in reached.tolist()]
             waiting += reached.tolist()
             left = left[~near]
     return links
 
 
 def links(prints: DataFrame, distance: int, per_cell: int) -> DataFrame:
-    """Links a, b between different fingerprints, enough to join what belongs together."""
+    """Pairs a, b of fingerprints that links join, enough of them to join all that belongs together."""
     placed = cells(prints, distance)
     sizes = placed.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n"))
     large = frozen(
@@ -163,18 +166,19 @@ def links(prints: DataFrame, distance: int, per_cell: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and the smallest node of its component, for every node that has a link."""
 
-    def mark(rows: DataFrame) -> tuple:
-        return tuple(rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
     def smallest(rows: DataFrame) -> DataFrame:
         return frozen(rows.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "smallest")
 
+    def are_stars(rows: DataFrame) -> bool:
+        """Every node hangs on one other, which hangs on none."""
+        if not rows.groupBy("a").count().filter("count > 1").isEmpty():
+            return False
+        return rows.select(F.col("b").alias("a")).join(rows.select("a"), "a", "left_semi").isEmpty()
+
     edges = frozen(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links"
     )
-    before = None
-    while (now := mark(edges)) != before:
-        before = now
+    while not are_stars(edges):
         both = edges.selectExpr("a AS u", "b AS v").union(edges.selectExpr("b AS u", "a AS v"))
         star = both.join(smallest(both), "u").filter("v > u").selectExpr("v AS a", "m AS b")
         down = frozen(star.filter("a <> b").distinct(), "large").selectExpr("a AS u", "b AS v")
@@ -205,9 +209,10 @@ def near_duplicates(
 
 def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
     """The rows with the smallest id of every component; of copies of that row one stays."""
-    row, key, kept_row = fresh(df, "_row", "_key", "_kept")
+    row, key = fresh(df, "_row", "_key")
     rows = frozen(df.withColumn(row, F.monotonically_increasing_id()), "rows")
     keyed = rows.select(F.struct(id, row).alias(key), F.col(text))
     found = near_duplicates(keyed, key, text, width, distance)
-    kept = frozen(found.filter(F.col(f"{key}.{row}") == F.col(f"component_id.{row}")).select(F.col(f"{key}.{row}").alias(row)), "kept")
-    return rows.join(kept, row, "left_semi").select(*df.columns)
+    # the rows that go are fewer than those that stay; the planner broadcasts them when their file is small
+    gone = frozen(found.filter(F.col(f"{key}.{row}") != F.col(f"component_id.{row}")).select(F.col(f"{key}.{row}").alias(row)), "gone")
+    return rows.join(gone, row, "left_anti").select(*df.columns)
