@@ -33,7 +33,7 @@ from specflow.llm.common import frozen
 SAMPLE = 16_384
 MOST_LISTS = 2_048
 #: vectors a list holds on average before replication
-LIST_ROWS = 128
+LIST_ROWS = 1_024
 #: links of a centroid, and centroids that a walk leaves from at least
 LINKS, LEAST = 24, 16
 #: a vector's walk goes on from centroids within this ratio of the nearest
