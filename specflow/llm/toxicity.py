@@ -4,8 +4,8 @@ Features are the distinct n-grams of the text with A-Z lower-cased, hashed to ``
 places. Place j weighs r[j] = log of the ratio of its smoothed shares in documents of
 label 1 and of label 0; logistic regression is trained on the scaled features (Wang and
 Manning, 2012). Classifier and ratios are fit on the labelled rows of smallest id hash, at
-most ``ROWS`` of each label and ``CHARACTERS`` code points in all; the labels' true
-shares weigh the loss.
+most ``ROWS`` of each label and ``CHARACTERS`` code points in all, passing over texts that
+no longer fit; the labels' true shares weigh the loss.
 
 Defined cases: a null or empty text has no features and scores the bias; labels that are null
 teach nothing, an id with several labels counts as 1 if one of them is; rows with the same id
@@ -129,79 +129,26 @@ def train(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
         picks = some if picks is None else picks.union(some)
     # at most 2 * ROWS rows
     held = df.select(F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    held = held.join(F.broadcast(picks), "_id").withColumn("_size", F.length("_text"))
-    order = [F.xxhash64("_id"), F.col("_id"), F.xxhash64("_text")]
-    sizes = [r["_size"] for r in held.orderBy(*order).limit(2 * ROWS).select("_size").collect()]
-    fitting = int(np.searchsorted(np.cumsum(sizes), CHARACTERS, "right"))
-    rows = held.orderBy(*order).limit(fitting).select("_text", "_label").collect() if fitting else []
-    return fit([(r["_text"].encode(), r["_label"]) for r in rows], shares)
-
-
-def score(self, places: np.ndarray) -> float:
-        z = float(self.weights[places].sum(dtype=np.float64)) + self.bias
-        return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
-
-
-def fit(rows: list[tuple[bytes, int]], shares: tuple[float, float]) -> Model:
-    """Naive Bayes ratios and logistic regression; ``shares`` are the labels' true shares."""
-    weights = np.zeros(1 << BITS, np.float32)
-    labels = np.array([label for _, label in rows], np.float64)
-    if not len(rows) or labels.min() == labels.max():
-        return Model(weights, float(np.log(max(shares[1], 1e-6) / max(shares[0], 1e-6))))
-    cut = Places()
-    # places are found twice rather than held for all rows
-    counts = np.zeros((2, 1 << BITS), np.int32)
-    for text, label in rows:
-        counts[label, cut.of(text)] += 1
-    # shares of documents of the label that hold the place; long documents do not outweigh short ones
-    sizes = np.array([[(labels == 0).sum()], [(labels == 1).sum()]])
-    smooth = (counts + ALPHA) / (sizes + 2 * ALPHA)
-    ratio = np.log(smooth[1] / smooth[0])
-    seen = counts.sum(axis=0)
-    telling = np.abs(ratio) * np.sqrt(seen)
-    telling[seen < 3] = 0
-    chosen = np.argsort(-telling, kind="stable")[:FEATURES]
-    chosen = chosen[telling[chosen] > 0]
-    column = np.full(1 << BITS, -1, np.int32)
-    column[chosen] = np.arange(len(chosen))
-    kept = [c[c >= 0] for c in (column[cut.of(text)] for text, _ in rows)]
-    row = np.repeat(np.arange(len(kept), dtype=np.int32), [len(k) for k in kept])
-    col = np.concatenate(kept)
-    value = ratio[chosen].astype(np.float32)[col]
-    weight = np.where(labels == 1, shares[1] / sizes[1, 0], shares[0] / sizes[0, 0])
-    weight /= weight.sum()
-    beta, bias = np.zeros(len(chosen)), float(np.log(shares[1] / shares[0]))
-    first, second = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
-    for step in range(1, ROUNDS + 1):
-        z = np.bincount(row, value * beta[col], len(kept)) + bias
-        error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels) * weight
-        gradient = np.append(np.bincount(col, value * error[row], len(chosen)) + PENALTY * beta, error.sum())
-        first = 0.9 * first + 0.1 * gradient
-        second = 0.99 * second + 0.01 * gradient**2
-        move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-        beta, bias = beta - move[:-1], bias - move[-1]
-    weights[chosen] = beta * ratio[chosen]
-    return Model(weights, float(bias))
-
-
-def train(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Model of the rows of ``df`` that ``labels`` names."""
-    known = labels.filter(F.col(label).isin(0, 1) & F.col(id).isNotNull()).groupBy(F.col(id).alias("_id"))
-    known = known.agg(F.max(label).cast("int").alias("_label"))
-    counts = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    shares = tuple((counts.get(c, 0) + 0.5) / (sum(counts.values()) + 1) for c in (0, 1))
-    picks = None
-    for c in (0, 1):
-        some = known.filter(F.col("_label") == c).orderBy(F.xxhash64("_id"), "_id").limit(ROWS)
-        picks = some if picks is None else picks.union(some)
-    # at most 2 * ROWS rows
-    held = df.select(F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    held = held.join(F.broadcast(picks), "_id").withColumn("_size", F.length("_text"))
-    order = [F.xxhash64("_id"), F.col("_id"), F.xxhash64("_text")]
-    sizes = [r["_size"] for r in held.orderBy(*order).limit(2 * ROWS).select("_size").collect()]
-    fitting = int(np.searchsorted(np.cumsum(sizes), CHARACTERS, "right"))
-    rows = held.orderBy(*order).limit(fitting).select("_text", "_label").collect() if fitting else []
-    return fit([(r["_text"].encode(), r["_label"]) for r in rows], shares)
+    held = held.join(F.broadcast(picks), "_id").withColumn("_size", F.length("_text")).withColumn("_hash", F.xxhash64("_text"))
+    order = [F.xxhash64("_id"), F.col("_id"), F.col("_hash")]
+    # equal rows are one row with their number
+    texts = held.groupBy("_id", "_hash", "_size", "_label").agg(F.count(F.lit(1)).alias("_n")).orderBy(*order).limit(2 * ROWS).collect()
+    taken, left, space = [], 2 * ROWS, CHARACTERS
+    for r in texts:
+        # a text that does not fit is passed over
+        n = min(r["_n"], left, space // r["_size"] if r["_size"] else r["_n"])
+        if n:
+            taken.append((r["_id"], r["_hash"], len(taken), n, r["_label"]))
+            left, space = left - n, space - n * r["_size"]
+    if not taken:
+        return fit([], shares)
+    kind = T.StructType([held.schema["_id"], T.StructField("_hash", T.LongType()), T.StructField("_at", T.LongType())])
+    chosen = df.sparkSession.createDataFrame([t[:3] for t in taken], kind)
+    # at most CHARACTERS in all
+    found = held.join(F.broadcast(chosen), ["_id", "_hash"]).groupBy("_at").agg(F.first("_text").alias("_text"))
+    text_at = {r["_at"]: r["_text"].encode() for r in found.collect()}
+    rows = [(text_at[at], label) for _, _, at, n, label in taken for _ in range(n)]
+    return fit(rows, shares)
 
 
 def may_learn_of(may_learn: Column, id: str) -> Column:

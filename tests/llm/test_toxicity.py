@@ -83,3 +83,19 @@ def test_very_long_documents_bound_the_sample(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "fit", lambda rows, shares: taken.append(len(rows)))
     toxicity.train(df, labels)
     assert taken == [2]
+
+
+@pytest.mark.parametrize("size", [1_001, 5_000])
+def test_texts_that_do_not_fit_are_passed_over(spark, monkeypatch, size):
+    monkeypatch.setattr(toxicity, "CHARACTERS", 1_000)
+    from pyspark.sql import functions as F
+
+    ids = [r["id"] for r in spark.range(20).orderBy(F.xxhash64("id")).collect()]
+    texts = {i: "x" * size if at in (0, 3) else f"{'good' if i % 2 else 'bad'} day {i}" for at, i in enumerate(ids)}
+    df = spark.createDataFrame([*texts.items(), (ids[1], texts[ids[1]])], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id bigint, toxic int")
+    taken = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, shares: taken.extend(rows))
+    toxicity.train(df, labels)
+    want = [(texts[i].encode(), i % 2) for at, i in enumerate(ids) for _ in range(1 + (at == 1)) if at not in (0, 3)]
+    assert taken == want
