@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and strings near sensitive words that zstandard cannot foretell.
 
 Patterns find assignments, access keys and long hex runs. Beyond those, every token within
-``REACH`` code points after a sensitive word is a candidate. zstandard is primed with a
+``REACH`` code points before or after a sensitive word is a candidate, and with one every token
+that follows it across a line end, as in the body of a key. zstandard is primed with a
 dictionary of identifiers and the code around the candidate; the candidate's novelty is the
 number of bytes that it adds to the compressed surroundings, per byte of its own. Names and
 repeated strings add next to nothing, random strings nearly their entropy.
@@ -32,10 +33,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-SENSITIVE = re.compile(r"passphrase|password|passwd|secret|token|api_?key|credential|bearer|private_?key|auth", re.ASCII | re.IGNORECASE)
-SENSITIVE_STEMS = ("pass", "secret", "token", "key", "credential", "bearer", "auth")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: code points after a sensitive word in which candidates start, and around a candidate that prime the compressor
+SENSITIVE = re.compile(
+    r"passphrase|password|passwd|pwd|secret|token|credential|bearer|(api|private|access)[_\x20-]?key|auth", re.ASCII | re.IGNORECASE
+)
+SENSITIVE_STEMS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
+CANDIDATE_LETTER = re.compile(r"[A-Za-z0-9+/_=-]")
+#: candidates of fewer code points must hold a digit, which capitalised words do not
+SHORT = 16
+NEXT_LINE = re.compile(r"[\x20\t]*\r?\n[\x20\t]*(?=[A-Za-z0-9+/_=-]{8})")
+#: code points around a sensitive word in which candidates start or end, and around a candidate that prime the compressor
 REACH, AROUND = 80, 400
 #: least compressed bytes per byte, and least kinds of letters (lower, upper, digit), of a reported string
 NOVELTY, MIXED = 0.5, 2
@@ -95,15 +102,21 @@ def scan(text: str, known: zstandard.ZstdCompressionDict) -> list[tuple[str, int
         starts, ends = covered(spans)
         reached = 0
         for word in SENSITIVE.finditer(text):
-            for found in CANDIDATE.finditer(text, max(word.end(), reached), word.end() + REACH + 16):
+            at, last = max(reached, word.start() - REACH), word.end() + REACH
+            # a candidate that is cut by the reach counts whole
+            while at > reached and CANDIDATE_LETTER.match(text, at - 1):
+                at -= 1
+            while found := CANDIDATE.search(text, at, last + 8):
                 start, end = CANDIDATE.match(text, found.start()).span()
-                if start < reached:
-                    continue
-                reached = end
+                at = reached = end
+                if line := NEXT_LINE.match(text, end):
+                    last = max(last, line.end())  # the next line is of the same block
                 before = bisect_left(starts, end) - 1
                 if before >= 0 and ends[before] > start:
                     continue
-                if mixed(text[start:end]) >= MIXED and novelty(text, start, end, known) >= NOVELTY:
+                kinds = mixed(text[start:end])
+                telling = kinds >= MIXED and (end - start >= SHORT or any(c.isdigit() for c in text[start:end]))
+                if telling and novelty(text, start, end, known) >= NOVELTY:
                     spans.append(("novel", start, end))
     return sorted(spans, key=lambda span: (span[1], KINDS.index(span[0]), span[2]))
 
