@@ -57,6 +57,19 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             yield batch.slice(start), all_texts[start:]
 
 
+def word_lists(text: bytes, most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Words between white space, in lists from about ``most`` bytes of a long text each."""
+    if len(text) <= most:
+        yield text.split()
+        return
+    start = 0
+    while start < len(text):
+        end = text.find(b" ", start + most)
+        end = len(text) if end < 0 else end
+        yield text[start:end].split()
+        start = end
+
+
 def frozen(df: DataFrame, label: str) -> DataFrame:
     """Writes the rows to the shared folder and reads them back, so later plans see the same rows."""
     path = work_path(df.sparkSession, f"llm-{label}")

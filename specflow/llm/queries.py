@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from specflow.llm import (
     decontaminate,
+    divergence,
     line_dedup,
     lm,
     neighbours,
@@ -167,11 +168,51 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(s.key) AS n_dropp
 FROM keyed k LEFT JOIN shared s ON s.key = k.key GROUP BY row
 """
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least=10, top=10)
+
+
+TERMS_SQL = "regexp_extract_all(" + LOWER_SQL.format("coalesce(text, '')") + r", '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {TERMS_SQL} AS terms
+  FROM documents),
+found AS (SELECT row, lang, source, unnest(terms) AS term FROM docs),
+kept AS (
+  SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM found GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+sizes AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (
+  SELECT f.lang, f.source, f.term, count(*) AS n FROM found f JOIN kept USING (lang, term) GROUP BY f.lang, f.source, f.term),
+group_sizes AS (SELECT lang, source, sum(n) AS n FROM counts GROUP BY lang, source),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(gs.n, 0) + 2 * s.v) AS p,
+         1 + (1000000000::HUGEINT * (k.n + 2)) // (s.n + 2 * s.v) AS q
+  FROM groups g JOIN kept k ON k.lang = g.lang JOIN sizes s ON s.lang = g.lang
+  LEFT JOIN group_sizes gs ON gs.lang = g.lang AND gs.source = g.source
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY a.lang, a.source, b.source),
+found_parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM found_parts)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 QUERIES = {
     q.__name__: q
     for q in (
         op1_toxicity, op2_lm_scoring, op3_sharding, op4_packing, op5_neighbours, op6_url_filter, op7_secrets, op8_decontamination,
-        op9_simhash, op10_line_dedup,
+        op9_simhash, op10_line_dedup, op11_source_divergence,
     )
 }
-SQL = {"op6_url_filter": OP6_SQL, "op8_decontamination": OP8_SQL, "op10_line_dedup": OP10_SQL}
+SQL = {"op6_url_filter": OP6_SQL, "op8_decontamination": OP8_SQL, "op10_line_dedup": OP10_SQL, "op11_source_divergence": OP11_SQL}

@@ -24,6 +24,7 @@ COLUMNS = {
     "op8_decontamination": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
     "op9_simhash": ["doc_id", "fingerprint", "component_id"],
     "op10_line_dedup": ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
+    "op11_source_divergence": ["lang", "source", "part", "item", "value", "rank"],
 }
 
 
