@@ -15,6 +15,7 @@ from specflow.llm import (
     secrets,
     sharding,
     simhash,
+    spelling,
     toxicity,
     url_filter,
 )
@@ -208,11 +209,61 @@ ranked AS (
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
 """
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.spelling_variants(documents, least=6, often=5, ratio=5, every=199)
+
+
+# crc32 by its table, made from the reversed polynomial; letters outside ASCII are one byte each in
+# short words, so that a byte-wise distance counts code points
+OP12_SQL = f"""
+WITH RECURSIVE crc(entries) AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+counted AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS id, run, count(*) AS n FROM runs GROUP BY ALL),
+spelled AS (
+  SELECT *, flatten(list_transform(string_split(id || run, ''), lambda c:
+    CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(192 | (unicode(c) >> 6) AS BIGINT), CAST(128 | (unicode(c) & 63) AS BIGINT)] END)) AS bytes
+  FROM counted WHERE length(run) >= 6),
+hashed AS (
+  SELECT s.run, s.n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), s.bytes),
+    lambda c, b: xor(c >> 8, crc.entries[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM spelled s, crc),
+cut AS (
+  SELECT CASE WHEN h % 199 = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+short AS (
+  SELECT word, n, length(word) AS len,
+         translate(word, (SELECT string_agg(chr(CAST(c AS INTEGER)), '' ORDER BY c) FROM range(192, 256) r(c)),
+                   (SELECT string_agg(chr(CAST(c AS INTEGER)), '' ORDER BY c) FROM range(33, 97) r(c))) AS spelling
+  FROM words),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n
+  FROM short a JOIN short b ON b.len BETWEEN a.len - 1 AND a.len + 1 AND a.word <> b.word AND levenshtein(a.spelling, b.spelling) = 1),
+best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near,
+         CASE WHEN b.other_n >= 5 * w.n THEN b.other END AS form, CASE WHEN b.other_n >= 5 * w.n THEN b.other_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word),
+walk AS (
+  SELECT word, word AS at, form AS onward FROM forms
+  UNION ALL
+  SELECT w.word, f.word, f.form FROM walk w JOIN forms f ON f.word = w.onward)
+SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN walk w ON w.word = f.word AND w.onward IS NULL
+"""
+
 QUERIES = {
     q.__name__: q
     for q in (
         op1_toxicity, op2_lm_scoring, op3_sharding, op4_packing, op5_neighbours, op6_url_filter, op7_secrets, op8_decontamination,
-        op9_simhash, op10_line_dedup, op11_source_divergence,
+        op9_simhash, op10_line_dedup, op11_source_divergence, op12_spelling_variants,
     )
 }
-SQL = {"op6_url_filter": OP6_SQL, "op8_decontamination": OP8_SQL, "op10_line_dedup": OP10_SQL, "op11_source_divergence": OP11_SQL}
+SQL = {
+    "op6_url_filter": OP6_SQL, "op8_decontamination": OP8_SQL, "op10_line_dedup": OP10_SQL, "op11_source_divergence": OP11_SQL,
+    "op12_spelling_variants": OP12_SQL,
+}

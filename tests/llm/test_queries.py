@@ -25,6 +25,7 @@ COLUMNS = {
     "op9_simhash": ["doc_id", "fingerprint", "component_id"],
     "op10_line_dedup": ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
     "op11_source_divergence": ["lang", "source", "part", "item", "value", "rank"],
+    "op12_spelling_variants": ["word", "form", "root", "n", "n_near", "form_n"],
 }
 
 
