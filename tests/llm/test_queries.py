@@ -26,6 +26,7 @@ COLUMNS = {
     "op10_line_dedup": ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
     "op11_source_divergence": ["lang", "source", "part", "item", "value", "rank"],
     "op12_spelling_variants": ["word", "form", "root", "n", "n_near", "form_n"],
+    "op13_chat_formatting": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
 }
 
 
@@ -37,7 +38,7 @@ def test_columns(spark, name):
 @pytest.mark.parametrize("name", list(queries.SQL))
 def test_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = Counter(map(tuple, db.execute(f"SELECT {', '.join(COLUMNS[name])} FROM ({queries.SQL[name]})").fetchall()))
     assert Counter(map(tuple, queries.QUERIES[name](spark, SF).collect())) == want
