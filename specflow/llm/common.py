@@ -104,17 +104,41 @@ def crc_rest(c: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % divisor
 
 
+class _Made(dict):
+    """Remembers what ``make`` makes of a key: up to ``most`` keys, and those it had when they were last too many."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        made = self.older.get(key)
+        if made is None:
+            made = self.make(key)
+        self[key] = made
+        return made
+
+    def trim(self) -> None:
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+
+
+#: what often ends a word; the vocabulary's cutter keeps runs of such marks together
+MARKS = ".,;:!?)\"-"
+
+
 class WordPieces:
     """Ids by a BPE vocabulary that lower-cases, drops white space and marks word ends.
 
     Words are cut at ASCII white space, which no token crosses, so the ids of a text are
     those of its words in order; words are cut into letter runs, digits and the rest as the
     vocabulary file says, and each distinct piece is merged once. Words that hold ``<|`` go
-    through the whole tokenizer, which looks for its special tokens there. At most
+    through the whole tokenizer, which looks for its special tokens there. Up to about twice
     ``most`` words and pieces are remembered, as little-endian unsigned 32-bit ids.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         import json
 
         import regex
@@ -129,17 +153,15 @@ class WordPieces:
         letters = level.pre_tokenize_str("".join(map(chr, range(0x80, 0x800))))[0][0]
         spelled = "".join(map(chr, range(0x80, 0x800))).encode()
         self.spell = {byte: letter for byte, letter in zip(spelled, letters)}
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.most = most
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.merged = self.tokenizer.model.tokenize
+        self.words: dict[bytes, bytes] = _Made(self.word, most)
+        self.pieces: dict[str, bytes] = _Made(self.piece, most)
 
     def piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.spell)
-            ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelled)])
-            self.pieces[piece] = ids
-        return ids
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.spell)
+        spell = self.bytes_of
+        return b"".join([spell[t.id] for t in self.merged(spelled)])
 
     def word(self, word: bytes) -> bytes:
         if word.isascii():
@@ -149,26 +171,22 @@ class WordPieces:
             if not is_normalized("NFC", text):
                 text = normalize("NFC", text)
             text = text.lower()
-        if text.isalpha() and "\u03c2" not in text:
-            return self.piece(text)
+        core = text.rstrip(MARKS)
+        if core.isalpha() and "\u03c2" not in core and b"<|" not in word:
+            # letters, and perhaps marks behind them, are a piece each
+            return self.pieces[core] if len(core) == len(text) else self.pieces[core] + self.pieces[text[len(core) :]]
         if b"<|" in word or "\u03c2" in text or not text.isprintable():
             ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
             return b"".join([i.to_bytes(4, "little") for i in ids])
-        return b"".join(map(self.piece, self.cut.findall(text)))
+        pieces = self.pieces
+        return b"".join([pieces[p] for p in self.cut.findall(text)])
 
     def encode(self, rows: list[bytes]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit numbers."""
-        split = [row.split() for row in rows]
-        seen = set().union(*split)
-        new = {w for w in seen if w not in self.words}
-        if len(self.words) + len(new) > self.most:
-            self.words = {w: self.words[w] for w in seen if w in self.words}
-        if len(self.pieces) > self.most:
-            self.pieces = {}
-        for word in new:
-            self.words[word] = self.word(word)
+        self.words.trim()
+        self.pieces.trim()
         get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [b"".join(map(get, row.split())) for row in rows]
 
 
 _WORD_PIECES: dict[str, WordPieces] = {}
