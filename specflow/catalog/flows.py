@@ -10,6 +10,7 @@ from specflow.catalog.sources import FILE_KEYS, FILE_OF, write_files
 from specflow.catalog.windows import events
 from specflow.operators.dedup import checksum
 from specflow.plans import daily_close, file_to_file, inbound, intake, outbound
+from specflow.commits import Files
 from specflow.session import work_path
 from specflow.sinks.envelope import envelopes
 from specflow.sources import read_records
@@ -114,12 +115,14 @@ def flow_daily_release(spark, sf):
 
 
 @register("flow_ledger_intake", "PIP-05", f"""SELECT total_records, successful_records, failed_records, 'PROCESSED' AS processing_status FROM (SELECT {FILE_OF} AS b, count(*) AS total_records,
- count(*) FILTER (WHERE o_totalprice >= 100000) AS successful_records, count(*) FILTER (WHERE o_totalprice < 100000) AS failed_records FROM orders GROUP BY 1) WHERE b <> 0""")
+ count(*) FILTER (WHERE o_totalprice >= 100000) AS successful_records, count(*) FILTER (WHERE o_totalprice < 100000) AS failed_records FROM orders GROUP BY 1) WHERE b <> 0
+ UNION ALL SELECT 0, 0, 0, 'PROCESSED'""")
 def flow_ledger_intake(spark, sf):
-    """Files listed, those already in the ledger left out, the rest parsed and marked."""
+    """Files listed, those already in the ledger left out, the rest parsed and marked; one of them holds blank lines only."""
     rows = columns(spark, sf, "orders", {"b": FILE_OF, "k": "o_orderkey", "value": f"CAST(o_orderkey AS STRING) || ',' || {PRICE}"})
-    path = write_files(rows, work_path(spark, "intake"), ["b"])
-    listing = file_facts(spark, f"{path}/*").withColumn("integration_id", F.lit(1).cast("bigint"))
+    blank = rows.select(F.max("b").alias("top")).select((F.col("top") + 1).alias("b"), F.lit(0).cast("bigint").alias("k"), F.lit("  ").alias("value"))
+    path = write_files(rows.unionByName(blank), work_path(spark, "intake"), ["b"])
+    listing = file_facts(spark, f"{path}/*", content=False).withColumn("integration_id", F.lit(1).cast("bigint"))
     # part names repeat across folders, so the folder belongs to the name
     listing = listing.withColumn("remote_file_name", F.substring_index("remote_file_path", "/", -2))
     book = listing.filter(F.contains("remote_file_path", F.lit("/b=0/"))).withColumn("processing_status", F.lit("PROCESSED"))
@@ -129,3 +132,30 @@ def flow_ledger_intake(spark, sf):
     done = intake.file_outcomes(read_records(spark, path, spec), spec, pending, skip_invalid=True)
     return done.select("total_records", "successful_records", "failed_records", "processing_status")
 
+
+
+def name_of(path):
+    return F.regexp_extract(path, r"/(b=[0-9]+|broken[.]gz)(?:/|$)", 1)
+
+
+@register("intake_bad_file", "STR-22, SRC-29, PIP-05", f"""SELECT 'b=' || b AS file, 1 AS attempt, 'PROCESSED' AS processing_status, n AS total_records, n AS events, 'moved' AS found
+ FROM (SELECT {FILE_OF} AS b, count(*) AS n FROM orders GROUP BY 1) UNION ALL SELECT 'broken.gz', 3, 'FAILED', NULL, 0, 'aside'""")
+def intake_bad_file(spark, sf):
+    """Compressed files, one of them unreadable: the others are taken in and moved, it is tried three times and set aside."""
+    home, inbox = work_path(spark, "intake-home"), work_path(spark, "inbox")
+    rows = columns(spark, sf, "orders", {"b": FILE_OF, "k": "o_orderkey", "value": f"CAST(o_orderkey AS STRING) || ',' || {PRICE}"})
+    rows.repartition("b").sortWithinPartitions("b", "k").select("b", "value").write.partitionBy("b").option("compression", "gzip").text(f"{inbox}/in")
+    draft = f"{home}/draft"
+    spark.range(1).select(F.lit("not compressed at all").alias("value")).coalesce(1).write.text(draft)
+    files = Files(spark, inbox)
+    files.move(f"{draft}/{next(n for n in files.names(draft) if n.startswith('part-'))}", f"{inbox}/in/broken.gz")
+    spec = load_spec({"id": "in", "format": "CSV", "fields": [{"name": "id", "type": "LONG", "columnIndex": 0}, {"name": "price", "type": "DECIMAL", "columnIndex": 1}]})
+    taker = intake.FolderIntake(spark, f"{inbox}/in", spec, home, aside=f"{inbox}/aside", after="MOVE", archive=f"{inbox}/moved")
+    taker.run()
+    kept = file_facts(spark, [f"{inbox}/moved", f"{inbox}/aside"], content=False).select(
+        name_of(F.col("remote_file_path")).alias("file"), F.regexp_extract("remote_file_path", "/(moved|aside)/", 1).alias("found"))
+    made = spark.read.option("basePath", f"{home}/events").parquet(f"{home}/events/poll=*")
+    file = F.get_json_object("value", "$.fileName")
+    events_of = made.groupBy(name_of(file).alias("file")).agg(F.count(F.lit(1)).alias("events"))
+    told = taker.current().select(name_of(F.col("remote_file_path")).alias("file"), "attempt", "processing_status", "total_records")
+    return told.join(events_of, "file", "left").fillna(0, ["events"]).join(kept, "file")

@@ -11,7 +11,7 @@ from specflow.functions import checks, masking
 from specflow.operators import coerce, route
 from specflow.operators.correct import apply_corrections
 from specflow.operators.records import attach_metadata, from_columns, read_metadata
-from specflow.operators.validate import apply_validations
+from specflow.operators.validate import apply_validations, register_rule
 from specflow.plans.inbound import dry_run, processed
 from specflow.session import table
 from specflow.sources.delimited import parse_delimited
@@ -458,3 +458,14 @@ def check_digit(spark, sf):
     rows = columns(spark, sf, "customer", {"k": "c_custkey", "v": "lpad(CAST(c_custkey AS STRING), 8, '0')"})
     return rows.select("k", F.concat("v", checks.routing_check_digit(F.col("v"))).alias("routing"))
 
+
+
+@register("own_rule", "EXT-04", "SELECT o_orderkey AS k, 'odd customer' AS message, 'WARNING' AS severity FROM orders WHERE o_custkey % 2 = 1")
+def own_rule(spark, sf):
+    """A rule type that the user registers, used by name in a spec."""
+    register_rule("MULTIPLE_OF", lambda value, rule: value.cast("bigint") % int(rule.value) != 0)
+    spec = load_spec({"id": "own", "format": "CSV", "fields": [{"name": "customer", "type": "LONG", "columnIndex": 0}], "validationRules": [
+        {"ruleId": "even", "field": "customer", "ruleType": "MULTIPLE_OF", "value": "2", "message": "odd customer", "severity": "WARNING"}]})
+    rows = columns(spark, sf, "orders", {"k": "o_orderkey", "customer": "CAST(o_custkey AS STRING)"})
+    done = apply_validations(from_columns(rows, spec, seq="k"), spec)
+    return done.select(F.col("_seq").alias("k"), F.explode("_warnings").alias("w")).select("k", "w.message", "w.severity")

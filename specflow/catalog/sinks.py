@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from specflow.catalog.base import DAY, ORDER_SPEC, ORDER_SQL, PRICE, columns, order_lines, register
+from specflow.catalog.sources import write_files
 from specflow.functions import templates
 from specflow.operators.mapping import map_fields
 from specflow.operators.ordered import row_numbers
 from specflow.operators.records import from_columns, pinned
 from specflow.plans.inbound import processed
 from specflow.session import table, work_path
-from specflow.sinks import generators, nacha, writers
+from specflow.sinks import generators, nacha, register_sink, write, writers
 from specflow.sinks.envelope import envelopes
 from specflow.sources.delimited import parse_delimited
 from specflow.sources.lines import number_lines, read_lines
-from specflow.sources.listing import file_facts
+from specflow.sources.listing import archived_copies
 from specflow.sources.payments import nacha_entries
 from specflow.operators.route import passing
 from specflow.spec import FieldMapping, FieldSpec, FileSpec
@@ -187,11 +188,18 @@ NACHA_SQL = BATCHES + """SELECT day, 0::BIGINT AS line_no, '101' || lpad('091000
  UNION ALL SELECT day, n + 4 + i, repeat('9', 94) FROM t, range(10) r(i) WHERE i < (10 - (n + 4) % 10) % 10"""
 
 
-def _bank_files(spark, sf, key="day"):
-    """A file per day (or year): headers, entries, controls and filler lines, in blocks of ten."""
+#: entries of a bank file
+FILE_ENTRIES = 1_000
+
+
+def _bank_files(spark, sf, key="day", size=None):
+    """A file per day, or of ``size`` entries at most per year: headers, entries, controls and filler lines, in blocks of ten."""
     rows = entries(spark, sf).withColumn("year", F.substring("day", 1, 4)).withColumn("account", F.concat(F.lit("AC"), "c")).withColumn("individual_id", F.col("k"))
     numbered = row_numbers(rows, (key,), ("k",), "nth")
-    return nacha.files(numbered, [key], "nth", BANK)
+    if size is None:
+        return nacha.files(numbered, [key], "nth", BANK)
+    cut = numbered.withColumn("file", F.concat_ws("-", key, F.call_function("div", F.col("nth") - 1, F.lit(size)).cast("string")))
+    return nacha.files(cut.withColumn("nth", (F.col("nth") - 1) % size + 1), ["file"], "nth", BANK)
 
 
 @register("gen_nacha", "SNK-06", NACHA_SQL)
@@ -201,13 +209,13 @@ def gen_nacha(spark, sf):
 
 @register("nacha_roundtrip", "SNK-06, SRC-18", BATCHES + "SELECT k, substr(day, 1, 4) AS year, 'AC' || c AS account, code, CAST(cents / 100 AS DECIMAL(18,2))::VARCHAR AS amount FROM e")
 def nacha_roundtrip(spark, sf):
-    """Bank files written, read back as files and parsed, record for record."""
+    """Bank files of a thousand entries written, read back as files and parsed, record for record."""
     path = work_path(spark, "bank")
-    writers.write_line_files(_bank_files(spark, sf, "year"), path, file="year")
+    writers.write_line_files(_bank_files(spark, sf, "year", FILE_ENTRIES), path, file="file")
     lines = number_lines(read_lines(spark, path))[0]
     back = nacha_entries(lines)
     return back.select(
-        F.col("f_individualId").cast("bigint").alias("k"), F.regexp_extract("_file", "/year=([0-9]+)/", 1).alias("year"),
+        F.col("f_individualId").cast("bigint").alias("k"), F.regexp_extract("_file", "/file=([0-9]+)-[0-9]+/", 1).alias("year"),
         F.col("f_account").alias("account"), F.col("f_code").alias("code"), F.col("f_amount").alias("amount"))
 
 
@@ -279,16 +287,20 @@ def ledger_build(spark, sf):
     return docs.select(F.concat_ws("-", "lang", "doc_id").alias("name"), F.md5(F.encode("text", "UTF-8")).alias("md5"), F.octet_length("text").cast("bigint").alias("size"))
 
 
-@register("ledger_files", "SNK-13, PRJ-29", "SELECT count(*) AS n_rows, true AS digests, true AS sizes FROM orders")
+LEDGER_PART = 65_536
+
+
+@register("ledger_files", "SNK-13, PRJ-29", f"""WITH f AS (SELECT CAST(floor(o_orderkey / 16000.0) AS BIGINT) AS b, string_agg(lpad(CAST(o_orderkey AS VARCHAR), 20, '0') || chr(10), '' ORDER BY o_orderkey) AS body FROM orders GROUP BY 1),
+ p AS (SELECT b, i, md5(substr(body, i * {LEDGER_PART} + 1, {LEDGER_PART})) AS digest FROM (SELECT b, body, unnest(range((strlen(body) + {LEDGER_PART - 1}) // {LEDGER_PART})) AS i FROM f)),
+ e AS (SELECT b, count(*) AS n_parts, string_agg(digest, '' ORDER BY i) AS digests FROM p GROUP BY b)
+SELECT b, strlen(body) AS file_size_bytes, n_parts, CASE WHEN n_parts = 1 THEN digests ELSE md5(unhex(digests)) || '-' || n_parts END AS etag, '' AS bucket, true AS named FROM f JOIN e USING (b)""")
 def ledger_files(spark, sf):
-    """Ledger rows built from stored files; their lines add up to the table."""
-    path = work_path(spark, "ledger")
-    rows = columns(spark, sf, "orders", {"b": "CAST(floor(o_orderkey / 4000.0) AS BIGINT)", "value": "lpad(CAST(o_orderkey AS STRING), 20, '0')"})
-    rows.repartition("b").write.partitionBy("b").text(path)
-    facts = file_facts(spark, f"{path}/*")
-    return facts.agg(
-        F.sum(F.col("file_size_bytes") / 21).cast("bigint").alias("n_rows"), F.min(F.length("md5_checksum") == 32).alias("digests"),
-        F.min(F.col("file_size_bytes") > 0).alias("sizes"))
+    """Records of archived copies: files of several parts, each part digested by itself."""
+    rows = columns(spark, sf, "orders", {"b": "CAST(floor(o_orderkey / 16000.0) AS BIGINT)", "k": "o_orderkey", "value": "lpad(CAST(o_orderkey AS STRING), 20, '0')"})
+    copies = archived_copies(spark, write_files(rows, work_path(spark, "ledger"), ["b"]), part_bytes=LEDGER_PART)
+    return copies.select(
+        F.regexp_extract("key", "/b=([0-9]+)/", 1).cast("bigint").alias("b"), "file_size_bytes", "n_parts", "etag", "bucket",
+        F.endswith("key", F.col("remote_file_name")).alias("named"))
 
 
 @register("route_predicate", "RTE-05", f"SELECT 'big' AS route, o_orderkey AS k FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT 'urgent', o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'")
@@ -310,3 +322,16 @@ def route_fanout(spark, sf):
     found = [spark.read.parquet(paths[n]).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("route"), F.lit(outcome[n]).alias("outcome"), "n") for n in paths]
     return found[0].unionByName(found[1])
 
+
+
+@register("own_sink", "EXT-02", "SELECT event_type, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY 1")
+def own_sink(spark, sf):
+    """A writer that the user registers, chosen by its name like the built-in ones."""
+    path = work_path(spark, "own-sink")
+
+    def by_kind(df, options):
+        df.filter(F.col("event_type") != options["without"]).write.partitionBy("event_type").parquet(options["path"])
+
+    register_sink("BY_KIND", by_kind)
+    write(table(spark, sf, "events").select("event_id", "event_type"), "BY_KIND", {"path": path, "without": "view"})
+    return spark.read.parquet(path).groupBy(F.col("event_type").cast("string").alias("event_type")).agg(F.count(F.lit(1)).alias("n"))

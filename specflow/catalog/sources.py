@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from specflow.catalog.base import DAY, PRICE, columns, register
+from specflow.commits import Files
 from specflow.session import table, work_path
 from specflow.sources import read_records, register_reader
 from specflow.sources.delimited import parse_delimited, split_quoted
-from specflow.sources.fixed_width import parse_fixed_width
-from specflow.sources.json_records import parse_json_lines
 from specflow.sources.lines import number_lines, read_lines
 from specflow.sources.listing import matches, normalise_filter_column
-from specflow.sources.payments import nacha_entries, nacha_lines, swift_records, swift_tags, x12_segments
+from specflow.sources.payments import nacha_entries, nacha_lines, swift_tags
 from specflow.sources.xml_records import parse_xml_text
 from specflow.spec import FieldSpec, FileSpec, load_spec
 
@@ -75,11 +74,11 @@ def _delimited(name, ids, delimiter):
 
     @register(name, ids, sql)
     def run(spark, sf):
-        spec = FileSpec("d", "d", "DELIMITED", (FieldSpec("status", column_index=0), FieldSpec("price", "DECIMAL", column_index=1),
-                                                FieldSpec("priority", column_index=2)), delimiter=delimiter)
-        rows = columns(spark, sf, "orders", {"k": "o_orderkey", "line": f"concat_ws('{delimiter}', o_orderstatus, {PRICE}, o_orderpriority)"})
-        parsed = parse_delimited(_lines(rows, "k", F.col("line")), spec)
-        return parsed.select(F.col("_seq").alias("k"), F.col("f_status").alias("status"), F.col("f_price").alias("price"), F.col("f_priority").alias("priority"))
+        fields = (FieldSpec("k", "LONG", column_index=3), FieldSpec("status", column_index=0), FieldSpec("price", "DECIMAL", column_index=1), FieldSpec("priority", column_index=2))
+        spec = FileSpec("d", "d", "DELIMITED", fields, delimiter=delimiter)
+        rows = columns(spark, sf, "orders", {"b": FILE_OF, "k": "o_orderkey", "value": f"concat_ws('{delimiter}', o_orderstatus, {PRICE}, o_orderpriority, CAST(o_orderkey AS STRING))"})
+        parsed = read_records(spark, write_files(rows, work_path(spark, name), ["b"]), spec)
+        return parsed.select(F.col("f_k").cast("bigint").alias("k"), F.col("f_status").alias("status"), F.col("f_price").alias("price"), F.col("f_priority").alias("priority"))
 
 
 _delimited("src_delimited_pipe", "SRC-02", "|")
@@ -195,10 +194,10 @@ CUSTOMER_FIXED = FileSpec("customer-fw", "customer-fw", "FIXED_WIDTH", (
  CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS balance, c_name AS name FROM customer""")
 def src_fixed_width(spark, sf):
     rows = columns(spark, sf, "customer", {
-        "k": "c_custkey",
-        "line": "lpad(CAST(c_custkey AS STRING), 12, '0') || rpad(c_mktsegment, 12, ' ') || lpad(CAST(CAST(c_acctbal * 100 AS DECIMAL(18,0)) AS STRING), 14, ' ') || rpad(c_name, 30, ' ')"})
-    parsed = parse_fixed_width(_lines(rows, "k", F.col("line")), CUSTOMER_FIXED)
-    return parsed.select(F.col("_seq").alias("k"), *[F.col(f"f_{n}").alias(n) for n in ("id", "segment", "balance", "name")])
+        "b": "CAST(floor(c_custkey / 4000.0) AS BIGINT)", "k": "c_custkey",
+        "value": "lpad(CAST(c_custkey AS STRING), 12, '0') || rpad(c_mktsegment, 12, ' ') || lpad(CAST(CAST(c_acctbal * 100 AS DECIMAL(18,0)) AS STRING), 14, ' ') || rpad(c_name, 30, ' ')"})
+    parsed = read_records(spark, write_files(rows, work_path(spark, "fixed"), ["b"]), CUSTOMER_FIXED)
+    return parsed.select(F.col("f_id").cast("bigint").alias("k"), *[F.col(f"f_{n}").alias(n) for n in ("id", "segment", "balance", "name")])
 
 
 SUPPLIER_XML = load_spec({
@@ -258,6 +257,28 @@ def src_xml_attr(spark, sf):
     return done.select(F.col("_seq").alias("k"), F.col("f_id").alias("key"))
 
 
+# Fixed value: the schema language's name.
+XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="supplier"><xs:complexType><xs:sequence>
+ <xs:element name="balance"><xs:simpleType><xs:restriction base="xs:decimal"><xs:minInclusive value="0"/></xs:restriction></xs:simpleType></xs:element>
+</xs:sequence><xs:attribute name="key" type="xs:int" use="required"/></xs:complexType></xs:element></xs:schema>"""
+
+
+@register("src_xml_schema", "SRC-15", """SELECT s_suppkey AS k, CASE WHEN s_acctbal < 0 THEN 'Record does not match the schema' END AS message FROM supplier""")
+def src_xml_schema(spark, sf):
+    """Each record checked against a schema file; those that break it are told and, as nothing in them can be trusted, empty."""
+    home = work_path(spark, "schema")
+    Files(spark, home).create(f"{home}/supplier.xsd", XSD)
+    rows = columns(spark, sf, "supplier", {"b": "CAST(floor(s_suppkey / 400.0) AS BIGINT)", "k": "s_suppkey", "value":
+        "'<supplier key=\"' || CAST(s_suppkey AS STRING) || '\"><balance>' || CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS STRING) || '</balance></supplier>'"})
+    path = write_files(_enclosed(rows, "<suppliers>", "</suppliers>"), work_path(spark, "schema-xml"), ["b"])
+    spec = load_spec({"id": "x", "format": "XML", "metadata": {"recordXPath": "/suppliers/supplier", "xsdLocation": f"{home}/supplier.xsd"}, "fields": [
+        {"name": "balance", "path": "balance", "required": False}]})
+    done = read_records(spark, path, spec)
+    # records of a file are its suppliers in order, whose keys are numbered from 0
+    first = F.regexp_extract("_file", "/b=([0-9]+)/", 1).cast("bigint") * 400
+    return done.select((first + F.col("_seq")).alias("k"), F.get("_errors", F.lit(0))["message"].alias("message"))
+
+
 @register("xml_required", "PRJ-15", """SELECT s_suppkey AS k, 'Required XML field ''phone'' not found at path ''info/phone''' AS message FROM supplier WHERE s_acctbal < 0""")
 def xml_required(spark, sf):
     spec = load_spec({"id": "x", "format": "XML", "metadata": dict(SUPPLIER_XML.metadata), "fields": [{"name": "phone", "path": "info/phone", "nullable": True}]})
@@ -337,6 +358,38 @@ def src_xml_branch(spark, sf):
     return done.select(F.col("f_id").cast("bigint").alias("k"), F.col("f_name").alias("name"), F.col("_seq").alias("seq"))
 
 
+DOC_XML = load_spec({"id": "documents-xml", "format": "XML", "metadata": {"recordXPath": "/all/doc"}, "fields": [
+    {"name": "id", "type": "LONG", "xmlAttribute": "id"}, {"name": "said", "xmlAttribute": "said"},
+    {"name": "text", "path": "text", "required": False, "nullable": True}, {"name": "title", "path": "/all/head/title"}]})
+# XML has no other control characters than these three, and no carriage return that survives
+PLAIN_TEXT = r"regexp_replace(text, '[\x00-\x08\x0B-\x1F]', '?'{})"
+
+
+def _doc_xml(name, ids, element, head):
+    """Documents in one file per language, cut over tasks where their markup allows it."""
+    sql = f"""SELECT lang, doc_id AS k, doc_id || ' > ' || source AS said, {PLAIN_TEXT.format(", 'g'")} AS text, 'a > b' AS title,
+ row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS seq FROM documents"""
+
+    @register(name, ids, sql)
+    def run(spark, sf):
+        rows = columns(spark, sf, "documents", {"lang": "lang", "b": "lang", "k": "doc_id", "value": element.replace("TEXT", PLAIN_TEXT.format("").replace("\\x", "\\\\x"))})
+        path = write_files(_enclosed(rows.drop("lang"), head, "</all>"), work_path(spark, name), ["b"])
+        done = read_records(spark, path, DOC_XML)
+        return done.select(
+            F.regexp_extract("_file", "/b=([a-z]+)/", 1).alias("lang"), F.col("f_id").cast("bigint").alias("k"), F.col("f_said").alias("said"),
+            F.coalesce("f_text", F.lit("")).alias("text"), F.col("f_title").alias("title"), F.col("_seq").alias("seq"))
+
+
+_doc_xml(
+    "src_xml_attr_text", "SRC-11, SRC-13, SRC-14",
+    "'<doc id=\"' || CAST(doc_id AS STRING) || '\" said=\"' || CAST(doc_id AS STRING) || ' > ' || source || '\"><note mark=\"/>\"/><text>' || replace(replace(TEXT, '&', '&amp;'), '<', '&lt;') || '</text></doc>'",
+    "<all><head mark='a > \"b\"/>'><title>a > b</title></head>")
+_doc_xml(
+    "src_xml_cdata", "SRC-11, SRC-12",
+    "'<!-- <doc id=\"0\"> </doc> --><doc id=\"' || CAST(doc_id AS STRING) || '\" said=\"' || CAST(doc_id AS STRING) || ' > ' || source || '\"><skip><![CDATA[</doc><doc><!-- ]]></skip><text><![CDATA[' || TEXT || ']]></text><!-- </doc> --></doc>'",
+    "<?xml version=\"1.0\"?><all><!-- <doc></doc> --><head><title><![CDATA[a > b]]></title></head>")
+
+
 EVENT_JSON = load_spec({"id": "event-json", "format": "JSON", "fields": [
     {"name": "id", "type": "LONG", "path": "$.id"}, {"name": "k", "type": "INTEGER", "path": "$.body.props.k"},
     {"name": "kind", "path": "$.body.kind"}, {"name": "first", "path": "$.tags[0]"}]})
@@ -344,9 +397,25 @@ EVENT_JSON = load_spec({"id": "event-json", "format": "JSON", "fields": [
 
 @register("src_json", "SRC-17", """SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, event_type AS kind, 't' || CAST(user_id AS VARCHAR) AS first FROM events""")
 def src_json(spark, sf):
-    rows = columns(spark, sf, "events", {"id": "event_id", "line": """'{"id":' || CAST(event_id AS STRING) || ',"body":{"kind":"' || event_type || '","props":' || props || '},"tags":["t' || CAST(user_id AS STRING) || '","z"]}'"""})
-    parsed = parse_json_lines(_lines(rows, "id", F.col("line")), EVENT_JSON)
-    return parsed.select(F.col("_seq").alias("id"), F.col("f_k").alias("k"), F.col("f_kind").alias("kind"), F.col("f_first").alias("first"))
+    rows = columns(spark, sf, "events", {"b": "CAST(floor(event_id / 4000.0) AS BIGINT)", "k": "event_id", "value": """'{"id":' || CAST(event_id AS STRING) || ',"body":{"kind":"' || event_type || '","props":' || props || '},"tags":["t' || CAST(user_id AS STRING) || '","z"]}'"""})
+    parsed = read_records(spark, write_files(rows, work_path(spark, "json"), ["b"]), EVENT_JSON)
+    return parsed.select(F.col("f_id").cast("bigint").alias("id"), F.col("f_k").alias("k"), F.col("f_kind").alias("kind"), F.col("f_first").alias("first"))
+
+
+@register("src_json_document", "SRC-17", """SELECT event_type AS kind, event_id AS id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, '}, {"' || event_id || '" ]' AS text, false AS bad FROM events
+ UNION ALL SELECT DISTINCT event_type, CAST(NULL AS BIGINT), NULL, NULL, true FROM events""")
+def src_json_document(spark, sf):
+    """All events as arrays over many lines, one file per kind, split over tasks; each array begins with an element that is no record."""
+    said = "'}, {\\\\\"' || CAST(event_id AS STRING) || '\\\\\" ]'"
+    rows = columns(spark, sf, "events", {"b": "event_type", "k": "event_id", "value": f"""',\n {{"id": ' || CAST(event_id AS STRING) || ',\n  "body": {{"props": ' || props || ',\n "text": "' || {said} || '"}}\n }}'"""})
+    path = write_files(_enclosed(rows, '["}", 7', "]"), work_path(spark, "json-document"), ["b"])
+    spec = load_spec({"id": "event-document", "format": "JSON", "fields": [
+        {"name": "id", "type": "LONG", "path": "$.id"}, {"name": "k", "type": "INTEGER", "path": "$.body.props.k"}, {"name": "text", "path": "$.body.text"}]})
+    done = read_records(spark, path, spec).select(
+        F.regexp_extract("_file", "/b=([a-z_]+)/", 1).alias("kind"), F.col("f_id").cast("bigint").alias("id"), F.col("f_k").alias("k"), F.col("f_text").alias("text"),
+        (F.size("_errors") > 0).alias("bad"))
+    # the two bad elements of a file are alike
+    return done.filter("not bad").unionByName(done.filter("bad").distinct())
 
 
 def nacha_text(spark, sf):
@@ -387,34 +456,45 @@ MT_TEXT = (
  replace(substr({DAY}, 3), '-', '') || 'EUR' || replace({PRICE}, '.', ',') AS value, o_orderpriority || chr(10) || 'second line' AS details,
  CASE WHEN o_orderstatus = 'F' THEN 'SHA' END AS charges, CASE WHEN o_orderstatus = 'F' THEN 4 ELSE 3 END AS n_tags FROM orders""")
 def src_swift_mt(spark, sf):
-    rows = columns(spark, sf, "orders", {"k": "o_orderkey", "m": MT_TEXT})
-    messages = _lines(rows, "k", F.col("m"))
-    done = swift_records(messages, SWIFT)
-    return done.select(F.col("_seq").alias("k"), *[F.col(f"f_{n}").alias(n) for n in ("reference", "value", "details", "charges")],
+    rows = columns(spark, sf, "orders", {"b": FILE_OF, "k": "o_orderkey", "value": MT_TEXT})
+    done = read_records(spark, write_files(rows, work_path(spark, "mt"), ["b"]), SWIFT)
+    return done.select(F.substring("f_reference", 4, 30).cast("bigint").alias("k"), *[F.col(f"f_{n}").alias(n) for n in ("reference", "value", "details", "charges")],
                        F.size(swift_tags(F.col("_raw"))).alias("n_tags"))
 
 
-def x12_text(spark, sf):
-    """Line items as X12 segments, one file per return flag: ISA, then ST and its items per order, SE, IEA."""
-    items = columns(spark, sf, "lineitem", {"f": "l_returnflag", "o": "l_orderkey", "q": "CAST(l_quantity AS BIGINT)", "p": "l_partkey"})
+# Fixed value: an interchange header of the public layout, with its separators left open.
+ISA_HEADER = "ISA{0}00{0}          {0}00{0}          {0}ZZ{0}EAST SENDER    {0}ZZ{0}RECEIVER       {0}260101{0}0600{0}U{0}00401{0}000000001{0}0{0}P{0}>"
+DIALECTS = {"A": ("*", "~"), "N": ("|", "\n"), "R": ("*", "'")}
+X12_SPEC = load_spec({"id": "remittance", "format": "EDI_X12", "metadata": {"recordSegment": "RMR"}, "fields": [
+    {"name": "items", "type": "INTEGER", "path": "1"}, {"name": "quantity", "type": "INTEGER", "path": "2"},
+    {"name": "transaction", "path": "transaction"}, {"name": "interchange", "path": "interchange"}]})
+
+
+def write_x12(spark, sf):
+    """Line items as X12 files, one per return flag and each in a dialect of its own: ISA, then ST and the items of an order, SE."""
+    path = work_path(spark, "x12")
+    items = columns(spark, sf, "lineitem", {"f": "l_returnflag", "o": "l_orderkey", "q": "CAST(l_quantity AS BIGINT)"})
     rows = items.groupBy("f", "o").agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("q"))
-    body = rows.select("f", "o", F.explode(F.array(
-        F.struct(F.lit(1).alias("part"), F.concat(F.lit("ST*820*"), "o").alias("line")),
-        F.struct(F.lit(2).alias("part"), F.concat_ws("*", F.lit("RMR"), F.col("n").cast("string"), F.col("q").cast("string")).alias("line")),
-        F.struct(F.lit(3).alias("part"), F.concat(F.lit("SE*2*"), "o").alias("line")))).alias("e")).select("f", "o", "e.part", "e.line")
-    heads = rows.select("f").distinct().select("f", F.lit(-1).cast("bigint").alias("o"), F.lit(0).alias("part"), F.lit("ISA*00*SENDER").alias("line"))
-    whole = body.unionByName(heads)
-    seq = F.lpad((F.col("o") + 1).cast("string"), 20, "0")
-    return whole.select(F.col("f").alias("_file"), F.concat(seq, "part").alias("_seq"), F.col("line").alias("_raw"))
-
-
-@register("src_edi_x12", "SRC-20", """SELECT f AS file, dense_rank() OVER (PARTITION BY f ORDER BY o) AS transaction_no, CAST(1 AS BIGINT) AS interchange_no,
- CAST(n AS VARCHAR) AS n_items, CAST(q AS VARCHAR) AS quantity FROM (
+    for flag, (element, segment) in DIALECTS.items():
+        said = F.concat_ws(segment, F.concat_ws(element, F.lit("ST"), F.lit("820"), "o"), F.concat_ws(element, F.lit("RMR"), "n", "q"),
+                           F.concat_ws(element, F.lit("SE"), F.lit("2"), "o"))
+        body = rows.filter(F.col("f") == flag).select("f", F.col("o").alias("k"), said.alias("value"))
+        head = spark.range(1).select(F.lit(flag).alias("f"), F.lit(-1).cast("bigint").alias("k"), F.lit(ISA_HEADER.format(element)).alias("value"))
+        placed = body.unionByName(head).repartition("f").sortWithinPartitions("f", "k")
+        placed.select("f", "value").write.mode("append").partitionBy("f").option("lineSep", segment).text(path)
+    return path
+
+
+@register("src_edi_x12", "SRC-20", """SELECT f AS file, CAST(dense_rank() OVER (PARTITION BY f ORDER BY o) AS VARCHAR) AS transaction_no, '1' AS interchange_no,
+ CAST(n AS VARCHAR) AS n_items, CAST(q AS VARCHAR) AS quantity, row_number() OVER (PARTITION BY f ORDER BY o) - 1 AS rank FROM (
  SELECT l_returnflag AS f, l_orderkey AS o, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY ALL)""")
 def src_edi_x12(spark, sf):
-    cut = x12_segments(x12_text(spark, sf)).filter("segment_id = 'RMR'")
-    return cut.select(F.col("_file").alias("file"), "transaction_no", "interchange_no",
-                      F.get("elements", F.lit(0)).alias("n_items"), F.get("elements", F.lit(1)).alias("quantity"))
+    """Files of three partners in one folder, each cut by the separators that its own header names."""
+    done = read_records(spark, write_x12(spark, sf), X12_SPEC)
+    # segment numbers run over all segments of a file: a header, then three a transaction
+    return done.select(
+        F.regexp_extract("_file", "/f=([A-Z])/", 1).alias("file"), F.col("f_transaction").alias("transaction_no"), F.col("f_interchange").alias("interchange_no"),
+        F.col("f_items").alias("n_items"), F.col("f_quantity").alias("quantity"), F.call_function("div", F.col("_seq") - 2, F.lit(3)).alias("rank"))
 
 
 @register("src_parquet", "SRC-21", "SELECT c_mktsegment AS segment, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1")

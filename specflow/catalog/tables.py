@@ -160,22 +160,23 @@ def control_totals(spark, sf):
     return reconcile.control_totals(orders, declared, "id", F.col("cents"))
 
 
-@register("join_profile", "JOI-09", """SELECT n_name AS profile, count(*) AS n_actions, count(DISTINCT s_suppkey) AS n_integrations FROM nation
- JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1""")
+@register("join_profile", "JOI-09", """WITH a AS (SELECT c_custkey, c_nationkey, (c_custkey * 7) % (SELECT count(*) FROM supplier) + 1 AS target FROM customer)
+ SELECT n_name AS profile, count(DISTINCT c_custkey) AS n_actions, count(s_suppkey) AS n_allowed, count(DISTINCT s_suppkey) AS n_integrations_used
+ FROM nation JOIN a ON c_nationkey = n_nationkey LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey = target GROUP BY 1""")
 def join_profile(spark, sf):
-    """Profiles list the ids of their integrations; the lists are exploded and joined.
+    """Actions of a profile name the integration they work on; allowed are those on the profile's own list.
 
-    Lists are cut into chunks by id before they are collected, so no row holds an unbounded list.
+    Lists are cut into chunks by id, so no row holds an unbounded one; exploded, they join by profile and id.
     """
     suppliers = table(spark, sf, "supplier")
     chunk = F.floor(F.col("s_suppkey") / 1000)
-    lists = suppliers.groupBy("s_nationkey", chunk.alias("chunk")).agg(F.collect_list("s_suppkey").alias("ids"))
-    actions = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("actions"))
-    members = lists.select("s_nationkey", F.explode("ids").alias("id")).join(suppliers.select(F.col("s_suppkey").alias("id")), "id")
-    per = members.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n_integrations"))
-    nations = table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("profile"))
-    joined = nations.join(actions, F.col("n_nationkey") == F.col("c_nationkey")).join(per, F.col("n_nationkey") == F.col("s_nationkey"))
-    return joined.select("profile", (F.col("actions") * F.col("n_integrations")).alias("n_actions"), "n_integrations")
+    lists = suppliers.groupBy(F.col("s_nationkey").alias("n_nationkey"), chunk.alias("chunk")).agg(F.collect_list("s_suppkey").alias("ids"))
+    target = F.col("c_custkey") * 7 % suppliers.count() + 1
+    actions = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"), target.alias("target"))
+    members = lists.select("n_nationkey", F.explode("ids").alias("target")).withColumn("member", F.col("target"))
+    joined = actions.join(members, ["n_nationkey", "target"], "left").join(table(spark, sf, "nation"), "n_nationkey")
+    return joined.groupBy(F.col("n_name").alias("profile")).agg(
+        F.count(F.lit(1)).alias("n_actions"), F.count("member").alias("n_allowed"), F.count_distinct("member").alias("n_integrations_used"))
 
 
 @register("join_orphans", "JOI-13", "SELECT o_orderkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")

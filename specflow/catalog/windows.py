@@ -11,7 +11,8 @@ from specflow.operators import actions, windows
 from specflow.operators.dedup import checksum, first_seen, judged, payload_checksum, rejected
 from specflow.operators.ordered import row_numbers
 from specflow.operators.revisions import page
-from specflow.session import table
+from specflow.operators.window_store import WindowStore
+from specflow.session import table, work_path
 
 
 def events(spark, sf):
@@ -84,7 +85,7 @@ def join_event_window(spark, sf):
     ev = events(spark, sf)
     start, end = _range(ev, "ts")
     frame = windows.instances(spark, "0 0/30 * * * ?", "0 29/30 * * * ?", start, end)
-    joined = windows.assign(ev.select("event_id", "ts"), "ts", frame, 3600)
+    joined = windows.assign(ev.select("event_id", "ts"), "ts", frame)
     return joined.select("event_id", F.date_format("opened_at", "yyyy-MM-dd HH:mm:ss").alias("opened_at"))
 
 
@@ -147,7 +148,7 @@ def collect_result(spark, sf):
     return done.select("event_id", "accepted", "reason").unionByName(late)
 
 
-@register("event_checksum", "PRJ-26", """SELECT event_id, sha256(event_type || '|' || CAST(user_id AS VARCHAR)) AS by_fields, sha256(props) AS by_payload FROM events""")
+@register("event_checksum", "PRJ-26", """SELECT event_id, sha256(length(event_type) || ':' || event_type || length(CAST(user_id AS VARCHAR)) || ':' || user_id) AS by_fields, sha256(props) AS by_payload FROM events""")
 def event_checksum(spark, sf):
     return table(spark, sf, "events").select("event_id", checksum("event_type", "user_id").alias("by_fields"), payload_checksum(F.col("props")).alias("by_payload"))
 
@@ -167,6 +168,17 @@ def dedup_fields(spark, sf):
     return first_seen(ev, ["w", "sum"], ["ts", "event_id"]).select("event_id")
 
 
+SPLIT_EVENTS = "SELECT o_orderkey * 2 AS id, o_orderstatus || '|' || o_orderpriority AS a, 'x' AS b FROM orders UNION ALL SELECT o_orderkey * 2 + 1, o_orderstatus, o_orderpriority || '|x' FROM orders"
+
+
+@register("dedup_separators", "SET-02, PRJ-26", f"SELECT a, b, min(id) AS id FROM ({SPLIT_EVENTS}) GROUP BY a, b")
+def dedup_separators(spark, sf):
+    """Values that hold a separator: what is split differently is a different event."""
+    table(spark, sf, "orders").createOrReplaceTempView("dedup_separators_orders")
+    rows = spark.sql(SPLIT_EVENTS.replace("FROM orders", "FROM dedup_separators_orders")).withColumn("sum", checksum("a", "b"))
+    return first_seen(rows, ["sum"], ["id"]).select("a", "b", "id")
+
+
 @register("dedup_rejects", "SET-03, STR-15", f"SELECT event_id, 'DUPLICATE_CHECKSUM' AS reason FROM (SELECT event_id, {DAY_DEDUP} AS rn FROM events) WHERE rn > 1")
 def dedup_rejects(spark, sf):
     ev = events(spark, sf).select("event_id", "ts", F.to_date("ts").alias("w"), checksum("user_id", "event_type").alias("sum"))
@@ -256,15 +268,33 @@ def batch_split(spark, sf):
     return windows.count_windows(orders, (), ("id",), 1000, "file_no").select("id", "file_no")
 
 
-@register("win_reprocess", "STR-16", f"""SELECT {sql_stamp("time_bucket(INTERVAL 1 DAY, ts)")} AS window_start, event_type, count(*) AS event_count, {sql_stamp("max(ts)")} AS last_event_at FROM events
- WHERE CAST(ts AS DATE) = (SELECT CAST(max(ts) AS DATE) FROM events) GROUP BY time_bucket(INTERVAL 1 DAY, ts), event_type""")
+@register("win_reprocess", "STR-16", """WITH d AS (SELECT CAST(ts AS DATE)::VARCHAR AS day, event_type, count(*) AS n, count(*) FILTER (WHERE user_id % 2 = 0) AS half, CAST(ts AS DATE) = (SELECT CAST(max(ts) AS DATE) FROM events) AS newest FROM events GROUP BY ALL)
+ SELECT 1::BIGINT AS version, day, event_type, CASE WHEN newest THEN n ELSE half END AS event_count FROM d WHERE newest OR half > 0
+ UNION ALL SELECT 0, day, event_type, half FROM d WHERE half > 0""")
 def win_reprocess(spark, sf):
-    """The newest daily window run again from its events; the result replaces that window only."""
-    ev = events(spark, sf)
-    newest = ev.agg(F.to_date(F.max("ts"))).scalar()
-    again = ev.filter(F.to_date("ts") == newest)
-    done = windows.time_windows(again, "ts", "1 day", keys=("event_type",)).drop("window_end")
-    return _stamped(done, "window_start", "last_event_at")
+    """Daily windows over half of the users; then the newest day runs again over all of them and replaces
+    that window only. Readers of the first version still have it."""
+    ev = events(spark, sf).withColumn("day", F.to_date("ts").cast("string"))
+    counted = lambda some: some.groupBy("day", "event_type").agg(F.count(F.lit(1)).alias("event_count"))
+    store = WindowStore(spark, work_path(spark, "windows"), "day")
+    first = store.publish(counted(ev.filter("user_id % 2 = 0")))
+    newest = ev.agg(F.max("day")).first()[0]
+    second = store.replace(newest, counted(ev.filter(F.col("day") == newest)))
+    read = [store.read(v).select(F.lit(v).cast("bigint").alias("version"), "day", "event_type", "event_count") for v in (first, second)]
+    return read[0].unionByName(read[1])
+
+
+@register("win_each_second", "STR-04, JOI-10, STR-12", f"""SELECT {sql_stamp("date_trunc('second', ts)")} AS opened_at, {sql_stamp("date_trunc('minute', ts) + INTERVAL 1 MINUTE")} AS closed_at, count(*) AS event_count
+ FROM events GROUP BY date_trunc('second', ts), date_trunc('minute', ts)""")
+def win_each_second(spark, sf):
+    """A window opens every second, over all days of the table, and lasts to the end of its minute; events counted by the last one opened."""
+    ev = events(spark, sf).select("event_id", "ts")
+    start, end = _range(ev, "ts")
+    frame = windows.instances(spark, "* * * * * ?", "0 * * * * ?", start, end)
+    # the newest of the windows open at an event's time
+    joined = windows.assign(ev, "ts", frame).groupBy("event_id").agg(F.max("opened_at").alias("opened_at"), F.min("closed_at").alias("closed_at"))
+    counted = joined.groupBy("opened_at", "closed_at").agg(F.count(F.lit(1)).alias("event_count"))
+    return _stamped(counted, "opened_at", "closed_at")
 
 
 @register("win_events", "STR-17", "SELECT event_id, event_type FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-02' ORDER BY ts, event_id LIMIT 20 OFFSET 40")

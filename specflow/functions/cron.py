@@ -10,6 +10,9 @@ import calendar
 from datetime import UTC, date, datetime, timedelta
 from zoneinfo import ZoneInfo
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 # Weekday and month names.
 WEEKDAYS = ("MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN")
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
@@ -124,27 +127,24 @@ def fire_times(expression: str, start: datetime, end: datetime, timezone: str =
     return Schedule(expression, timezone).between(start.replace(tzinfo=UTC), end.replace(tzinfo=UTC))
 
 
-def intervals(open_cron: str, close_cron: str, start: datetime, end: datetime, timezone: str = "UTC",
-              cap_minutes: int | None = None) -> list[tuple[datetime, datetime]]:
-    """(open, close) pairs that touch [start, end): each opening runs to the next closing after it, at most to the cap.
-
-    Openings before ``start`` count as long as they are still open there, and a closing is
-    looked for as far ahead as the calendar goes.
-    """
-    start, end = start.replace(tzinfo=UTC), end.replace(tzinfo=UTC)
-    opening, closing = Schedule(open_cron, timezone), Schedule(close_cron, timezone)
-    # whatever opened before the last closing is closed by now
-    since = closing.upto(start)
-    if since is None:
-        since = opening.upto(start) or start
-    pairs: list[tuple[datetime, datetime]] = []
-    closed: datetime | None = None
-    for opened in opening.between(since, end):
-        if closed is None or closed <= opened:
-            closed = closing.after(opened)
-            if closed is None:
-                break
-        upto = closed if cap_minutes is None else min(closed, opened + timedelta(minutes=cap_minutes))
-        if upto > start:
-            pairs.append((opened, upto))
-    return pairs
+def day_filter(schedule: Schedule, day):
+    """Whether the schedule fires on a date column."""
+    hit = F.month(day).isin(*sorted(schedule.months)) & F.weekday(day).isin(*sorted(schedule.weekdays))
+    if schedule.dom.upper() == "L":
+        return hit & (day == F.last_day(day))
+    if schedule.dom not in ("*", "?"):
+        hit = hit & F.dayofmonth(day).isin(*sorted(_values(schedule.dom, 1, 31)))
+    return hit
+
+
+def instants(schedule: Schedule, days: DataFrame, day: str = "day") -> DataFrame:
+    """``days`` with ``at``, each UTC instant the schedule names on a (local) day, once."""
+    def every(values) -> Column:
+        return F.explode(F.array(*[F.lit(v) for v in values]))
+
+    on = days.filter(day_filter(schedule, F.col(day)))
+    times = on.withColumn("_h", every(schedule.hours)).withColumn("_m", every(schedule.minutes)).withColumn("_s", every(schedule.seconds))
+    seconds = F.unix_date(day).cast("bigint") * 86_400 + F.col("_h") * 3_600 + F.col("_m") * 60 + F.col("_s")
+    at = F.to_utc_timestamp(F.timestamp_seconds(seconds), schedule.zone.key)
+    # two local times may be one instant where a clock jumps
+    return times.select(*days.columns, at.alias("at")).dropDuplicates([*days.columns, "at"])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specflow.functions import masking, text
-from specflow.operators.records import ISSUES, found, issue, literal, value_of
+from specflow.operators.records import fcol, issue, literal, ticked
 from specflow.spec import FieldSpec, FileSpec
 
 # What counts as true in delimited text (any case) and in fixed-width text (exact).
@@ -28,10 +28,30 @@ CONVERSION_FIXED = ("Type conversion failed for '{name}': '", "' is not {type}")
 SHORT_LINE = "Line too short to extract field '{name}' at position {position}"
 
 
+#: bits of a field's code: what is wrong with its cell
+CODE_BITS = 3
+GONE, BLANK, UNREADABLE, NULL = 1, 2, 3, 4
+
+
 @dataclass
 class Coerced:
+    """A field's value, the code of what is wrong with its cell (0: nothing) and the issue of each code.
+
+    Issues are expressions over the finished record.
+    """
+
     value: Column
-    error: Column
+    code: Column
+    issues: dict[int, Column]
+
+
+@dataclass
+class Extra:
+    """An issue of a record as a whole."""
+
+    bad: Column
+    issue: Column
+    fatal: bool = False
 
 
 def _typed(f: FieldSpec, raw: Column, fixed: bool) -> tuple[Column, Column]:
@@ -77,17 +97,21 @@ def coerce(f: FieldSpec, column: str, absent: Column | bool, fixed: bool = False
     else:
         absent_text = MISSING_COLUMN.format(column=f.column_name or f.name)
         blank_text = REQUIRED_DELIMITED.format(name=f.name)
-    nothing = F.expr(f"cast(array() as {ISSUES})")
-    missing = issue(f.name, literal(absent_text), "ERROR") if f.required else nothing
-    error = F.when(gone, missing)
+    issues = {GONE: issue(f.name, literal(absent_text), "ERROR")} if f.required else {}
+    code = F.when(gone, GONE if f.required else 0)
     if f.required and not f.nullable:
-        error = error.when(blank, issue(f.name, literal(blank_text), "ERROR", literal(None) if fixed else column))
+        said = literal(blank_text)
+        issues[BLANK] = issue(f.name, said, "ERROR", literal(None) if fixed else "''")
+        issues[NULL] = issue(f.name, said, "ERROR", literal(None))
+        code = code.when(raw.isNull(), NULL).when(blank, BLANK)
     else:
-        error = error.when(blank, nothing)
+        code = code.when(blank, 0)
     if f.type in CHECKED:
-        kept = literal(None) if f.sensitive else column
-        error = error.when(~ok, issue(f.name, _conversion_message(f, column, fixed), "ERROR", kept))
-    return Coerced(value, error.otherwise(nothing))
+        # a value that does not convert stays as it is, so the record has the raw text
+        name = ticked(fcol(f.name))
+        issues[UNREADABLE] = issue(f.name, _conversion_message(f, name, fixed), "ERROR", literal(None) if f.sensitive else name)
+        code = code.when(~ok, UNREADABLE)
+    return Coerced(value, code.otherwise(0), issues)
 
 
 def coerce_xml(f: FieldSpec, column: str) -> Coerced:
@@ -95,10 +119,10 @@ def coerce_xml(f: FieldSpec, column: str) -> Coerced:
     raw = F.col(column)
     present = F.when(~text.is_blank(raw), raw)
     message = REQUIRED_XML.format(name=f.name, path="null" if f.path is None else f.path)
-    lacking = present.isNull() if f.required else F.lit(False)
-    return Coerced(
-        F.coalesce(present, F.lit(f.default_value)), found(lacking, issue(f.name, literal(message), "ERROR"))
-    )
+    value = F.coalesce(present, F.lit(f.default_value))
+    if not f.required:
+        return Coerced(value, F.lit(0), {})
+    return Coerced(value, F.when(present.isNull(), GONE).otherwise(0), {GONE: issue(f.name, literal(message), "ERROR")})
 
 
 def spark_type(f: FieldSpec) -> str:

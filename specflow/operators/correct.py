@@ -89,12 +89,14 @@ def apply_corrections(records: DataFrame, spec: FileSpec) -> DataFrame:
     latest = {name: fcol(name) for name in spec.record_fields}
     depth: dict[str, int] = defaultdict(int)
     layers: dict[int, list[Column]] = defaultdict(list)
-    changes = []
+    changes, differ = [], F.lit(False)
     for number, rule in enumerate(rules):
         before, after = latest[rule.field], f"_step{number}"
         built = expression(rule, quoted(before), spec.field_spec(rule.field))
         layers[depth[rule.field]].append(built.alias(after))
-        old, new = ticked(before), ticked(after)
+        # the log is read from finished steps, where a field's first value has a name of its own
+        first = depth[rule.field] == 0
+        old, new = ticked(f"_first_{before}" if first else before), ticked(after)
         changes.append(
             F.expr(
                 f"case when not ({old} <=> {new}) then array(named_struct('field', {literal(rule.field)}, "
@@ -102,25 +104,25 @@ def apply_corrections(records: DataFrame, spec: FileSpec) -> DataFrame:
                 f"else cast(array() as {CHANGES}) end"
             )
         )
+        differ = differ | ~quoted(before).eqNullSafe(quoted(after))
         depth[rule.field] += 1
         latest[rule.field] = after
     columns = records.columns
     for level in sorted(layers):
         records = records.select("*", *layers[level])
     touched = {fcol(name): last for name, last in latest.items() if last != fcol(name)}
-    log = F.concat("_corrections", collected(changes, CHANGES))
-    records = records.withColumn("_corrections", log)
+    steps = [f"_step{n}" for n in range(len(rules))]
+    firsts = {f"_first_{name}": name for name in touched}
     done = records.select(
-        *[
-            quoted(touched[c]).alias(c)
-            if c in touched
-            else (F.size("_corrections") > 0).alias(c)
-            if c == "_corrected"
-            else quoted(c)
-            for c in columns
-        ]
+        *[quoted(c) for c in columns if c not in touched and c != "_corrected"],
+        *[quoted(name).alias(alias) for alias, name in firsts.items()], *steps,
+        *[quoted(last).alias(name) for name, last in touched.items()],
+        (F.col("_corrected") | differ).alias("_corrected"),
     )
-    return pinned(done, [*touched, "_corrections", "_corrected"])
+    once = pinned(done, [*firsts, *steps, *touched, "_corrected"])
+    # whoever reads the log has it built; others need the steps only
+    log = F.concat("_corrections", collected(changes, CHANGES))
+    return once.select(*[log.alias(c) if c == "_corrections" else quoted(c) for c in columns])
 
 
 def correct_column(value: Column, correction_type: str, arg: str | None = None, pad_char: str | None = None) -> Column:

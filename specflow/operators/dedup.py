@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 DUPLICATE = "DUPLICATE_CHECKSUM"
 
 
-def checksum(*columns: Column | str, separator: str = "|") -> Column:
-    """SHA-256 over the chosen values in order; null counts as empty text."""
-    parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in columns]
-    return F.sha2(F.concat_ws(separator, *parts), 256)
+def checksum(*columns: Column | str) -> Column:
+    """SHA-256 over the chosen values in order, each after its length; so no two lists of values
+    are spelled alike, whatever they hold, and a null differs from an empty text."""
+    parts = []
+    for c in columns:
+        value = (F.col(c) if isinstance(c, str) else c).cast("string")
+        parts.append(F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-")))
+    return F.sha2(F.concat(*parts), 256)
 
 
 def payload_checksum(payload: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from specflow.functions import text
 from specflow.operators.records import (
-    ISSUES, collected, fcol, found, issue, literal, no_issues, quoted, start_columns, ticked, value_of,
+    FLAGS, ISSUES, collected, fcol, flags, found, issue, literal, no_issues, quoted, start_columns, ticked, value_of,
 )
 from specflow.spec import FieldMapping, FieldSpec, FileSpec, SpecError
 
@@ -63,7 +63,7 @@ def map_fields(records: DataFrame, mappings: tuple[FieldMapping, ...], order: tu
                keep: tuple[str, ...] = ()) -> DataFrame:
     """Fresh records that hold only the target fields, in the given order."""
     have = set(records.columns)
-    made, errors = {}, []
+    made, errors, wrong = {}, [], F.lit(False)
     for m in mappings:
         source = value_of(m.source_field) if fcol(m.source_field) in have else F.lit(None).cast("string")
         made[m.target_field] = mapped(m, source)
@@ -72,12 +72,13 @@ def map_fields(records: DataFrame, mappings: tuple[FieldMapping, ...], order: tu
             kind = PARSING[m.transform.partition(":")[0]]
             made[m.target_field] = F.when(bad, source).otherwise(made[m.target_field])
             raw = f"cast({ticked(fcol(m.source_field))} as string)" if fcol(m.source_field) in have else literal(None)
+            wrong = wrong | bad
             errors.append(found(bad, issue(m.target_field, literal(f"'{m.source_field}' is no {kind}"), "ERROR", raw)))
     names = [n for n in order if n in made] + [n for n in made if n not in order]
     frame = records.select(
         "_file", "_seq", F.lit(None).cast("string").alias("_raw"),
         *[made[n].cast("string").alias(fcol(n)) for n in names],
-        (collected(errors, ISSUES) if errors else no_issues()).alias("_errors"), *start_columns(), "_metadata",
+        (collected(errors, ISSUES) if errors else no_issues()).alias("_errors"), *start_columns(), "_metadata", flags(wrong).alias(FLAGS),
         *[quoted(k) for k in keep],
     )
     # expressions see the mapped value under the name ``value``

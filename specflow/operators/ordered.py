@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from specflow.session import checkpointed
+from specflow.session import checkpointed, stored
 
 LIMIT_KEY = "specflow.window.maxGroupRows"
 DEFAULT_LIMIT = 5_000_000
@@ -130,3 +130,39 @@ def islands(
     marked = previous(df.withColumn("_state", state), group, order, {"_was": F.col("_state")}, split)
     new = (~F.col("_state").eqNullSafe(F.col("_was"))).cast("bigint")
     return running_sum(marked, group, order, new, out, split).drop("_state", "_was")
+
+
+#: entries that are composed in one list; bounds what a task gathers
+FAN = 64
+
+
+def _composed(table: Column, states: int) -> Column:
+    """Transition tables in order, as one: for each state before the first the state after the last."""
+    start = F.array(*[F.lit(s).cast("tinyint") for s in range(states)])
+    return F.aggregate(table, start, lambda now, one: F.transform(now, lambda s: F.get(one["table"], s.cast("int"))))
+
+
+def carried_states(df: DataFrame, group: tuple[str, ...], nth: str, table: str, states: int, out: str = "state") -> DataFrame:
+    """The state in which each row of a group begins, when the first row begins in state 0.
+
+    ``nth`` numbers a group's rows from 0 without gaps; ``table`` (array of tinyint) has for each
+    state before the row the state after it. Composing tables is associative, so it is done in
+    parallel: ``FAN`` rows make one row of the level above until a group is a single row, then
+    the states go down the same levels. No list is longer than ``FAN``, whatever a group's size.
+    """
+    key, at, up = ["_k" + c for c in group], F.col("_nth"), F.floor(F.col("_nth") / FAN).cast("bigint")
+    level = df.select(*[F.col(c).alias(k) for c, k in zip(group, key)], F.col(nth).alias("_nth"), F.col(table).alias("table"))
+    members = F.array_sort(F.collect_list(F.struct(at.alias("nth"), "table")))
+    levels = [level]
+    while levels[-1].filter(at > 0).limit(1).count():
+        rows = levels[-1].groupBy(*key, up.alias("_up")).agg(members.alias("_rows"))
+        levels.append(stored(rows.select(*key, F.col("_up").alias("_nth"), "_rows", _composed(F.col("_rows"), states).alias("table")), "states"))
+    begins = levels[-1].select(*key, at, F.lit(0).cast("tinyint").alias("_begins"))
+    for rows in reversed(levels[1:]):
+        first = F.struct(F.col("_begins").alias("now"), F.array().cast("array<struct<nth:bigint,state:tinyint>>").alias("seen"))
+        walked = F.aggregate("_rows", first, lambda acc, one: F.struct(
+            F.get(one["table"], acc["now"].cast("int")).alias("now"),
+            F.concat(acc["seen"], F.array(F.struct(one["nth"].alias("nth"), acc["now"].alias("state")))).alias("seen")))
+        held = rows.select(*key, at, "_rows").join(begins, [*key, "_nth"])
+        begins = held.select(*key, F.inline(walked["seen"])).select(*key, F.col("nth").alias("_nth"), F.col("state").alias("_begins"))
+    return begins.select(*[F.col(k).alias(c) for c, k in zip(group, key)], F.col("_nth").alias(nth), F.col("_begins").alias(out))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ISSUE = "struct<field:string,message:string,severity:string,raw_value:string,rule_id:string>"
 ISSUES = f"array<{ISSUE}>"
+#: bits that tell what a record has, so that routes and counters need not build its issues
+FLAGS = "_flags"
+HAS_ERROR, HAS_FATAL, HAS_WARNING = 1, 2, 4
 CHANGES = "array<struct<field:string,original:string,corrected:string,type:string>>"
-SERVICE = ("_file", "_seq", "_raw", "_errors", "_warnings", "_corrected", "_corrections", "_metadata")
+SERVICE = ("_file", "_seq", "_raw", "_errors", "_warnings", "_corrected", "_corrections", "_metadata", "_flags")
 
 
 def fcol(name: str) -> str:
@@ -67,6 +72,51 @@ def pinned(df: DataFrame, names: list[str]) -> DataFrame:
     return once.select(*[quoted(c) for c in df.columns])
 
 
+WORD = 60
+
+
+def bitmaps(codes: list[Column], width: int = 1) -> list[Column]:
+    """Small numbers packed into as few bigints as they need, ``width`` bits each."""
+    per = WORD // width
+    words = [codes[i : i + per] for i in range(0, len(codes), per)] or [[]]
+    return [
+        reduce(lambda a, b: a.bitwiseOR(b), [F.call_function("shiftleft", c.cast("bigint"), F.lit(width * k)) for k, c in enumerate(word)],
+               F.lit(0).cast("bigint"))
+        for word in words
+    ]
+
+
+def code_at(names: list[str], place: int, width: int = 1) -> Column:
+    """The number at a place of the bitmaps with these column names."""
+    per = WORD // width
+    return F.call_function("shiftright", F.col(names[place // per]), F.lit(width * (place % per))).bitwiseAND((1 << width) - 1)
+
+
+def case_of(code: Column, issues: dict[int, Column]) -> Column:
+    """The issue array that belongs to a code; none for others."""
+    nothing = F.expr(f"cast(array() as {ISSUES})")
+    return reduce(lambda so_far, item: so_far.when(code == item[0], item[1]), issues.items(), F.when(F.lit(False), nothing)).otherwise(nothing)
+
+
+def flags(error: Column, fatal: Column | None = None, warning: Column | None = None) -> Column:
+    """The flags of what holds."""
+    out = F.when(error, HAS_ERROR).otherwise(0)
+    if fatal is not None:
+        out = out.bitwiseOR(F.when(fatal, HAS_FATAL).otherwise(0))
+    return out if warning is None else out.bitwiseOR(F.when(warning, HAS_WARNING).otherwise(0))
+
+
+def flags_of_issues(errors: Column | str = "_errors", warnings: Column | str = "_warnings") -> Column:
+    """The flags as the issues themselves tell them."""
+    return flags(F.size(errors) > 0, F.exists(errors, lambda e: e["severity"] == "FATAL"), F.size(warnings) > 0)
+
+
+def flag(records: DataFrame, which: int) -> Column:
+    """Whether a record has errors, fatal ones or warnings; frames made without flags are asked for their issues."""
+    known = F.col(FLAGS) if FLAGS in records.columns else flags_of_issues()
+    return known.bitwiseAND(which) != 0
+
+
 def no_issues() -> Column:
     return F.array().cast(ISSUES)
 
@@ -95,6 +145,7 @@ def from_columns(df: DataFrame, spec, seq: str | None = None, file: Column | Non
         no_issues().alias("_errors"),
         *start_columns(),
         (metadata if metadata is not None else empty).alias("_metadata"),
+        F.lit(0).alias(FLAGS),
     )
 
 
@@ -107,13 +158,5 @@ def read_metadata(key: str) -> Column:
     return F.element_at("_metadata", key)
 
 
-def is_valid() -> Column:
-    return F.size("_errors") == 0
-
-
-def is_fatal() -> Column:
-    return F.exists("_errors", lambda e: e["severity"] == "FATAL")
-
-
 def was_corrected(name: str) -> Column:
     return F.exists("_corrections", lambda c: c["field"] == name)

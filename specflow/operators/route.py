@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specflow.operators.records import is_fatal, is_valid
+from specflow.operators.records import HAS_ERROR, HAS_FATAL, HAS_WARNING, flag
 
 
 def routed(records: DataFrame, skip_invalid: bool = False) -> DataFrame:
     """Adds ``_route``: FATAL and SKIPPED leave the run, OK and WITH_ERRORS pass."""
-    skipped = ~is_valid() & F.lit(skip_invalid)
-    route = F.when(is_fatal(), "FATAL").when(skipped, "SKIPPED").when(is_valid(), "OK").otherwise("WITH_ERRORS")
+    bad = flag(records, HAS_ERROR)
+    route = F.when(flag(records, HAS_FATAL), "FATAL").when(bad & F.lit(skip_invalid), "SKIPPED").when(bad, "WITH_ERRORS").otherwise("OK")
     return records.withColumn("_route", route)
 
 
@@ -35,7 +35,7 @@ def summarise(routed_records: DataFrame, keys: tuple[str, ...] = ()) -> DataFram
         _count(F.col("_route") == "OK").alias("successful_records"),
         _count(~passed).alias("failed_records"),
         _count(passed & F.col("_corrected")).alias("corrected_records"),
-        _count(passed & (F.size("_warnings") > 0)).alias("warning_records"),
+        _count(passed & flag(routed_records, HAS_WARNING)).alias("warning_records"),
     )
 
 

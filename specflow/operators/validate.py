@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specflow.functions import checks, masking, text
-from specflow.operators.records import ISSUES, collected, fcol, found, issue, literal, pinned, ticked, value_of
+from specflow.operators.records import (
+    FLAGS, ISSUES, WORD, bitmaps, case_of, code_at, collected, fcol, flags, flags_of_issues, issue, literal, pinned, quoted, ticked, value_of,
+)
 from specflow.spec import FieldSpec, FileSpec, SpecError, ValidationRule
 
 Rule = Callable[[Column, ValidationRule], Column]
@@ -125,19 +128,18 @@ def _rule_issue(rule: ValidationRule, spec: FileSpec) -> Column:
     f = spec.field_spec(rule.field)
     hide = spec.mask_sensitive and f is not None and f.sensitive
     raw = literal(None) if hide else ticked(fcol(rule.field))
-    return found(
-        violated(rule, value_of(rule.field)), issue(rule.field, literal(rule.message), rule.severity, raw, rule.rule_id)
-    )
+    return issue(rule.field, literal(rule.message), rule.severity, raw, rule.rule_id)
 
 
-def _constraint_issues(f: FieldSpec) -> list[Column]:
+def _constraint_issues(f: FieldSpec) -> list[tuple[Column, Column]]:
+    """(violated, issue) of each constraint of a field."""
     value, name = value_of(f.name), ticked(fcol(f.name))
     shown = literal(masking.MASK) if f.sensitive else name
     kept = literal(None) if f.sensitive else name
     hits = []
 
     def add(bad: Column, *message: str, raw: str = literal(None)) -> None:
-        hits.append(found(F.coalesce(bad, F.lit(False)), issue(f.name, f"concat({', '.join(message)})", "ERROR", raw)))
+        hits.append((F.coalesce(bad, F.lit(False)), issue(f.name, f"concat({', '.join(message)})", "ERROR", raw)))
 
     quoted_value = (literal(f"Field '{f.name}' value '"), shown)
     measured = (literal(f"Field '{f.name}' length "), f"cast(length({name}) as string)")
@@ -155,15 +157,37 @@ def _constraint_issues(f: FieldSpec) -> list[Column]:
 
 
 def apply_validations(records: DataFrame, spec: FileSpec) -> DataFrame:
-    """All rules in spec order, then all field constraints; nothing stops at the first hit."""
+    """All rules in spec order, then all field constraints; nothing stops at the first hit.
+
+    Every rule is a bit of a record's bitmap, which is evaluated once. Flags come from its masks;
+    issues are built from its bits, for the rows and by the plans that read them.
+    """
     soft = [r for r in spec.validation_rules if r.severity in ("INFO", "WARNING")]
     hard = [r for r in spec.validation_rules if r.severity not in ("INFO", "WARNING")]
-    errors = [_rule_issue(r, spec) for r in hard]
-    errors += [i for f in spec.fields for i in _constraint_issues(f)]
-    warnings = [_rule_issue(r, spec) for r in soft]
-    changed = {}
-    if errors:
-        changed["_errors"] = F.concat("_errors", collected(errors, ISSUES))
-    if warnings:
-        changed["_warnings"] = F.concat("_warnings", collected(warnings, ISSUES))
-    return pinned(records.withColumns(changed), list(changed)) if changed else records
+    hits = [(violated(r, value_of(r.field)), _rule_issue(r, spec), r.severity) for r in hard]
+    hits += [(bad, told, "ERROR") for f in spec.fields for bad, told in _constraint_issues(f)]
+    n_errors = len(hits)
+    hits += [(violated(r, value_of(r.field)), _rule_issue(r, spec), r.severity) for r in soft]
+    if not hits:
+        return records
+    maps = bitmaps([F.when(bad, 1).otherwise(0) for bad, _, _ in hits])
+    names = [f"_hits{k}" for k in range(len(maps))]
+    known = F.col(FLAGS) if FLAGS in records.columns else flags_of_issues()
+    once = pinned(records.select("*", known.alias("_known"), *[m.alias(n) for m, n in zip(maps, names)]), names)
+
+    def any_of(places: list[int]) -> Column:
+        """One test for each bitmap that holds one of the places."""
+        masks: dict[str, int] = {}
+        for p in places:
+            masks[names[p // WORD]] = masks.get(names[p // WORD], 0) | 1 << p % WORD
+        return reduce(lambda a, b: a | b, [F.col(n).bitwiseAND(F.lit(m)) != 0 for n, m in masks.items()], F.lit(False))
+
+    places = range(len(hits))
+    now = flags(any_of(list(places[:n_errors])), any_of([p for p in places if hits[p][2] == "FATAL"]), any_of(list(places[n_errors:])))
+    issues = [case_of(code_at(names, p), {1: told}) for p, (_, told, _) in enumerate(hits)]
+    made = {
+        "_errors": F.concat("_errors", collected(issues[:n_errors], ISSUES)) if n_errors else F.col("_errors"),
+        "_warnings": F.concat("_warnings", collected(issues[n_errors:], ISSUES)) if n_errors < len(hits) else F.col("_warnings"),
+    }
+    columns = [made[c].alias(c) if c in made else quoted(c) for c in records.columns if c != FLAGS]
+    return once.select(*columns, F.col("_known").bitwiseOR(now).alias(FLAGS))

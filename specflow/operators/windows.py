@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from specflow.functions import cron
@@ -72,15 +73,37 @@ def marker_windows(events: DataFrame, group: tuple[str, ...], order: tuple[str,
 
 def instances(spark: SparkSession, open_cron: str, close_cron: str, start: datetime, end: datetime,
               timezone: str = "UTC", cap_minutes: int | None = None) -> DataFrame:
-    """Window instances named by a pair of cron expressions over a date range."""
-    pairs = cron.intervals(open_cron, close_cron, start, end, timezone, cap_minutes)
-    rows = [(i, int(o.timestamp() * 1000), int(c.timestamp() * 1000)) for i, (o, c) in enumerate(pairs)]
-    frame = spark.createDataFrame(rows, "instance_id bigint, open_ms bigint, close_ms bigint")
-    return frame.select(
-        "instance_id",
-        F.timestamp_millis("open_ms").alias("opened_at"),
-        F.timestamp_millis("close_ms").alias("closed_at"),
-    )
+    """Window instances named by a pair of cron expressions that touch [start, end).
+
+    Each opening runs to the next closing after it, at most to the cap. Openings before ``start``
+    count as long as they are still open there, and a closing is looked for as far ahead as the
+    calendar goes: those two ends are found first, then Spark makes a row per day between them, the
+    instants of each day and the next closing of each opening. No task holds more than a day.
+    """
+    start, end = start.replace(tzinfo=UTC), end.replace(tzinfo=UTC)
+    opening, closing = cron.Schedule(open_cron, timezone), cron.Schedule(close_cron, timezone)
+    # whatever opened before the last closing is closed by now
+    since = closing.upto(start) or opening.upto(start) or start
+    upto = closing.after(end) or closing.upto(end) or since
+    first, last = (t.astimezone(opening.zone).date() for t in (since, max(upto, end)))
+    days = spark.range(first.toordinal(), last.toordinal() + 1).select(F.date_from_unix_date((F.col("id") - date(1970, 1, 1).toordinal()).cast("int")).alias("day"))
+    days = days.repartition("day")
+    both = cron.instants(opening, days).withColumn("opens", F.lit(True)).unionByName(cron.instants(closing, days).withColumn("opens", F.lit(False)))
+    closes = F.when(~F.col("opens"), F.col("at"))
+    # backwards through a day, openings first: the closings met so far are those after the opening
+    later = W.partitionBy("day").orderBy(F.desc("at"), F.desc("opens")).rowsBetween(W.unboundedPreceding, -1)
+    met = both.withColumn("same_day", F.min(closes).over(later))
+    # a row per day, of which there are some hundred a year
+    per_day = both.filter(~F.col("opens")).groupBy("day").agg(F.min("at").alias("first_close"))
+    ahead = W.orderBy(F.desc("day")).rowsBetween(W.unboundedPreceding, -1)
+    next_days = days.join(per_day, "day", "left").select("day", F.min("first_close").over(ahead).alias("other_day"))
+    opened = met.filter("opens").join(next_days, "day").select(F.col("at").alias("opened_at"), F.coalesce("same_day", "other_day").alias("closed_at"))
+    if cap_minutes is not None:
+        opened = capped(opened, cap_minutes)
+    found = opened.filter(
+        (F.col("opened_at") >= F.lit(since)) & (F.col("opened_at") < F.lit(end)) & (F.col("closed_at") > F.lit(start)))
+    numbered = row_numbers(found, (), ("opened_at",), "_rn")
+    return numbered.select((F.col("_rn") - 1).alias("instance_id"), "opened_at", "closed_at")
 
 
 def capped(frame: DataFrame, minutes: int) -> DataFrame:
@@ -88,18 +111,30 @@ def capped(frame: DataFrame, minutes: int) -> DataFrame:
     return frame.withColumn("closed_at", F.least("closed_at", limit))
 
 
-def assign(events: DataFrame, ts: str, frame: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
-    """Events joined to the instance open at their time (open <= ts < close).
+def assign(events: DataFrame, ts: str, frame: DataFrame) -> DataFrame:
+    """Events joined to the instances open at their time (open <= ts < close).
 
-    Both sides carry a time bucket, so the join is an equi-join on it and an event meets
-    only the instances that touch its bucket, never all of them.
+    An instance belongs to the level whose buckets, of 2^level seconds, are the shortest that are as long as it
+    is; so it touches two of them at most. Events look in their own bucket of each level
+    that occurs, of which there are few. So the join is an equi-join in which an event meets only
+    instances of its neighbourhood, whether they last a second or a year.
     """
-    first = F.floor(F.unix_seconds("opened_at") / bucket_seconds)
-    last = F.floor((F.unix_millis("closed_at") - 1) / 1000 / bucket_seconds)
-    spread = frame.filter("closed_at > opened_at").select("*", F.explode(F.sequence(first, last)).alias("_bucket"))
-    keyed = events.withColumn("_bucket", F.floor(F.unix_seconds(F.col(ts)) / bucket_seconds))
+    lasts = F.greatest(F.unix_millis("closed_at") - F.unix_millis("opened_at"), F.lit(1000)) / 1000
+    level = F.ceil(F.log2(lasts)).cast("int")
+    levelled = frame.filter("closed_at > opened_at").withColumn("_level", level)
+    levels = sorted(r["_level"] for r in levelled.select("_level").distinct().collect())
+    if not levels:
+        levels = [0]
+
+    def bucket(millis: Column, at_level: Column) -> Column:
+        return F.floor(millis / 1000 / F.pow(F.lit(2.0), at_level)).cast("bigint")
+
+    first, last = bucket(F.unix_millis("opened_at"), F.col("_level")), bucket(F.unix_millis("closed_at") - 1, F.col("_level"))
+    spread = levelled.withColumn("_bucket", F.explode(F.sequence(first, last)))
+    keyed = events.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels])))
+    keyed = keyed.withColumn("_bucket", bucket(F.unix_millis(F.col(ts)), F.col("_level")))
     hit = (F.col(ts) >= F.col("opened_at")) & (F.col(ts) < F.col("closed_at"))
-    return keyed.join(spread, "_bucket").filter(hit).drop("_bucket")
+    return keyed.join(spread, ["_level", "_bucket"]).filter(hit).drop("_level", "_bucket")
 
 
 def with_state(frame: DataFrame, now: Column, actions_done: Column | None = None, failed: Column | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from specflow.operators import coerce, route
 from specflow.operators.correct import apply_corrections
-from specflow.operators.records import value_of
+from specflow.operators.records import FLAGS, flags_of_issues, value_of
 from specflow.operators.validate import apply_validations
 from specflow.session import checkpointed
 from specflow.sinks.envelope import envelopes, new_run_id
@@ -35,7 +35,8 @@ def recheck_types(records: DataFrame, spec: FileSpec) -> DataFrame:
         )
         return e["rule_id"].isNull() & conversion & _fixed(e, spec)
 
-    return records.withColumn("_errors", F.filter("_errors", lambda e: ~stale(e)))
+    kept = records.withColumn("_errors", F.filter("_errors", lambda e: ~stale(e)))
+    return kept.withColumn(FLAGS, flags_of_issues())
 
 
 def _fixed(e: Column, spec: FileSpec) -> Column:

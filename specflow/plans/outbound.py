@@ -11,7 +11,7 @@ from specflow.functions import templates
 from specflow.operators import route
 from specflow.operators.correct import apply_corrections
 from specflow.operators.mapping import map_fields, outbound_spec
-from specflow.operators.records import value_of
+from specflow.operators.records import FLAGS, flags_of_issues, value_of
 from specflow.operators.validate import apply_validations
 from specflow.sinks import generators
 from specflow.spec import FileSpec
@@ -29,7 +29,8 @@ def mapped_records(records: DataFrame, spec: FileSpec, keep: tuple[str, ...] = (
     odd = generators.misfits(config.format, field_order(spec), **options)
     errors = F.filter(odd, lambda i: i.severity != "WARNING")
     warnings = F.filter(odd, lambda i: i.severity == "WARNING")
-    checked = checked.withColumns({"_errors": F.concat("_errors", errors), "_warnings": F.concat("_warnings", warnings)})
+    told = F.col(FLAGS).bitwiseOR(flags_of_issues(errors, warnings))
+    checked = checked.withColumns({"_errors": F.concat("_errors", errors), "_warnings": F.concat("_warnings", warnings), FLAGS: told})
     return route.routed(checked)
 
 

@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specflow.session import stored
+from specflow.sinks import database
 
 # Archive codec names as Spark spells them.
 CODECS = {"NONE": "none", "GZIP": "gzip", "ZSTD": "zstd", "SNAPPY": "snappy"}
@@ -31,34 +31,26 @@ def to_files(df: DataFrame, options: dict) -> None:
 
 
 def to_database(df: DataFrame, options: dict) -> None:
-    """Append, replace or upsert over JDBC in batches.
-
-    UPSERT_ON_KEY reads the table, puts the new rows in the place of those with their ``key``
-    and writes the result back; other writers of the table must pause meanwhile.
-    """
+    """Append, replace or upsert over JDBC in batches; UPSERT_ON_KEY stages the rows and merges them by ``key``."""
     kind = options.get("write_mode", "INSERT_ONLY")
-    modes = {"INSERT_ONLY": "append", "REPLACE": "overwrite", "UPSERT_ON_KEY": "overwrite"}
+    modes = {"INSERT_ONLY": "append", "REPLACE": "overwrite", "UPSERT_ON_KEY": None}
     if kind not in modes:
         raise ValueError(f"unknown write mode {kind}; known are {', '.join(modes)}")
+    batch_size = options.get("batch_size", 1000)
     if kind == "UPSERT_ON_KEY":
         if not options.get("key"):
             raise ValueError("UPSERT_ON_KEY needs the key columns")
-        target = df.sparkSession.read.format("jdbc").options(**options["connection"]).load()
-        # the table is emptied before it is written, so its rows are fixed first
-        df = stored(upserted(target, df, list(options["key"]), options.get("order")), "upsert")
-    mode = modes[kind]
-    writer = df.write.format("jdbc").mode(mode).option("batchsize", options.get("batch_size", 1000))
-    if mode == "overwrite":
+        database.merge(df, options["connection"], list(options["key"]), options.get("order"), batch_size)
+        return
+    writer = df.write.format("jdbc").mode(modes[kind]).option("batchsize", batch_size)
+    if kind == "REPLACE":
         writer = writer.option("truncate", "true")
     writer.options(**options["connection"]).save()
 
 
 def upserted(target: DataFrame, source: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
     """Target rows without a source row, plus the (latest) source row per key."""
-    if order:
-        rest = [c for c in source.columns if c not in key]
-        best = source.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
-        source = best.select(*key, *[F.col(f"_r.`{c}`").alias(c) for c in rest])
+    source = database.newest(source, key, order)
     kept = target.join(source.select(*key), key, "left_anti")
     return kept.unionByName(source.select(*target.columns))
 

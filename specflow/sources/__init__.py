@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from specflow.sources.delimited import parse_delimited
 from specflow.sources.fixed_width import parse_fixed_width
-from specflow.sources.json_records import parse_json_lines
+from specflow.sources.json_records import read_json
 from specflow.sources.lines import number_lines, read_lines
 from specflow.sources.listing import glob_of
-from specflow.sources.payments import nacha_entries, swift_records, x12_records, x12_separators
+from specflow.sources.payments import nacha_entries, read_x12, swift_records
 from specflow.sources.xml_records import read_xml
 from specflow.spec import FileSpec, UnsupportedFormatError, require_valid
 
@@ -51,7 +51,7 @@ def _fixed(spark, paths, spec, glob):
 
 
 def _json(spark, paths, spec, glob):
-    return parse_json_lines(_data_lines(spark, paths, spec, glob), spec)
+    return read_json(spark, paths, spec, glob)
 
 
 def _nacha(spark, paths, spec, glob):
@@ -65,9 +65,7 @@ def _swift(spark, paths, spec, glob):
 
 def _x12(spark, paths, spec, glob):
     require_valid(spec)
-    elements, segments = x12_separators(read_lines(spark, paths, spec.encoding, glob=glob))
-    lines = read_lines(spark, paths, spec.encoding, segments, glob)
-    return x12_records(number_lines(lines)[0], spec, elements)
+    return read_x12(spark, paths, spec, glob)
 
 
 def _xml(spark, paths, spec, glob):

@@ -2,30 +2,47 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specflow.functions import text
-from specflow.operators.coerce import coerce
-from specflow.operators.records import ISSUES, collected, fcol, pinned, start_columns
+from specflow.operators.coerce import CODE_BITS, Coerced, Extra, coerce
+from specflow.operators.records import (
+    FLAGS, ISSUES, bitmaps, case_of, code_at, collected, fcol, flags, pinned, quoted, start_columns,
+)
 from specflow.spec import FileSpec, require_valid
 
 
+#: stands for a delimiter outside quotes; no character by the standard, so lines with it are rare
+MARK = "\ufdd0"
+
+
 def split_quoted(line: Column, delimiter: str) -> Column:
     """Split outside quotes; quotes toggle and vanish, a doubled quote leaves nothing.
 
-    Pieces between quotes alternate outside/inside. The first cell of a piece continues the
-    last cell so far; a piece inside quotes is one cell, a piece outside is split.
+    Pieces between quotes alternate outside/inside. Delimiters of the outer pieces become a mark, the
+    pieces are joined and cut at the marks: each character is copied a fixed number of times.
     """
     pattern = r"\Q" + delimiter + r"\E"
-    pieces = F.transform(F.split(line, '"', -1), lambda piece, i: F.when(i % 2 == 1, F.array(piece)).otherwise(F.split(piece, pattern, -1)))
+    pieces = F.split(line, '"', -1)
+    marked = F.transform(pieces, lambda piece, i: F.when(i % 2 == 1, piece).otherwise(F.replace(piece, F.lit(delimiter), F.lit(MARK))))
+    cells = F.split(F.array_join(marked, ""), MARK, -1)
+    quotes = F.contains(line, F.lit('"'))
+    return F.when(quotes & F.contains(line, F.lit(MARK)), _glued(pieces, pattern)).when(quotes, cells).otherwise(F.split(line, pattern, -1))
+
+
+def _glued(pieces: Column, pattern: str) -> Column:
+    """The same without a mark: the first cell of a piece continues the last cell so far."""
+    parts = F.transform(pieces, lambda piece, i: F.when(i % 2 == 1, F.array(piece)).otherwise(F.split(piece, pattern, -1)))
 
     def glue(cells: Column, more: Column) -> Column:
         seam = F.concat(F.element_at(cells, -1), F.element_at(more, 1))
         return F.concat(F.slice(cells, F.lit(1), F.size(cells) - 1), F.array(seam), F.slice(more, F.lit(2), F.size(more)))
 
-    glued = F.aggregate(pieces, F.array(F.lit("")), glue)
-    return F.when(F.contains(line, F.lit('"')), glued).otherwise(F.split(line, pattern, -1))
+    return F.aggregate(parts, F.array(F.lit("")), glue)
 
 
 def header_names(header: Column, delimiter: str) -> Column:
@@ -89,19 +106,31 @@ def parse_delimited(
     return finish(cells, spec, made, keep)
 
 
-def finish(cells: DataFrame, spec: FileSpec, made: list, keep: tuple[str, ...] = ()) -> DataFrame:
+def finish(cells: DataFrame, spec: FileSpec, made: list[Coerced], keep: tuple[str, ...] = (), more: tuple[Extra, ...] = ()) -> DataFrame:
+    """The record frame. What is wrong with a record is a bitmap first; its issues are built from that
+    for the rows and by the plans that read them. ``more`` are issues of the record as a whole."""
     declared = [f.name for f in spec.fields]
     extra = [n for n in spec.record_fields if n not in declared]
+    codes = [c.code for c in made] + [F.when(e.bad, 1).otherwise(0) for e in more]
+    maps = bitmaps(codes, CODE_BITS)
     records = cells.select(
         "_file",
         "_seq",
         "_raw",
         *[c.value.alias(fcol(n)) for c, n in zip(made, declared)],
         *[F.lit(None).cast("string").alias(fcol(n)) for n in extra],
-        collected([c.error for c in made], ISSUES).alias("_errors"),
-        *start_columns(),
+        *[m.alias(f"_code{k}") for k, m in enumerate(maps)],
         F.create_map().cast("map<string,string>").alias("_metadata"),
         *keep,
     )
-    return pinned(records, [*[fcol(n) for n in declared], "_errors"])
-
+    names = [f"_code{k}" for k in range(len(maps))]
+    once = pinned(records, [*[fcol(n) for n in declared], *names])
+    issues = [case_of(code_at(names, k, CODE_BITS), c.issues) for k, c in enumerate(made)]
+    issues += [case_of(code_at(names, len(made) + k, CODE_BITS), {1: e.issue}) for k, e in enumerate(more)]
+    wrong = reduce(or_, [F.col(n) != 0 for n in names], F.lit(False))
+    fatal = reduce(or_, [code_at(names, len(made) + k, CODE_BITS) != 0 for k, e in enumerate(more) if e.fatal], F.lit(False))
+    return once.select(
+        "_file", "_seq", "_raw", *[quoted(fcol(n)) for n in [*declared, *extra]],
+        collected(issues[len(made):] + issues[: len(made)], ISSUES).alias("_errors"), *start_columns(), "_metadata",
+        flags(wrong, fatal).alias(FLAGS), *keep,
+    )

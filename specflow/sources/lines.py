@@ -12,6 +12,10 @@ split, or lies outside them, stops the job.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,16 +34,52 @@ def pin_splits(spark: SparkSession) -> None:
         spark.conf.set(PIN, str(cores))
 
 
-def charset_of(spark: SparkSession, paths: list[str], encoding: str) -> str | None:
-    """Canonical name, None for UTF-8 and ASCII; UTF-16 becomes the byte order that the first file's mark tells."""
+def loadable(file_path: str) -> str:
+    """A path to load from a ``_metadata.file_path``, which is spelled as a URI; nothing in it is a pattern."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(file_path))
+
+
+def file_heads(spark: SparkSession, paths: list[str], line_sep: str, glob: str | None = None, least: int = 0) -> DataFrame:
+    """_file and _head: the text before the first separator, or more where that has under ``least`` characters.
+
+    The bytes are not decoded.
+    """
+    lines = text_lines(spark, paths, {"lineSep": line_sep}, glob).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), "value")
+    early = _numbered(lines).filter("_split = 0").select("_file", "value", "_id")
+    first = stored(early.groupBy("_file").agg(F.min_by("value", "_id").alias("_head"), F.min("_id").alias("_first")), "heads")
+    short = first.filter(F.length("_head") < least)
+    if not least or short.isEmpty():
+        return first.drop("_first")
+    # every line takes a separator at least
+    lines_needed = -(-least // len(line_sep))
+    near = early.join(short.select("_file", "_first"), "_file").filter(F.col("_id") - F.col("_first") <= lines_needed)
+    joined = near.groupBy("_file").agg(F.array_sort(F.collect_list(F.struct("_id", "value"))).alias("_rows"))
+    longer = joined.select("_file", F.array_join(F.transform("_rows", lambda r: r["value"]), line_sep).alias("_head"))
+    return first.filter(F.length("_head") >= least).drop("_first").unionByName(longer)
+
+
+def files_by(facts: DataFrame, *columns: str) -> dict[tuple, list[str]]:
+    """Loadable paths of the files by the values of some columns. The driver lists the files to read them anyhow."""
+    found: dict[tuple, list[str]] = {}
+    for row in facts.select("_file", *columns).toLocalIterator():
+        found.setdefault(tuple(row[c] for c in columns), []).append(loadable(row["_file"]))
+    return found
+
+
+def charset_of(encoding: str) -> str | None:
+    """Canonical name, None for UTF-8 and ASCII."""
     name = encoding.upper().replace("_", "-")
     if name in ("UTF-8", "UTF8", "US-ASCII", "ASCII"):
         return None
-    if name in ("UTF-16", "UTF16"):
-        first = spark.read.option("recursiveFileLookup", "true").text(paths).limit(1)
-        mark = first.select(F.hex(F.substring(F.col("value").cast("binary"), 1, 2)).alias("mark")).first()
-        return "UTF-16LE" if mark and mark["mark"] == "FFFE" else "UTF-16BE"
-    return {"LATIN1": "ISO-8859-1", "ISO8859-1": "ISO-8859-1", "LATIN-1": "ISO-8859-1"}.get(name, name)
+    return {"LATIN1": "ISO-8859-1", "ISO8859-1": "ISO-8859-1", "LATIN-1": "ISO-8859-1", "UTF16": "UTF-16"}.get(name, name)
+
+
+def by_byte_order(spark: SparkSession, paths: list[str], glob: str | None) -> dict[str, list[str]]:
+    """Files of UTF-16 by the order that the mark at the start of each tells; without one the high byte is first."""
+    mark = F.hex(F.substring(F.col("_head").cast("binary"), 1, 2))
+    order = F.when(mark == "FFFE", "UTF-16LE").otherwise("UTF-16BE")
+    return {k[0]: v for k, v in files_by(file_heads(spark, paths, "\n", glob).withColumn("_order", order), "_order").items()}
 
 
 def decoded(lines: DataFrame, charset: str) -> DataFrame:
@@ -60,33 +100,56 @@ def decoded(lines: DataFrame, charset: str) -> DataFrame:
 
 def read_lines(
     spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8", line_sep: str | None = None,
-    glob: str | None = None,
+    glob: str | None = None, sizes: bool = False,
 ) -> DataFrame:
-    """Columns: _file, _split, _raw, _id. Lines are cut as bytes, then decoded; blank lines are lines."""
+    """Columns: _file, _split, _raw, _id. Lines are cut as bytes, then decoded; blank lines are lines.
+
+    With ``sizes`` also _bytes of the line and _file_bytes.
+    """
     pin_splits(spark)
     paths = [paths] if isinstance(paths, str) else list(paths)
+    charset = charset_of(encoding)
+    if charset != "UTF-16":
+        return _numbered(_lines(spark, paths, charset, line_sep, glob, sizes))
+    parts = [_lines(spark, own, order, line_sep, None, sizes) for order, own in sorted(by_byte_order(spark, paths, glob).items())]
+    if not parts:
+        parts = [_lines(spark, paths, "UTF-16BE", line_sep, glob, sizes)]
+    return _numbered(reduce(DataFrame.unionByName, parts))
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("_id", F.monotonically_increasing_id())
+
+
+def text_lines(spark: SparkSession, paths: list[str], options: dict[str, str], glob: str | None) -> DataFrame:
+    """The text source over all files below the paths."""
     # folder names are not data here, even when they look like partitions
-    options = {"recursiveFileLookup": "true"}
-    if glob:
-        options["pathGlobFilter"] = glob
-    charset = charset_of(spark, paths, encoding)
+    options = {**options, "recursiveFileLookup": "true", **({"pathGlobFilter": glob} if glob else {})}
+    return spark.read.format("text").options(**options).load(paths)
+
+
+def _lines(spark: SparkSession, paths: list[str], charset: str | None, line_sep: str | None, glob: str | None, sizes: bool) -> DataFrame:
+    options = {}
     wide = charset is not None and charset.startswith(("UTF-16", "UTF-32"))
     if line_sep and line_sep != "\n" or wide:
         options["lineSep"] = line_sep or "\n"
     if charset:
         # the separator's bytes; the text itself is decoded below
         options["encoding"] = charset
-    lines = spark.read.format("text").options(**options).load(paths).select(
-        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split")
+    asked = [F.octet_length("value").cast("bigint").alias("_bytes"), F.col("_metadata.file_size").alias("_file_bytes")] if sizes else []
+    lines = text_lines(spark, paths, options, glob).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), *asked
     )
     if charset:
         lines = decoded(lines, charset)
-    return lines.select("_file", "_split", F.col("value").alias("_raw")).withColumn("_id", F.monotonically_increasing_id())
+    return lines.select("_file", "_split", F.col("value").alias("_raw"), *(["_bytes", "_file_bytes"] if sizes else []))
 
 
-def split_table(lines: DataFrame, first_line: bool = False) -> DataFrame:
+def split_table(lines: DataFrame, first_line: bool = False, more: dict[str, Column] | None = None) -> DataFrame:
     """One row per file split: first id, lines, filled lines and those before the split; its first line on demand.
 
+    ``more`` are further figures of a split, found in the same scan.
+
     ``_ffirst`` is the id that the split's first filled line gets when blank lines are dropped
     before ids are given: ids restart with each task, whose number is in the upper bits.
     """
@@ -97,6 +160,7 @@ def split_table(lines: DataFrame, first_line: bool = False) -> DataFrame:
     ]
     if first_line:
         figures.append(F.min_by("_raw", "_id").alias("_line0"))
+    figures += [figure.alias(name) for name, figure in (more or {}).items()]
     counted = lines.groupBy("_file", "_split").agg(*figures)
     task = F.shiftright("_first", 33)
     of_file = W.partitionBy("_file").orderBy("_split").rowsBetween(W.unboundedPreceding, -1)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specflow.functions import text
-from specflow.operators.coerce import coerce
+from specflow.operators.coerce import Extra, coerce
 from specflow.operators.ordered import running_sum, running_sums
+from specflow.operators.records import issue, literal
 from specflow.sources.delimited import finish
 from specflow.sources.fixed_width import parse_fixed_width
+from specflow.sources.lines import file_heads, files_by, number_lines, read_lines
 from specflow.spec import FieldSpec, FileSpec
 
 # Record type codes in the first character of a line.
@@ -85,16 +89,44 @@ def swift_records(messages: DataFrame, spec: FileSpec) -> DataFrame:
     return finish(cells, spec, [coerce(f, f"_r{k}", False) for k, f in enumerate(spec.fields)])
 
 
-def x12_separators(lines: DataFrame) -> tuple[str, str]:
-    """(element separator, segment terminator) as the first interchange header found spells them.
+#: stands in every X12 file at short intervals, so text cut at it comes in short rows
+TRANSACTION = "ST"
+NO_HEADER = "No interchange header of full length at the start of the file"
+
+
+def x12_dialects(spark: SparkSession, paths: list[str], glob: str | None = None) -> DataFrame:
+    """_file, _element and _segment: the separators as each file's interchange header spells them, null without one.
 
     The header has fixed columns: its fourth character parts elements, its 106th ends segments.
     """
-    head = lines.filter(F.startswith("_raw", F.lit("ISA")) & (F.length("_raw") >= 105)).select(F.substring("_raw", 1, 106).alias("isa")).first()
-    if head is None:
-        raise ValueError("no interchange header of full length was found")
-    isa = head["isa"]
-    return isa[3], isa[105] if len(isa) > 105 else "\n"
+    heads = file_heads(spark, paths, TRANSACTION, glob, least=106)
+    isa = F.regexp_replace("_head", "^\ufeff", "")
+    whole = F.startswith(isa, F.lit("ISA")) & (F.length(isa) >= 105)
+    end = F.when(F.length(isa) > 105, F.substring(isa, 106, 1)).otherwise("\n")
+    return heads.select("_file", F.when(whole, F.substring(isa, 4, 1)).alias("_element"), F.when(whole, end).alias("_segment"))
+
+
+def read_x12(spark: SparkSession, paths: list[str], spec: FileSpec, glob: str | None = None) -> DataFrame:
+    """Records of files that may each have separators of their own; a file without a header gives one record with an error."""
+    dialects = files_by(x12_dialects(spark, paths, glob), "_element", "_segment")
+    headless = dialects.pop((None, None), [])
+    found = []
+    for (element, segment), own in sorted(dialects.items()):
+        alone = len(dialects) == 1 and not headless
+        lines = read_lines(spark, paths if alone else own, spec.encoding, segment, glob if alone else None)
+        found.append(x12_records(number_lines(lines)[0], spec, element))
+    if headless or not found:
+        found.append(_headless(spark, headless, spec))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _headless(spark: SparkSession, files: list[str], spec: FileSpec) -> DataFrame:
+    """A record without values for each file."""
+    none = F.lit(None).cast("string")
+    rows = spark.createDataFrame([(f,) for f in files], "_file string")
+    cells = rows.select("_file", F.lit(0).cast("bigint").alias("_seq"), none.alias("_raw"), *[none.alias(f"_r{k}") for k in range(len(spec.fields))])
+    made = [coerce(f, f"_r{k}", False) for k, f in enumerate(spec.fields)]
+    return finish(cells, spec, made, more=(Extra(F.lit(True), issue("interchange", literal(NO_HEADER), "FATAL"), fatal=True),))
 
 
 def x12_records(lines: DataFrame, spec: FileSpec, element_sep: str) -> DataFrame:

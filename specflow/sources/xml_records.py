@@ -1,9 +1,14 @@
 """XML records: record-sized chunks, one parse per record, fields by path.
 
 Files are read as text with the record's closing tag as line separator, so large
-documents split across tasks and no task holds a whole document; comments must not hold that tag. Records that are all empty
+documents split across tasks and no task holds a whole document. Records that are all empty
 elements have no closing tag; ``"emptyRecords": "true"`` in the spec's metadata cuts at ``/>``.
 
+That tag may also stand in a comment, in character data or in an attribute. A chunk is therefore a
+transition between the states that markup can be in; composed in parallel over a file they tell
+the state each chunk begins in, and chunks that begin amid markup are glued to those before them.
+Where no chunk ends amid markup, which the first scan counts, nothing has to be composed.
+
 The chunks are cut again where a record or a header's block opens. Running sums of what each
 piece opens and closes tell the path that every record stands on and the block it belongs to.
 """
@@ -15,9 +20,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specflow.operators.coerce import coerce_xml
-from specflow.operators.records import found, issue, literal, quoted
-from specflow.operators.ordered import row_numbers, running_sums
+from specflow.operators.coerce import Extra, coerce_xml
+from specflow.operators.records import issue, literal, quoted
+from specflow.operators.ordered import carried_states, row_numbers, running_sum, running_sums
 from specflow.session import stored
 from specflow.sources.delimited import finish
 from specflow.sources.lines import attach, place, read_lines, split_table
@@ -188,21 +193,70 @@ def parse_xml_text(records: DataFrame, spec: FileSpec) -> DataFrame:
         *[values_by_field[f.name].alias(f"_r{k}") for k, f in enumerate(spec.fields)],
     )
     made = [coerce_xml(f, f"_r{k}") for k, f in enumerate(spec.fields)]
-    if schema_file and made:
-        broken = found(F.col("_broken"), issue(tag, literal("Record does not match the schema"), "ERROR"))
-        made[0].error = F.concat(broken, made[0].error)
-    return finish(cells, spec, made)
+    broken = (Extra(F.col("_broken"), issue(tag, literal("Record does not match the schema"), "ERROR")),) if schema_file else ()
+    return finish(cells, spec, made, more=broken)
+
+
+# The rest of a tag behind its first character or behind an attribute; a quoted value may hold '>'.
+_INSIDE = r"""[^<>"']*+(?:"[^"]*+"[^<>"']*+|'[^']*+'[^<>"']*+)*+"""
+OPEN, EMPTY = rf"<[A-Za-z_]{_INSIDE}>", rf"<[A-Za-z_]{_INSIDE}(?<=/)>"
+# What holds no elements of the document, by its beginning and its end.
+COMMENT, DATA, INSTRUCTION = r"<!--.*?-->", r"<!\[CDATA\[.*?\]\]>", r"<\?.*?\?>"
+DOCTYPE = r"<!DOCTYPE[^\[>]*+(?:\[.*?\]\s*)?>"
+#: states of a document's text: between tags, in a comment, character data, an instruction, a document type, a quoted value
+TEXT, IN_COMMENT, IN_DATA, IN_INSTRUCTION, IN_DOCTYPE, IN_DOUBLE, IN_SINGLE = range(7)
+STATES = IN_SINGLE + 1
+#: stands for '<' in character data; XML does not allow it in a document
+MASK = "\u0001"
+
+
+# How the markup that a text may begin amid ends.
+CLOSING = {IN_COMMENT: "-->", IN_DATA: "]]>", IN_INSTRUCTION: "?>"}
+DOCTYPE_END = r"(?s)^.*?\]\s*>(.*)$"
+
 
+def _ends(text: Column, state: int) -> Column:
+    """Whether the markup that the text begins amid ends in it."""
+    return text.rlike(DOCTYPE_END) if state == IN_DOCTYPE else F.contains(text, F.lit(CLOSING[state]))
 
-# Fixed value: what holds no elements of the document.
-ASIDE = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![A-Z].*?>"
-OPEN, EMPTY = r"<[A-Za-z_][^<>]*>", r"<[A-Za-z_][^<>]*/>"
+
+def _rest(text: Column, state: int) -> Column:
+    """What follows it, as a text that begins between tags."""
+    if state == IN_DOCTYPE:
+        return F.regexp_extract(text, DOCTYPE_END, 1)
+    return F.substr(text, F.instr(text, CLOSING[state]) + len(CLOSING[state]))
+
+
+def _ends_in(text: Column) -> Column:
+    """State after a text that begins between tags: that of the markup which is left open."""
+    # possessive, so the engine neither goes back nor goes deeper
+    left = F.regexp_replace(text, rf"(?s)^(?:[^<]++|{COMMENT}|{DATA}|{INSTRUCTION}|{DOCTYPE}|</?[A-Za-z_:]{_INSIDE}>)*+", "")
+    value = rf"""^</?[A-Za-z_:]{_INSIDE}"""
+    return (
+        F.when(F.startswith(left, F.lit("<!--")), IN_COMMENT).when(F.startswith(left, F.lit("<![CDATA[")), IN_DATA)
+        .when(F.startswith(left, F.lit("<?")), IN_INSTRUCTION).when(F.startswith(left, F.lit("<!DOCTYPE")), IN_DOCTYPE)
+        .when(left.rlike(value + '"'), IN_DOUBLE).when(left.rlike(value + "'"), IN_SINGLE).otherwise(TEXT)
+    ).cast("tinyint")
+
+
+def transitions(text: Column) -> Column:
+    """For each state before a text the state after it."""
+    amid = [
+        F.when(_ends(text, s), _ends_in(_rest(text, s))).otherwise(F.lit(s).cast("tinyint"))
+        for s in (IN_COMMENT, IN_DATA, IN_INSTRUCTION, IN_DOCTYPE)
+    ]
+    quoted_value = [_ends_in(F.concat(F.lit(opening), text)) for opening in ('<a b="', "<a b='")]
+    return F.array(_ends_in(text), *amid, *quoted_value)
 
 
 def opens_at(tag: str) -> str:
     return rf"^<{re.escape(tag)}[\s/>]"
 
 
+def _empty(tag: str) -> str:
+    return rf"<{re.escape(tag)}(?:\s{_INSIDE}|/)(?<=/)>"
+
+
 def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("bigint")
 
@@ -212,32 +266,61 @@ def _change(text: Column, tag: str | None = None) -> Column:
     if tag is None:
         return _count(text, OPEN) - _count(text, EMPTY) - _count(text, "</")
     name = re.escape(tag)
-    return _count(text, rf"<{name}(\s[^<>]*)?>") - _count(text, rf"<{name}(\s[^<>]*)?/>") - _count(text, rf"</{name}\s*>")
+    return _count(text, rf"<{name}(?:\s{_INSIDE})?>") - _count(text, rf"<{name}(?:\s{_INSIDE})?(?<=/)>") - _count(text, rf"</{name}\s*>")
 
 
-def pieces_of(spark: SparkSession, paths: str | list[str], spec: FileSpec, blocks: list[str], glob: str | None) -> DataFrame:
-    """_file, _nth (from 0 per file) and _text: the document cut where a record or a block opens.
+def _masked(text: Column) -> Column:
+    """Without comments and the like, and with no '<' in character data."""
+    kept = F.regexp_replace(text, rf"(?s)({DATA})|{COMMENT}|{INSTRUCTION}|{DOCTYPE}", "$1")
+    parts = F.split(kept, r"(?=<!\[CDATA\[)|(?<=\]\]>)", -1)
+    hidden = F.transform(parts, lambda p: F.when(
+        F.startswith(p, F.lit("<![CDATA[")), F.replace(p, F.lit("<"), F.lit(MASK))).otherwise(p))
+    return F.when(F.contains(text, F.lit("<!")) | F.contains(text, F.lit("<?")), F.array_join(hidden, "")).otherwise(text)
 
-    A piece that starts with a record holds it to its end; only an empty record is followed by other text.
-    """
-    tag = record_tag(spec)
-    close = "/>" if spec.metadata.get("emptyRecords") == "true" else f"</{tag}>"
-    chunks = read_lines(spark, paths, spec.encoding, line_sep=close, glob=glob)
-    names = "|".join(re.escape(t) for t in dict.fromkeys([tag, *blocks]))
-    cut = F.split(F.regexp_replace("_raw", ASIDE_BUT_CDATA, ""), rf"(?=<(?:{names})[\s/>])", -1)
-    pieces = chunks.select("_file", "_split", F.posexplode(cut).alias("_at", "_text"), (F.size(cut) - 1).alias("_last"))
+
+def _unmasked(text: Column) -> Column:
+    return F.replace(text, F.lit(MASK), F.lit("<"))
+
+
+def chunks_of(spark: SparkSession, paths: str | list[str], spec: FileSpec, glob: str | None) -> DataFrame:
+    """_file, _nth and _text: documents cut behind closing tags of records, and nowhere amid other markup."""
+    close = "/>" if spec.metadata.get("emptyRecords") == "true" else f"</{record_tag(spec)}>"
+    lines = read_lines(spark, paths, spec.encoding, line_sep=close, glob=glob)
     # every chunk lost the separator at its end; a file's tail gets one too many, which closes nothing
-    ends = F.col("_at") == F.col("_last")
-    whole = F.when(ends, F.concat("_text", F.lit(close))).otherwise(F.col("_text"))
-    pieces = pieces.select("_file", "_split", whole.alias("_raw"))
-    pieces = pieces.withColumn("_id", F.monotonically_increasing_id())
-    facts = split_table(pieces)
-    numbered = attach(pieces, facts, "_first", "_lines", "_offset")
-    return numbered.select("_file", place("_offset", "_id", "_first", "_lines").alias("_nth"), F.col("_raw").alias("_text"))
+    lines = lines.withColumn("_raw", F.concat("_raw", F.lit(close)))
+    facts = split_table(lines, more={"_amid": F.max(_ends_in(F.col("_raw")) != TEXT)})
+    chunks = attach(lines, facts, "_first", "_lines", "_offset")
+    chunks = chunks.select("_file", place("_offset", "_id", "_first", "_lines").alias("_nth"), F.col("_raw").alias("_text"))
+    if facts.filter("_amid").isEmpty():
+        return chunks
+    tables = stored(chunks.select("_file", "_nth", transitions(F.col("_text")).alias("_table")), "xml-tables")
+    begins = carried_states(tables, ("_file",), "_nth", "_table", STATES, "_state")
+    whole = running_sum(begins, ("_file",), ("_nth",), (F.col("_state") == TEXT).cast("bigint"), "_whole")
+    whole = stored(whole.select("_file", "_nth", "_state", "_whole"), "xml-whole")
+    glued = whole.groupBy("_file", "_whole").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    glued = stored(glued.select("_file", "_whole"), "xml-glued")
+    told = chunks.join(whole, ["_file", "_nth"])
+    single = told.join(glued, ["_file", "_whole"], "left_anti").select("_file", F.col("_whole").alias("_nth"), "_text")
+    parts = told.join(glued, ["_file", "_whole"], "left_semi")
+    # what a comment or the like holds between its ends need not be carried along
+    for state in (IN_COMMENT, IN_INSTRUCTION, IN_DOCTYPE):
+        parts = parts.filter((F.col("_state") != state) | _ends(F.col("_text"), state))
+    parts = parts.select("_file", "_whole", F.struct("_nth", "_text").alias("_part"))
+    joined = parts.groupBy("_file", "_whole").agg(F.array_sort(F.collect_list("_part")).alias("_parts"))
+    text = F.array_join(F.transform("_parts", lambda p: p["_text"]), "")
+    return single.unionByName(joined.select("_file", F.col("_whole").alias("_nth"), text.alias("_text")))
+
 
+def pieces_of(spark: SparkSession, paths: str | list[str], spec: FileSpec, blocks: list[str], glob: str | None) -> DataFrame:
+    """_file, _nth (rising per file) and _text: the document cut where a record or a block opens.
 
-# Comments may hold tags that are none; character data may too, but belongs to the values.
-ASIDE_BUT_CDATA = r"(?s)<!--.*?-->|<\?.*?\?>|<![A-Z].*?>"
+    A piece that starts with a record holds it to its end; only an empty record is followed by other text.
+    '<' in character data is masked.
+    """
+    names = "|".join(re.escape(t) for t in dict.fromkeys([record_tag(spec), *blocks]))
+    cut = F.split(_masked(F.col("_text")), rf"(?=<(?:{names})[\s/>])", -1)
+    pieces = chunks_of(spark, paths, spec, glob).select("_file", "_nth", F.posexplode(cut).alias("_at", "_text"))
+    return pieces.select("_file", (F.shiftleft("_nth", 32) + F.col("_at")).alias("_nth"), "_text")
 
 
 def read_xml(spark: SparkSession, paths: str | list[str], spec: FileSpec, glob: str | None = None) -> DataFrame:
@@ -252,9 +335,10 @@ def read_xml(spark: SparkSession, paths: str | list[str], spec: FileSpec, glob:
     heads = {header_tag(spec, f): block_tag(spec, f) for f in outer}
     blocks = sorted(set(heads.values()))
     pieces = pieces_of(spark, paths, spec, blocks, glob)
-    bare = F.regexp_replace("_text", ASIDE, "")
+    bare = F.col("_text")
     starts = F.col("_text").rlike(opens_at(tag))
-    empty = F.col("_text").rlike(rf"^<{re.escape(tag)}(\s[^<>]*)?/>")
+    alone = _empty(tag)
+    empty = F.col("_text").rlike(f"^{alone}")
     changes = {"_depth": _change(bare), **{f"_in_{a}": _change(bare, a) for a in sorted(set(above))}}
     opened = {f"_no_{b}": F.col("_text").rlike(opens_at(b)).cast("bigint") for b in blocks}
     # narrow rows go through the running sums; texts are joined back by their number
@@ -270,13 +354,13 @@ def read_xml(spark: SparkSession, paths: str | list[str], spec: FileSpec, glob:
     state = stored(sums.select("_file", "_nth", (F.col("_starts") & on_path).alias("_record"), *opened), "xml")
     records = row_numbers(state.filter("_record"), ("_file",), ("_nth",), "_rn")
     records = records.select("_file", "_nth", (F.col("_rn") - 1).alias("_seq"), *opened)
-    element = F.when(empty, F.regexp_extract("_text", rf"^(<{re.escape(tag)}(?:\s[^<>]*)?/>)", 1)).otherwise(F.col("_text"))
-    numbered = records.join(pieces.select("_file", "_nth", element.alias("_xml")), ["_file", "_nth"])
-    outside = F.when(~starts, F.col("_text")).when(empty, F.regexp_replace("_text", rf"^<{re.escape(tag)}(\s[^<>]*)?/>", ""))
+    element = F.when(empty, F.regexp_extract("_text", f"^({alone})", 1)).otherwise(F.col("_text"))
+    numbered = records.join(pieces.select("_file", "_nth", _unmasked(element).alias("_xml")), ["_file", "_nth"])
+    outside = F.when(~starts, F.col("_text")).when(empty, F.regexp_replace("_text", f"^{alone}", ""))
     for block in blocks:
         own = [h for h, b in heads.items() if b == block]
         found = pieces.select("_file", "_nth", *[
-            F.nullif(F.regexp_extract(outside, rf"(?s)(<{re.escape(h)}(?:\s[^<>]*)?/>|<{re.escape(h)}[\s>].*?</{re.escape(h)}\s*>)", 1), F.lit("")).alias(h) for h in own
+            F.nullif(_unmasked(F.regexp_extract(outside, rf"(?s)({_empty(h)}|<{re.escape(h)}[\s>].*?</{re.escape(h)}\s*>)", 1)), F.lit("")).alias(h) for h in own
         ]).filter(" or ".join(f"`{h}` is not null" for h in own))
         of_block = found.join(state.select("_file", "_nth", f"_no_{block}"), ["_file", "_nth"]).groupBy("_file", f"_no_{block}")
         firsts = stored(of_block.agg(*[

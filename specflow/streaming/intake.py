@@ -1,75 +1,40 @@
-"""File streams into the record run, with a ledger that makes intake exactly-once."""
+"""File streams into the record run."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specflow.operators import ledger
+from specflow.operators.route import passing, quarantined, summarise
 from specflow.plans.inbound import processed
+from specflow.session import checkpointed
 from specflow.sinks.envelope import envelopes
-from specflow.operators.route import passing, quarantined, summarise
-from specflow.sources.delimited import parse_delimited
-from specflow.sources.fixed_width import parse_fixed_width
-from specflow.sources.json_records import parse_json_lines
-from specflow.sources.lines import number_lines
-from specflow.session import checkpointed, stored
-from specflow.spec import FileSpec, UnsupportedFormatError
+from specflow.sources import read_records
+from specflow.sources.lines import files_by
+from specflow.spec import FileSpec
 
-PARSERS: dict[str, Callable] = {
-    "CSV": parse_delimited, "DELIMITED": parse_delimited, "FIXED_WIDTH": parse_fixed_width, "JSON": parse_json_lines,
-}
 
+def batch_records(batch: DataFrame, spec: FileSpec) -> DataFrame | None:
+    """Records of the files of a micro-batch, by the reader of the spec's format, charset and separator.
 
-def parsed_batch(lines: DataFrame, spec: FileSpec) -> DataFrame:
-    """Records of one micro-batch. A file arrives whole in one batch, so its numbering is final."""
-    if spec.format not in PARSERS:
-        raise UnsupportedFormatError(f"no line parser for format {spec.format}")
-    # the batch is read from its files again for each use; fixing it first keeps the ids stable
-    held = checkpointed(lines.withColumn("_id", F.monotonically_increasing_id()))
-    data, _ = number_lines(held, spec.skip_lines_count, spec.has_header)
-    return PARSERS[spec.format](data, spec)
+    A batch has a bounded number of files, and each is in one batch whole, so its numbering is final.
+    """
+    files = files_by(batch.select("_file").distinct().withColumn("_all", F.lit(1)), "_all").get((1,), [])
+    return read_records(batch.sparkSession, files, spec) if files else None
 
 
 def event_writer(spec: FileSpec, out: str, run_id: str, skip_invalid: bool = False) -> Callable[[DataFrame, int], None]:
-    """Per batch: events, quarantine rows and file summaries, each overwriting its own folder."""
+    """Per batch of ``sources.poll_files``: events, quarantine rows and file summaries, each overwriting its own folder."""
 
     def each(batch: DataFrame, number: int) -> None:
-        done = checkpointed(processed(parsed_batch(batch, spec), spec, skip_invalid))
+        records = batch_records(batch, spec)
+        if records is None:
+            return
+        done = checkpointed(processed(records, spec, skip_invalid))
         envelopes(passing(done), spec, run_id).write.mode("overwrite").parquet(f"{out}/events/batch_no={number}")
         quarantined(done).write.mode("overwrite").parquet(f"{out}/quarantine/batch_no={number}")
         summarise(done, ("_file",)).write.mode("overwrite").parquet(f"{out}/summary/batch_no={number}")
 
     return each
-
-
-BOOK = "integration_id bigint, remote_file_name string, n_lines bigint, processing_status string, stream string, batch_no int"
-
-
-def read_book(spark: SparkSession, book: str) -> DataFrame:
-    """All rows of a ledger, whichever streams wrote them."""
-    return spark.read.schema(BOOK).option("basePath", book).parquet(f"{book}/stream=*/batch_no=*")
-
-
-def ledger_writer(book: str, integration: int, stream: str) -> Callable[[DataFrame, int], None]:
-    """Per batch: a ledger row for each file that no other batch of any stream has in the ledger.
-
-    Folders belong to a stream, named for its checkpoint, and a batch, so streams with their own
-    checkpoints do not overwrite each other and a batch that runs again replaces its own rows.
-    Streams of one book are expected to take turns.
-    """
-
-    def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        listing = batch.groupBy(F.col("_file").alias("remote_file_name")).agg(F.count(F.lit(1)).alias("n_lines"))
-        listing = listing.withColumn("integration_id", F.lit(integration).cast("bigint"))
-        own = f"{book}/stream={stream}/batch_no={number}"
-        spark.createDataFrame([], BOOK).drop("stream", "batch_no").write.mode("ignore").parquet(own)
-        others = read_book(spark, book).filter(~((F.col("stream") == stream) & (F.col("batch_no") >= number)))
-        fresh = stored(ledger.unseen(listing, others), "ledger")
-        rows = fresh.select("integration_id", "remote_file_name", "n_lines", F.lit("PENDING").alias("processing_status"))
-        rows.write.mode("overwrite").parquet(own)
-
-    return each

@@ -8,12 +8,30 @@ from pyspark.sql import functions as F
 # Files per poll and pause between polls.
 FILES_PER_POLL = 20
 POLL_PAUSE = "60 seconds"
+# The columns of the two sources.
+SCHEMAS = {"text": "value string", "binaryFile": "path string, modificationTime timestamp, length bigint, content binary"}
 
 
 def poll_lines(spark: SparkSession, path: str, glob: str | None = None, files_per_poll: int = FILES_PER_POLL,
                after: str = "LEAVE", archive_dir: str | None = None) -> DataFrame:
     """Lines of files as they arrive. ``after`` is LEAVE, ARCHIVE (needs a folder) or DELETE."""
-    reader = spark.readStream.format("text").option("maxFilesPerTrigger", str(files_per_poll))
+    return _polled(spark, "text", path, glob, files_per_poll, after, archive_dir).select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.col("value").alias("_raw"),
+    )
+
+
+def poll_files(spark: SparkSession, path: str, glob: str | None = None, files_per_poll: int = FILES_PER_POLL,
+               after: str = "LEAVE", archive_dir: str | None = None) -> DataFrame:
+    """Files as they arrive, a row each with its ``_file``; what they hold is left to the reader of their format."""
+    return _polled(spark, "binaryFile", path, glob, files_per_poll, after, archive_dir).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("length").alias("_bytes")
+    )
+
+
+def _polled(spark: SparkSession, kind: str, path: str, glob: str | None, files_per_poll: int, after: str, archive_dir: str | None) -> DataFrame:
+    reader = spark.readStream.format(kind).schema(SCHEMAS[kind]).option("maxFilesPerTrigger", str(files_per_poll))
     reader = reader.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -23,11 +41,7 @@ def poll_lines(spark: SparkSession, path: str, glob: str | None = None, files_pe
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
     elif after == "DELETE":
         reader = reader.option("cleanSource", "delete")
-    return reader.load(path).select(
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_split"),
-        F.col("value").alias("_raw"),
-    )
+    return reader.load(path)
 
 
 def table_stream(spark: SparkSession, path: str, schema, files_per_poll: int | None = None) -> DataFrame:

@@ -8,74 +8,71 @@ from specflow.sources.delimited import parse_delimited, split_quoted
 from specflow.sources.lines import number_lines, read_lines
 from specflow.spec import SpecError, load_spec
 
-BASE = {"id": "base", "format": "CSV", "hasHeader": True, "fields": [
-    {"name": "id", "type": "INTEGER", "columnName": "id"},
-    {"name": "name", "columnName": "name"},
-    {"name": "amount", "type": "DECIMAL", "columnName": "amount"},
-    {"name": "email", "columnName": "email", "required": False}]}
+SHELF = {"id": "shelf", "format": "CSV", "hasHeader": True, "fields": [
+    {"name": "weight", "type": "DECIMAL", "columnName": "kg"},
+    {"name": "remark", "columnName": "remark", "required": False},
+    {"name": "crate", "type": "LONG", "columnName": "crate_no"},
+    {"name": "bay", "columnName": "bay"},
+    {"name": "sealed", "type": "BOOLEAN", "columnName": "sealed", "required": False}]}
 
 
 def read(spark, folder, text, **changes):
     with open(f"{folder}/in.csv", "w", encoding="utf-8") as out:
         out.write(text)
-    return read_records(spark, folder, load_spec({**BASE, **changes})).orderBy("_seq").collect()
+    return read_records(spark, folder, load_spec({**SHELF, **changes})).orderBy("_seq").collect()
 
 
-def test_well_formed(spark, folder):
-    rows = read(spark, folder, "id,name,amount,email\n1,John,100.50,j@x.com\n2,Jane,200.00,\n")
-    assert [(r.f_id, r.f_name, r.f_amount) for r in rows] == [("1", "John", "100.50"), ("2", "Jane", "200.00")]
-    assert all(not r._errors for r in rows)
-    assert [r._seq for r in rows] == [0, 1]
+def test_cells_go_to_the_fields_their_header_names(spark, folder):
+    rows = read(spark, folder, "bay,sealed,kg,remark,crate_no\nnorth 3,yes,12.750,,90071992547\nsouth,no,0.5,cracked,-4\n")
+    assert [(r.f_crate, r.f_bay, r.f_weight, r.f_sealed, r.f_remark) for r in rows] == [
+        ("90071992547", "north 3", "12.750", "true", None), ("-4", "south", "0.5", "false", "cracked")]
+    assert not any(r._errors for r in rows) and [r._seq for r in rows] == [0, 1]
 
 
-def test_quotes_and_blank_lines(spark, folder):
-    rows = read(spark, folder, 'id,name,amount,email\n1,"Smith, John",500.00,\n\n   \n2,"a""b",1,\n')
-    assert [r.f_name for r in rows] == ["Smith, John", "ab"]
+def test_quoted_delimiters_and_lines_without_content(spark, folder):
+    rows = read(spark, folder, 'kg,bay,crate_no,remark\n\t \n1,"lower, left, behind",8,"so ""called"" bay"\n\n2,"x"y"z",9,\n   ')
+    assert [(r.f_bay, r.f_remark) for r in rows] == [("lower, left, behind", "so called bay"), ("xyz", None)]
     assert [r._seq for r in rows] == [0, 1]
 
 
-def test_optional_column_may_be_absent(spark, folder):
-    rows = read(spark, folder, "id,name,amount\n1,John,1\n")
-    assert rows[0].f_email is None and not rows[0]._errors
-
-
-def test_required_column_absent(spark, folder):
-    rows = read(spark, folder, "id,amount\n1,3\n")
-    assert [(e.field, e.message) for e in rows[0]._errors] == [("name", "Column 'name' not found in header")]
+def test_headers_may_lack_what_is_optional_only(spark, folder):
+    row = read(spark, folder, "crate_no,kg\n5,1.5\n")[0]
+    assert row.f_remark is None and row.f_sealed is None
+    assert [(e.field, e.message) for e in row._errors] == [("bay", "Column 'bay' not found in header")]
 
 
-@pytest.mark.parametrize("delimiter", ["|", "\t", "||", ";"])
+@pytest.mark.parametrize("delimiter", ["|", "\t", "||", ";", "~^"])
 def test_delimiters(spark, folder, delimiter):
-    text = "\n".join(delimiter.join(r) for r in (["id", "name", "amount", "email"], ["7", "x", "1.0", "y"]))
-    rows = read(spark, folder, text, format="DELIMITED", delimiter=delimiter)
-    assert (rows[0].f_id, rows[0].f_email) == ("7", "y")
+    lines = [["remark", "crate_no", "bay", "kg"], ["a, b", "31", "east", "4"], ["", "32", "", "x"]]
+    rows = read(spark, folder, "\n".join(map(delimiter.join, lines)), format="DELIMITED", delimiter=delimiter)
+    assert [(r.f_crate, r.f_bay, r.f_remark, len(r._errors)) for r in rows] == [("31", "east", "a, b", 0), ("32", None, None, 2)]
 
 
-def test_errors(spark, folder):
-    rows = read(spark, folder, "id,name,amount,email\n1,,100.50,\nabc,John,1,\nabc,,not-a-number,\n")
-    assert [[e.field for e in r._errors] for r in rows] == [["name"], ["id"], ["id", "name", "amount"]]
-    assert rows[1]._errors[0].message == "Cannot convert 'id' value 'abc' to INTEGER"
-    assert rows[1].f_id == "abc"
+def test_every_bad_cell_is_told_and_kept(spark, folder):
+    rows = read(spark, folder, "crate_no,bay,kg,sealed\n12,west,heavy,\n1.5,,3,\n,,,perhaps\n")
+    assert [sorted(e.field for e in r._errors) for r in rows] == [["weight"], ["bay", "crate"], ["bay", "crate", "weight"]]
+    assert (rows[0].f_weight, rows[1].f_crate, rows[2].f_sealed) == ("heavy", "1.5", "false")
+    assert {e.message for e in rows[0]._errors} == {"Cannot convert 'weight' value 'heavy' to DECIMAL"}
+    assert {e.message for e in rows[1]._errors} == {"Cannot convert 'crate' value '1.5' to LONG", "Required field 'bay' is missing or empty"}
 
 
-def test_ten_thousand_rows_over_many_splits(spark, folder):
-    body = "".join(f"{i},n{i},{i}.5,\n" + ("\n" if i % 9 == 0 else "") for i in range(10_000))
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+def test_numbers_run_over_many_splits(spark, folder):
+    body = "".join(f"b{i},{i}.25,{i}\n" + (" \n" if i % 11 == 5 else "") for i in range(7_321))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
     try:
-        rows = read(spark, folder, "junk\n\nid,name,amount,email\n" + body, skipLinesCount=2)
+        rows = read(spark, folder, "made by hand\n\nbay,kg,crate_no\n" + body, skipLinesCount=2)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert len(rows) == 10_000
-    assert all(int(r.f_id) == r._seq for r in rows)
+    assert [int(r.f_crate) for r in rows] == [r._seq for r in rows] == list(range(7_321))
 
 
 def test_each_file_has_its_own_header_and_numbers(spark, folder):
-    for name, text in (("a", "id,name,amount\n1,x,1\n2,y,2\n"), ("b", "amount,NAME,Id\n5,z,9\n")):
+    for name, text in (("one", "kg,bay,crate_no\n1,p,70\n2,q,71\n"), ("two", "CRATE_NO, Bay ,kg\n72,r,3\n")):
         with open(f"{folder}/{name}.csv", "w") as out:
             out.write(text)
-    rows = read_records(spark, folder, load_spec(BASE)).collect()
-    assert sorted((r._file[-5:], r._seq, r.f_id, r.f_name) for r in rows) == [
-        ("a.csv", 0, "1", "x"), ("a.csv", 1, "2", "y"), ("b.csv", 0, "9", "z")]
+    rows = read_records(spark, folder, load_spec(SHELF)).collect()
+    assert sorted((r._file[-7:], r._seq, r.f_crate, r.f_bay) for r in rows) == [
+        ("one.csv", 0, "70", "p"), ("one.csv", 1, "71", "q"), ("two.csv", 0, "72", "r")]
 
 
 def numbered(spark, folder, skip=0):

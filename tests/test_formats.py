@@ -121,6 +121,29 @@ def test_x12_reader_takes_separators_from_the_header(spark, folder, element, ter
     assert not any(r._errors for r in rows)
 
 
+def test_x12_files_of_two_dialects_in_one_folder(spark, folder):
+    for name, element, terminator in (("a", "*", "~"), ("b", "|", "\n"), ("c d", "*", "'")):
+        segments = [ISA.replace("SENDER ", "EAST ST"), "ST*820*1", f"RMR*IV*{name}", "SE*2*1", "IEA*1*1"]
+        put(folder, f"{name}.edi", "".join(s.replace("*", element) + terminator for s in segments))
+    put(folder, "e.edi", "no header here")
+    spec = load_spec({"id": "e", "format": "EDI_X12", "metadata": {"recordSegment": "RMR"}, "fields": [{"name": "who", "path": "2"}, {"name": "no", "path": "transaction"}]})
+    rows = read_records(spark, folder, spec).collect()
+    assert sorted((r.f_who or "", r.f_no or "", [e.severity for e in r._errors if e.field == "interchange"]) for r in rows) == [
+        ("", "", ["FATAL"]), ("a", "1", []), ("b", "1", []), ("c d", "1", [])]
+    assert [r._file[-5:] for r in rows if r._errors] == ["e.edi"]
+
+
+def test_byte_orders_of_several_files(spark, folder):
+    text = "1;Ærø\n2;ਗਊ\n"
+    for name, order, mark in (("a", "utf-16-le", b"\xff\xfe"), ("b", "utf-16-be", b"\xfe\xff"), ("c", "utf-16-be", b""), ("d e", "utf-16-le", b"\xff\xfe")):
+        with open(f"{folder}/{name}", "wb") as out:
+            out.write(mark + text.encode(order))
+    spec = load_spec({"id": "c", "format": "DELIMITED", "delimiter": ";", "encoding": "UTF-16", "fields": [{"name": "i", "columnIndex": 0}, {"name": "v", "columnIndex": 1}]})
+    rows = read_records(spark, folder, spec).collect()
+    assert sorted((r._file.rsplit("/", 1)[1], r._seq, r.f_i, r.f_v) for r in rows) == [
+        (n, i, str(i + 1), v) for n in ("a", "b", "c", "d%20e") for i, v in enumerate(("Ærø", "ਗਊ"))]
+
+
 DOC = load_spec({"id": "d", "format": "XML", "metadata": {"recordXPath": "/doc/a/item"}, "fields": [
     {"name": "v", "path": "v"}, {"name": "own", "path": "/doc/a/label"}, {"name": "who", "path": "/doc/a/by/name"}, {"name": "top", "path": "/doc/title"}]})
 

@@ -1,5 +1,5 @@
 import random
-from datetime import datetime
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,19 +65,61 @@ def test_dedup_of_one_hot_checksum(spark):
     assert first_seen(frame, ["sum"], ["t", "id"]).count() == 201
 
 
-def test_windows_over_midnight_and_over_the_year():
-    night = cron.intervals("0 0 22 * * ?", "0 0 6 * * ?", datetime(2024, 5, 1), datetime(2024, 5, 2))
+def pairs(spark, *cron_and_range, **options):
+    rows = windows.instances(spark, *cron_and_range, **options).orderBy("instance_id").collect()
+    assert [r.instance_id for r in rows] == list(range(len(rows)))
+    return [(r.opened_at, r.closed_at) for r in rows]
+
+
+def test_windows_over_midnight_and_over_the_year(spark):
+    night = pairs(spark, "0 0 22 * * ?", "0 0 6 * * ?", datetime(2024, 5, 1), datetime(2024, 5, 2))
     assert [(o.day, o.hour, c.day, c.hour) for o, c in night] == [(30, 22, 1, 6), (1, 22, 2, 6)]
-    year = cron.intervals("0 0 0 1 JAN ?", "0 0 0 31 DEC ?", datetime(2024, 2, 1), datetime(2024, 3, 1))
+    year = pairs(spark, "0 0 0 1 JAN ?", "0 0 0 31 DEC ?", datetime(2024, 2, 1), datetime(2024, 3, 1))
     assert [(o.month, o.day, c.month, c.day) for o, c in year] == [(1, 1, 12, 31)]
-    leap = cron.intervals("0 0 0 29 FEB ?", "0 0 12 29 FEB ?", datetime(2025, 1, 1), datetime(2028, 3, 1))
+    leap = pairs(spark, "0 0 0 29 FEB ?", "0 0 12 29 FEB ?", datetime(2025, 1, 1), datetime(2028, 3, 1))
     assert [(o.year, c.hour) for o, c in leap] == [(2028, 12)]
-    assert cron.intervals("0 0 0 30 FEB ?", "0 0 1 * * ?", datetime(2024, 1, 1), datetime(2024, 12, 31)) == []
-    assert cron.intervals("0 0 8 * * ?", "0 0 0 30 FEB ?", datetime(2024, 1, 1), datetime(2024, 1, 3)) == []
-    capped = cron.intervals("0 0 22 * * ?", "0 0 6 * * ?", datetime(2024, 5, 1), datetime(2024, 5, 2), cap_minutes=60)
+    assert pairs(spark, "0 0 0 30 FEB ?", "0 0 1 * * ?", datetime(2024, 1, 1), datetime(2024, 12, 31)) == []
+    assert pairs(spark, "0 0 8 * * ?", "0 0 0 30 FEB ?", datetime(2024, 1, 1), datetime(2024, 1, 3)) == []
+    capped = pairs(spark, "0 0 22 * * ?", "0 0 6 * * ?", datetime(2024, 5, 1), datetime(2024, 5, 2), cap_minutes=60)
     assert [o.day for o, _ in capped] == [1]
 
 
+def plain_pairs(open_cron, close_cron, start, end, timezone):
+    """Every opening with the next closing, by walking through all instants."""
+    opening, closing = cron.Schedule(open_cron, timezone), cron.Schedule(close_cron, timezone)
+    start, end = start.replace(tzinfo=UTC), end.replace(tzinfo=UTC)
+    wide = (start - timedelta(days=40), end + timedelta(days=40))
+    closes, found = closing.between(*wide), []
+    for opened in opening.between(*wide):
+        closed = next((c for c in closes if c > opened), None)
+        if closed and opened < end and closed > start:
+            found.append((opened.replace(tzinfo=None), closed.replace(tzinfo=None)))
+    return found
+
+
+@pytest.mark.parametrize("opens, closes, zone", [
+    ("0 0/20 * * * ?", "0 10/20 * * * ?", "America/New_York"), ("0 30 1,2,3 * * ?", "0 15 2-4 * * ?", "Europe/Berlin"), ("0 0 8 * * MON-FRI ?", "0 0 8 * * SAT ?", "Asia/Tokyo"),
+    ("0 0 0 L * ?", "0 0 12 1,15 * ?", "UTC"), ("*/7 59 23 * * ?", "0 0 0 * * ?", "Australia/Lord_Howe")])
+def test_instances_like_plain_walks_over_changing_clocks(spark, opens, closes, zone):
+    for start, end in ((datetime(2024, 3, 8), datetime(2024, 4, 2)), (datetime(2024, 10, 26), datetime(2024, 11, 5))):
+        assert pairs(spark, opens, closes, start, end, zone) == plain_pairs(opens, closes, start, end, zone)
+
+
+def test_a_window_every_second_of_many_days(spark):
+    frame = windows.instances(spark, "* * * * * ?", "0 * * * * ?", datetime(2024, 1, 1), datetime(2024, 1, 31))
+    row = frame.agg(F.count(F.lit(1)).alias("n"), F.max(F.unix_seconds("closed_at") - F.unix_seconds("opened_at")).alias("longest"), F.max("instance_id").alias("last")).first()
+    # those of the minute before the range are closed at its start
+    assert (row["n"], row["longest"], row["last"]) == (30 * 86_400, 60, 30 * 86_400 - 1)
+
+
+def test_events_meet_windows_of_all_lengths(spark):
+    frame = spark.createDataFrame([(i, i * 10, i * 10 + 10 ** (i % 7)) for i in range(200)], "instance_id int, a long, b long").select(
+        "instance_id", F.timestamp_seconds("a").alias("opened_at"), F.timestamp_seconds("b").alias("closed_at"))
+    events = spark.range(0, 2500, 3).select("id", F.timestamp_seconds("id").alias("ts"))
+    got = sorted((r.id, r.instance_id) for r in windows.assign(events, "ts", frame).collect())
+    assert got == [(t, i) for t in range(0, 2500, 3) for i in range(200) if i * 10 <= t < i * 10 + 10 ** (i % 7)]
+
+
 def test_deep_chains_and_rings(spark):
     from specflow.operators import traces
 
@@ -121,8 +163,6 @@ def test_cron():
     assert [f.day for f in cron.fire_times("0 59 23 L * ?", datetime(2024, 2, 1), datetime(2024, 4, 1))] == [29, 31]
     assert len(cron.fire_times("*/15 8-9 * * 1-5", datetime(2024, 1, 1), datetime(2024, 1, 8))) == 40
     assert [f.month for f in cron.fire_times("0 0 0 1 JAN,JUL ?", datetime(2024, 1, 1), datetime(2025, 1, 1))] == [1, 7]
-    pairs = cron.intervals("0 0 8 * * ?", "0 0 17 * * ?", datetime(2024, 1, 1), datetime(2024, 1, 3), cap_minutes=60)
-    assert [(a.hour, b.hour) for a, b in pairs] == [(8, 9), (8, 9)]
     with pytest.raises(ValueError):
         cron.fire_times("0 0", *day)
 

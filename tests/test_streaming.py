@@ -1,10 +1,11 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from specflow.operators import windows as batch
 from specflow.session import work_path
-from specflow.streaming import intake, keyed, runs, sources, windows
+from specflow.streaming import book, intake, keyed, late, runs, sources, windows
 from specflow.spec import load_spec
 
 
@@ -71,36 +72,101 @@ def test_folder_to_events_and_archive(spark, folder):
         with open(f"{folder}/in/{name}.csv", "w") as out:
             out.write("id\n1\n\n2\n3\n")
     out = work_path(spark, "t-events")
-    lines = sources.poll_lines(spark, f"{folder}/in", after="ARCHIVE", archive_dir=f"{folder}/done", files_per_poll=1)
-    runs.run_each(lines, intake.event_writer(SPEC, out, "run"), f"{folder}/cp")
+    files = sources.poll_files(spark, f"{folder}/in", after="ARCHIVE", archive_dir=f"{folder}/done", files_per_poll=1)
+    runs.run_each(files, intake.event_writer(SPEC, out, "run"), f"{folder}/cp")
     events = spark.read.parquet(f"{out}/events/batch_no=*")
     assert events.count() == 4
     assert spark.read.parquet(f"{out}/quarantine/batch_no=*").count() == 2
     assert sorted(r.total_records for r in spark.read.parquet(f"{out}/summary/batch_no=*").collect()) == [3, 3]
 
 
+def put_files(folder, *names):
+    os.makedirs(folder, exist_ok=True)
+    for name in names:
+        with open(f"{folder}/{name}", "w") as out:
+            out.write("x\ny\n")
+
+
 def test_ledger_stream_takes_a_file_once(spark, folder):
-    os.makedirs(f"{folder}/in")
-    book = f"{folder}/book"
+    home = f"{folder}/book"
 
-    def take():
-        runs.run_each(sources.poll_lines(spark, f"{folder}/in"), intake.ledger_writer(book, 1, "one"), f"{folder}/cp")
+    def take(stream):
+        runs.run_each(sources.poll_lines(spark, f"{folder}/in"), book.ledger_writer(home, 1, stream), f"{folder}/cp-{stream}")
 
     for name in ("a", "b", "c"):
-        with open(f"{folder}/in/{name}", "w") as out:
-            out.write("x\ny\n")
-        take()
-    take()
-    rows = intake.read_book(spark, book).collect()
+        put_files(f"{folder}/in", name)
+        take("one")
+    take("one")
+    rows = book.read_book(spark, home).collect()
     assert sorted((r.remote_file_name[-1], r.n_lines) for r in rows) == [("a", 2), ("b", 2), ("c", 2)]
     # a second stream with its own checkpoint finds all of them taken and leaves the first one's rows
-    with open(f"{folder}/in/d", "w") as out:
-        out.write("x\n")
-    runs.run_each(sources.poll_lines(spark, f"{folder}/in"), intake.ledger_writer(book, 1, "two"), f"{folder}/cp2")
-    rows = intake.read_book(spark, book).collect()
+    put_files(f"{folder}/in", "d")
+    take("two")
+    rows = book.read_book(spark, home).collect()
     assert sorted((r.remote_file_name[-1], r.stream) for r in rows) == [("a", "one"), ("b", "one"), ("c", "one"), ("d", "two")]
 
 
+def listing(spark, *names):
+    rows = [(1, n, 2, "PENDING") for n in sorted(set(names))]
+    return spark.createDataFrame(rows, "integration_id bigint, remote_file_name string, n_lines bigint, processing_status string")
+
+
+def test_books_are_compacted_and_reads_are_bounded(spark, folder, monkeypatch):
+    monkeypatch.setattr(book, "SNAPSHOT_EVERY", 3)
+    ledger = book.Book(spark, folder)
+    read = [ledger.add(listing(spark, f"f{i}", f"f{i // 2}", "same"), "s", i) for i in range(9)]
+    assert max(read) <= 3
+    assert sorted(r.remote_file_name for r in ledger.read().collect()) == sorted({"same", *(f"f{i}" for i in range(9))})
+    # a batch that runs again after its commit changes nothing
+    before = ledger.log.newest()
+    ledger.add(listing(spark, "other"), "s", 5)
+    assert ledger.log.newest() == before
+
+
+def test_two_writers_that_find_the_same_file_new(spark, folder, monkeypatch):
+    """The second one commits while the first is about to; the first looks again."""
+    first, second = book.Book(spark, folder), book.Book(spark, folder)
+    commit = first.log.commit
+
+    def late(number, entry):
+        if second.log.newest() < 0:
+            second.add(listing(spark, "a", "b"), "two", 0)
+        return commit(number, entry)
+
+    monkeypatch.setattr(first.log, "commit", late)
+    first.add(listing(spark, "a", "c"), "one", 0)
+    assert sorted((r.remote_file_name, r.stream) for r in first.read().collect()) == [("a", "two"), ("b", "two"), ("c", "one")]
+
+
+def test_late_events_are_kept_aside_and_a_batch_that_runs_again_agrees(spark, folder):
+    batches = [[("a", 1, "x", 1_000), ("a", 2, "x", 5_000)], [("a", 3, "x", 4_950), ("a", 4, "x", 1_001), ("a", 5, "x", 4_799)], [], [("b", 6, "x", 9_000), ("b", 7, "x", 100)], [("b", 8, "x", 8_999)]]
+    close = F.window("ts", "100 seconds")["end"]
+    each = late.late_writer("ts", close, f"{folder}/late", True, 100_000)
+    frames = [spark.createDataFrame(rows, "k string, id int, kind string, s long").withColumn("ts", F.timestamp_seconds("s")) for rows in batches]
+
+    def verdicts():
+        got = {}
+        for kind, column in (("accepted", "verdict"), ("rejected", "reason")):
+            got |= {r.id: r[column] for r in late.side(f"{folder}/late", frames[0], kind).collect()}
+        return got
+
+    for number, frame in enumerate(frames):
+        each(frame, number)
+    # marks before the batches: none, 5000, 5000, 5000, 9000
+    want = {1: "ON_TIME", 2: "ON_TIME", 3: "LATE", 4: "WINDOW_CLOSED", 5: "WINDOW_CLOSED", 6: "ON_TIME", 7: "WINDOW_CLOSED", 8: "LATE"}
+    assert verdicts() == want
+    for number in (3, 1, 4):
+        each(frames[number], number)
+    assert verdicts() == want
+
+
+def test_runs_that_should_be_whole_fail_when_rows_are_dropped(spark, folder):
+    batches = [[("a", 1, "x", 1000), ("a", 2, "x", 5000)], [("a", 7, "x", 5002)], [("a", 3, "x", 1001)], [("a", 6, "x", 20000)]]
+    stream = arrivals(spark, folder, batches).withWatermark("ts", "60 seconds")
+    with pytest.raises(runs.LateRowsDropped, match="1 rows"):
+        runs.run_to_folder(windows.windowed_counts(stream, "ts", "100 seconds"), "late", whole=True)
+
+
 def test_complete_mode_keeps_the_last_state(spark, folder):
     batches = [[("a", n * 10 + i, "x", n * 40 + i) for i in range(5)] for n in range(4)]
     stream = arrivals(spark, folder, batches).withWatermark("ts", "1 hour")

@@ -13,13 +13,9 @@ from specflow.catalog import load  # noqa: E402
 
 # Items that no query can show, and where they live instead.
 ELSEWHERE = {
-    "SRC-15": "`sources/xml_records.py` (metadata key `xsdLocation`), test_formats::test_xml_schema_check",
     "SRC-27": "path strings: `read_records(spark, 's3a://bucket/prefix', spec)`; no network here, not run",
-    "SRC-29": "`streaming/sources.py::poll_lines(after=...)`, test_streaming::test_folder_to_events_and_archive",
     "SRC-30": "`streaming/sources.py::topic_stream`; the connector jar is absent here, not run",
-    "EXT-02": "`sinks.register_sink`, test_outputs::test_sinks",
     "EXT-03": "`operators.correct.register_correction`, test_rules::test_user_rules",
-    "EXT-04": "`operators.validate.register_rule`, test_rules::test_user_rules",
     "EXT-07": "paths and `spark.read.format` options; no client code",
 }
 
