@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specflow.commits import CommitLog
@@ -18,6 +18,11 @@ from specflow.commits import CommitLog
 TRIES = 20
 
 
+def _folder(window: Column) -> Column:
+    """Name of a window's folders; it starts with a letter, so nothing takes it for a number or a day."""
+    return F.coalesce(F.concat(F.lit("w"), window.cast("string")), F.lit("null"))
+
+
 class WindowStore:
     """``key`` is the column that names a row's window; it must be text, a number or a date."""
 
@@ -28,8 +33,8 @@ class WindowStore:
         return self.log.newest()
 
     def _write(self, rows: DataFrame) -> str:
-        run = uuid.uuid4().hex
-        rows.withColumn("_window", F.col(self.key).cast("string")).write.partitionBy("_window").parquet(f"{self.folder}/rows/run={run}")
+        run = f"r{uuid.uuid4().hex}"
+        rows.withColumn("_window", _folder(F.col(self.key))).write.partitionBy("_window").parquet(f"{self.folder}/rows/run={run}")
         return run
 
     def _manifest(self, rows: DataFrame) -> str:
@@ -52,13 +57,13 @@ class WindowStore:
 
     def replace(self, window, rows: DataFrame) -> int:
         """A version in which one window has these rows, none at all if there are none; rows of other windows fail the run."""
-        name = F.lit(window).cast("string")
+        name = _folder(F.lit(window))
         # checked before anything is written: no run may touch another window by mistake
-        if not rows.filter(~F.col(self.key).cast("string").eqNullSafe(name)).isEmpty():
+        if not rows.filter(_folder(F.col(self.key)) != name).isEmpty():
             raise ValueError(f"rows for window {window} belong to other windows")
         run = None if rows.isEmpty() else self._write(rows)
         one = self.spark.range(1 if run else 0).select(name.alias("_window"), F.lit(run or "").alias("run"))
-        return self._commit(lambda before: before.filter(~F.col("_window").eqNullSafe(name)).unionByName(one))
+        return self._commit(lambda before: before.filter(F.col("_window") != name).unionByName(one))
 
     def _commit(self, change) -> int:
         for _ in range(TRIES):
@@ -69,7 +74,6 @@ class WindowStore:
         raise RuntimeError(f"{TRIES} other writers came first")
 
     def _runs(self) -> DataFrame:
-        # window names are text, whatever they look like
         schema = "run string, _window string"
         return self.spark.read.option("basePath", f"{self.folder}/rows").schema(schema).parquet(f"{self.folder}/rows/run=*")
 
@@ -80,5 +84,4 @@ class WindowStore:
         if version < 0 or manifest.isEmpty():
             raise ValueError(f"version {version} of {self.folder} has no windows")
         data = self.spark.read.option("basePath", f"{self.folder}/rows").parquet(f"{self.folder}/rows/run=*")
-        data = data.withColumns({"run": F.col("run").cast("string"), "_window": F.col("_window").cast("string")})
         return data.join(manifest, ["run", "_window"], "left_semi").drop("run", "_window")

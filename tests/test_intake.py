@@ -115,6 +115,15 @@ def test_replacing_a_window_leaves_the_others_as_they_are(spark, folder):
     assert all(open(p, "rb").read() == data for p, data in files.items())
 
 
+def test_windows_that_look_like_numbers_or_have_no_name(spark, folder):
+    store = WindowStore(spark, folder, "day")
+    store.publish(rows_of(spark, ("007", "a", 1), ("7", "b", 2), (None, "c", 3), ("a/b=c %", "d", 4)))
+    store.replace("7", rows_of(spark, ("7", "e", 5)))
+    store.replace(None, rows_of(spark, (None, "f", 6)))
+    store.replace("a/b=c %", rows_of(spark, ("a/b=c %", "g", 7)))
+    assert sorted((r.k, r.n) for r in store.read().collect()) == [("a", 1), ("e", 5), ("f", 6), ("g", 7)]
+
+
 def test_a_failed_replacement_changes_nothing(spark, folder, monkeypatch):
     store = WindowStore(spark, folder, "day")
     store.publish(rows_of(spark, ("d", "a", 1)))
