@@ -8,8 +8,9 @@ are joined to it.
 
 Defined cases: a null or empty text is one empty line and comes back as an empty text;
 rows with the same id are one document, null ids together are one document; copies of a
-row lose the same lines; a text that loses all lines becomes empty. An empty table gives
-an empty result.
+row lose the same lines; a text that loses all lines becomes empty. Texts and lines of any length
+are taken whole. An empty table gives
+an empty result; added columns change their names where the table has them.
 """
 
 from __future__ import annotations

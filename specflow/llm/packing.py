@@ -8,8 +8,9 @@ every task fills the bins of its own stretch of the class. What does not fill a
 under j pieces a class, is packed first-fit by falling length.
 
 Defined cases: an empty or null text is its end id alone; rows are packed as they come, so
-copies and rows with the same or no id are packed each on its own. An empty table
-gives an empty result.
+copies and rows with the same or no id are packed each on its own; pieces equally long keep the order
+of their rows. Texts of any length are packed whole. An empty table
+gives an empty result; columns other than id and text are not read.
 """
 
 from __future__ import annotations

@@ -4,7 +4,9 @@ The id and the number of shards decide; with one more shard, rows move only into
 one. Slots number the rows of a shard from 0 without gaps and without gathering a shard.
 
 Defined cases: a null id is a key like any other, so such rows share a shard; rows with
-the same id share a shard; a null text has no bytes. An empty table gives an empty result.
+the same id share a shard, where each copy has a slot of its own, in the order in which tasks wrote
+them; a null text has no bytes, a long one counts whole. An empty table gives an empty result; added
+columns change their names where the table has them.
 """
 
 from __future__ import annotations

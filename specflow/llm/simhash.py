@@ -15,8 +15,9 @@ Components come from alternating large-star and small-star rounds.
 
 Defined cases: a null or empty text has fingerprint zero, which links like any other; copies
 of a row share fingerprint and component; rows with a null id belong to their component, whose
-id is the smallest that is not null (null if there is none). An empty table gives an
-empty result.
+id is the smallest that is not null (null if there is none). A bit set in just half of the shingles
+is 0. Texts of any length are read whole. An empty table gives an
+empty result; added columns change their names where the table has them.
 """
 
 from __future__ import annotations

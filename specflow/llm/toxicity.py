@@ -9,7 +9,9 @@ no longer fit; the labels' true shares weigh the loss.
 
 Defined cases: a null or empty text has no features and scores the bias; labels that are null
 teach nothing, an id with several labels counts as 1 if one of them is; rows with the same id
-all teach. Without rows of both labels every text scores the smoothed share of label 1.
+all teach. Without rows of both labels every text scores the smoothed share of label 1. Texts of
+any length are scored whole; copies score alike, and n-grams that weigh the same are kept by their
+place. An empty table gives an empty result; added columns change their names where the table has them.
 """
 
 from __future__ import annotations
@@ -151,10 +153,6 @@ def train(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     return fit(rows, shares)
 
 
-def may_learn_of(may_learn: Column, id: str) -> Column:
-    return F.transform(F.array(F.struct(F.col("_id").alias(id))), lambda _: F.lit(True))[0] if may_learn is None else may_learn
-
-
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: all) and ``out``, the probability of label 1."""
     keep = df.columns if keep is None else keep

@@ -8,7 +8,8 @@ rule fits get ``default``.
 Defined cases: a null url, or one without ``://``, has an empty host and path, which only a
 rule with an empty host could fit. A port or user name counts as part of the host, as
 written. Rows and their other columns stay as they are; copies of a row are judged alike.
-No rules: every url gets the default.
+No rules: every url gets the default. Urls of any length are read whole. An empty table gives an
+empty result; the added column changes its name where the table has it.
 """
 
 from __future__ import annotations

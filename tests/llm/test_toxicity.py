@@ -99,3 +99,25 @@ def test_texts_that_do_not_fit_are_passed_over(spark, monkeypatch, size):
     toxicity.train(df, labels)
     want = [(texts[i].encode(), i % 2) for at, i in enumerate(ids) for _ in range(1 + (at == 1)) if at not in (0, 3)]
     assert taken == want
+
+
+def plain_places(text):
+    """Places of all n-grams, one by one, in whole numbers."""
+    codes = [ord(c) for c in " " + "".join(c.lower() if c.isascii() else c for c in text) + " "]
+    factors, found = [int(f) for f in toxicity._FACTORS], set()
+    for order in toxicity.ORDERS:
+        for i in range(len(codes) - order + 1):
+            mixed = codes[i] * factors[0]
+            for step in range(1, order):
+                mixed %= 1 << 32
+                mixed = (mixed ^ mixed >> 15) * factors[step] + codes[i + step]
+            found.add(mixed * 0x9E3779B1 % (1 << 32) >> 32 - toxicity.BITS)
+    return found
+
+
+def test_scores_like_a_plain_sum_over_all_grams(spark, labelled, documents):
+    df = spark.createDataFrame([r[:2] for r in labelled], "doc_id bigint, text string")
+    model = toxicity.train(df, spark.createDataFrame([(i, t) for i, _, t in labelled], "doc_id bigint, toxic int"))
+    for r in toxicity.score(documents.limit(90), model).collect():
+        z = model.bias + sum(float(model.weights[p]) for p in plain_places(r["text"] or ""))
+        assert r[-1] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
