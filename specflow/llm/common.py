@@ -32,8 +32,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """Lets Arrow batches hold few rows; texts may be long."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    """Lets Arrow batches hold few rows; texts may be long.
+
+    Plans are made later, so the session keeps the setting. It is the same for all operators, and a
+    smaller one of the user's own stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ROWS_PER_BATCH:
+        conf.set(key, str(ROWS_PER_BATCH))
     return df
 
 

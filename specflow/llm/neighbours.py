@@ -1,11 +1,14 @@
 """Approximate nearest neighbours by balanced posting lists.
 
 Centroids come from balanced splits of a bounded sample; they and a graph that links each to
-its nearest ones are broadcast. A vector goes to its nearest list and to further lists whose
-centroid is nearly as near, unless a chosen centroid is nearer to that centroid (boundary
-vectors). A query walks the graph and reads every list whose centroid is within a ratio of the
-nearest one. Large lists, and lists that many queries read, are dealt as pairs of chunks.
-Queries with too few finds read every list.
+its nearest ones are broadcast. A vector goes to its nearest list and to the next ones whose
+centroid is nearly as near (boundary vectors). A query walks the graph and reads every list whose
+centroid is within a ratio of the nearest one.
+
+Lists are short, and those that split late, which lie side by side, stand on one shelf. A shelf
+holds a vector once with the lists it is in, a query comes once with the lists it reads there, and
+the nearest of all of them leave the task together. Large shelves, and shelves that many queries
+read, are dealt as pairs of chunks. Queries with too few finds read every list.
 
 Only the ``k + 1`` smallest ids of equal vectors are indexed: others cannot be among the
 ``k`` nearest of any query, because ties go to smaller ids.
@@ -27,23 +30,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from specflow.llm.common import frozen
+from specflow.llm.common import bounded_batches, frozen
 
 #: rows from which centroids are found (rows of smallest id hash), and most centroids
-SAMPLE = 16_384
-MOST_LISTS = 2_048
-#: vectors a list holds on average before replication
-LIST_ROWS = 1_024
+SAMPLE = 32_768
+MOST_LISTS = 8_192
+#: vectors a list holds on average before replication, and a shelf of neighbouring lists
+LIST_ROWS = 160
+SHELF_ROWS = 4_096
 #: links of a centroid, and centroids that a walk leaves from at least
 LINKS, LEAST = 24, 16
 #: a vector's walk goes on from centroids within this ratio of the nearest
 EXPLORE = 1.08
-#: a vector is copied to lists within this ratio of its nearest centroid, at most so many
-CLOSURE, COPIES = 1.02, 3
+#: a vector is copied to lists within this ratio of its nearest centroid, to so many in all
+CLOSURE, COPIES = 1.15, 4
 #: a query reads all lists within this ratio of its nearest centroid
-PRUNE = 1.2
+PRUNE = 1.1
 #: vectors and queries that meet in one group
-CHUNK = 4_096
+CHUNK = 8_192
 
 
 def usable(vector: str) -> Column:
@@ -72,11 +76,14 @@ def split(points: np.ndarray, at: np.ndarray, most: int, random: np.random.Gener
 class Graph:
     """Centroids, the links between them, and where walks begin."""
 
-    def __init__(self, points: np.ndarray, lists: int):
+    def __init__(self, points: np.ndarray, lists: int, shelves: int = 1):
         random = np.random.default_rng(7)
         most = max(1, -(-len(points) * 5 // (4 * lists)))
         leaves = split(points, np.arange(len(points)), most, random)
         self.centres = np.stack([points[leaf].mean(axis=0) for leaf in leaves]).astype(np.float64)
+        # leaves come in the order of the splits, so neighbours are near each other
+        before = np.cumsum([len(leaf) for leaf in leaves]) - [len(leaf) for leaf in leaves]
+        self.shelf = (before * shelves // len(points)).astype(np.int32)
         own = np.concatenate([((points[leaf] - centre) ** 2).sum(axis=1) for leaf, centre in zip(leaves, self.centres)])
         self.radius = float(np.sqrt(np.median(own)))
         count = len(self.centres)
@@ -117,22 +124,21 @@ class Graph:
             left[at, to] = gaps[new]
         return apart, ratio * np.maximum(apart.min(axis=1), self.radius / 2)
 
-    def homes(self, vectors: np.ndarray) -> list[list[int]]:
-        """Lists of each vector: its nearest, and further ones for boundary vectors."""
+    def homes(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, list) pairs: the nearest list of each, and further ones of boundary vectors."""
         apart, _ = self.walk(vectors, EXPLORE)
-        ids = np.argsort(apart, axis=1, kind="stable")[:, : 4 * COPIES]
-        out = []
-        for near, far in zip(ids, np.take_along_axis(apart, ids, 1)):
-            chosen = [int(near[0])]
-            for place in range(1, len(near)):
-                if len(chosen) == COPIES or not far[place] <= CLOSURE * far[0]:
-                    break
-                centre = self.centres[near[place]]
-                between = np.sqrt(((self.centres[chosen] - centre) ** 2).sum(axis=1))
-                if (between >= far[place]).all():
-                    chosen.append(int(near[place]))
-            out.append(chosen)
-        return out
+        ids = np.argsort(apart, axis=1, kind="stable")[:, :COPIES]
+        far = np.take_along_axis(apart, ids, 1)
+        rows, places = np.nonzero(far <= CLOSURE * far[:, :1])
+        return rows, ids[rows, places]
+
+    def by_shelf(self, rows: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+        """Pairs grouped by row and shelf: rows, shelves, lists of each."""
+        order = np.lexsort((lists, self.shelf[lists], rows))
+        rows, lists = rows[order], lists[order]
+        shelves = self.shelf[lists]
+        cuts = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (shelves[1:] != shelves[:-1])]) if len(rows) else np.zeros(0, int)
+        return rows[cuts], shelves[cuts], [part.tolist() for part in np.split(lists, cuts[1:])] if len(rows) else []
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -155,25 +161,25 @@ def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
                 [pa.array([i for i, _ in found], pa.int64()), pa.array([v for _, v in found], pa.binary())], ["id", "vec"]
             )
 
-    combined = rows.mapInArrow(each, "id bigint, vec binary")
+    combined = bounded_batches(rows).mapInArrow(each, "id bigint, vec binary")
     place = F.dense_rank().over(W.partitionBy("vec").orderBy("id"))
     return combined.withColumn("place", place).filter(F.col("place") <= most).select("id", "vec").distinct()
 
 
 def nearest(probes: DataFrame, postings: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id and score of the nearest in each list that a query reads."""
+    """query_id, vec_id and score of the nearest on each shelf, among the lists that a query reads there."""
     spark = probes.sparkSession
-    # one row for each list, of which there are MOST_LISTS at most
-    held = {r["list"]: r["count"] for r in postings.groupBy("list").count().collect()}
-    asked = {r["list"]: r["count"] for r in probes.groupBy("list").count().collect()}
+    # one row for each shelf, of which there are MOST_LISTS at most
+    held = {r["shelf"]: r["count"] for r in postings.groupBy("shelf").count().collect()}
+    asked = {r["shelf"]: r["count"] for r in probes.groupBy("shelf").count().collect()}
     deal = [(i, -(-n // CHUNK), -(-asked[i] // CHUNK)) for i, n in held.items() if i in asked]
-    sizes = F.broadcast(spark.createDataFrame(deal, "list int, parts int, asks int"))
+    sizes = F.broadcast(spark.createDataFrame(deal, "shelf int, parts int, asks int"))
     pick = "cast(pmod(xxhash64({}), {}) as int)"
-    left = probes.join(sizes, "list").selectExpr(
-        "query_id", "vec", "list", pick.format("query_id, vec", "asks") + " AS ask", "explode(sequence(0, parts - 1)) AS part"
+    left = probes.join(sizes, "shelf").selectExpr(
+        "query_id", "vec", "shelf", "lists", pick.format("query_id, vec", "asks") + " AS ask", "explode(sequence(0, parts - 1)) AS part"
     )
-    right = postings.join(sizes, "list").selectExpr(
-        "id", "vec", "list", "explode(sequence(0, asks - 1)) AS ask", pick.format("id", "parts") + " AS part"
+    right = postings.join(sizes, "shelf").selectExpr(
+        "id", "vec", "shelf", "lists", "explode(sequence(0, asks - 1)) AS ask", pick.format("id", "parts") + " AS part"
     )
 
     def compare(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -181,14 +187,20 @@ def nearest(probes: DataFrame, postings: DataFrame, k: int) -> DataFrame:
         if len(queries) and len(rows):
             ids = rows["id"].to_numpy()
             vectors = np.frombuffer(b"".join(rows["vec"]), np.float64).reshape(len(rows), -1)
-            for query, vec in zip(queries["query_id"], queries["vec"]):
-                score = np.sqrt(((vectors - np.frombuffer(vec, np.float64)) ** 2).sum(axis=1))
-                others = np.flatnonzero(ids != query)
-                best = others[np.lexsort((ids[others], score[others]))[:k]]
-                out += [(query, ids[i], score[i]) for i in best]
+            sizes = [len(own) for own in rows["lists"]]
+            lists, at = np.concatenate(rows["lists"].to_list()), np.repeat(np.arange(len(rows)), sizes)
+            order = np.argsort(lists, kind="stable")
+            lists, at = lists[order], at[order]
+            for query, vec, read in zip(queries["query_id"], queries["vec"], queries["lists"]):
+                starts, ends = np.searchsorted(lists, read, "left"), np.searchsorted(lists, read, "right")
+                found = np.unique(np.concatenate([at[a:b] for a, b in zip(starts, ends)]))
+                found = found[ids[found] != query]
+                score = np.sqrt(((vectors[found] - np.frombuffer(vec, np.float64)) ** 2).sum(axis=1))
+                best = np.lexsort((ids[found], score))[:k]
+                out += zip([query] * len(best), ids[found[best]], score[best])
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    keys = ["list", "ask", "part"]
+    keys = ["shelf", "ask", "part"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "query_id bigint, vec_id bigint, score double")
 
 
@@ -206,7 +218,6 @@ def search(df: DataFrame, is_query: Column, id: str = "vec_id", vector: str = "e
     lengths = valid.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     length = lengths["n"] if lengths else 0
     valid = valid.filter(F.size("vec") == length)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     rows = frozen(distinct_vectors(valid.select("id", "vec"), k + 1), "vectors")
     total = rows.count()
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
@@ -214,44 +225,44 @@ def search(df: DataFrame, is_query: Column, id: str = "vec_id", vector: str = "e
         return empty
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     points = np.stack([np.frombuffer(r["vec"], np.float64) for r in sample])
-    lists = max(1, min(MOST_LISTS, total // LIST_ROWS, len(points) // 2))
-    graph = spark.sparkContext.broadcast(Graph(points, lists))
+    lists = max(1, min(MOST_LISTS, total // LIST_ROWS, len(points) // 4))
+    graph = spark.sparkContext.broadcast(Graph(points, lists, max(1, min(lists, total // SHELF_ROWS))))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, len(batch), 512):
-                part = batch.slice(start, 512)
+        for part in batches:
+            if len(part):
                 vectors = np.frombuffer(b"".join(part.column("vec").to_pylist()), np.float64).reshape(len(part), -1)
-                places, homes = [], []
-                for i, chosen in enumerate(graph.value.homes(vectors)):
-                    places += [i] * len(chosen)
-                    homes += chosen
-                taken = part.take(pa.array(places, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(homes, pa.int32())], ["id", "vec", "list"])
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, len(batch), 512):
-                part = batch.slice(start, 512)
-                vectors = matrix(part.column("vec")) + 0.0
-                apart, reach = graph.value.walk(vectors, PRUNE)
-                places, lists = np.nonzero(apart <= reach[:, None])
-                vecs = [v.tobytes() for v in vectors]
+                rows_, shelves, homes = graph.value.by_shelf(*graph.value.homes(vectors))
+                taken = part.take(pa.array(rows_))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(pa.array(places)), pa.array([vecs[p] for p in places], pa.binary()),
-                     pa.array(lists.astype(np.int32))], ["query_id", "vec", "list"]
-                )
-
-    postings = frozen(rows.mapInArrow(post, "id bigint, vec binary, list int"), "postings")
-    queries = valid.filter("asks").select("id", "vec").distinct()
-    probes = frozen(queries.mapInArrow(ask, "query_id bigint, vec binary, list int"), "probes")
+                    [*taken.columns, pa.array(shelves, pa.int32()), pa.array(homes, pa.list_(pa.int32()))], ["id", "vec", "shelf", "lists"])
+
+    def asking(all_lists: bool):
+        """Queries with the lists they read, per shelf."""
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                if len(part):
+                    vectors = matrix(part.column("vec")) + 0.0
+                    apart, reach = graph.value.walk(vectors, PRUNE)
+                    read = np.ones(apart.shape, bool) if all_lists else apart <= reach[:, None]
+                    places, shelves, lists = graph.value.by_shelf(*np.nonzero(read))
+                    vecs = [v.tobytes() for v in vectors]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("id").take(pa.array(places)), pa.array([vecs[p] for p in places], pa.binary()),
+                         pa.array(shelves, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], ["query_id", "vec", "shelf", "lists"])
+
+        return each
+
+    postings = frozen(bounded_batches(rows).mapInArrow(post, "id bigint, vec binary, shelf int, lists array<int>"), "postings")
+    queries = frozen(valid.filter("asks").select("id", "vec").distinct(), "queries")
+    read = "query_id bigint, vec binary, shelf int, lists array<int>"
+    probes = frozen(bounded_batches(queries).mapInArrow(asking(False), read), "probes")
     found = frozen(ranked(nearest(probes, postings, k), k), "found")
     few = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
-    every = postings.select("list").distinct()
-    short = probes.select("query_id", "vec").distinct().join(few, "query_id", "left_anti")
     # every list for the queries that found too few; the number of lists is bounded
-    all_lists = [r["list"] for r in every.collect()]
-    wide = short.withColumn("list", F.explode(F.array(*[F.lit(i) for i in all_lists])))
-    rest = ranked(nearest(frozen(wide, "wide"), postings, k), k)
+    short = queries.join(few.withColumnRenamed("query_id", "id"), "id", "left_anti")
+    wide = frozen(bounded_batches(short).mapInArrow(asking(True), read), "wide")
+    rest = ranked(nearest(wide, postings, k), k)
     names = ["query_id", "rank", "vec_id", "score"]
     return found.join(few, "query_id", "left_semi").select(names).unionByName(rest.select(names))

@@ -89,8 +89,32 @@ def test_walk_finds_the_nearest_centroids():
     assert (apart.argmin(axis=1) == exact.argmin(axis=1)).mean() > 0.97
     inside = exact <= reach[:, None]
     assert (met & inside).sum() > 0.97 * inside.sum()
-    homes = graph.homes(points[:200])
-    assert any(len(h) > 1 for h in homes) and all(len(set(h)) == len(h) <= neighbours.COPIES for h in homes)
+    rows, homes = graph.homes(points[:200])
+    counts = np.bincount(rows, minlength=200)
+    assert counts.min() == 1 and 1 < counts.max() <= neighbours.COPIES and len(set(zip(rows, homes))) == len(rows)
+
+
+def test_the_index_reads_few_lists_of_many(spark):
+    """20 000 vectors: bounded lists, real copies, pruning that selects, and still the right neighbours."""
+    rows = clustered(20_000, 9)
+    points = np.array([v for _, v in rows])
+    graph = neighbours.Graph(points[: neighbours.SAMPLE], len(points) // neighbours.LIST_ROWS, 4)
+    count = len(graph.centres)
+    of, homes = graph.homes(points)
+    held = np.bincount(homes, minlength=count)
+    apart, reach = graph.walk(points[::100], neighbours.PRUNE)
+    read = (apart <= reach[:, None]).sum(axis=1)
+    assert count > 100 and held.max() < 10 * neighbours.LIST_ROWS
+    assert len(of) / len(points) > 1.1
+    assert read.mean() < 0.25 * count
+    assert len(set(graph.shelf)) == 4 and (np.diff(graph.shelf) >= 0).all()
+    got = results(neighbours.search(vectors(spark, rows).repartition(6), F.col("vec_id") % 500 == 0))
+    exact = {}
+    for q in range(0, len(rows), 500):
+        gaps = np.sqrt(((points - points[q]) ** 2).sum(axis=1))
+        gaps[q] = np.inf
+        exact[q] = [(gaps[i], int(i)) for i in np.lexsort((np.arange(len(rows)), gaps))[:10]]
+    assert recall(got, exact) >= 0.9
 
 
 def test_sf_tables(spark):
