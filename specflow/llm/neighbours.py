@@ -39,13 +39,13 @@ MOST_LISTS = 8_192
 LIST_ROWS = 160
 SHELF_ROWS = 4_096
 #: links of a centroid, and centroids that a walk leaves from at least
-LINKS, LEAST = 24, 16
+LINKS, LEAST = 24, 24
 #: a vector's walk goes on from centroids within this ratio of the nearest
-EXPLORE = 1.08
+EXPLORE = 1.1
 #: a vector is copied to lists within this ratio of its nearest centroid, to so many in all
-CLOSURE, COPIES = 1.15, 4
+CLOSURE, COPIES = 1.15, 5
 #: a query reads all lists within this ratio of its nearest centroid
-PRUNE = 1.1
+PRUNE = 1.105
 #: vectors and queries that meet in one group
 CHUNK = 8_192
 
