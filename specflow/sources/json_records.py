@@ -158,8 +158,7 @@ def read_json(spark: SparkSession, paths: str | list[str], spec: FileSpec, glob:
     if layout == "LINES" or spec.skip_lines_count or spec.has_header:
         return parse_json_lines(of_lines(paths, glob), spec)
     kinds = files_by(file_heads(spark, paths, CLOSE, glob).withColumn("_whole", is_document(F.col("_head"))), "_whole")
-    documents, lined = kinds.get((True,), []), kinds.get((False,), [])
-    if not documents:
+    if (True,) not in kinds:
         return parse_json_lines(of_lines(paths, glob), spec)
-    rows = read_documents(spark, documents if lined else paths, spec.encoding, None if lined else glob)
-    return parse_json_lines(rows.unionByName(of_lines(lined, None)) if lined else rows, spec)
+    rows = read_documents(spark, kinds[True,] or paths, spec.encoding, None if kinds[True,] else glob)
+    return parse_json_lines(rows.unionByName(of_lines(kinds[False,], None)) if (False,) in kinds else rows, spec)

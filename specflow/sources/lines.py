@@ -59,11 +59,17 @@ def file_heads(spark: SparkSession, paths: list[str], line_sep: str, glob: str |
     return first.filter(F.length("_head") >= least).drop("_first").unionByName(longer)
 
 
-def files_by(facts: DataFrame, *columns: str) -> dict[tuple, list[str]]:
-    """Loadable paths of the files by the values of some columns. The driver lists the files to read them anyhow."""
-    found: dict[tuple, list[str]] = {}
+def files_by(facts: DataFrame, *columns: str) -> dict[tuple, list[str] | None]:
+    """Loadable paths of the files by the values of some columns; None stands for all files, where these have one value.
+
+    So paths are listed on the driver only where a folder is mixed, as reading files by name needs it.
+    """
+    kinds = [tuple(r) for r in facts.select(*columns).distinct().collect()]
+    if len(kinds) < 2:
+        return {kind: None for kind in kinds}
+    found: dict[tuple, list[str] | None] = {kind: [] for kind in kinds}
     for row in facts.select("_file", *columns).toLocalIterator():
-        found.setdefault(tuple(row[c] for c in columns), []).append(loadable(row["_file"]))
+        found[tuple(row[c] for c in columns)].append(loadable(row["_file"]))
     return found
 
 
@@ -75,7 +81,7 @@ def charset_of(encoding: str) -> str | None:
     return {"LATIN1": "ISO-8859-1", "ISO8859-1": "ISO-8859-1", "LATIN-1": "ISO-8859-1", "UTF16": "UTF-16"}.get(name, name)
 
 
-def by_byte_order(spark: SparkSession, paths: list[str], glob: str | None) -> dict[str, list[str]]:
+def by_byte_order(spark: SparkSession, paths: list[str], glob: str | None) -> dict[str, list[str] | None]:
     """Files of UTF-16 by the order that the mark at the start of each tells; without one the high byte is first."""
     mark = F.hex(F.substring(F.col("_head").cast("binary"), 1, 2))
     order = F.when(mark == "FFFE", "UTF-16LE").otherwise("UTF-16BE")
@@ -111,9 +117,8 @@ def read_lines(
     charset = charset_of(encoding)
     if charset != "UTF-16":
         return _numbered(_lines(spark, paths, charset, line_sep, glob, sizes))
-    parts = [_lines(spark, own, order, line_sep, None, sizes) for order, own in sorted(by_byte_order(spark, paths, glob).items())]
-    if not parts:
-        parts = [_lines(spark, paths, "UTF-16BE", line_sep, glob, sizes)]
+    orders = by_byte_order(spark, paths, glob) or {"UTF-16BE": None}
+    parts = [_lines(spark, own or paths, order, line_sep, None if own else glob, sizes) for order, own in sorted(orders.items())]
     return _numbered(reduce(DataFrame.unionByName, parts))
 
 

@@ -11,6 +11,7 @@ from specflow.functions import text
 from specflow.operators.coerce import Extra, coerce
 from specflow.operators.ordered import running_sum, running_sums
 from specflow.operators.records import issue, literal
+from specflow.session import stored
 from specflow.sources.delimited import finish
 from specflow.sources.fixed_width import parse_fixed_width
 from specflow.sources.lines import file_heads, files_by, number_lines, read_lines
@@ -108,22 +109,24 @@ def x12_dialects(spark: SparkSession, paths: list[str], glob: str | None = None)
 
 def read_x12(spark: SparkSession, paths: list[str], spec: FileSpec, glob: str | None = None) -> DataFrame:
     """Records of files that may each have separators of their own; a file without a header gives one record with an error."""
-    dialects = files_by(x12_dialects(spark, paths, glob), "_element", "_segment")
-    headless = dialects.pop((None, None), [])
+    heads = stored(x12_dialects(spark, paths, glob), "dialects")
+    dialects = files_by(heads, "_element", "_segment")
     found = []
-    for (element, segment), own in sorted(dialects.items()):
-        alone = len(dialects) == 1 and not headless
-        lines = read_lines(spark, paths if alone else own, spec.encoding, segment, glob if alone else None)
+    for (element, segment), own in dialects.items():
+        if element is None:
+            found.append(_headless(heads if own is None else heads.filter("_element IS NULL"), spec))
+            continue
+        lines = read_lines(spark, own or paths, spec.encoding, segment, None if own else glob)
         found.append(x12_records(number_lines(lines)[0], spec, element))
-    if headless or not found:
-        found.append(_headless(spark, headless, spec))
+    if not found:
+        return _headless(heads, spec)
     return reduce(DataFrame.unionByName, found)
 
 
-def _headless(spark: SparkSession, files: list[str], spec: FileSpec) -> DataFrame:
+def _headless(files: DataFrame, spec: FileSpec) -> DataFrame:
     """A record without values for each file."""
     none = F.lit(None).cast("string")
-    rows = spark.createDataFrame([(f,) for f in files], "_file string")
+    rows = files.select("_file")
     cells = rows.select("_file", F.lit(0).cast("bigint").alias("_seq"), none.alias("_raw"), *[none.alias(f"_r{k}") for k in range(len(spec.fields))])
     made = [coerce(f, f"_r{k}", False) for k, f in enumerate(spec.fields)]
     return finish(cells, spec, made, more=(Extra(F.lit(True), issue("interchange", literal(NO_HEADER), "FATAL"), fatal=True),))

@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from specflow.operators.route import passing, quarantined, summarise
 from specflow.plans.inbound import processed
 from specflow.session import checkpointed
 from specflow.sinks.envelope import envelopes
 from specflow.sources import read_records
-from specflow.sources.lines import files_by
+from specflow.sources.lines import loadable
 from specflow.spec import FileSpec
 
 
@@ -21,7 +20,7 @@ def batch_records(batch: DataFrame, spec: FileSpec) -> DataFrame | None:
 
     A batch has a bounded number of files, and each is in one batch whole, so its numbering is final.
     """
-    files = files_by(batch.select("_file").distinct().withColumn("_all", F.lit(1)), "_all").get((1,), [])
+    files = [loadable(r["_file"]) for r in batch.select("_file").distinct().collect()]
     return read_records(batch.sparkSession, files, spec) if files else None
 
 
