@@ -28,8 +28,7 @@ CONVERSION_FIXED = ("Type conversion failed for '{name}': '", "' is not {type}")
 SHORT_LINE = "Line too short to extract field '{name}' at position {position}"
 
 
-#: bits of a field's code: what is wrong with its cell
-CODE_BITS = 3
+#: codes of a field: what is wrong with its cell
 GONE, BLANK, UNREADABLE, NULL = 1, 2, 3, 4
 
 

@@ -72,26 +72,6 @@ def pinned(df: DataFrame, names: list[str]) -> DataFrame:
     return once.select(*[quoted(c) for c in df.columns])
 
 
-WORD = 60
-
-
-def bitmaps(codes: list[Column], width: int = 1) -> list[Column]:
-    """Small numbers packed into as few bigints as they need, ``width`` bits each."""
-    per = WORD // width
-    words = [codes[i : i + per] for i in range(0, len(codes), per)] or [[]]
-    return [
-        reduce(lambda a, b: a.bitwiseOR(b), [F.call_function("shiftleft", c.cast("bigint"), F.lit(width * k)) for k, c in enumerate(word)],
-               F.lit(0).cast("bigint"))
-        for word in words
-    ]
-
-
-def code_at(names: list[str], place: int, width: int = 1) -> Column:
-    """The number at a place of the bitmaps with these column names."""
-    per = WORD // width
-    return F.call_function("shiftright", F.col(names[place // per]), F.lit(width * (place % per))).bitwiseAND((1 << width) - 1)
-
-
 def case_of(code: Column, issues: dict[int, Column]) -> Column:
     """The issue array that belongs to a code; none for others."""
     nothing = F.expr(f"cast(array() as {ISSUES})")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from specflow.functions import checks, masking, text
 from specflow.operators.records import (
-    FLAGS, ISSUES, WORD, bitmaps, case_of, code_at, collected, fcol, flags, flags_of_issues, issue, literal, pinned, quoted, ticked, value_of,
+    FLAGS, ISSUES, collected, fcol, flags, flags_of_issues, issue, literal, pinned, quoted, ticked, value_of,
 )
 from specflow.spec import FieldSpec, FileSpec, SpecError, ValidationRule
 
@@ -159,8 +159,8 @@ def _constraint_issues(f: FieldSpec) -> list[tuple[Column, Column]]:
 def apply_validations(records: DataFrame, spec: FileSpec) -> DataFrame:
     """All rules in spec order, then all field constraints; nothing stops at the first hit.
 
-    Every rule is a bit of a record's bitmap, which is evaluated once. Flags come from its masks;
-    issues are built from its bits, for the rows and by the plans that read them.
+    Every rule is one bit of a record, evaluated once. Flags come from the bits; issues are built from
+    them for the rows and by the plans that read them.
     """
     soft = [r for r in spec.validation_rules if r.severity in ("INFO", "WARNING")]
     hard = [r for r in spec.validation_rules if r.severity not in ("INFO", "WARNING")]
@@ -170,21 +170,17 @@ def apply_validations(records: DataFrame, spec: FileSpec) -> DataFrame:
     hits += [(violated(r, value_of(r.field)), _rule_issue(r, spec), r.severity) for r in soft]
     if not hits:
         return records
-    maps = bitmaps([F.when(bad, 1).otherwise(0) for bad, _, _ in hits])
-    names = [f"_hits{k}" for k in range(len(maps))]
+    names = [f"_hit{k}" for k in range(len(hits))]
     known = F.col(FLAGS) if FLAGS in records.columns else flags_of_issues()
-    once = pinned(records.select("*", known.alias("_known"), *[m.alias(n) for m, n in zip(maps, names)]), names)
-
-    def any_of(places: list[int]) -> Column:
-        """One test for each bitmap that holds one of the places."""
-        masks: dict[str, int] = {}
-        for p in places:
-            masks[names[p // WORD]] = masks.get(names[p // WORD], 0) | 1 << p % WORD
-        return reduce(lambda a, b: a | b, [F.col(n).bitwiseAND(F.lit(m)) != 0 for n, m in masks.items()], F.lit(False))
-
-    places = range(len(hits))
-    now = flags(any_of(list(places[:n_errors])), any_of([p for p in places if hits[p][2] == "FATAL"]), any_of(list(places[n_errors:])))
-    issues = [case_of(code_at(names, p), {1: told}) for p, (_, told, _) in enumerate(hits)]
+    once = pinned(records.select("*", known.alias("_known"), *[bad.alias(n) for (bad, _, _), n in zip(hits, names)]), names)
+
+    def any_of(some: list[str]) -> Column:
+        return reduce(lambda a, b: a | b, [F.col(n) for n in some], F.lit(False))
+
+    fatal = [n for n, (_, _, severity) in zip(names, hits) if severity == "FATAL"]
+    now = flags(any_of(names[:n_errors]), any_of(fatal), any_of(names[n_errors:]))
+    nothing = F.expr(f"cast(array() as {ISSUES})")
+    issues = [F.when(F.col(n), told).otherwise(nothing) for n, (_, told, _) in zip(names, hits)]
     made = {
         "_errors": F.concat("_errors", collected(issues[:n_errors], ISSUES)) if n_errors else F.col("_errors"),
         "_warnings": F.concat("_warnings", collected(issues[n_errors:], ISSUES)) if n_errors < len(hits) else F.col("_warnings"),

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specflow.functions import text
-from specflow.operators.coerce import CODE_BITS, Coerced, Extra, coerce
+from specflow.operators.coerce import Coerced, Extra, coerce
 from specflow.operators.records import (
-    FLAGS, ISSUES, bitmaps, case_of, code_at, collected, fcol, flags, pinned, quoted, start_columns,
+    FLAGS, ISSUES, case_of, collected, fcol, flags, pinned, quoted, start_columns,
 )
 from specflow.spec import FileSpec, require_valid
 
@@ -107,28 +107,31 @@ def parse_delimited(
 
 
 def finish(cells: DataFrame, spec: FileSpec, made: list[Coerced], keep: tuple[str, ...] = (), more: tuple[Extra, ...] = ()) -> DataFrame:
-    """The record frame. What is wrong with a record is a bitmap first; its issues are built from that
-    for the rows and by the plans that read them. ``more`` are issues of the record as a whole."""
+    """The record frame. What is wrong with a record is a code per field first; its issues are built from
+    these for the rows and by the plans that read them. ``more`` are issues of the record as a whole.
+
+    Each code is a column, as Spark cuts generated code between columns; one expression of all codes
+    would be a method too large to be compiled.
+    """
     declared = [f.name for f in spec.fields]
     extra = [n for n in spec.record_fields if n not in declared]
     codes = [c.code for c in made] + [F.when(e.bad, 1).otherwise(0) for e in more]
-    maps = bitmaps(codes, CODE_BITS)
+    names = [f"_code{k}" for k in range(len(codes))]
     records = cells.select(
         "_file",
         "_seq",
         "_raw",
         *[c.value.alias(fcol(n)) for c, n in zip(made, declared)],
         *[F.lit(None).cast("string").alias(fcol(n)) for n in extra],
-        *[m.alias(f"_code{k}") for k, m in enumerate(maps)],
+        *[c.alias(n) for c, n in zip(codes, names)],
         F.create_map().cast("map<string,string>").alias("_metadata"),
         *keep,
     )
-    names = [f"_code{k}" for k in range(len(maps))]
     once = pinned(records, [*[fcol(n) for n in declared], *names])
-    issues = [case_of(code_at(names, k, CODE_BITS), c.issues) for k, c in enumerate(made)]
-    issues += [case_of(code_at(names, len(made) + k, CODE_BITS), {1: e.issue}) for k, e in enumerate(more)]
-    wrong = reduce(or_, [F.col(n) != 0 for n in names], F.lit(False))
-    fatal = reduce(or_, [code_at(names, len(made) + k, CODE_BITS) != 0 for k, e in enumerate(more) if e.fatal], F.lit(False))
+    cases = [c.issues for c in made] + [{1: e.issue} for e in more]
+    issues = [case_of(F.col(n), own) for n, own in zip(names, cases)]
+    wrong = reduce(or_, [F.col(n) != 0 for n, own in zip(names, cases) if own], F.lit(False))
+    fatal = reduce(or_, [F.col(n) != 0 for n, e in zip(names[len(made):], more) if e.fatal], F.lit(False))
     return once.select(
         "_file", "_seq", "_raw", *[quoted(fcol(n)) for n in [*declared, *extra]],
         collected(issues[len(made):] + issues[: len(made)], ISSUES).alias("_errors"), *start_columns(), "_metadata",
