@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from specflow.operators.coerce import Extra, coerce_xml
 from specflow.operators.records import issue, literal, quoted
 from specflow.operators.ordered import carried_states, row_numbers, running_sum, running_sums
-from specflow.session import stored
+from specflow.session import joinable, stored
 from specflow.sources.delimited import finish
 from specflow.sources.lines import attach, place, read_lines, split_table
 from specflow.spec import FieldSpec, FileSpec, require_valid
@@ -157,8 +157,28 @@ def _options(tag: str) -> dict[str, str]:
     return {"rowTag": tag, "ignoreSurroundingSpaces": "false"}
 
 
+def _head_values(spec: FileSpec, heads: list[str]) -> tuple[list[Column], dict[str, Column]]:
+    """(parses of the ``_head_<tag>`` columns, value per field that stands in one)."""
+    parsed, found = [], {}
+    for head in heads:
+        fields = [(f, relative_path(spec, f)) for f in spec.fields if header_tag(spec, f) == head and not f.xml_attribute]
+        # an empty path names the header element itself
+        own_text = [f for f, path in fields if not path]
+        found.update({f.name: F.xpath_string(quoted(f"_head_{head}"), F.lit(f"/{head}")) for f in own_text})
+        fields = [(f, path) for f, path in fields if path]
+        if not fields:
+            continue
+        ddl, values = xml_values(fields, quoted(f"_head_{head}"), quoted(f"_parsed_{head}"), head)
+        parsed.append(F.from_xml(quoted(f"_head_{head}"), ddl, _options(head)).alias(f"_parsed_{head}"))
+        found.update({f.name: v for (f, _), v in zip(fields, values)})
+    return parsed, found
+
+
 def parse_xml_text(records: DataFrame, spec: FileSpec) -> DataFrame:
-    """``records`` has _file, _seq and _xml, one record element per row, plus ``_head_<tag>`` columns."""
+    """``records`` has _file, _seq and _xml, one record element per row, plus ``_head_<tag>`` columns.
+
+    In place of a header's text it may have the values of the header's fields, as ``_of_<field>``.
+    """
     require_valid(spec)
     tag = record_tag(spec)
     own = [(f, relative_path(spec, f)) for f in spec.fields if header_tag(spec, f) is None or f.xml_attribute]
@@ -173,17 +193,10 @@ def parse_xml_text(records: DataFrame, spec: FileSpec) -> DataFrame:
         options.update({"rowValidationXSDPath": schema_file, "columnNameOfCorruptRecord": "_bad"})
     parsed_columns.append(F.from_xml("_xml", ddl, options).alias("_parsed"))
     values_by_field.update({f.name: v for (f, _), v in zip(own, values)})
-    for head in heads:
-        fields = [(f, relative_path(spec, f)) for f in spec.fields if header_tag(spec, f) == head and not f.xml_attribute]
-        # an empty path names the header element itself
-        own_text = [f for f, path in fields if not path]
-        values_by_field.update({f.name: F.xpath_string(quoted(f"_head_{head}"), F.lit(f"/{head}")) for f in own_text})
-        fields = [(f, path) for f, path in fields if path]
-        if not fields:
-            continue
-        ddl, values = xml_values(fields, quoted(f"_head_{head}"), quoted(f"_parsed_{head}"), head)
-        parsed_columns.append(F.from_xml(quoted(f"_head_{head}"), ddl, _options(head)).alias(f"_parsed_{head}"))
-        values_by_field.update({f.name: v for (f, _), v in zip(fields, values)})
+    parsed_heads, head_values = _head_values(spec, [h for h in heads if f"_head_{h}" in records.columns])
+    parsed_columns += parsed_heads
+    values_by_field.update(head_values)
+    values_by_field.update({f.name: quoted(f"_of_{f.name}") for f in spec.fields if f"_of_{f.name}" in records.columns})
     parsed = records.select("*", *parsed_columns)
     cells = parsed.select(
         "_file",
@@ -263,10 +276,13 @@ def _count(text: Column, pattern: str) -> Column:
 
 def _change(text: Column, tag: str | None = None) -> Column:
     """How many elements (of one tag) a piece of text opens more than it closes."""
+    none = F.lit(0).cast("bigint")
     if tag is None:
-        return _count(text, OPEN) - _count(text, EMPTY) - _count(text, "</")
+        return _count(text, OPEN) - F.when(F.contains(text, F.lit("/>")), _count(text, EMPTY)).otherwise(none) - _count(text, "</")
     name = re.escape(tag)
-    return _count(text, rf"<{name}(?:\s{_INSIDE})?>") - _count(text, rf"<{name}(?:\s{_INSIDE})?(?<=/)>") - _count(text, rf"</{name}\s*>")
+    counted = _count(text, rf"<{name}(?:\s{_INSIDE})?>") - _count(text, rf"<{name}(?:\s{_INSIDE})?(?<=/)>") - _count(text, rf"</{name}\s*>")
+    # most pieces do not name the tag
+    return F.when(F.contains(text, F.lit(f"<{tag}")) | F.contains(text, F.lit(f"</{tag}")), counted).otherwise(none)
 
 
 def _masked(text: Column) -> Column:
@@ -297,18 +313,19 @@ def chunks_of(spark: SparkSession, paths: str | list[str], spec: FileSpec, glob:
     begins = carried_states(tables, ("_file",), "_nth", "_table", STATES, "_state")
     whole = running_sum(begins, ("_file",), ("_nth",), (F.col("_state") == TEXT).cast("bigint"), "_whole")
     whole = stored(whole.select("_file", "_nth", "_state", "_whole"), "xml-whole")
-    glued = whole.groupBy("_file", "_whole").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    glued = stored(glued.select("_file", "_whole"), "xml-glued")
-    told = chunks.join(whole, ["_file", "_nth"])
-    single = told.join(glued, ["_file", "_whole"], "left_anti").select("_file", F.col("_whole").alias("_nth"), "_text")
-    parts = told.join(glued, ["_file", "_whole"], "left_semi")
+    sizes = whole.groupBy("_file", "_whole").agg((F.count(F.lit(1)) > 1).alias("_glued"))
+    whole = stored(whole.join(sizes.hint("merge"), ["_file", "_whole"]), "xml-glued")
+    # the texts are shuffled by their number, whose key is one chunk
+    told = stored(chunks.join(whole.hint("merge"), ["_file", "_nth"]), "xml-told")
+    single = told.filter(~F.col("_glued")).select("_file", F.col("_whole").alias("_nth"), "_text")
+    parts = told.filter("_glued")
     # what a comment or the like holds between its ends need not be carried along
     for state in (IN_COMMENT, IN_INSTRUCTION, IN_DOCTYPE):
         parts = parts.filter((F.col("_state") != state) | _ends(F.col("_text"), state))
     parts = parts.select("_file", "_whole", F.struct("_nth", "_text").alias("_part"))
     joined = parts.groupBy("_file", "_whole").agg(F.array_sort(F.collect_list("_part")).alias("_parts"))
     text = F.array_join(F.transform("_parts", lambda p: p["_text"]), "")
-    return single.unionByName(joined.select("_file", F.col("_whole").alias("_nth"), text.alias("_text")))
+    return single.unionByName(stored(joined.select("_file", F.col("_whole").alias("_nth"), text.alias("_text")), "xml-joined"))
 
 
 def pieces_of(spark: SparkSession, paths: str | list[str], spec: FileSpec, blocks: list[str], glob: str | None) -> DataFrame:
@@ -341,11 +358,16 @@ def read_xml(spark: SparkSession, paths: str | list[str], spec: FileSpec, glob:
     empty = F.col("_text").rlike(f"^{alone}")
     changes = {"_depth": _change(bare), **{f"_in_{a}": _change(bare, a) for a in sorted(set(above))}}
     opened = {f"_no_{b}": F.col("_text").rlike(opens_at(b)).cast("bigint") for b in blocks}
-    # narrow rows go through the running sums; texts are joined back by their number
-    marks = pieces.select(
-        "_file", "_nth", starts.alias("_starts"), *[c.alias(f"d{n}") for n, c in changes.items()], *[c.alias(f"d{n}") for n, c in opened.items()]
-    )
-    sums = running_sums(marks, ("_file",), ("_nth",), {n: F.col(f"d{n}") for n in [*changes, *opened]})
+    outside = F.when(~starts, F.col("_text")).when(empty, F.regexp_replace("_text", f"^{alone}", ""))
+    found = {h: F.when(F.contains(outside, F.lit(f"<{h}")), F.nullif(_unmasked(
+        F.regexp_extract(outside, rf"(?s)({_empty(h)}|<{re.escape(h)}[\s>].*?</{re.escape(h)}\s*>)", 1)), F.lit(""))) for h in heads}
+    # narrow rows go through the running sums; texts are joined back by their number, headers by their block
+    marks = stored(pieces.select(
+        "_file", "_nth", starts.alias("_starts"), *[c.alias(f"d{n}") for n, c in changes.items()], *[c.alias(f"d{n}") for n, c in opened.items()],
+        *[c.alias(f"_head_{h}") for h, c in found.items()],
+    ), "xml-marks")
+    names = [*changes, *opened]
+    sums = running_sums(marks.select("_file", "_nth", "_starts", *[f"d{n}" for n in names]), ("_file",), ("_nth",), {n: F.col(f"d{n}") for n in names})
     # the state before a piece, for what it stands in; blocks count the one that it opens itself
     before = {n: F.col(n) - F.col(f"d{n}") for n in changes}
     on_path = before["_depth"] == len(above)
@@ -355,16 +377,16 @@ def read_xml(spark: SparkSession, paths: str | list[str], spec: FileSpec, glob:
     records = row_numbers(state.filter("_record"), ("_file",), ("_nth",), "_rn")
     records = records.select("_file", "_nth", (F.col("_rn") - 1).alias("_seq"), *opened)
     element = F.when(empty, F.regexp_extract("_text", f"^({alone})", 1)).otherwise(F.col("_text"))
-    numbered = records.join(pieces.select("_file", "_nth", _unmasked(element).alias("_xml")), ["_file", "_nth"])
-    outside = F.when(~starts, F.col("_text")).when(empty, F.regexp_replace("_text", f"^{alone}", ""))
     for block in blocks:
         own = [h for h, b in heads.items() if b == block]
-        found = pieces.select("_file", "_nth", *[
-            F.nullif(_unmasked(F.regexp_extract(outside, rf"(?s)({_empty(h)}|<{re.escape(h)}[\s>].*?</{re.escape(h)}\s*>)", 1)), F.lit("")).alias(h) for h in own
-        ]).filter(" or ".join(f"`{h}` is not null" for h in own))
-        of_block = found.join(state.select("_file", "_nth", f"_no_{block}"), ["_file", "_nth"]).groupBy("_file", f"_no_{block}")
-        firsts = stored(of_block.agg(*[
-            F.min_by(quoted(h), F.when(quoted(h).isNotNull(), F.col("_nth"))).alias(f"_head_{h}") for h in own
-        ]), "xml-heads")
-        numbered = numbered.join(firsts, ["_file", f"_no_{block}"], "left")
+        holding = marks.select("_file", "_nth", *[f"_head_{h}" for h in own]).filter(" or ".join(f"`_head_{h}` is not null" for h in own))
+        of_block = holding.hint("merge").join(state.select("_file", "_nth", f"_no_{block}"), ["_file", "_nth"]).groupBy("_file", f"_no_{block}")
+        firsts = of_block.agg(*[
+            F.min_by(quoted(f"_head_{h}"), F.when(quoted(f"_head_{h}").isNotNull(), F.col("_nth"))).alias(f"_head_{h}") for h in own
+        ])
+        # a header is parsed once for all records of its block
+        parsed, values = _head_values(spec, own)
+        firsts = stored(firsts.select("*", *parsed).select("_file", f"_no_{block}", *[v.alias(f"_of_{n}") for n, v in values.items()]), "xml-heads")
+        records = records.join(joinable(firsts), ["_file", f"_no_{block}"], "left")
+    numbered = records.hint("merge").join(pieces.select("_file", "_nth", _unmasked(element).alias("_xml")), ["_file", "_nth"])
     return parse_xml_text(numbered.drop("_nth", *opened), spec)

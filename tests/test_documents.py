@@ -161,3 +161,19 @@ def test_states_are_carried_through_every_level(spark, monkeypatch):
             state = table[state]
     df = spark.createDataFrame(rows, "g string, n bigint, t array<tinyint>").repartition(5)
     assert {(r.g, r.n): r.state for r in carried_states(df, ("g",), "n", "t", 3).collect()} == want
+
+
+def test_records_are_not_gathered_on_the_driver(spark, folder, monkeypatch):
+    """Paths that repeat make the stored rows look small: they are joined by a shuffle, and headers are parsed once a block."""
+    from specflow import session
+
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 1)
+    for i in range(2):
+        put(folder, f"{i}.xml", f"<doc><list><by>b{i}</by>" + "".join(f"<item><v>{k}</v></item>" for k in range(3)) + "</list></doc>")
+    done = read_records(spark, folder, XML)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert not [line for line in joins if "Broadcast" in line and ("_nth" in line or "_no_" in line)]
+    assert len([line for line in joins if "SortMergeJoin" in line]) == 2
+    assert plan.count("from_xml(") == 1
+    assert sorted((r._file[-5], r._seq, r.f_v, r.f_by) for r in done.collect()) == [(str(i), k, str(k), f"b{i}") for i in range(2) for k in range(3)]
