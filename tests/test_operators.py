@@ -258,3 +258,25 @@ def test_ledger_append(spark):
 def test_templates(spark):
     row = spark.sql("select 7 n, 'ab' s").select(render("9{n:4}|{s:4}|{x}|{s}", {"n": F.col("n"), "s": F.col("s")}, {"n"}).alias("o")).first()
     assert row.o == "90007|ab  |{x}|ab"
+
+
+def test_depths_over_levels(spark, monkeypatch):
+    """A forest with rings, lost parents and rows given twice, followed by a quarter of its spans at a time."""
+    from specflow.operators import traces
+
+    monkeypatch.setattr(traces, "FOLLOWED", 20)
+    draw = random.Random(3)
+    parents = {i: i - 1 if draw.random() < 0.9 else draw.randrange(i) for i in range(1, 600)} | {0: None, 600: 603, 601: 600, 602: 601, 603: 602, 604: 602, 605: 9999}
+
+    def depth(i):
+        steps = 0
+        while parents.get(i, -1) is not None:
+            i, steps = parents.get(i, -1), steps + 1
+            if steps > 700 or i not in parents:
+                return None
+        return steps
+
+    rows = [(t, i, p) for t in ("a", "b") for i, p in parents.items()]
+    frame = spark.createDataFrame(rows, "trace_id string, span_id bigint, parent_id int")
+    got = {(r.trace_id, r.span_id): r.depth for r in traces.with_depth(frame).collect()}
+    assert got == {(t, i): depth(i) for t, i, _ in rows}
