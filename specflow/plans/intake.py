@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 from specflow.commits import CommitLog, Files
 from specflow.operators import ledger, route
 from specflow.plans.inbound import processed
-from specflow.session import checkpointed
+from specflow.session import checkpointed, stored
 from specflow.sinks.envelope import envelopes
 from specflow.sources import read_records
 from specflow.sources.lines import loadable
 from specflow.sources.listing import file_facts
 from specflow.spec import FileSpec
+from specflow.streaming.sources import poll_size
 
 
 def take_in(listing: DataFrame, book: DataFrame, order: list[str]) -> DataFrame:
@@ -75,6 +76,7 @@ class FolderIntake:
     """A folder taken in by polls. ``home`` holds the log, the ledger rows and the outputs of each poll.
 
     Files set aside go to ``aside``; those taken in are left, deleted, or moved below ``archive``.
+    A poll takes ``per_poll`` files, or an even share of a backlog that would need too many polls.
     """
 
     spark: SparkSession
@@ -88,6 +90,7 @@ class FolderIntake:
     per_poll: int = PER_POLL
     skip_invalid: bool = False
     log: CommitLog = field(init=False)
+    _share: int = field(init=False, default=0)
 
     def __post_init__(self):
         if self.after not in AFTER:
@@ -122,9 +125,13 @@ class FolderIntake:
     def poll(self) -> int:
         """Takes in the next files; returns how many were tried."""
         number = self.log.newest() + 1
-        queue = self.pending().orderBy("remote_last_modified", "remote_file_path").limit(self.per_poll)
+        pending = stored(self.pending(), "pending")
+        # the share of a backlog stays until it is taken in, or polls would shrink with it
+        self._share = max(self._share, poll_size(self.per_poll, pending.count()))
+        queue = pending.orderBy("remote_last_modified", "remote_file_path").limit(self._share)
         tried = {r["remote_file_path"]: r["tried"] for r in queue.collect()}
         if not tried:
+            self._share = 0
             return 0
         names = {loadable(f): f for f in tried}
         bad = unreadable(list(names), lambda some: self.spark.read.text(some).agg(F.count(F.lit(1))).collect())

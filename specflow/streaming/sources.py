@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from specflow.commits import Files
+
 # Files per poll and pause between polls.
 FILES_PER_POLL = 20
 POLL_PAUSE = "60 seconds"
+#: polls that a backlog is dealt over, and files of a poll at most beside what is asked for, as their paths pass through the driver
+BACKLOG_POLLS, MOST_FILES = 12, 5_000
 # The columns of the two sources.
 SCHEMAS = {"text": "value string", "binaryFile": "path string, modificationTime timestamp, length bigint, content binary"}
 
 
 def poll_lines(spark: SparkSession, path: str, glob: str | None = None, files_per_poll: int = FILES_PER_POLL,
                after: str = "LEAVE", archive_dir: str | None = None) -> DataFrame:
-    """Lines of files as they arrive. ``after`` is LEAVE, ARCHIVE (needs a folder) or DELETE."""
+    """Lines of files as they arrive. ``after`` is LEAVE, ARCHIVE (needs a folder) or DELETE.
+
+    A poll takes ``files_per_poll`` files; of a backlog over ``BACKLOG_POLLS`` times as many, an even share.
+    """
     return _polled(spark, "text", path, glob, files_per_poll, after, archive_dir).select(
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_split"),
@@ -30,8 +37,21 @@ def poll_files(spark: SparkSession, path: str, glob: str | None = None, files_pe
     )
 
 
+def waiting_files(spark: SparkSession, path: str) -> int:
+    """Files below a path, which may be a pattern; counted by the file system, none is listed here."""
+    files = Files(spark, path)
+    found = files.fs.globStatus(files.path(path)) or []
+    return sum(files.fs.getContentSummary(f.getPath()).getFileCount() for f in found)
+
+
+def poll_size(per_poll: int, waiting: int) -> int:
+    """Files of a poll: every poll costs the same few jobs, so their number must not grow with the backlog."""
+    return max(per_poll, min(-(-waiting // BACKLOG_POLLS), MOST_FILES))
+
+
 def _polled(spark: SparkSession, kind: str, path: str, glob: str | None, files_per_poll: int, after: str, archive_dir: str | None) -> DataFrame:
-    reader = spark.readStream.format(kind).schema(SCHEMAS[kind]).option("maxFilesPerTrigger", str(files_per_poll))
+    most = poll_size(files_per_poll, waiting_files(spark, path))
+    reader = spark.readStream.format(kind).schema(SCHEMAS[kind]).option("maxFilesPerTrigger", str(most))
     reader = reader.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)

@@ -184,3 +184,18 @@ def test_places_in_stores(spark):
     df = spark.createDataFrame([("s3a://inbox/2024/a b.csv",), ("file:///tmp/x",), ("/tmp/x",), ("hdfs://host:8020/k/f",)], "p string")
     assert [(r.o.bucket, r.o.key) for r in df.select(stored_at(F.col("p")).alias("o")).collect()] == [
         ("inbox", "2024/a b.csv"), ("", "tmp/x"), ("", "tmp/x"), ("host:8020", "k/f")]
+
+
+def test_a_backlog_is_dealt_over_few_polls(spark, folder, monkeypatch):
+    """Each poll costs the same jobs, so the number of polls must not grow with the files that wait."""
+    from specflow.streaming import sources
+
+    monkeypatch.setattr(sources, "BACKLOG_POLLS", 3)
+    for i in range(12):
+        gz(f"{folder}/in/f{i}.gz", gzip.compress(f"{i}\n".encode()) if i else b"no gzip")
+    one = taker(spark, folder, per_poll=2, after="ARCHIVE", archive=f"{folder}/done")
+    # four files a poll; the one that cannot be read is among the oldest three times
+    assert one.run() == 4
+    got = states(one)
+    assert got.pop("f0.gz")[:2] == ("FAILED", 3) and set(got.values()) == {("PROCESSED", 1, 1)} and len(got) == 11
+    assert sources.poll_size(20, 50) == 20 and sources.poll_size(20, 90) == 30 and sources.poll_size(20, 10**9) == sources.MOST_FILES

@@ -172,3 +172,15 @@ def test_complete_mode_keeps_the_last_state(spark, folder):
     stream = arrivals(spark, folder, batches).withWatermark("ts", "1 hour")
     done = runs.run_to_folder(windows.windowed_counts(stream, "ts", "100 seconds"), "complete", "complete")
     assert sorted((int(r.window_start.timestamp()), r.event_count) for r in done.collect()) == [(0, 15), (100, 5)]
+
+
+def test_streams_deal_a_backlog_over_few_polls(spark, folder, monkeypatch):
+    monkeypatch.setattr(sources, "BACKLOG_POLLS", 3)
+    put_files(f"{folder}/in", *[f"f{i}" for i in range(12)])
+    batches = []
+
+    def each(batch, number):
+        batches.append(batch.select("_file").distinct().count())
+
+    runs.run_each(sources.poll_lines(spark, f"{folder}/in", files_per_poll=2), each, f"{folder}/cp")
+    assert batches == [4, 4, 4]
