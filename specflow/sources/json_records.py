@@ -112,12 +112,14 @@ def read_documents(spark: SparkSession, paths: str | list[str], encoding: str =
     placed = stored(levels.join(base, "_file").select("_file", "_nth", "_base", ends.alias("_end")), "json-ends")
     numbered = running_sum(placed, ("_file",), ("_nth",), F.col("_end"), "_upto")
     numbered = stored(numbered.select("_file", "_nth", "_base", (F.col("_upto") - F.col("_end")).alias("_no")), "json-numbers")
-    many = stored(numbered.groupBy("_file", "_no").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_file", "_no"), "json-many")
+    sizes = numbered.groupBy("_file", "_no").agg((F.count(F.lit(1)) > 1).alias("_many"))
+    numbered = stored(numbered.join(sizes.hint("merge"), ["_file", "_no"]), "json-sizes")
 
-    told = pieces.join(numbered, ["_file", "_nth"])
-    single = told.join(many, ["_file", "_no"], "left_anti").select("_file", "_no", "_base", "_ends", "_text")
+    # the texts are shuffled by their number, whose key is one piece
+    told = pieces.join(numbered.hint("merge"), ["_file", "_nth"])
+    single = told.filter(~F.col("_many")).select("_file", "_no", "_base", "_ends", "_text")
     part = F.struct("_nth", "_text")
-    joined = told.join(many, ["_file", "_no"], "left_semi").groupBy("_file", "_no", "_base").agg(
+    joined = told.filter("_many").groupBy("_file", "_no", "_base").agg(
         F.max("_ends").alias("_ends"), F.array_sort(F.collect_list(part)).alias("_parts"))
     body = F.array_join(F.transform("_parts", lambda p: p["_text"]), "")
     records = single.unionByName(joined.select("_file", "_no", "_base", "_ends", body.alias("_text")))
