@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from specflow.catalog.base import DAY, PRICE, columns, register
 from specflow.commits import Files
-from specflow.session import table, work_path
+from specflow.session import stored, table, work_path
 from specflow.sources import read_records, register_reader
 from specflow.sources.delimited import parse_delimited, split_quoted
 from specflow.sources.lines import number_lines, read_lines
@@ -30,6 +31,8 @@ ORDER_CSV = load_spec({
 # Files hold a fixed span of keys, so their number grows with the data and their size does not.
 FILE_KEYS = 4000
 FILE_OF = f"CAST(floor(o_orderkey / {FILE_KEYS}.0) AS BIGINT)"
+# Long documents come in parts of a span of keys: some 100 MB, so that one task writes a part and several read it.
+DOCUMENT_KEYS, EVENT_KEYS, TRANSACTION_KEYS = 100_000, 4_000_000, 3_000_000
 
 
 def write_files(rows, path, keys):
@@ -228,11 +231,28 @@ def src_xml(spark, sf):
 
 
 def _enclosed(rows, first, last):
-    """Adds a first and a last line to every file."""
+    """Adds a first and a last line to every file; columns: the keys of a file, k, value."""
+    keys = [c for c in rows.columns if c not in ("k", "value")]
     ends = F.array(
         F.struct(F.lit(-1).cast("bigint").alias("k"), F.lit(first).alias("value")),
         F.struct(F.lit(2**62).alias("k"), F.lit(last).alias("value")))
-    return rows.unionByName(rows.select("b").distinct().select("b", F.inline(ends)))
+    return rows.select(*keys, "k", "value").unionByName(rows.select(*keys).distinct().select(*keys, F.inline(ends)))
+
+
+def _part():
+    return F.regexp_extract("_file", "/part=([0-9]+)/", 1).cast("bigint").alias("_part")
+
+
+def _counted_on(done, label, of, figures):
+    """Numbers of records that count on over the parts of a series: per figure what the earlier parts have in all.
+
+    ``figures`` give what a file adds, by an aggregate over its records. Adds the sums as ``_before_<figure>``.
+    """
+    done = stored(done, label)
+    sizes = done.groupBy(of, "_part").agg(*[figure.alias(n) for n, figure in figures.items()])
+    earlier = W.partitionBy(of).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select(of, "_part", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_before_{n}") for n in figures])
+    return done.join(F.broadcast(before), [of, "_part"])
 
 
 def _supplier_records(spark, sf):
@@ -366,18 +386,19 @@ PLAIN_TEXT = r"regexp_replace(text, '[\x00-\x08\x0B-\x1F]', '?'{})"
 
 
 def _doc_xml(name, ids, element, head):
-    """Documents in one file per language, cut over tasks where their markup allows it."""
+    """Documents in a file per language and span of ids, cut over tasks where their markup allows it."""
     sql = f"""SELECT lang, doc_id AS k, doc_id || ' > ' || source AS said, {PLAIN_TEXT.format(", 'g'")} AS text, 'a > b' AS title,
  row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS seq FROM documents"""
 
     @register(name, ids, sql)
     def run(spark, sf):
-        rows = columns(spark, sf, "documents", {"lang": "lang", "b": "lang", "k": "doc_id", "value": element.replace("TEXT", PLAIN_TEXT.format("").replace("\\x", "\\\\x"))})
-        path = write_files(_enclosed(rows.drop("lang"), head, "</all>"), work_path(spark, name), ["b"])
-        done = read_records(spark, path, DOC_XML)
-        return done.select(
-            F.regexp_extract("_file", "/b=([a-z]+)/", 1).alias("lang"), F.col("f_id").cast("bigint").alias("k"), F.col("f_said").alias("said"),
-            F.coalesce("f_text", F.lit("")).alias("text"), F.col("f_title").alias("title"), F.col("_seq").alias("seq"))
+        rows = columns(spark, sf, "documents", {"b": "lang", "part": f"CAST(floor(doc_id / {DOCUMENT_KEYS}.0) AS BIGINT)", "k": "doc_id", "value": element.replace("TEXT", PLAIN_TEXT.format("").replace("\\x", "\\\\x"))})
+        path = write_files(_enclosed(rows, head, "</all>"), work_path(spark, name), ["b", "part"])
+        done = read_records(spark, path, DOC_XML).select(
+            F.regexp_extract("_file", "/b=([a-z]+)/", 1).alias("lang"), _part(), F.col("f_id").cast("bigint").alias("k"), F.col("f_said").alias("said"),
+            F.coalesce("f_text", F.lit("")).alias("text"), F.col("f_title").alias("title"), "_seq")
+        done = _counted_on(done, name, "lang", {"records": F.count(F.lit(1))})
+        return done.select("lang", "k", "said", "text", "title", (F.col("_before_records") + F.col("_seq")).alias("seq"))
 
 
 _doc_xml(
@@ -405,16 +426,16 @@ def src_json(spark, sf):
 @register("src_json_document", "SRC-17", """SELECT event_type AS kind, event_id AS id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, '}, {"' || event_id || '" ]' AS text, false AS bad FROM events
  UNION ALL SELECT DISTINCT event_type, CAST(NULL AS BIGINT), NULL, NULL, true FROM events""")
 def src_json_document(spark, sf):
-    """All events as arrays over many lines, one file per kind, split over tasks; each array begins with an element that is no record."""
+    """All events as arrays over many lines, a file per kind and span of ids, split over tasks; each array begins with an element that is no record."""
     said = "'}, {\\\\\"' || CAST(event_id AS STRING) || '\\\\\" ]'"
-    rows = columns(spark, sf, "events", {"b": "event_type", "k": "event_id", "value": f"""',\n {{"id": ' || CAST(event_id AS STRING) || ',\n  "body": {{"props": ' || props || ',\n "text": "' || {said} || '"}}\n }}'"""})
-    path = write_files(_enclosed(rows, '["}", 7', "]"), work_path(spark, "json-document"), ["b"])
+    rows = columns(spark, sf, "events", {"b": "event_type", "part": f"CAST(floor(event_id / {EVENT_KEYS}.0) AS BIGINT)", "k": "event_id", "value": f"""',\n {{"id": ' || CAST(event_id AS STRING) || ',\n  "body": {{"props": ' || props || ',\n "text": "' || {said} || '"}}\n }}'"""})
+    path = write_files(_enclosed(rows, '["}", 7', "]"), work_path(spark, "json-document"), ["b", "part"])
     spec = load_spec({"id": "event-document", "format": "JSON", "fields": [
         {"name": "id", "type": "LONG", "path": "$.id"}, {"name": "k", "type": "INTEGER", "path": "$.body.props.k"}, {"name": "text", "path": "$.body.text"}]})
     done = read_records(spark, path, spec).select(
         F.regexp_extract("_file", "/b=([a-z_]+)/", 1).alias("kind"), F.col("f_id").cast("bigint").alias("id"), F.col("f_k").alias("k"), F.col("f_text").alias("text"),
         (F.size("_errors") > 0).alias("bad"))
-    # the two bad elements of a file are alike
+    # the bad elements of a kind are alike
     return done.filter("not bad").unionByName(done.filter("bad").distinct())
 
 
@@ -471,17 +492,20 @@ X12_SPEC = load_spec({"id": "remittance", "format": "EDI_X12", "metadata": {"rec
 
 
 def write_x12(spark, sf):
-    """Line items as X12 files, one per return flag and each in a dialect of its own: ISA, then ST and the items of an order, SE."""
+    """Line items as X12 files, per return flag (each in a dialect of its own) and span of orders: ISA, then ST and the items of an order, SE."""
     path = work_path(spark, "x12")
-    items = columns(spark, sf, "lineitem", {"f": "l_returnflag", "o": "l_orderkey", "q": "CAST(l_quantity AS BIGINT)"})
-    rows = items.groupBy("f", "o").agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("q"))
+    items = columns(spark, sf, "lineitem", {
+        "f": "l_returnflag", "part": f"coalesce(CAST(floor(l_orderkey / {TRANSACTION_KEYS}.0) AS BIGINT), 0)", "o": "l_orderkey", "q": "CAST(l_quantity AS BIGINT)"})
+    rows = stored(items.groupBy("f", "part", "o").agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("q")), "x12-orders")
     for flag, (element, segment) in DIALECTS.items():
         said = F.concat_ws(segment, F.concat_ws(element, F.lit("ST"), F.lit("820"), "o"), F.concat_ws(element, F.lit("RMR"), "n", "q"),
                            F.concat_ws(element, F.lit("SE"), F.lit("2"), "o"))
-        body = rows.filter(F.col("f") == flag).select("f", F.col("o").alias("k"), said.alias("value"))
-        head = spark.range(1).select(F.lit(flag).alias("f"), F.lit(-1).cast("bigint").alias("k"), F.lit(ISA_HEADER.format(element)).alias("value"))
-        placed = body.unionByName(head).repartition("f").sortWithinPartitions("f", "k")
-        placed.select("f", "value").write.mode("append").partitionBy("f").option("lineSep", segment).text(path)
+        body = rows.filter(F.col("f") == flag).select("f", "part", F.col("o").alias("k"), said.alias("value"))
+        # a flag without orders has a file as well
+        files = body.select("f", "part").unionByName(spark.range(1).select(F.lit(flag).alias("f"), F.lit(0).cast("bigint").alias("part"))).distinct()
+        head = files.select("f", "part", F.lit(-1).cast("bigint").alias("k"), F.lit(ISA_HEADER.format(element)).alias("value"))
+        placed = body.unionByName(head).repartition("f", "part").sortWithinPartitions("f", "part", "k")
+        placed.select("f", "part", "value").write.mode("append").partitionBy("f", "part").option("lineSep", segment).text(path)
     return path
 
 
@@ -490,11 +514,14 @@ def write_x12(spark, sf):
  SELECT l_returnflag AS f, l_orderkey AS o, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY ALL)""")
 def src_edi_x12(spark, sf):
     """Files of three partners in one folder, each cut by the separators that its own header names."""
-    done = read_records(spark, write_x12(spark, sf), X12_SPEC)
     # segment numbers run over all segments of a file: a header, then three a transaction
+    done = read_records(spark, write_x12(spark, sf), X12_SPEC).select(
+        F.regexp_extract("_file", "/f=([A-Z])/", 1).alias("file"), _part(), F.col("f_transaction").cast("bigint").alias("_no"), F.col("f_interchange").alias("interchange_no"),
+        F.col("f_items").alias("n_items"), F.col("f_quantity").alias("quantity"), F.call_function("div", F.col("_seq") - 2, F.lit(3)).alias("_rank"))
+    done = _counted_on(done, "x12-records", "file", {"transactions": F.max("_no"), "records": F.max("_rank") + 1})
     return done.select(
-        F.regexp_extract("_file", "/f=([A-Z])/", 1).alias("file"), F.col("f_transaction").alias("transaction_no"), F.col("f_interchange").alias("interchange_no"),
-        F.col("f_items").alias("n_items"), F.col("f_quantity").alias("quantity"), F.call_function("div", F.col("_seq") - 2, F.lit(3)).alias("rank"))
+        "file", (F.col("_before_transactions") + F.col("_no")).cast("string").alias("transaction_no"), "interchange_no", "n_items", "quantity",
+        (F.col("_before_records") + F.col("_rank")).alias("rank"))
 
 
 @register("src_parquet", "SRC-21", "SELECT c_mktsegment AS segment, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1")

@@ -215,3 +215,31 @@ def test_xml_schema_check(spark, folder):
     good, bad = read_records(spark, f"{folder}/d.xml", spec).orderBy("_seq").collect()
     assert good.f_a == "5" and not good._errors
     assert [e.message for e in bad._errors] == ["Record does not match the schema"]
+
+
+def test_documents_come_in_parts_that_count_on(spark, folder, monkeypatch):
+    """A series of files is written by as many tasks; numbers of records count on over its parts."""
+    import os
+
+    from specflow.catalog import load
+    from specflow.catalog import sources as catalog
+
+    monkeypatch.setattr(catalog, "DOCUMENT_KEYS", 4)
+    monkeypatch.setattr(catalog, "EVENT_KEYS", 4)
+    monkeypatch.setattr(catalog, "TRANSACTION_KEYS", 4)
+    written = []
+    write = catalog.work_path
+    monkeypatch.setattr(catalog, "work_path", lambda session, label: written.append(write(session, label)) or written[-1])
+    spark.createDataFrame([(i, f"text {i}", "en" if i % 3 else "de", "s") for i in range(10)], "doc_id bigint, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, "view", '{"k": 1}') for i in range(10)], "event_id bigint, event_type string, props string").write.parquet(f"{folder}/events.parquet")
+    spark.createDataFrame([(i, "A", 2.0) for i in range(1, 10)], "l_orderkey bigint, l_returnflag string, l_quantity double").write.parquet(f"{folder}/lineitem.parquet")
+
+    def run(name):
+        return load()[name].run(spark, folder).collect()
+
+    got = sorted((r.lang, r.k, r.seq) for r in run("src_xml_attr_text"))
+    assert got == [("de", k, n) for n, k in enumerate((0, 3, 6, 9))] + [("en", k, n) for n, k in enumerate((1, 2, 4, 5, 7, 8))]
+    assert sorted(n for n in os.listdir(f"{written[-1]}/b=en")) == ["part=0", "part=1", "part=2"]
+    assert sorted((r.id, r.bad) for r in run("src_json_document") if not r.bad) == [(i, False) for i in range(10)]
+    assert len(os.listdir(f"{written[-1]}/b=view")) == 3
+    assert sorted((int(r.transaction_no), r.rank) for r in run("src_edi_x12")) == [(i + 1, i) for i in range(9)]
